@@ -215,6 +215,135 @@ def _frequent(source: DataFrame, sketches: DataFrame, documents: int) -> list[tu
     return [(r["hash"], r["n"]) for r in rows]
 
 
+def _pair_matrix(elements: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of left with right documents; a document
+    is (element codes, weights), each element once."""
+    codes, uniques = pd.factorize(np.concatenate([e[0] for e in elements]))
+    size = np.fromiter((len(e[0]) for e in elements), np.int64, len(elements))
+    of = np.repeat(np.arange(len(elements)), size)
+    weight = np.concatenate([e[1] for e in elements])
+    total = np.bincount(of, weight, len(elements))
+    shared = np.bincount(codes)[codes] > 1  # the others can't be common to two
+    codes, of, weight = codes[shared], of[shared], weight[shared]
+    order = np.argsort(codes, kind="stable")
+    codes, of, weight = codes[order], of[order], weight[order]
+    codes = np.cumsum(np.append(0, codes[1:] != codes[:-1])) if len(codes) else codes
+    common = np.zeros((len(left), len(right)))
+    place_left, place_right = np.full(len(elements), -1), np.full(len(elements), -1)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    step, begin = 4096, 0
+    while begin < len(codes):
+        base = codes[begin]
+        end = int(np.searchsorted(codes, base + step))
+        c, o, w = codes[begin:end] - base, of[begin:end], weight[begin:end]
+        x, y = np.zeros((len(left), step)), np.zeros((len(right), step))
+        on = place_left[o] >= 0
+        x[place_left[o[on]], c[on]] = w[on]
+        on = place_right[o] >= 0
+        y[place_right[o[on]], c[on]] = 1
+        common += x @ y.T
+        begin = end
+    return common / np.maximum(total[left][:, None] + total[right][None, :] - common, 1e-300)
+
+
+def _elements(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every document's shingles, the k-th occurrence of one as an element of its own."""
+    hashes, document = shingles(*binary_buffer(texts))
+    order = np.lexsort((hashes, document))
+    hashes, document = hashes[order], document[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    codes, weight = splitmix(hashes ^ splitmix(nth.astype(np.uint64))), weights.of(hashes)
+    cut = np.searchsorted(document, np.arange(len(texts) + 1))
+    return [(codes[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+#: Members of a tile; a larger bucket is compared tile by tile.
+TILE = 192
+
+
+def _linked_members(members: DataFrame, source: DataFrame, similarity: float, weights: Weights) -> DataFrame:
+    """(a, b): a spanning forest of the links between members of a bucket that
+    are in different components.  ``members`` has band, n, id, component.
+
+    A bucket of n members is n / TILE tiles by a hash of the id, and every two
+    tiles meet in one group, so no task holds more than two tiles.  Texts, not
+    pairs, are dealt out.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "id"), tiles).cast("int")
+    texts = members.select("band", "id", "component", own.alias("tile"), tiles.alias("tiles")).join(source, "id")
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "text"
+    )
+
+    def meet(batches):
+        group, rows, small, out = None, [], [], []
+
+        def forest(rows, pairs):
+            """Pairs that join components not yet joined."""
+            parent = {}
+
+            def root(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for p, q in pairs:
+                a, b = root(rows[p][2]), root(rows[q][2])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((rows[p][1], rows[q][1]))
+
+        def close():
+            if len(rows) < 2:
+                return
+            if len(rows) <= 6:
+                small.append(list(rows))
+                if len(small) >= 256:
+                    close_small()
+                return
+            tile = np.array([r[0] for r in rows])
+            left, right = (np.flatnonzero(tile == k) for k in (group[1], group[2]))
+            if not len(left) or not len(right):
+                return
+            found = _pair_matrix(_elements(pa.array([r[3] for r in rows]), weights), left, right) >= similarity
+            component = np.array([r[2] for r in rows], np.int64)
+            found &= component[left][:, None] != component[right][None, :]
+            p, q = np.nonzero(found)
+            forest(rows, zip(left[p].tolist(), right[q].tolist(), strict=True))
+
+        def close_small():
+            pairs = [(g, p, q) for g, rows in enumerate(small) for p in range(len(rows)) for q in range(p) if rows[p][2] != rows[q][2]]
+            if pairs:
+                left = shingles(*binary_buffer(pa.array([small[g][p][3] for g, p, _ in pairs])))
+                right = shingles(*binary_buffer(pa.array([small[g][q][3] for g, _, q in pairs])))
+                found = similarities(left, right, len(pairs), weights) >= similarity
+                for k in np.flatnonzero(found).tolist():
+                    g, p, q = pairs[k]
+                    forest(small[g], [(p, q)])
+            small.clear()
+
+        for batch in slices(batches, "text"):
+            columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "tile", "id", "component", "text")]
+            for band, i, j, *row in zip(*columns, strict=True):
+                if (band, i, j) != group:
+                    close()
+                    group, rows = (band, i, j), []
+                rows.append(row)
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
+        close()
+        close_small()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(meet, "a bigint, b bigint")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, component_id, group_size, kept: one row per input row.
 
@@ -290,23 +419,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stars = verify(starred.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "near-verified")
     edges = stars.where(F.col("similarity") >= similarity).select("a", "b")
     labels = components(edges)
-    # Members that their hub doesn't reach may link with others of the bucket.
-    # 1 - similarity is a metric, so a pair whose distances from the hub differ
-    # by more than 1 - similarity can't link; all others are verified.
-    placed = (
-        starred.join(labels, "id", "left")
-        .join(labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-        .select("band", "id", F.coalesce("component", "id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component"), "hub")
-        .join(stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), "similarity").distinct(), ["id", "hub"], "left")
-        .select("band", "id", "component", "hub_component", "hub", (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"))
-    )
-    placed = materialise(placed, "near-placed")
-    apart = placed.where("component <> hub_component")
-    if not apart.isEmpty():
-        others = placed.where("id <> hub").select("band", F.col("id").alias("b"), F.col("component").alias("b_component"), F.col("far").alias("b_far"))
-        crossed = apart.join(others, "band").where((F.col("component") != F.col("b_component")) & (F.abs(F.col("far") - F.col("b_far")) <= 1 - similarity + 1e-9))
-        more = crossed.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        added = verify(more, "near-crossed").where(F.col("similarity") >= similarity).select("a", "b")
+    # Members that their hub doesn't reach may link with others of the bucket:
+    # buckets that still hold several components are compared as a whole.
+    placed = materialise(starred.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "near-placed")
+    member_set = [F.sum(F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1 << 40))).alias(f"set{k}") for k in range(3)]
+    sets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *member_set).where("low <> high")
+    # the same members often meet in several bands: once is enough
+    mixed = materialise(sets.groupBy("n", "set0", "set1", "set2").agg(F.min("band").alias("band")).select("band", "n"), "near-mixed")
+    if not mixed.isEmpty():
+        added = materialise(_linked_members(placed.join(mixed, "band"), source, similarity, weights), "near-crossed")
         if not added.isEmpty():
             labels = components(edges.union(added))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
