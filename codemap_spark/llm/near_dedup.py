@@ -419,9 +419,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stars = verify(starred.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "near-verified")
     edges = stars.where(F.col("similarity") >= similarity).select("a", "b")
     labels = components(edges)
-    # Members that their hub doesn't reach may link with others of the bucket:
-    # buckets that still hold several components are compared as a whole.
-    placed = materialise(starred.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "near-placed")
+    # Members that their hub doesn't reach may link with others of the bucket.
+    # The hub is done: it was compared with every member.  1 - similarity is a
+    # metric, so of a pair in different components one is outside the hub's,
+    # and the other's distance from the hub is at most 1 - similarity less.
+    slack = 1 - similarity + 1e-9
+    far = stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far")).groupBy("id", "hub").agg(F.min("far").alias("far"))
+    around = materialise(
+        starred.where("id <> hub").join(far, ["id", "hub"]).join(labels, "id", "left").join(labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+        .select("band", "id", "far", F.coalesce("component", "id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")),
+        "near-around",
+    )
+    nearest = around.where("component <> hub_component").groupBy("band").agg(F.min("far").alias("nearest"))
+    placed = materialise(around.join(nearest, "band").where(F.col("far") >= F.col("nearest") - slack).select("band", "id", "component"), "near-placed")
     member_set = [F.sum(F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1 << 40))).alias(f"set{k}") for k in range(3)]
     sets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *member_set).where("low <> high")
     # the same members often meet in several bands: once is enough
