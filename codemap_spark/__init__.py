@@ -1,0 +1 @@
+"""A code-orientation and relevance engine on Spark DataFrames."""
