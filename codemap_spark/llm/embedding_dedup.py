@@ -22,7 +22,7 @@ from .common import materialise, prepare
 from .components import components
 
 BLOCK_DIMENSIONS = 16
-SLAB_ROWS = 4_096
+SLAB_ROWS = 16_384
 SLACK = 1e-9
 
 
@@ -56,10 +56,13 @@ def _links(vectors: DataFrame, dimensions: int, cosine: float) -> DataFrame:
     turn = rotation(dimensions)
 
     def units(raw: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(raw), dimensions))
-        for i, r in enumerate(raw):
-            v = np.frombuffer(r, "<f8")
-            out[i, : len(v)] = v
+        if all(len(r) == 8 * dimensions for r in raw):
+            out = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), dimensions)
+        else:
+            out = np.zeros((len(raw), dimensions))
+            for i, r in enumerate(raw):
+                v = np.frombuffer(r, "<f8")
+                out[i, : len(v)] = v
         return out / np.linalg.norm(out, axis=1, keepdims=True)
 
     def firsts(batches):
@@ -107,12 +110,18 @@ def _links(vectors: DataFrame, dimensions: int, cosine: float) -> DataFrame:
             b = slab // slabs
             own = slice(cuts[b], cuts[b + 1])
             step = max(1, (1 << 21) // max(1, len(right["id"])))
-            norm = (right["turned"][:, own] ** 2).sum(1)
-            for k in range(0, len(left["id"]), step):
-                x = left["turned"][k : k + step]
-                d = (x[:, own] ** 2).sum(1)[:, None] + norm - 2 * (x[:, own] @ right["turned"][:, own].T)
-                i, j = np.nonzero(d <= budget[b] + SLACK)
-                i += k
+
+            def raised(rows, turned: bool):
+                """Rows whose products are minus half the squared distance."""
+                x = rows["turned"][:, own]
+                half, one = (x**2).sum(1, keepdims=True) / -2, np.ones((len(x), 1))
+                return np.hstack([x, one, half] if turned else [x, half, one]).astype(np.float32)
+
+            x, y = raised(left, False), raised(right, True).T.copy()
+            for k in range(0, len(x), step):
+                # single precision with room to spare; the exact distances follow
+                at = np.flatnonzero(x[k : k + step] @ y >= np.float32(-budget[b] / 2 - 1e-5))
+                i, j = at // y.shape[1] + k, at % y.shape[1]
                 if same:
                     on = i < j
                     i, j = i[on], j[on]
@@ -120,6 +129,7 @@ def _links(vectors: DataFrame, dimensions: int, cosine: float) -> DataFrame:
                     p, q = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
                     on = np.einsum("ij,ij->i", left["unit"][p], right["unit"][q]) >= cosine
                     on &= left["width"][p] == right["width"][q]
+                    on &= ((left["turned"][p][:, own] - right["turned"][q][:, own]) ** 2).sum(1) <= budget[b]
                     p, q = p[on], q[on]
                     for e in range(b):  # an earlier block within its budget has counted the pair
                         part = slice(cuts[e], cuts[e + 1])

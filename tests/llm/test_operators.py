@@ -1,0 +1,267 @@
+"""Operators against brute force, and their defined results at the edges."""
+
+import collections
+import hashlib
+import json
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from codemap_spark.llm import common, components, embedding_dedup, exact_dedup, html, language_id, near_dedup, packing, quality, secrets, sentencepieces, token_count, vocabulary
+
+WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+TEXTS = [None, "", "a", "A", "  \n", "Hello  world\n\tit's <|endoftext|> x² ½", "x " * 9000, "日本 語 😀", "password: hunter22 token=secret=abcdefgh", "password: hunter22 token=secret=abcdefgh", "▁ a▁b"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}", 0, 1.0) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id int, score double")
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+def test_html_edges(spark):
+    page = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; all</h1><p><b>One<br>two<p>three  four</article><footer>&copy; x</footer>"
+    assert html.extract(page) == "Head & all One two three four"
+    assert html.extract(None) == html.extract("") == html.extract("<p></p>") == ""
+    rows = spark.createDataFrame([(1, "u", None, 0), (1, "u", page, 0)], "page_id long, url string, html string, text int")
+    assert sorted((r.text, r.n_chars) for r in html.extract_text(rows).collect()) == [("", 0), ("Head & all One two three four", 29)]
+    assert html.extract_text(rows.limit(0)).count() == 0
+
+
+def test_pre_tokens_like_the_library(real):
+    rng = np.random.default_rng(1)
+    texts = [r.text for r in real.limit(60).collect()] + [t or "" for t in TEXTS] + ["".join(rng.choice(list(" \n\t ab1_.É×ª'"), 20)) for _ in range(300)]
+    import pyarrow as pa
+
+    for path in (WORD, BYTE):
+        e = vocabulary.Encoder(path)
+        ids, offsets = e.ids_batch(pa.array(texts))
+        counts = e.count_batch(pa.array(texts))
+        for i, t in enumerate(texts):
+            want = e.tokenizer.encode(t, add_special_tokens=False).ids
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == want and counts[i] == len(want)
+
+
+def test_token_cache(spark, docs):
+    cache = common.shared_path(spark, "cache")
+    first = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs, WORD, cache).collect()}
+    e = vocabulary.Encoder(WORD)
+    assert first == {i: len(e.tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
+    before = token_count.read_cache(spark, cache).count()
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs, WORD, cache).collect()} == first
+    assert token_count.read_cache(spark, cache).count() == before  # nothing was encoded twice
+    assert token_count.count_tokens(docs.limit(0), WORD, common.shared_path(spark, "cache")).count() == 0
+
+
+def test_exact(spark, docs, real):
+    for df in (docs, real.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")))):
+        rows = [(r.doc_id, (r.text or "").encode().lower()) for r in df.collect()]
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[t].append(i)
+        want = {(i, max(groups[t]), len(groups[t]), i == max(groups[t]), hashlib.sha256(t).hexdigest()) for i, t in rows}
+        assert {tuple(r) for r in exact_dedup.exact_duplicates(df, bucket_bytes=1000).collect()} == want
+    assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
+
+
+def test_directory_covers_every_key():
+    h = np.array([9, 0, 0, 1, 1, 1, 50, 1])
+    d = exact_dedup.Directory(h, 10)
+    keys = np.arange(8, dtype=np.uint64) << np.uint64(61)
+    b = d.bucket(keys)
+    assert (np.diff(b) >= 0).all() and d.depth == 3 and len(set(b)) == d.buckets
+    assert all(h[b == k].sum() <= 10 or (b == k).sum() == 1 for k in set(b))
+
+
+def test_language(real):
+    found = language_id.identify(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) >= 0.9
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_language_edges(docs):
+    found = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert found[0].lang_pred == found[1].lang_pred == found[4].lang_pred == "und" and found[0].score == 0
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
+def check_pieces(rows, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE)
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in texts}
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(ids)
+    for i, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            part = np.array(ids[i][r.start : r.start + r.length], "<u4")
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids[i]) and r.ids_crc32 == zlib.crc32(part.tobytes())
+            at += r.length
+        assert at == len(ids[i])
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
+def test_packing(docs, real):
+    for df in (docs, real):
+        check_pieces(packing.pack(df, BYTE).collect(), [(r.doc_id, r.text) for r in df.collect()])
+    assert packing.pack(docs.limit(0), BYTE).count() == 0
+
+
+def test_hilbert_steps_to_neighbours():
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
+    order = np.argsort(packing.hilbert_key(cells, 3))
+    assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
+
+
+def components_of(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)]
+    found = {r.id: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = components_of(500, pairs)
+    assert found == {i: want[i] for a, b in pairs if a != b for i in (a, b)}
+
+
+def test_near(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one two", "ONE two"]
+    for _ in range(12):
+        base = list(rng.choice(words, 120))
+        for _ in range(9):
+            copy = list(base)
+            for k in rng.integers(0, 120, rng.integers(0, 7)):
+                copy[k] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(df).collect()}
+    # under 16 documents hold any shingle, so all weights are equal and plain Jaccard is the truth
+    assert found == dict(enumerate(components_of(len(texts), pairs)))
+    assert near_dedup.near_duplicate_groups(df.limit(0)).count() == 0
+
+
+def test_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SLAB_ROWS", 100)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 64))
+    x = np.vstack([x, x[:60] + rng.standard_normal((60, 64)) * 0.45, x[:20], np.repeat(x[5:6], 40, 0) + rng.standard_normal((40, 64)) * 0.3]).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (904, [1.0, None])]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    label = components_of(len(x), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(links)))])
+    for i in range(len(x)):
+        assert found[i] == (int(links[i].sum()), label[i], label[i] == i)
+    assert all(found[i] == (0, i, True) for i in range(900, 905))
+
+
+def test_quality(spark, real):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    found = quality.classify(real, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in found]) >= 0.9
+
+
+def test_quality_edges(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality.classify(docs, none).collect()
+    assert len(rows) == len(TEXTS) and all(r.score == 0.5 for r in rows)
+    assert quality.classify(docs.limit(0), none).count() == 0
+
+
+def test_forward_backward_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    score, transition = rng.standard_normal(4), rng.standard_normal((2, 2))
+    good, _, z = quality.chain_marginals(score, np.array([4]), transition)
+    weight = {y: np.exp(sum(score[t] for t in range(4) if y[t]) + sum(transition[y[t], y[t + 1]] for t in range(3))) for y in itertools.product((0, 1), repeat=4)}
+    total = sum(weight.values())
+    assert np.allclose(good, [sum(w for y, w in weight.items() if y[t]) / total for t in range(4)]) and np.isclose(z, np.log(total))
+
+
+def test_pieces(docs, real):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = {r.doc_id: r.text or "" for r in real.limit(80).collect()}
+    plain = {r.doc_id: list(r.ids) for r in sentencepieces.encode(real, PIECE, dropout=0.0).collect()}
+    assert all(plain[i] == library.encode(t) for i, t in texts.items())
+    dropped = sentencepieces.encode(docs, PIECE)
+    assert {r.doc_id: r.text for r in sentencepieces.decode(dropped, PIECE).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+    rows = {r.doc_id: r for r in sentencepieces.round_trip(real, PIECE).collect()}
+    assert all(r.lossless for r in rows.values()) and sum(r.n_tokens for r in rows.values()) > sum(map(len, plain.values()))
+    one = sentencepieces.Pieces(PIECE, 0.3, 7)
+    raws = [(" " + w).encode() for w in texts[0].split()[:200]]
+    both = one.segments(raws, np.arange(len(raws)) % 2)
+    assert [np.frombuffer(b, "<u2").tolist() for b in both] == [one.segment(r, k % 2) for k, r in enumerate(raws)]
+
+
+def base_spans(text):
+    kinds = (("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))
+    found = [(m.start(), k, m.end(), name) for k, (name, pattern, fine) in enumerate(kinds) for m in re.finditer(pattern, text) if fine(m)]
+    return [f"{name}:{a}:{b}" for a, _, b, name in sorted(found)]
+
+
+def test_secrets(spark, docs, real):
+    more = ["é😀 API_KEY='abc123' secret=token:abcdefgh AKIA" + "A1" * 12 + " deadbeef" * 5 + " " + "ab12" * 9, "PassWord = \"x.y-z/1=\" tokEn:abc", "ghp_" + "a1B2" * 10, "AKIAshort"]
+    extra = spark.createDataFrame([(100 + i, t, "en", "s0", 0, 0.0) for i, t in enumerate(more)], docs.schema)
+    for df in (docs.union(extra), real):
+        want = {r.doc_id: base_spans(r.text or "") for r in df.collect()}
+        for r in secrets.scan(df).collect():
+            assert r.base_sha256 == hashlib.sha256(",".join(want[r.doc_id]).encode()).hexdigest()
+            assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want[r.doc_id]) for k in ("assign", "access", "hex"))
+            assert set(want[r.doc_id]) <= set(r.spans.split(","))
+    assert secrets.scan(docs.limit(0)).count() == 0
+    cut = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert cut[0] is None and cut[1] == "" and cut[8] == "[SECRET] [SECRET]"
+
+
+def test_ownership(spark):
+    key = "ghp_" + "a1B2" * 10
+    rows = [(1, key, "en", "a"), (2, key, "en", "b"), (3, key.lower() + "Z9", "en", "a")]
+    found = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert "keyed" not in found[1] and "keyed" in found[3]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert json.dumps(rows.columns).count("_id") == 2 and rows.count() > 0
