@@ -248,6 +248,11 @@ def _pair_matrix(elements: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray
 
 def _elements(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
     """Every document's shingles, the k-th occurrence of one as an element of its own."""
+    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+    return [e for part in slices([whole], "text") for e in _elements_of(part.column("text"), weights)]
+
+
+def _elements_of(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
     hashes, document = shingles(*binary_buffer(texts))
     order = np.lexsort((hashes, document))
     hashes, document = hashes[order], document[order]
@@ -281,6 +286,7 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
 
     def meet(batches):
         group, rows, small, out = None, [], [], []
+        waiting = [0]  # characters of the pairs of the small groups
 
         def forest(rows, pairs):
             """Pairs that join components not yet joined."""
@@ -302,7 +308,8 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
                 return
             if len(rows) <= 6:
                 small.append(list(rows))
-                if len(small) >= 256:
+                waiting[0] += len(rows) * sum(len(r[3]) for r in rows)
+                if waiting[0] > 1 << 20:
                     close_small()
                 return
             tile = np.array([r[0] for r in rows])
@@ -325,6 +332,7 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
                     g, p, q = pairs[k]
                     forest(small[g], [(p, q)])
             small.clear()
+            waiting[0] = 0
 
         for batch in slices(batches, "text"):
             columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "tile", "id", "component", "text")]
