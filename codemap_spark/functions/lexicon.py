@@ -39,3 +39,11 @@ ENTRY_FILES = "__main__.py main.py app.py server.py cli.py manage.py wsgi.py asg
 ENTRY_PARTS = "cli server router routers routes api app main cmd bin".split()
 OVERVIEW_CONFIGS = ".env.example Dockerfile tsconfig.json vite.config.js vite.config.ts webpack.config.js next.config.js eslint.config.js ruff.toml".split()
 TAG_WEIGHTS = {"path": 1.0, "filename": 1.3, "language": 0.6, "role": 0.6, "symbol": 1.2, "symbol_kind": 0.5, "relation": 0.8, "relation_target": 1.0}
+README_NAMES = "README.md README.rst README.txt readme.md readme.rst readme.txt".split()
+FIRST_MANIFESTS = "pyproject.toml package.json composer.json go.mod Cargo.toml".split()
+ENTRY_NAMES = "main app application server serve cli run".split()
+FRAMEWORK_PARTS = "cli command commands management server api routing routes urls".split()
+START_FILES = "index.php main.py __main__.py app.py server.py main.ts main.tsx main.rs".split()
+RENDER_TOKENS = "frontend front view render rendering html markup template page pagina visualizzazione titolo title heading".split()
+TRACE_DOCS = "doc docs documentazione readme".split()
+SERVICE_PARTS = "/orchestrator /controller /handler /router /service".split()

@@ -5,9 +5,10 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L, text as T
+from .relations import related_scores
 
 
 def path_scores(files: DataFrame, weights: DataFrame) -> DataFrame:
@@ -43,6 +44,31 @@ def commit_scores(commits: DataFrame, commit_files: DataFrame, weights: DataFram
     return commit_files.join(per_commit, "commit_id").groupBy("path").agg(F.sum("score").alias("score"))
 
 
+def call_scores(relations: DataFrame, files: DataFrame, weights: DataFrame) -> DataFrame:
+    """CX4: path, score: 2.2 times the weight, once per file and token that a
+    called name contains."""
+    called = relations.where((F.col("relation") == "calls") & (F.col("target_type") == "symbol_name")).select(F.col("source_id").alias("id"), F.lower("target_id").alias("name")).distinct()
+    hits = called.join(F.broadcast(weights), F.expr("contains(name, token)"))
+    by_file = hits.groupBy("id", "token").agg(F.max("weight").alias("weight")).groupBy("id").agg(F.sum(2.2 * F.col("weight")).alias("score"))
+    return by_file.join(files.select("id", "path"), "id").select("path", "score")
+
+
+def pack_commits(commits: DataFrame, commit_files: DataFrame, candidates: DataFrame, tokens: list[str], limit: int = 5, most_files: int = 10) -> DataFrame:
+    """CX11: id, date, message, files, total_files, files_truncated of the
+    newest commits that a token is in and that touch a candidate or nothing."""
+    message = F.lower("message")
+    matched = commits.where(F.greatest(*[message.contains(t) for t in tokens]) if len(tokens) > 1 else message.contains(tokens[0]))
+    touched = commit_files.join(matched.select(F.col("id").alias("commit_id")), "commit_id", "left_semi").distinct()
+    on = candidates.select("path", F.lit(1).alias("on")).distinct()
+    per_commit = touched.join(on, "path", "left").groupBy(F.col("commit_id").alias("id")).agg(F.count("*").alias("total_files"), F.count("on").alias("on"))
+    kept = matched.join(per_commit, "id", "left").where("on is null or on > 0").orderBy(F.desc("date"), F.desc("id")).limit(limit)
+    top = kept.select("id", "date", "message", F.coalesce("total_files", F.lit(0)).alias("total_files"))
+    rank = F.row_number().over(Window.partitionBy("commit_id").orderBy("path"))
+    few = touched.join(F.broadcast(top.select(F.col("id").alias("commit_id"))), "commit_id", "left_semi").withColumn("rank", rank).where(F.col("rank") <= most_files)  # ``limit`` rows
+    listed = few.groupBy(F.col("commit_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("files"))
+    return top.join(listed, "id", "left").select("id", "date", "message", F.coalesce("files", F.lit("")).alias("files"), "total_files", (F.col("total_files") > most_files).alias("files_truncated"))
+
+
 def adjusted(scored: DataFrame, tokens: list[str]) -> DataFrame:
     """CX6, CX7: multiplications by role and suffix, in order."""
     def wants(words):
@@ -64,12 +90,18 @@ def adjusted(scored: DataFrame, tokens: list[str]) -> DataFrame:
     return out.withColumn("score", F.when((role == "source") & ext.isin(".php", ".py", ".js", ".ts", ".go", ".rs"), s * 1.05 + 0.1).otherwise(s))
 
 
-def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, signals: DataFrame, weights: DataFrame, tokens: list[str], limit: int = 10) -> DataFrame:
-    """CX1 to CX3, CX6 to CX9 as one plan: path, raw score, score over the top
+def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, signals: DataFrame, weights: DataFrame, tokens: list[str], limit: int = 10, relations: DataFrame | None = None) -> DataFrame:
+    """CX1 to CX9 as one plan (CX4 and CX5 if relations are given): path, raw score, score over the top
     score; best first, ties by path."""
     hits = path_scores(files, weights).select("path", "score")
     by_symbol = symbol_scores(symbols, weights).join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "score")
-    total = hits.unionByName(by_symbol).unionByName(commit_scores(commits, commit_files, weights)).groupBy("path").agg(F.sum("score").alias("score"))
+    rows = hits.unionByName(by_symbol).unionByName(commit_scores(commits, commit_files, weights))
+    if relations is not None:
+        rows = rows.unionByName(call_scores(relations, files, weights))
+    total = rows.groupBy("path").agg(F.sum("score").alias("score"))
+    if relations is not None:
+        related = related_scores(relations, files, total.where("score > 0").select("path"))
+        total = total.unionByName(related).groupBy("path").agg(F.sum("score").alias("score"))
     known = adjusted(files.select("path", "role").join(total, "path"), tokens).join(signals, "path", "left")
     boosted = F.col("score") + F.coalesce("boost", F.lit(0.0))
     final = F.when(F.coalesce("penalty", F.lit(0.0)) < 0, F.greatest(F.lit(0.0), boosted + F.col("penalty")) * 0.35).otherwise(boosted)
@@ -139,3 +171,100 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_ou
         front = front.join(strong, F.col("at") == F.col("source")).where(~F.array_contains("path", F.col("target"))).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"))
         out = out.unionByName(front)
     return out.select("start", F.col("at").alias("target"), (F.size("path") - 1).alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def _framework_entry(path) -> Column:
+    parts = F.split(F.lower(path), "/")
+    semantic = F.size(parts) - F.when(F.split(path, "/")[0].isin("src", "lib", "app"), 1).otherwise(0)
+    return (T.file_name(path) == "__init__.py") & (semantic <= 4) & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_PARTS))
+
+
+def entry_points(files: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:
+    """OV2: path, name, kind, line: scripts, routes, telling names and entry
+    files; by kind of entry, depth, path, line and name, each once."""
+    path, name = F.col("path"), F.lower("name")
+    named = symbols.join(files.select(F.col("id").alias("file_id"), "path", "role"), "file_id")
+    told = F.col("kind").isin("project_script", "package_script", "route") | name.isin(L.ENTRY_NAMES) | name.endswith("app")
+    from_symbols = named.where(told & ~((F.col("role") == "test") & (F.col("kind") == "route"))).select("path", "name", "kind", F.coalesce("line", F.lit(0)).alias("line"), F.lit(0).alias("late"))
+    is_entry = T.file_name(path).isin(L.ENTRY_FILES)
+    from_files = files.where(is_entry | _framework_entry(path)).select("path", T.file_name(path).alias("name"), F.lit("file").alias("kind"), F.lit(0).alias("line"), F.lit(1).alias("late"))
+    each = from_symbols.unionByName(from_files).groupBy("path", "kind", "name").agg(F.min(F.struct("late", "line")).alias("at"))
+    priority = F.when(F.col("kind") == "project_script", 0).when(is_entry, 1).when(_framework_entry(path), 2).when(F.col("kind") == "route", 3).when(F.col("kind") == "package_script", 4).otherwise(5)
+    order = [priority, T.depth(path), "path", "at", "name", "kind"]
+    return each.orderBy(*order).limit(limit).select("path", "name", "kind", F.col("at.line").alias("line"))
+
+
+def manifests(files: DataFrame, symbols: DataFrame, most_symbols: int = 5, limit: int = 10) -> DataFrame:
+    """OV3: path, language, role, symbols (kind:name, by line): manifests first,
+    then readmes, other manifests and configuration; by depth and path."""
+    path = F.col("path")
+    name = T.file_name(path)
+    readme = name.isin(L.README_NAMES) | F.lower(name).startswith("readme.")
+    wanted = files.where(name.isin(L.MANIFESTS) | name.isin(L.OVERVIEW_CONFIGS) | readme | (F.col("role") == "config"))
+    priority = F.when(name.isin(L.FIRST_MANIFESTS), 0).when(readme, 1).when(name.isin(L.MANIFESTS), 2).otherwise(3)
+    top = wanted.orderBy(priority, T.depth(path), "path").limit(limit).select("id", "path", "language", "role")
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("line", "name", "kind"))
+    own = symbols.join(F.broadcast(top.select(F.col("id").alias("file_id"))), "file_id", "left_semi").withColumn("rank", rank).where(F.col("rank") <= most_symbols)  # ``limit`` files
+    listed = own.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "kind", "name").alias("label")))).alias("s"))
+    return top.join(listed, "id", "left").select("path", "language", "role", F.coalesce(F.array_join(F.col("s.label"), ","), F.lit("")).alias("symbols"))
+
+
+def _role_bias(role, path, tokens: list[str]):
+    lower = F.lower(path)
+    tests = 2.0 if any("test" in t for t in tokens) else -4.0
+    docs = 1.0 if set(tokens) & set(L.TRACE_DOCS) else -3.0
+    return (
+        F.when(role == "test", tests).otherwise(0.0)
+        + F.when((role == "documentation") | lower.rlike(r"\.(md|rst)$"), docs).otherwise(0.0)
+        - F.when(lower.contains("/versions/") | lower.startswith("alembic/") | lower.contains("/migrations/"), 3.0).otherwise(0.0)
+        - F.when(lower.rlike(r"\.(css|png|jpg|jpeg|gif|webp|svg)$"), 4.0).otherwise(0.0)
+    )
+
+
+def trace_starts(files: DataFrame, symbols: DataFrame, tokens: list[str], by_query: int = 4, limit: int = 8) -> DataFrame:
+    """TR3: id, path, place: files that score by long or test tokens in path
+    and content, negative scores too (ties by id), then the overview's entry
+    points, or files with a usual name or a route where it has none."""
+    strong = [t for t in tokens if len(t) >= 8 or "test" in t]
+    path, text = F.lower("path"), F.lower(F.coalesce("content", F.lit("")))
+    score = sum((F.when(path.contains(t), 4.0).otherwise(0.0) + F.when(text.contains(t), 2.0).otherwise(0.0) for t in strong), F.lit(0.0)) + _role_bias(F.col("role"), F.col("path"), tokens)
+    queried = files.select("id", "path", score.alias("score")).where("score <> 0").orderBy(F.desc("score"), "id").limit(by_query)
+    rows = queried.select("id", "path", F.struct(F.lit(0).alias("part"), (-F.col("score")).alias("first"), F.col("id").cast("double").alias("second")).alias("place"))
+    entries = entry_points(files, symbols, 4)
+    at = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # four rows in their order
+    known = entries.withColumn("at", at).join(files.select("id", "path"), "path").groupBy("id", "path").agg(F.min("at").cast("double").alias("at"))
+    from_entries = known.select("id", "path", F.struct(F.lit(1).alias("part"), F.col("at").alias("first"), F.lit(0.0).alias("second")).alias("place"))
+    usual = F.when(F.lower(T.file_name(F.col("path"))).isin(L.START_FILES), 10.0).otherwise(0.0) + F.when(F.col("role") == "route", 4.0).otherwise(0.0)
+    fallback = files.select("id", "path", usual.alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("id")).limit(6)
+    none = entries.agg(F.count("*").alias("n")).where("n = 0")
+    from_names = fallback.crossJoin(F.broadcast(none)).select("id", "path", F.struct(F.lit(1).alias("part"), (-F.col("score")).alias("first"), (-F.col("id")).cast("double").alias("second")).alias("place"))  # one row at most
+    each = rows.unionByName(from_entries).unionByName(from_names).groupBy("id", "path").agg(F.min("place").alias("order"))
+    return each.withColumn("place", F.row_number().over(Window.orderBy("order"))).where(F.col("place") <= limit).select("id", "path", "place")  # at most 14 rows
+
+
+def trace_scores(files: DataFrame, tokens: list[str]) -> DataFrame:
+    """TR4: path, score of files (path, content, distance) on a trace."""
+    lower, text = F.lower("path"), F.lower(F.coalesce("content", F.lit("")))
+    score = F.greatest(F.lit(0.1), 3.0 - F.col("distance") * 0.35)
+    name = T.file_name(lower)
+    for t in sorted(set(tokens)):
+        score = score + F.when(lower.contains(t), 4.0).otherwise(0.0) + F.when(text.contains(t), 2.0).when(name.contains(t), 1.5).otherwise(0.0)
+    role = F.when(lower.contains("/test") | lower.startswith("test"), "test").when(lower.rlike(r"\.(md|rst)$"), "documentation").otherwise("")
+    service = F.greatest(*[lower.contains(p) for p in L.SERVICE_PARTS])
+    acts = text.rlike(r"\b(handle|process|dispatch|orchestrat|route|persist|create)_?[a-z_]*\b")
+    markup = text.rlike(r"<h[1-6]\b|echo\s+['\"]<|<main\b|<title\b|render\(|template")
+    score = score + _role_bias(role, lower, tokens) + F.when(service, 1.0).otherwise(0.0) + F.when(acts, 0.75).otherwise(0.0) + F.when(markup, 2.0).otherwise(0.0)
+    return files.select("path", F.round(F.greatest(F.lit(0.0), score), 6).alias("score"))
+
+
+def dedupe_targets(paths: DataFrame, order: str) -> DataFrame:
+    """TR5: one row per target, at the place of its first row (by ``order``),
+    with the first row that has edges if there is one."""
+    columns = [c for c in paths.columns if c != "target"]
+    best = F.min(F.struct((F.col("hops") == 0).alias("bare"), F.col(order).alias("at"), F.struct(*columns).alias("row")))
+    return paths.groupBy("target").agg(F.min(order).alias("position"), best.alias("best")).select("target", "position", *[F.col(f"best.row.{c}").alias(c) for c in columns])
+
+
+def trace_profile(tokens) -> Column:
+    """TR6 over a column of token lists."""
+    return F.when(F.arrays_overlap(tokens, T.strings(L.RENDER_TOKENS)), "entrypoint_render").when(F.exists(tokens, lambda t: t.contains("test")), "test_trace").otherwise("entrypoint_trace")

@@ -93,3 +93,37 @@ def index_health(indexed: DataFrame, real: DataFrame) -> DataFrame:
     """DR1: path, issue: indexed but gone, or there but not indexed."""
     gone = indexed.join(real, "path", "left_anti").select("path", F.lit("missing_on_disk").alias("issue"))
     return gone.unionByName(real.join(indexed, "path", "left_anti").select("path", F.lit("not_indexed").alias("issue")))
+
+
+def resolved_calls(relations: DataFrame, symbols: DataFrame, files: DataFrame, file_id: int, limit: int = 10) -> DataFrame:
+    """JN7: name, confidence, path, kind, line: the names that a file calls
+    with up to ``limit`` definitions each by path and line, null without any.
+    A PHP caller sees definitions in PHP files only."""
+    called = relations.where((F.col("source_type") == "file") & (F.col("source_id") == file_id) & (F.col("relation") == "calls") & (F.col("target_type") == "symbol_name"))
+    names = called.groupBy(F.col("target_id").alias("name")).agg(F.max("confidence").alias("confidence"))
+    caller = F.broadcast(files.where(F.col("id") == file_id).select(F.col("language").alias("caller_language")))  # one row
+    known = symbols.where(F.col("kind").isin("function", "method")).join(files.select(F.col("id").alias("file_id"), "path", "language"), "file_id")
+    visible = known.join(caller, (F.col("caller_language") != "php") | (F.col("language") == "php"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("path", "line", "kind", "id"))
+    first = visible.join(names.select("name"), "name", "left_semi").withColumn("rank", rank).where(F.col("rank") <= limit)
+    return names.join(first.select("name", "path", "kind", "line"), "name", "left")
+
+
+def related_scores(relations: DataFrame, files: DataFrame, candidates: DataFrame, step: float = 0.5, most: float = 1.5) -> DataFrame:
+    """CX5: path, score: ``step`` per edge between a candidate and another file.
+
+    An edge from a candidate boosts the path that it resolves to among the
+    candidates, one from any other file that leads to a candidate boosts its
+    source.  Equal edges are counted before they are dealt out."""
+    edges = relations.groupBy(F.col("source_id").alias("id"), "target_id").agg(F.count("*").alias("n")).join(files.select("id", F.col("path").alias("source")), "id")
+    normal = F.regexp_replace("target_id", r"^[./]+", "")
+    suffixes = F.explode(T.path_suffixes(F.regexp_replace("path", r"^[./]+", "")))
+    index = candidates.select("path", suffixes.alias("suffix")).groupBy("suffix").agg(F.min("path").alias("path"))
+    whole = index.select(F.col("suffix").alias("normal"), F.col("path").alias("by_path"))
+    name = index.select(F.col("suffix").alias("name"), F.col("path").alias("by_name"))
+    targets = relations.select("target_id", normal.alias("normal")).distinct().withColumn("name", T.file_name(F.col("normal")))
+    linked = targets.join(whole, "normal", "left").join(name, "name", "left").select("target_id", F.coalesce("by_path", "by_name").alias("linked")).where("linked is not null")
+    inside = candidates.select(F.col("path").alias("source"), F.lit(True).alias("inside")).distinct()
+    found = edges.join(linked, "target_id").join(inside, "source", "left")
+    boosted = F.when(F.col("inside"), F.when(F.col("linked") != F.col("source"), F.col("linked"))).otherwise(F.col("source"))
+    return found.select(boosted.alias("path"), "n").where("path is not null").groupBy("path").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))

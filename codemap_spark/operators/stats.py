@@ -69,3 +69,49 @@ def size_estimate(files: DataFrame) -> DataFrame:
     """AGG11, FN12: language, files, characters, estimated tokens."""
     chars = F.sum(F.char_length("content"))
     return files.groupBy("language").agg(F.count("*").alias("files"), chars.cast("bigint").alias("characters"), T.estimated_tokens(chars).cast("bigint").alias("tokens"))
+
+
+def flow_topics(notes: DataFrame, tags: DataFrame, files: DataFrame, newest: int = 500, limit: int = 20) -> DataFrame:
+    """AGG8: tag, file_count, note_count, stale_count, file_tag_count,
+    memory_tag_count, needs_summary; most notes first, then most files, then
+    the tag.  Of the notes the ``newest`` by id count, whose tags go by case;
+    a topic of three or more files whose five newest notes are about files
+    only needs a summary."""
+    recent = notes.orderBy(F.desc("id")).limit(newest)
+    tagged = recent.select("id", "path", "scope", "stale", F.explode("tags").alias("tag")).withColumn("tag", F.lower("tag"))
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("id")))  # over at most ``newest`` notes
+    from_notes = tagged.withColumn("place", place).select(
+        "tag", F.when(F.col("path") != "", F.col("path")).alias("path"), F.lit(1).alias("note"), F.coalesce("stale", F.lit(False)).cast("int").alias("stale"),
+        F.lit(0).alias("file_tag"), ((F.col("scope") == "repo") & (F.col("place") <= 5)).alias("about_repo"),
+    )
+    on_files = tags.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").groupBy(F.lower("tag").alias("tag"), "path").agg(F.count("*").cast("int").alias("file_tag"))
+    from_files = on_files.select("tag", "path", F.lit(0).alias("note"), F.lit(0).alias("stale"), "file_tag", F.lit(False).alias("about_repo"))
+    by_path = from_notes.unionByName(from_files).groupBy("tag", "path").agg(*[F.sum(c).alias(c) for c in ("note", "stale", "file_tag")], F.max("about_repo").alias("about_repo"))
+    out = by_path.groupBy("tag").agg(
+        F.count("path").alias("file_count"), F.sum("note").alias("note_count"), F.sum("stale").alias("stale_count"), F.sum("file_tag").alias("file_tag_count"), F.max("about_repo").alias("about_repo")
+    )
+    needs = (F.col("file_count") >= 3) & ~F.col("about_repo")
+    return out.select("tag", "file_count", "note_count", "stale_count", "file_tag_count", F.col("note_count").alias("memory_tag_count"), needs.alias("needs_summary")).orderBy(F.desc("note_count"), F.desc("file_count"), "tag").limit(limit)
+
+
+def plan_activity(plans: DataFrame, events: DataFrame, limit: int = 20) -> DataFrame:
+    """AGG14: one row over the newest ``limit`` plans by id; ``read_count``
+    counts ``read`` events and not ``opened`` ones."""
+    recent = plans.orderBy(F.desc("id")).limit(limit).select(F.col("id").alias("plan_id"), "finished")
+    counts = [F.count_if(F.col("event") == e).alias(f"{e}_count") for e in ("read", "verified", "useful", "noisy", "missing")]
+    of_events = events.join(F.broadcast(recent.select("plan_id")), "plan_id", "left_semi").agg(F.count("*").alias("event_count"), *counts)  # at most ``limit`` rows
+    of_plans = recent.agg(F.count("*").alias("recent_plans"), F.count_if(~F.col("finished")).alias("unfinished_plans"), F.count_if("finished").alias("finished_plans"))
+    return of_plans.crossJoin(of_events)  # one row each
+
+
+def benchmark_summary(results: DataFrame) -> DataFrame:
+    """AGG12: one row over the results with status ok: hits, rates, noise and
+    averages; nulls don't count in an average."""
+    hits = [F.count_if(f"top{k}_hit").alias(f"top{k}_hits") for k in (1, 3, 5)]
+    rates = [F.round(F.count_if(f"top{k}_hit") / F.count("*"), 3).alias(f"top{k}_rate") for k in (1, 3, 5)]
+    means = [
+        F.round(F.avg("elapsed_seconds"), 3).alias("average_elapsed_seconds"),
+        F.round(F.avg("manual_scan_reduction_percent"), 1).alias("average_manual_scan_reduction_percent"),
+        F.round(F.avg("manual_scan_elapsed_seconds"), 3).alias("average_manual_scan_elapsed_seconds"),
+    ]
+    return results.where("status = 'ok'").agg(F.count("*").alias("cases"), *hits, *rates, F.coalesce(F.sum("noise_hit_count"), F.lit(0)).alias("noise_hits"), *means)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import memory, ranking, relations, stats
+from ..operators import memory, ranking, relations, stats, store
 from ..sources import corpus as C
 
 QUERY = "red widget"
@@ -65,7 +65,7 @@ def context_pack_path_role(s, d):
 def context_pack_full(s, d):
     files = C.files(s, d)
     signals = memory.feedback_signals(C.feedback(s, d), files, QUERY)
-    return ranking.context_pack(files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), signals, _weights(s, d), TOKENS)
+    return ranking.context_pack(files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), signals, _weights(s, d), TOKENS, relations=C.relations(s, d))
 
 
 def context_related_symbols(s, d):
@@ -250,6 +250,142 @@ def session_events(s, d):
     return C.table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("events"))
 
 
+def context_calls(s, d):
+    return ranking.call_scores(C.relations(s, d), C.paths(s, d), _weights(s, d)).select("path", F.round("score", 6).alias("score"))
+
+
+def context_related_files(s, d):
+    return relations.related_scores(C.relations(s, d), C.paths(s, d), ranking.path_scores(C.files(s, d), _weights(s, d)).select("path"))
+
+
+def context_commits(s, d):
+    return ranking.pack_commits(C.commits(s, d), C.commit_files(s, d), ranking.path_scores(C.files(s, d), _weights(s, d)).select("path"), TOKENS)
+
+
+def resolved_calls(s, d):
+    """The calls of a PHP file; definitions are symbols of the same language."""
+    return relations.resolved_calls(C.relations(s, d), C.symbols(s, d), C.files(s, d), 9)
+
+
+def export_relations(s, d):
+    return store.export_relations(C.relations(s, d), C.paths(s, d), C.symbols(s, d))
+
+
+def export_commits(s, d):
+    return store.export_commits(C.commits(s, d), C.commit_files(s, d)).select("id", "date", "message", F.array_join("files", ",").alias("files"))
+
+
+def _incoming(s, d):
+    """A third of the files altered, and a new one for every seventh."""
+    now = C.files(s, d, content=True).select("id", "path", "language", "sha256")
+    return now.where("id % 3 = 0").select("path", "language", F.lit("altered").alias("sha256")).unionByName(now.where("id % 7 = 0").select(F.concat(F.lit("new/"), "path").alias("path"), "language", "sha256"))
+
+
+def upsert_files(s, d):
+    return store.upsert_files(C.files(s, d, content=True).select("id", "path", "language", "sha256"), _incoming(s, d))
+
+
+def append_notes(s, d):
+    notes = C.notes(s, d).select("id", "path", "note")
+    return store.append(notes, notes.where("id % 2 = 1").select("path", F.concat_ws(" ", F.lit("again"), F.col("id").cast("string"), "note").alias("note")), "note")
+
+
+def replace_symbols(s, d):
+    symbols = C.symbols(s, d).select("id", "file_id", "name", "kind", "line")
+    touched = symbols.where("file_id % 4 < 2").select("file_id")
+    return store.replace_children(symbols, symbols.where("file_id % 4 = 0 AND line % 2 = 0").withColumn("kind", F.lit("function")), touched)
+
+
+def defines_edges(s, d):
+    return store.defines_edges(C.symbols(s, d)).select("source_id", "relation", "target_type", "target_id", "confidence", "metadata")
+
+
+def _after_delete(s, d):
+    files = C.files(s, d)
+    tags = stats.file_tags(files, C.symbols(s, d))
+    return store.delete_files(files, C.symbols(s, d), C.relations(s, d), tags, files.where("id % 5 = 0").select("path"))
+
+
+def cascade_delete(s, d):
+    """What is left of each table, by row."""
+    left = _after_delete(s, d)
+    rows = left["files"].select(F.lit("files").alias("section"), F.col("id").cast("string").alias("row"))
+    rows = rows.unionByName(left["symbols"].select(F.lit("symbols").alias("section"), F.col("id").cast("string").alias("row")))
+    rows = rows.unionByName(left["relations"].select(F.lit("relations").alias("section"), F.col("id").cast("string").alias("row")))
+    return rows.unionByName(left["file_tags"].select(F.lit("file_tags").alias("section"), F.concat_ws("/", F.col("file_id").cast("string"), "source", "tag").alias("row")))
+
+
+def upsert_meta(s, d):
+    nation = C.table(s, d, "nation")
+    region = C.table(s, d, "region").select(F.upper("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    return store.upsert_meta(nation.select(F.upper("n_name").alias("key"), F.lit("old").alias("value")), region.unionByName(nation.where("n_nationkey % 2 = 0").select(F.upper("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))))
+
+
+def _tagged_notes(s, d):
+    return _stale(s, d).withColumn("tags", F.when(F.col("id") % 2 == 1, F.array("topic", F.lit("Widget"))).otherwise(F.array("topic")))
+
+
+def update_notes(s, d):
+    notes = _tagged_notes(s, d).select("id", "path", "scope", "topic", "note", "tags", F.array().cast("array<string>").alias("note_tokens"), "file_sha256", F.lit("2024-01-01").alias("created_at"))
+    changes = notes.where("id % 3 = 0").select("id", F.lit("  moved ").alias("topic"), F.when(F.col("id") % 2 == 0, "new ApiHandler text").alias("note"))
+    out = store.update_notes(notes, changes, C.files(s, d, content=True), "2025-01-01")
+    return out.select("id", "topic", "note", "file_sha256", "created_at", (F.size("note_tokens") > 0).alias("tokenised"))
+
+
+def delete_notes(s, d):
+    return store.delete_notes(C.notes(s, d), [1000, 2001, 3000, -1])[0].select("id", "path")
+
+
+def clear_feedback(s, d):
+    return store.clear_feedback(C.feedback(s, d), query="red widget").select("id", "path", "query")
+
+
+def flow_topics(s, d):
+    files = C.files(s, d)
+    return stats.flow_topics(_tagged_notes(s, d), stats.file_tags(files, C.symbols(s, d)), files)
+
+
+def plan_activity(s, d):
+    return stats.plan_activity(C.plans(s, d), C.plan_items(s, d).withColumn("event", F.when(F.col("event") == "opened", "read").otherwise(F.col("event"))))
+
+
+def benchmark_summary(s, d):
+    k = F.col("doc_id")
+    rows = C.table(s, d, "labels").select(
+        F.when(k % 10 == 0, "skipped").otherwise("ok").alias("status"), (F.col("quality") == 1).alias("top1_hit"), ((F.col("quality") == 1) | (k % 2 == 0)).alias("top3_hit"), (k % 9 != 0).alias("top5_hit"),
+        F.col("toxic").alias("noise_hit_count"), (k % 7 * 0.25).alias("elapsed_seconds"), F.when(k % 4 != 0, k % 100 * 0.5).alias("manual_scan_reduction_percent"), F.when(k % 3 == 0, k % 5 * 0.125).alias("manual_scan_elapsed_seconds"),
+    )
+    return stats.benchmark_summary(rows)
+
+
+def overview_entry_points(s, d):
+    return ranking.entry_points(C.project_files(s, d), C.project_symbols(s, d))
+
+
+def overview_manifests(s, d):
+    return ranking.manifests(C.project_files(s, d), C.project_symbols(s, d))
+
+
+TRACE = ["widget", "test", "product"]
+
+
+def trace_starts(s, d):
+    return ranking.trace_starts(C.files(s, d, content=True), C.project_symbols(s, d).where("file_id % 50 = 3"), TRACE)
+
+
+def trace_scores(s, d):
+    return ranking.trace_scores(C.files(s, d, content=True).withColumn("distance", F.col("id") % 12), TRACE)
+
+
+def trace_targets(s, d):
+    """Every node once, at the place of its first path."""
+    return ranking.dedupe_targets(trace_paths(s, d), "path").select("target", "position", "start", "hops", "path")
+
+
+def trace_profile(s, d):
+    return C.commits(s, d).select("id", ranking.trace_profile(T.trace_tokens(F.concat_ws(" ", "message", F.when(F.col("id") % 3 == 0, "unittest page").when(F.col("id") % 3 == 1, "unittest")))).alias("profile"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -258,6 +394,9 @@ QUERIES = {
         commits_left_join_files, callers_of_symbol, symbol_definitions, callers_for_file_symbols, relation_dedupe_max_confidence, path_suffix_index, edge_resolution,
         note_staleness, note_staleness_dashboard, memory_search, memory_topics, memory_audit, duplicate_topics, file_activity, subsystem_rollup, overview_first_reads,
         estimate_tokens, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, trace_paths, retrieval_eval, savings, session_events,
+        context_calls, context_related_files, context_commits, resolved_calls, export_relations, export_commits, upsert_files, append_notes, replace_symbols, defines_edges,
+        cascade_delete, upsert_meta, update_notes, delete_notes, clear_feedback, flow_topics, plan_activity, benchmark_summary, overview_entry_points, overview_manifests,
+        trace_starts, trace_scores, trace_targets, trace_profile,
     )
 }
 

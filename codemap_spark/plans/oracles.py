@@ -45,6 +45,14 @@ _MACROS = {
     "items": """items AS (SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY l_partkey) AS rank, 'part/' || l_partkey AS path, CASE flag WHEN 'R' THEN 'noisy' WHEN 'A' THEN 'useful' ELSE 'opened' END AS event
         FROM (SELECT l_orderkey AS plan_id, l_partkey, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL))""",
     "before": """old AS (SELECT path, CASE WHEN id % 10 = 1 THEN 'altered' ELSE sha256 END AS sha256 FROM content WHERE id % 10 <> 0 UNION ALL SELECT 'removed/' || path, sha256 FROM content WHERE id % 10 = 0)""",
+    "relations": """relations AS (SELECT event_id AS id, 'file' AS source_type, user_id AS source_id, ['includes', 'defines', 'calls'][event_id % 3 + 1] AS relation, ['file', 'symbol', 'symbol_name'][event_id % 3 + 1] AS target_type,
+            CASE event_id % 3 WHEN 0 THEN path WHEN 1 THEN CAST((event_id % 10 + 1) * 1000000 + event_id % 200 + 1 AS VARCHAR) ELSE p_name END AS target_id, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence, props AS metadata
+        FROM events JOIN part200 ON event_id % 200 = name_key LEFT JOIN paths ON paths.id = event_id * 7 % 200)""",
+    "project": f"""pnamed AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'src/api/' WHEN 1 THEN 'tests/' ELSE '' END || lang || '/d' || doc_id || '/' || ['main.py', '__init__.py', 'pyproject.toml', 'README.md', 'app.py', 'widget.py', 'Makefile', 'routes.py'][doc_id % 8 + 1] AS path, doc_id % 8 AS kind8 FROM documents),
+        project AS (SELECT id, path, list_last(string_split(path, '/')) AS name, len(string_split(path, '/')) AS depth, ['python', 'python', 'toml', 'markdown', 'python', 'python', 'unknown', 'python'][kind8 + 1] AS language,
+            CASE WHEN kind8 = 2 THEN 'config' WHEN kind8 = 3 THEN 'documentation' WHEN starts_with(path, 'tests/') THEN 'test' WHEN kind8 = 7 THEN 'route' WHEN kind8 = 6 THEN 'unknown' ELSE 'source' END AS role FROM pnamed),
+        psymbols AS (SELECT doc_id * 10 + k AS id, doc_id AS file_id, ['main', 'widgetApp', 'setup', 'Serve', 'helper'][(doc_id + k) % 5 + 1] AS name, ['project_script', 'package_script', 'route', 'function'][(doc_id + k * 3) % 4 + 1] AS kind, k AS line
+            FROM documents, range(7) t(k))""",
     "hits": """lookup AS (SELECT unnest(['red', 'widget']) AS token),
         prepared AS (SELECT id, path, role, language, list_filter(regexp_split_to_array(lower(path), '[^a-z0-9]+'), lambda x: true) AS raw, list_last(string_split(path, '/')) AS name FROM files),
         path_hits AS (SELECT path, token, (CASE WHEN list_contains(regexp_extract_all(lower(path), '[a-z]+|[0-9]+'), token) THEN 7.0 ELSE 0.0 END)
@@ -53,7 +61,7 @@ _MACROS = {
             + (CASE WHEN contains(role, token) OR contains(language, token) THEN 1.5 ELSE 0.0 END) AS hit FROM prepared, lookup),
         path_scores AS (SELECT path, sum(hit) AS score FROM path_hits WHERE hit > 0 GROUP BY path)""",
 }
-_NEEDS = {"files": ["paths"], "content": ["files"], "commits": ["paths"], "commit_files": ["paths"], "feedback": ["paths"], "notes": ["content"], "before": ["content"], "hits": ["files"]}
+_NEEDS = {"files": ["paths"], "content": ["files"], "commits": ["paths"], "commit_files": ["paths"], "feedback": ["paths"], "notes": ["content"], "before": ["content"], "hits": ["files"], "relations": ["paths"]}
 
 
 def _with(names: list[str], body: str) -> str:
@@ -238,3 +246,154 @@ ORACLE_SQL = {
     "session_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL",
 }
 ORACLE_SQL["reading_plan_fusion"] = ORACLE_SQL["reading_plan_fusion"].replace("\n, n AS", ",\nn AS", 1)
+
+_TRACE = ("widget", "test", "product")
+
+
+def _bias(role: str, low: str) -> str:
+    """For tokens that want tests and no documentation."""
+    return f"""CASE WHEN {role} = 'test' THEN 2.0 ELSE 0.0 END - CASE WHEN {role} = 'documentation' OR regexp_matches({low}, '[.](md|rst)$') THEN 3.0 ELSE 0.0 END
+        - CASE WHEN contains({low}, '/versions/') OR starts_with({low}, 'alembic/') OR contains({low}, '/migrations/') THEN 3.0 ELSE 0.0 END - CASE WHEN regexp_matches({low}, '[.](css|png|jpg|jpeg|gif|webp|svg)$') THEN 4.0 ELSE 0.0 END"""
+
+
+_STEP = "regexp_replace(target_id, '^[./]+', '')"
+_RELATED = f"""csuf AS (SELECT path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) AS suffix FROM path_scores), cidx AS (SELECT suffix, min(path) AS path FROM csuf GROUP BY suffix),
+    linked AS (SELECT f.path AS source, coalesce(a.path, b.path) AS linked, f.path IN (SELECT path FROM path_scores) AS inside FROM relations JOIN paths f ON f.id = source_id
+        LEFT JOIN cidx a ON a.suffix = {_STEP} LEFT JOIN cidx b ON b.suffix = list_last(string_split({_STEP}, '/')))"""
+_TAGGED = "tagged AS (SELECT *, CASE WHEN id % 2 = 1 THEN [topic, 'Widget'] ELSE [topic] END AS tags FROM stale)"
+_ENTRIES = f"""picked AS (SELECT path, psymbols.name, kind, line, 0 AS late FROM psymbols JOIN project ON project.id = file_id WHERE (kind IN ('project_script', 'package_script', 'route') OR lower(psymbols.name) IN ({_list(L.ENTRY_NAMES)}) OR ends_with(lower(psymbols.name), 'app')) AND NOT (role = 'test' AND kind = 'route')
+        UNION ALL SELECT path, name, 'file', 0, 1 FROM project WHERE name IN ({_list(L.ENTRY_FILES)}) OR (name = '__init__.py' AND depth - CASE WHEN starts_with(path, 'src/') THEN 1 ELSE 0 END <= 4 AND list_has_any(string_split(path, '/'), [{_list(L.FRAMEWORK_PARTS)}]))),
+    once AS (SELECT path, kind, name, min(late) AS late, min(line) AS line FROM picked GROUP BY ALL),
+    judged AS (SELECT once.*, depth, CASE WHEN kind = 'project_script' THEN 0 WHEN project.name IN ({_list(L.ENTRY_FILES)}) THEN 1 WHEN project.name = '__init__.py' AND depth - CASE WHEN starts_with(path, 'src/') THEN 1 ELSE 0 END <= 4 AND list_has_any(string_split(path, '/'), [{_list(L.FRAMEWORK_PARTS)}]) THEN 2
+        WHEN kind = 'route' THEN 3 WHEN kind = 'package_script' THEN 4 ELSE 5 END AS priority FROM once JOIN project USING (path))"""
+_GONE = "gone AS (SELECT id, path FROM files WHERE id % 5 = 0), tags AS (SELECT DISTINCT file_id, source, tag FROM tag_rows)"
+_TRACE_PATHS = ORACLE_SQL["trace_paths"].rsplit("SELECT start, target", 1)[0].rstrip()
+
+ORACLE_SQL |= {
+    "context_pack_full": _plus(
+        _with(["hits", "symbols", "commits", "commit_files", "relations", "feedback"], ""),
+        """points AS (SELECT path, CAST(score AS DOUBLE) AS score FROM path_scores
+            UNION ALL SELECT path, 3.5 * count(*) FROM (SELECT DISTINCT file_id, token FROM symbols, lookup WHERE contains(lower(name), token)) JOIN files ON files.id = file_id GROUP BY path, file_id
+            UNION ALL SELECT path, worth FROM commit_files JOIN (SELECT commits.id, 0.8 + CAST(1.2 AS DOUBLE) * count(*) AS worth FROM commits, lookup WHERE contains(lower(message), token) GROUP BY commits.id) c ON c.id = commit_id
+            UNION ALL SELECT path, CAST(2.2 AS DOUBLE) FROM (SELECT DISTINCT path, token FROM relations JOIN paths ON paths.id = source_id, lookup WHERE relation = 'calls' AND contains(lower(target_id), token))),
+        totals AS (SELECT path, sum(score) AS score FROM points GROUP BY path), """
+        + _RELATED.replace("path_scores", "(SELECT path FROM totals WHERE score > 0)")
+        + """, joint AS (SELECT path, sum(score) AS score FROM (SELECT * FROM totals UNION ALL SELECT path, CAST(least(0.5 * count(*), 1.5) AS DOUBLE) FROM (SELECT linked AS path FROM linked WHERE inside AND linked <> source UNION ALL SELECT source FROM linked WHERE NOT inside AND linked IS NOT NULL) GROUP BY path) GROUP BY path),
+        judged AS (SELECT path, (score * CASE WHEN role = 'test' THEN 0.45 ELSE 1.0 END * CASE WHEN role = 'asset' OR ext IN ('.css', '.scss', '.less') THEN 0.7 ELSE 1.0 END * CASE WHEN role = 'migration' OR ext = '.sql' THEN 0.75 ELSE 1.0 END
+            * CASE WHEN role = 'documentation' OR ext IN ('.md', '.rst', '.txt') THEN 0.4 ELSE 1.0 END) AS s, role = 'source' AND ext IN ('.php', '.py', '.js', '.ts', '.go', '.rs') AS code FROM joint JOIN files USING (path) JOIN named USING (path)),
+        boosted AS (SELECT path, CASE WHEN code THEN s * 1.05 + 0.1 ELSE s END + coalesce(boost, 0) AS b, coalesce(penalty, 0) AS p FROM judged LEFT JOIN signals USING (path)),
+        best AS (SELECT path, CAST(round(CASE WHEN p < 0 THEN greatest(0.0, b + p) * 0.35 ELSE b END, 6) AS DOUBLE) AS raw FROM boosted ORDER BY raw DESC, path LIMIT 10)""",
+        "SELECT path, raw, round(raw / (SELECT max(raw) FROM best), 2) AS score FROM best WHERE raw > 0",
+    ),
+    "memory_search": _with(
+        ["notes"],
+        f"""SELECT id, score FROM (SELECT id, CAST(round(len(list_intersect(['user', 'widget'], list_concat({_useful("note")}, {_useful("path")}, {_useful("topic")}))) / 2 + CASE WHEN contains(lower(topic), 'user widget') THEN 0.5 ELSE 0.0 END
+            + CASE WHEN contains(lower(path), 'user') OR contains(lower(path), 'widget') THEN 0.2 ELSE 0.0 END, 6) AS DOUBLE) AS score FROM notes) WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10""",
+    ),
+    "context_calls": _with(
+        ["relations"],
+        """SELECT path, round(sum(2.2), 6)::DOUBLE AS score FROM (SELECT DISTINCT path, token FROM relations JOIN paths ON paths.id = source_id, (SELECT unnest(['red', 'widget']) AS token) WHERE relation = 'calls' AND contains(lower(target_id), token)) GROUP BY path""",
+    ),
+    "context_related_files": _plus(
+        _with(["hits", "relations"], ""), _RELATED,
+        "SELECT path, CAST(least(0.5 * count(*), 1.5) AS DOUBLE) AS score FROM (SELECT linked AS path FROM linked WHERE inside AND linked <> source UNION ALL SELECT source FROM linked WHERE NOT inside AND linked IS NOT NULL) GROUP BY path",
+    ),
+    "context_commits": _plus(
+        _with(["hits", "commits", "commit_files"], ""),
+        """touched AS (SELECT commits.id, date, message, list_distinct(list(commit_files.path) FILTER (commit_files.path IS NOT NULL)) AS f, count(path_scores.path) AS hit FROM commits LEFT JOIN commit_files ON commit_id = commits.id LEFT JOIN path_scores USING (path)
+        WHERE contains(lower(message), 'red') OR contains(lower(message), 'widget') GROUP BY ALL)""",
+        "SELECT id, date, message, array_to_string(list_sort(coalesce(f, []))[:10], ',') AS files, CAST(len(coalesce(f, [])) AS BIGINT) AS total_files, len(coalesce(f, [])) > 10 AS files_truncated FROM touched WHERE hit > 0 OR len(coalesce(f, [])) = 0 ORDER BY date DESC, id DESC LIMIT 5",
+    ),
+    "resolved_calls": _plus(
+        _with(["files", "symbols", "relations"], ""),
+        """called AS (SELECT target_id AS name, max(confidence) AS confidence FROM relations WHERE source_id = 9 AND relation = 'calls' GROUP BY target_id),
+        defs AS (SELECT symbols.name, path, kind, line, row_number() OVER (PARTITION BY symbols.name ORDER BY path, line, kind, symbols.id) AS rank FROM symbols JOIN files ON files.id = file_id WHERE kind IN ('function', 'method') AND (language = 'php' OR (SELECT language FROM files WHERE id = 9) <> 'php'))""",
+        "SELECT name, confidence, path, kind, line FROM called LEFT JOIN (SELECT * FROM defs WHERE rank <= 10) USING (name)",
+    ),
+    "export_relations": _with(
+        ["symbols", "relations"],
+        """SELECT r.id, f.path AS source_path, relation, target_type, target_id, CASE WHEN target_type = 'file' THEN target_id END AS target_path, s.name AS target_symbol, s.kind AS target_kind, s.line AS target_line, confidence, metadata
+        FROM relations r LEFT JOIN paths f ON f.id = source_id LEFT JOIN symbols s ON target_type = 'symbol' AND s.id = TRY_CAST(target_id AS BIGINT)""",
+    ),
+    "export_commits": _with(
+        ["commits", "commit_files"],
+        "SELECT id, date, message, coalesce(string_agg(path, ',' ORDER BY path), '') AS files FROM commits LEFT JOIN (SELECT DISTINCT commit_id, path FROM commit_files) ON commit_id = id GROUP BY ALL",
+    ),
+    "upsert_files": _with(
+        ["content"],
+        """SELECT id, path, language, CASE WHEN id % 3 = 0 THEN 'altered' ELSE sha256 END AS sha256 FROM content
+        UNION ALL SELECT (SELECT max(id) FROM content) + row_number() OVER (ORDER BY substr(md5('new/' || path), 1, 3), path), 'new/' || path, language, sha256 FROM content WHERE id % 7 = 0""",
+    ),
+    "append_notes": _plus(
+        _with(["notes"], ""),
+        "more AS (SELECT path, concat_ws(' ', 'again', id, note) AS note FROM notes WHERE id % 2 = 1)",
+        "SELECT id, path, note FROM notes UNION ALL SELECT (SELECT max(id) FROM notes) + row_number() OVER (ORDER BY substr(md5(note), 1, 3), note), path, note FROM more",
+    ),
+    "replace_symbols": _with(
+        ["symbols"],
+        "SELECT id, file_id, name, kind, line FROM symbols WHERE file_id % 4 >= 2 UNION ALL SELECT id, file_id, name, 'function', line FROM symbols WHERE file_id % 4 = 0 AND line % 2 = 0",
+    ),
+    "defines_edges": _with(
+        ["symbols"],
+        """SELECT file_id AS source_id, 'defines' AS relation, 'symbol' AS target_type, CAST(id AS VARCHAR) AS target_id, CAST(1 AS DOUBLE) AS confidence, '{"kind":"' || kind || '","line":' || line || ',"name":"' || name || '"}' AS metadata FROM symbols""",
+    ),
+    "cascade_delete": _plus(
+        _plus(_with(["files", "symbols", "relations"], ""), _TAGS, ""), _GONE,
+        """SELECT 'files' AS section, CAST(id AS VARCHAR) AS row FROM files WHERE id % 5 <> 0 UNION ALL SELECT 'symbols', CAST(id AS VARCHAR) FROM symbols WHERE file_id NOT IN (SELECT id FROM gone)
+        UNION ALL SELECT 'file_tags', file_id || '/' || source || '/' || tag FROM tags WHERE file_id NOT IN (SELECT id FROM gone)
+        UNION ALL SELECT 'relations', CAST(id AS VARCHAR) FROM relations WHERE source_id NOT IN (SELECT id FROM gone) AND NOT (target_type = 'file' AND target_id IS NOT NULL AND target_id IN (SELECT path FROM gone))
+            AND NOT (target_type = 'symbol' AND target_id IN (SELECT CAST(id AS VARCHAR) FROM symbols WHERE file_id IN (SELECT id FROM gone)))""",
+    ),
+    "upsert_meta": "SELECT upper(n_name) AS key, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'old' END AS value FROM nation UNION ALL SELECT upper(r_name), CAST(r_regionkey AS VARCHAR) FROM region",
+    "update_notes": _with(
+        ["notes"],
+        """SELECT notes.id, CASE WHEN notes.id % 3 = 0 THEN 'moved' ELSE topic END AS topic, CASE WHEN notes.id % 6 = 0 THEN 'new ApiHandler text' ELSE note END AS note, CASE WHEN notes.id % 3 = 0 THEN CASE WHEN scope = 'file' THEN sha256 END ELSE file_sha256 END AS file_sha256,
+        CASE WHEN notes.id % 3 = 0 THEN '2025-01-01' ELSE '2024-01-01' END AS created_at, notes.id % 3 = 0 AS tokenised FROM notes LEFT JOIN content USING (path)""",
+    ),
+    "delete_notes": _with(["notes"], "SELECT id, path FROM notes WHERE id NOT IN (1000, 2001, 3000)"),
+    "clear_feedback": _with(["feedback"], "SELECT id, path, query FROM feedback WHERE query <> 'red widget'"),
+    "flow_topics": _plus(
+        _plus(_with(["files", "symbols", "notes"], ""), _TAGS, ""),
+        _TAGGED
+        + """, newest AS (SELECT * FROM tagged ORDER BY id DESC LIMIT 500), n AS (SELECT path, scope, stale, lower(unnest(tags)) AS tag, id FROM newest), n2 AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY id DESC) AS place FROM n),
+        ft AS (SELECT DISTINCT file_id, source, tag FROM tag_rows), rows AS (SELECT tag, path, 1 AS note, (coalesce(stale, false))::int AS stale, 0 AS ft, scope = 'repo' AND place <= 5 AS repo FROM n2 UNION ALL SELECT lower(tag), path, 0, 0, 1, false FROM ft JOIN files ON files.id = file_id)""",
+        """SELECT tag, count(DISTINCT path) AS file_count, CAST(sum(note) AS BIGINT) AS note_count, CAST(sum(stale) AS BIGINT) AS stale_count, CAST(sum(ft) AS BIGINT) AS file_tag_count, CAST(sum(note) AS BIGINT) AS memory_tag_count, count(DISTINCT path) >= 3 AND NOT bool_or(repo) AS needs_summary
+        FROM rows GROUP BY tag ORDER BY note_count DESC, file_count DESC, tag LIMIT 20""",
+    ),
+    "plan_activity": _plus(
+        _with(["items"], ""),
+        "r AS (SELECT o_orderkey AS id, o_orderstatus <> 'O' AS finished FROM orders ORDER BY id DESC LIMIT 20)",
+        """SELECT * FROM (SELECT count(*) AS recent_plans, count(*) FILTER (NOT finished) AS unfinished_plans, count(*) FILTER (finished) AS finished_plans FROM r),
+        (SELECT count(*) AS event_count, count(*) FILTER (event = 'opened') AS read_count, CAST(0 AS BIGINT) AS verified_count, count(*) FILTER (event = 'useful') AS useful_count, count(*) FILTER (event = 'noisy') AS noisy_count, CAST(0 AS BIGINT) AS missing_count FROM items WHERE plan_id IN (SELECT id FROM r))""",
+    ),
+    "benchmark_summary": """WITH r AS (SELECT doc_id AS k, quality = 1 AS t1, quality = 1 OR doc_id % 2 = 0 AS t3, doc_id % 9 <> 0 AS t5, toxic FROM labels WHERE doc_id % 10 <> 0)
+        SELECT count(*) AS cases, count(*) FILTER (t1) AS top1_hits, count(*) FILTER (t3) AS top3_hits, count(*) FILTER (t5) AS top5_hits, round(count(*) FILTER (t1) / count(*), 3) AS top1_rate, round(count(*) FILTER (t3) / count(*), 3) AS top3_rate, round(count(*) FILTER (t5) / count(*), 3) AS top5_rate,
+        CAST(sum(toxic) AS BIGINT) AS noise_hits, round(avg(CAST(k % 7 AS DOUBLE) * 0.25), 3) AS average_elapsed_seconds, round(avg(CAST(k % 100 AS DOUBLE) * 0.5) FILTER (k % 4 <> 0), 1) AS average_manual_scan_reduction_percent, round(avg(CAST(k % 5 AS DOUBLE) * 0.125) FILTER (k % 3 = 0), 3) AS average_manual_scan_elapsed_seconds FROM r""",
+    "overview_entry_points": _plus(_with(["project"], ""), _ENTRIES, "SELECT path, name, kind, line FROM judged ORDER BY priority, depth, path, late, line, name, kind LIMIT 10"),
+    "overview_manifests": _plus(
+        _with(["project"], ""),
+        f"""top AS (SELECT id, path, language, role FROM project WHERE name IN ({_list(L.MANIFESTS)}) OR starts_with(lower(name), 'readme.') OR role = 'config' ORDER BY CASE WHEN name = 'pyproject.toml' THEN 0 WHEN starts_with(lower(name), 'readme.') THEN 1 ELSE 2 END, depth, path LIMIT 10),
+        own AS (SELECT file_id, kind || ':' || name AS label, row_number() OVER (PARTITION BY file_id ORDER BY line, name, kind) AS rank FROM psymbols)""",
+        "SELECT path, language, role, string_agg(label, ',' ORDER BY rank) AS symbols FROM top JOIN own ON file_id = id WHERE rank <= 5 GROUP BY ALL",
+    ),
+    "trace_starts": _plus(
+        _with(["content", "project"], ""),
+        f"""queried AS (SELECT id, path, CASE WHEN contains(lower(path), 'test') THEN 4.0 ELSE 0.0 END + CASE WHEN contains(lower(content), 'test') THEN 2.0 ELSE 0.0 END + {_bias("role", "lower(path)")} AS score FROM content),
+        first4 AS (SELECT id, path, 0 AS part, -score AS a, id AS b FROM queried WHERE score <> 0 ORDER BY score DESC, id LIMIT 4),
+        told AS (SELECT content.id, path, name, kind, min(line) AS line, CASE kind WHEN 'project_script' THEN 0 WHEN 'route' THEN 3 WHEN 'package_script' THEN 4 ELSE 5 END AS priority FROM psymbols JOIN content ON content.id = file_id
+            WHERE file_id % 50 = 3 AND (kind <> 'function' OR lower(name) IN ({_list(L.ENTRY_NAMES)}) OR ends_with(lower(name), 'app')) AND NOT (role = 'test' AND kind = 'route') GROUP BY ALL),
+        entries AS (SELECT id, path, row_number() OVER (ORDER BY priority, len(string_split(path, '/')), path, line, name, kind) AS pos FROM told),
+        each AS (SELECT id, path, min((part, a, b)) AS spot FROM (SELECT id, path, part, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM first4 UNION ALL SELECT id, path, 1, CAST(pos AS DOUBLE), CAST(0 AS DOUBLE) FROM entries WHERE pos <= 4) GROUP BY id, path)""",
+        "SELECT * FROM (SELECT id, path, CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS place FROM each) WHERE place <= 8",
+    ),
+    "trace_scores": _with(
+        ["content"],
+        f"""SELECT path, CAST(round(greatest(0.0, greatest(0.1, 3.0 - (id % 12) * 0.35) + {" + ".join(f"CASE WHEN contains(low, '{t}') THEN 4.0 ELSE 0.0 END + CASE WHEN contains(body, '{t}') THEN 2.0 WHEN contains(base, '{t}') THEN 1.5 ELSE 0.0 END" for t in _TRACE)}
+          + {_bias("CASE WHEN contains(low, '/test') OR starts_with(low, 'test') THEN 'test' ELSE '' END", "low")} + CASE WHEN {" OR ".join(f"contains(low, '{p}')" for p in L.SERVICE_PARTS)} THEN 1.0 ELSE 0.0 END
+          + CASE WHEN regexp_matches(body, '\\b(handle|process|dispatch|orchestrat|route|persist|create)_?[a-z_]*\\b') THEN 0.75 ELSE 0.0 END + CASE WHEN regexp_matches(body, '<h[1-6]\\b|echo\\s+[''"]<|<main\\b|<title\\b|render\\(|template') THEN 2.0 ELSE 0.0 END), 6) AS DOUBLE) AS score
+        FROM (SELECT id, path, lower(path) AS low, coalesce(lower(content), '') AS body, list_last(string_split(lower(path), '/')) AS base FROM content)""",
+    ),
+    "trace_targets": _TRACE_PATHS + """, q AS (SELECT start, target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p), f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops = 0, path) AS k, min(path) OVER (PARTITION BY target) AS position FROM q)
+        SELECT target, position, start, hops, path FROM f WHERE k = 1""",
+    "trace_profile": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'entrypoint_render' WHEN 1 THEN 'test_trace' ELSE 'entrypoint_trace' END AS profile FROM orders",
+}

@@ -101,3 +101,42 @@ def plan_items(spark, sf_dir) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("plan_id").orderBy("l_partkey"))
     event = F.when(F.col("flag") == "R", "noisy").when(F.col("flag") == "A", "useful").otherwise("opened")
     return lines.select("plan_id", rank.alias("rank"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"), event.alias("event"))
+
+
+def relations(spark, sf_dir) -> DataFrame:
+    """id, source_type, source_id, relation, target_type, target_id, confidence,
+    metadata: events as edges to files, symbol ids and called names."""
+    kind = (F.col("event_id") % 3 + 1).cast("int")
+    some = paths(spark, sf_dir).where("id < 200").select(F.col("id").alias("file_key"), F.col("path").alias("file_path"))  # at most 200 rows
+    events = table(spark, sf_dir, "events").join(F.broadcast(_part_names(spark, sf_dir)), F.col("event_id") % 200 == F.col("name_key")).join(F.broadcast(some), F.col("event_id") * 7 % 200 == F.col("file_key"), "left")
+    symbol = ((F.col("event_id") % 10 + 1) * 1000000 + F.col("event_id") % 200 + 1).cast("string")
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.lit("file").alias("source_type"),
+        F.col("user_id").alias("source_id"),
+        F.element_at(T.strings(("includes", "defines", "calls")), kind).alias("relation"),
+        F.element_at(T.strings(("file", "symbol", "symbol_name")), kind).alias("target_type"),
+        F.when(kind == 1, F.col("file_path")).when(kind == 2, symbol).otherwise(F.col("p_name")).alias("target_id"),
+        ((F.col("event_id") % 100).cast("double") / 100).alias("confidence"),
+        F.col("props").alias("metadata"),
+    )
+
+
+def project_files(spark, sf_dir) -> DataFrame:
+    """id, path, language, role of files with telling names."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    names = ("main.py", "__init__.py", "pyproject.toml", "README.md", "app.py", "widget.py", "Makefile", "routes.py")
+    name = F.element_at(T.strings(names), (F.col("id") % 8 + 1).cast("int"))
+    folder = F.when(F.col("id") % 5 == 0, "src/api/").when(F.col("id") % 5 == 1, "tests/").otherwise("")
+    path = F.concat(folder, "lang", F.lit("/d"), F.col("id").cast("string"), F.lit("/"), name)
+    named = docs.select("id", path.alias("path"))
+    return named.select("id", "path", T.language_of(F.col("path")).alias("language"), T.role_of(F.col("path")).alias("role"))
+
+
+def project_symbols(spark, sf_dir) -> DataFrame:
+    """id, file_id, name, kind, line: seven symbols a file."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.explode(F.array(*[F.lit(k) for k in range(7)])).alias("line"))
+    at = F.col("file_id") + F.col("line")
+    name = F.element_at(T.strings(("main", "widgetApp", "setup", "Serve", "helper")), (at % 5 + 1).cast("int"))
+    kind = F.element_at(T.strings(("project_script", "package_script", "route", "function")), ((F.col("file_id") + F.col("line") * 3) % 4 + 1).cast("int"))
+    return docs.select((F.col("file_id") * 10 + F.col("line")).alias("id"), "file_id", name.alias("name"), kind.alias("kind"), "line")
