@@ -15,9 +15,9 @@ def identifier_terms(text: Column) -> Column:
     """FN1: ASCII word runs, cut at underscores and at acronym, capital and
     digit bounds, lower-cased; repeats and order stay.  An upper-case run right
     before a digit yields nothing."""
-    runs = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "_", " "), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    parts = F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"[A-Z]+(?=[A-Z][a-z]|\b)|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)))
-    return F.transform(F.flatten(parts), F.lower)
+    # a run ends before anything that is no ASCII letter or digit, so one pattern does for the whole text
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Z]+(?=[A-Z][a-z]|(?![A-Za-z0-9]))|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
+    return F.transform(parts, F.lower)
 
 
 def is_noise(token: Column) -> Column:

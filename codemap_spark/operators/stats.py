@@ -10,15 +10,16 @@ from ..functions import lexicon as L, text as T
 def term_stats(docs: DataFrame, text_col: str = "text", source: str = "text") -> DataFrame:
     """AGG1: term, source, document_count, total_count, weight.
 
-    Documents without a term count towards N.  Both counts combine before
-    their shuffle, so no (document, term) row is dealt out.
+    Documents without a term count towards N.  Texts are cut once: a document's
+    sorted terms stand beside their predecessors, so a term's first occurrence
+    shows, and both counts combine before their shuffle.
     """
-    terms = docs.select(T.useful_terms(F.col(text_col)).alias("terms"))
+    terms = docs.select(F.sort_array(T.useful_terms(F.col(text_col))).alias("terms"))
     n = docs.agg(F.count("*").alias("n"))
-    in_docs = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("document_count"))
-    in_all = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("total_count"))
+    before = F.concat(F.array(F.lit("")), F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
+    paired = terms.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))).alias("x")).where("x.term is not null")
+    joined = paired.groupBy(F.col("x.term").alias("term")).agg(F.count_if(F.col("x.before") != F.col("x.term")).alias("document_count"), F.count("*").alias("total_count")).crossJoin(F.broadcast(n))  # n is one row
     weight = F.least(F.lit(2.8), F.greatest(F.lit(0.25), 0.45 + F.log((F.col("n") + 1) / (F.col("document_count") + 1))))
-    joined = in_docs.join(in_all, "term").crossJoin(F.broadcast(n))  # n is one row
     return joined.select("term", F.lit(source).alias("source"), "document_count", "total_count", F.round(weight, 6).alias("weight"))
 
 
