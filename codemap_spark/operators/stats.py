@@ -72,7 +72,7 @@ def size_estimate(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files"), chars.cast("bigint").alias("characters"), T.estimated_tokens(chars).cast("bigint").alias("tokens"))
 
 
-def flow_topics(notes: DataFrame, tags: DataFrame, files: DataFrame, newest: int = 500, limit: int = 20) -> DataFrame:
+def flow_topics(notes: DataFrame, tags: DataFrame, files: DataFrame, newest: int = 100, limit: int = 20) -> DataFrame:
     """AGG8: tag, file_count, note_count, stale_count, file_tag_count,
     memory_tag_count, needs_summary; most notes first, then most files, then
     the tag.  Of the notes the ``newest`` by id count, whose tags go by case;

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import memory, ranking, relations, stats, store
+from ..operators import listing, memory, ranking, relations, stats, store
 from ..sources import corpus as C
 
 QUERY = "red widget"
@@ -386,6 +386,61 @@ def trace_profile(s, d):
     return C.commits(s, d).select("id", ranking.trace_profile(T.trace_tokens(F.concat_ws(" ", "message", F.when(F.col("id") % 3 == 0, "unittest page").when(F.col("id") % 3 == 1, "unittest")))).alias("profile"))
 
 
+def list_feedback(s, d):
+    return listing.feedback(C.feedback(s, d), query="red widget").select("id", "path", "rating")
+
+
+def list_notes(s, d):
+    return listing.notes(_stale(s, d), 500, scope="file").select("id", "path", "topic")
+
+
+def list_stale_notes(s, d):
+    return listing.notes(_stale(s, d), 50, stale_only=True).select("id", "path", "stale")
+
+
+def list_tasks(s, d):
+    orders = C.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("status"), F.col("o_orderpriority").alias("topic"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
+    return listing.tasks(orders, topic="1-URGENT")
+
+
+def list_plans(s, d):
+    items = C.plan_items(s, d)
+    return listing.plans(C.plans(s, d), items, items.where("event <> 'opened'"), unfinished=True, most_items=2)
+
+
+def focused_entry_points(s, d):
+    return listing.focused(ranking.entry_points(C.project_files(s, d), C.project_symbols(s, d)))
+
+
+def supporting_files(s, d):
+    entries = C.files(s, d).orderBy("path").limit(4)
+    return listing.supporting(ranking.path_scores(C.files(s, d), _weights(s, d)).select("path", F.round("score", 6).alias("score")), entries)
+
+
+def table_counts(s, d):
+    return listing.table_counts({"files": C.paths(s, d), "symbols": C.symbols(s, d), "relations": C.relations(s, d), "commits": C.commits(s, d)})
+
+
+def fallback_weights(s, d):
+    texts = C.paths(s, d).select(F.col("path").alias("text")).unionByName(C.symbols(s, d).select(F.col("name").alias("text"))).unionByName(C.commits(s, d).select(F.col("message").alias("text")))
+    return listing.fallback_weights(texts, [*TOKENS, "absentterm"])
+
+
+def note_tags(s, d):
+    tags = listing.note_tags(F.col("path"), F.col("topic"), F.lit("red widget"), F.col("note"), F.when(F.col("id") % 2 == 1, T.strings(("ApiHandler", "the red"))))
+    return C.notes(s, d).select("id", F.array_join(tags, ",").alias("tags"))
+
+
+def tag_scores(s, d):
+    files = C.files(s, d)
+    return listing.tag_scores(stats.file_tags(files, C.symbols(s, d)), files, TOKENS)
+
+
+def combined_tags(s, d):
+    files = C.files(s, d)
+    return listing.combined_tags(_tagged_notes(s, d), stats.file_tags(files, C.symbols(s, d)), files).select("path", F.array_join("tags", ",").alias("tags"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -397,6 +452,7 @@ QUERIES = {
         context_calls, context_related_files, context_commits, resolved_calls, export_relations, export_commits, upsert_files, append_notes, replace_symbols, defines_edges,
         cascade_delete, upsert_meta, update_notes, delete_notes, clear_feedback, flow_topics, plan_activity, benchmark_summary, overview_entry_points, overview_manifests,
         trace_starts, trace_scores, trace_targets, trace_profile,
+        list_feedback, list_notes, list_stale_notes, list_tasks, list_plans, focused_entry_points, supporting_files, table_counts, fallback_weights, note_tags, tag_scores, combined_tags,
     )
 }
 

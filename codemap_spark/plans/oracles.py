@@ -355,7 +355,7 @@ ORACLE_SQL |= {
     "flow_topics": _plus(
         _plus(_with(["files", "symbols", "notes"], ""), _TAGS, ""),
         _TAGGED
-        + """, newest AS (SELECT * FROM tagged ORDER BY id DESC LIMIT 500), n AS (SELECT path, scope, stale, lower(unnest(tags)) AS tag, id FROM newest), n2 AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY id DESC) AS place FROM n),
+        + """, newest AS (SELECT * FROM tagged ORDER BY id DESC LIMIT 100), n AS (SELECT path, scope, stale, lower(unnest(tags)) AS tag, id FROM newest), n2 AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY id DESC) AS place FROM n),
         ft AS (SELECT DISTINCT file_id, source, tag FROM tag_rows), rows AS (SELECT tag, path, 1 AS note, (coalesce(stale, false))::int AS stale, 0 AS ft, scope = 'repo' AND place <= 5 AS repo FROM n2 UNION ALL SELECT lower(tag), path, 0, 0, 1, false FROM ft JOIN files ON files.id = file_id)""",
         """SELECT tag, count(DISTINCT path) AS file_count, CAST(sum(note) AS BIGINT) AS note_count, CAST(sum(stale) AS BIGINT) AS stale_count, CAST(sum(ft) AS BIGINT) AS file_tag_count, CAST(sum(note) AS BIGINT) AS memory_tag_count, count(DISTINCT path) >= 3 AND NOT bool_or(repo) AS needs_summary
         FROM rows GROUP BY tag ORDER BY note_count DESC, file_count DESC, tag LIMIT 20""",
@@ -397,3 +397,44 @@ ORACLE_SQL |= {
         SELECT target, position, start, hops, path FROM f WHERE k = 1""",
     "trace_profile": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'entrypoint_render' WHEN 1 THEN 'test_trace' ELSE 'entrypoint_trace' END AS profile FROM orders",
 }
+
+_TAG_SCORE = "best AS (SELECT file_id, tag, source, max(weight) AS weight FROM tag_rows GROUP BY ALL)"
+
+ORACLE_SQL |= {
+    "list_feedback": _with(["feedback"], "SELECT id, path, rating FROM feedback WHERE query = 'red widget'"),
+    "list_notes": _with(["notes"], "SELECT id, path, topic FROM stale WHERE scope = 'file' ORDER BY id DESC LIMIT 100"),
+    "list_stale_notes": _with(["notes"], "SELECT id, path, stale FROM (SELECT * FROM stale ORDER BY id DESC LIMIT 500) WHERE scope = 'file' AND coalesce(stale, true) ORDER BY id DESC LIMIT 50"),
+    "list_tasks": "SELECT o_orderkey AS id, 'open' AS status, o_orderpriority AS topic, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT' ORDER BY updated_at DESC, id DESC LIMIT 20",
+    "list_plans": _plus(
+        _with(["items"], ""),
+        "top AS (SELECT o_orderkey AS id, false AS finished FROM orders WHERE o_orderstatus = 'O' ORDER BY id DESC LIMIT 20)",
+        "SELECT id, finished, coalesce(string_agg(path, ',' ORDER BY rank) FILTER (rank <= 2), '') AS items, coalesce(string_agg(path || '=' || event, ',' ORDER BY rank) FILTER (event <> 'opened'), '') AS events FROM top LEFT JOIN items ON plan_id = id GROUP BY id, finished",
+    ),
+    "focused_entry_points": _plus(_with(["project"], ""), _ENTRIES, "SELECT * FROM (SELECT path, name, kind, line FROM judged ORDER BY priority, depth, path, late, line, name, kind LIMIT 10) WHERE kind NOT IN ('heading', 'command_example') AND NOT ends_with(path, '.md')"),
+    "supporting_files": _with(["hits"], "SELECT path, CAST(round(score, 6) AS DOUBLE) AS score FROM path_scores WHERE path NOT IN (SELECT path FROM files ORDER BY path LIMIT 4) ORDER BY score DESC, path LIMIT 6"),
+    "table_counts": _with(
+        ["symbols", "relations", "commits"],
+        "SELECT 'files' AS name, count(*) AS rows FROM paths UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'commits', count(*) FROM commits",
+    ),
+    "fallback_weights": _with(
+        ["symbols", "commits"],
+        """, texts AS (SELECT lower(path) AS t FROM paths UNION ALL SELECT lower(name) FROM symbols UNION ALL SELECT lower(message) FROM commits)
+        SELECT token, round(least(2.4, greatest(0.35, 0.65 + ln(((SELECT count(*) FROM texts) + 1) / ((SELECT count(*) FROM texts WHERE contains(t, token)) + 1)))), 6)::DOUBLE AS weight FROM (SELECT unnest(['red', 'widget', 'absentterm']) AS token)""",
+    ).replace("\n, texts AS", ",\ntexts AS", 1),
+    "note_tags": _with(
+        ["notes"],
+        f"""SELECT id, CASE WHEN id % 2 = 1 THEN 'api,handler,red' ELSE array_to_string(list_filter(u, lambda t, i: list_position(u, t) = i)[:12], ',') END AS tags FROM (SELECT id, {_useful("(path || ' ' || topic || ' red widget ' || note)")} AS u FROM notes)""",
+    ),
+    "tag_scores": _plus(
+        _plus(_with(["files", "symbols"], ""), _TAGS, ""), _TAG_SCORE,
+        "SELECT path, CAST(round(least(8.0, sum(best.weight)), 6) AS DOUBLE) AS score FROM best JOIN files ON files.id = file_id WHERE tag IN ('red', 'widget') GROUP BY path",
+    ),
+    "combined_tags": _plus(
+        _plus(_with(["files", "symbols", "notes"], ""), _TAGS, ""),
+        _TAGGED
+        + """, said AS (SELECT path, list_transform(list_sort(list((k, tags))), lambda x: x[2]) AS n FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id DESC) AS k FROM tagged) WHERE k <= 3 GROUP BY path),
+        best AS (SELECT file_id, tag, max(weight) AS weight FROM tag_rows GROUP BY ALL), heavy AS (SELECT path, list(tag ORDER BY k) AS t FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY weight DESC, tag) AS k FROM best) JOIN files ON files.id = file_id WHERE k <= 12 GROUP BY path),
+        joint AS (SELECT path, list_concat(coalesce(flatten(n), []), coalesce(t, [])) AS u FROM said FULL JOIN heavy USING (path))""",
+        "SELECT path, array_to_string(list_filter(u, lambda t, i: list_position(u, t) = i)[:16], ',') AS tags FROM joint",
+    ),
+}

@@ -184,3 +184,35 @@ def extracted(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()))], names=["path", "what", "kind", "name", "line"])
 
     return files.select("path", "language", "content").mapInArrow(run, "path string, what string, kind string, name string, line int")
+
+
+def git_log(spark: SparkSession, root: str, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """SRC7: (commits, commit_files) of the newest ``limit`` commits, from one
+    process; both empty outside a repository or without a commit."""
+    form = "%x1e%H%x1f%aI%x1f%an%x1f%s"
+    done = subprocess.run(["git", "-C", root, "log", f"-n{limit}", f"--pretty=format:{form}", "--name-only", "-z"], capture_output=True)
+    commits, touched = [], []
+    for k, entry in enumerate(done.stdout.decode(errors="replace").split("\x1e")[1:] if done.returncode == 0 else []):
+        head, _, listed = entry.partition("\n")
+        sha, date, author, message = (head.strip("\0").split("\x1f") + [""] * 4)[:4]
+        commits.append((k + 1, sha, author, date, message))
+        touched += [(k + 1, path) for path in dict.fromkeys(listed.split("\0")) if path]
+    schema = "id long, hash string, author string, date string, message string"
+    return spark.createDataFrame(commits, schema), spark.createDataFrame(touched, "commit_id long, path string")
+
+
+def git_state(root: str) -> dict[str, str | list[str] | bool]:
+    """SRC8: whether git answers, the branch (a short hash if detached) and the
+    lines of the short status."""
+
+    def says(*args: str) -> str | None:
+        try:
+            done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, errors="replace")
+        except OSError:
+            return None
+        return done.stdout if done.returncode == 0 else None
+
+    if says("rev-parse", "--is-inside-work-tree") is None:
+        return {"available": False, "branch": "", "status": []}
+    branch = (says("branch", "--show-current") or "").strip() or (says("rev-parse", "--short", "HEAD") or "").strip()
+    return {"available": True, "branch": branch, "status": [line for line in (says("status", "--short") or "").splitlines() if line]}

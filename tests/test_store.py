@@ -101,3 +101,39 @@ def test_a_later_path_with_edges_takes_the_place_of_one_without(spark):
     rows = spark.createDataFrame([(1, "t", 0, "t"), (2, "u", 1, "s>u"), (3, "t", 2, "s>u>t"), (4, "t", 1, "s>t")], "at int, target string, hops int, path string")
     found = {r.target: (r.position, r.path) for r in ranking.dedupe_targets(rows, "at").collect()}
     assert found == {"t": (1, "s>u>t"), "u": (2, "s>u")}
+
+
+def test_git_log_and_state(spark, tmp_path):
+    import subprocess
+
+    from codemap_spark.sources import repository
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e", *a], check=True, capture_output=True)
+    assert repository.git_state(str(tmp_path))["available"] is False
+    assert [t.count() for t in repository.git_log(spark, str(tmp_path))] == [0, 0]
+    git("init", "-q", "-b", "main")
+    (tmp_path / "a b.py").write_text("1")
+    (tmp_path / "ü.py").write_text("1")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    (tmp_path / "a b.py").write_text("2")
+    git("commit", "-qam", "second")
+    git("commit", "-q", "--allow-empty", "-m", "third")
+    (tmp_path / "new").write_text("")
+    commits, touched = repository.git_log(spark, str(tmp_path))
+    assert [(r.id, r.message, r.author) for r in commits.orderBy("id").collect()] == [(1, "third", "n"), (2, "second", "n"), (3, "first", "n")]
+    assert sorted((r.commit_id, r.path) for r in touched.collect()) == [(2, "a b.py"), (3, "a b.py"), (3, "ü.py")]
+    assert repository.git_state(str(tmp_path)) == {"available": True, "branch": "main", "status": ["?? new"]}
+
+
+def test_finishing_a_plan_and_closing_a_task(spark):
+    from codemap_spark.operators import listing
+
+    events, feedback = listing.finish_plan(3, "q", {"useful": ["a", "a"], "read": ["a", "b"]}, spark.range(0))
+    assert sorted((r.event, r.path) for r in events.collect()) == [("read", "a"), ("read", "b"), ("useful", "a")]
+    assert [(r.path, r.rating) for r in feedback.collect()] == [("a", "useful")]
+    with pytest.raises(ValueError):
+        listing.finish_plan(3, "q", {"liked": ["a"]}, spark.range(0))
+    tasks = spark.createDataFrame([(1, "open", None, "d"), (2, "done", "d0", "d")], "id long, status string, closed_at string, updated_at string")
+    closed = listing.close_task(listing.close_task(tasks, 1, "d1"), 2, "d2").orderBy("id").collect()
+    assert [(r.status, r.closed_at, r.updated_at) for r in closed] == [("done", "d1", "d1"), ("done", "d0", "d2")]
