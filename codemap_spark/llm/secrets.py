@@ -2,9 +2,10 @@
 
 Candidates are the spans of three base kinds and of further kinds.  Every
 candidate's value is hashed, and the hash is counted over the whole corpus by
-distinct repositories and owners.  A value that several owners hold is a widely
-copied example; one that a single owner holds looks like a live credential.
-Base spans always stay; a further span is reported where its value is owned.
+distinct repositories and owners.  A value that most owners or more than
+``wide_owners`` hold is a widely copied example; any other looks like a live
+credential, in however many documents and in a few sources alike.  Base spans
+always stay; a further span is reported where its value isn't widely copied.
 
 Positions come from splitting a text at the matches of a pattern: the pieces
 between the matches and the matches themselves add up to every start.
@@ -20,11 +21,18 @@ from .common import materialise
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: Further kinds: issued key formats, signed tokens, private-key marks and
-#: long mixed strings.
+#: Further kinds: issued key formats, signed tokens, private keys and long
+#: mixed strings.
 KEYED = r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,})"
 SIGNED = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: The whole block up to its END mark.  Where the next mark is another one, the
+#: block is cut off: then its headers and the runs of key text that follow, with
+#: a short last line.  Key text may be quoted, indented or on one line with \n.
+PRIVATE = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?>(?s:.*?)-----)END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info): [^\r\n]*+){0,2}+(?:[\s\\\"',>|#*]*+[A-Za-z0-9+/=]{16,}+){0,1000}+(?:\r?\n[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}(?=[ \t\r]*+(?:\n|\z)))?)"
+)
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+"
 #: kind, pattern, group of the value, least length of that group.
 KINDS = (
@@ -80,10 +88,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.select("row", "id", "text_key", "owner", "repository", F.when(least, F.col("kind")).alias("kind"), "start", "end", "value")
 
 
-def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1) -> DataFrame:
+def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, wide_owners: int = 10) -> DataFrame:
     """A row per input row: row, id, text_key (digest of the text), spans array<struct<start, kind, end, owners,
-    repositories>> in order of start and kind."""
+    repositories, copied>> in order of start and kind.
+
+    A value is widely copied if more than ``max_owners`` owners hold it, and
+    more than ``wide_owners`` or half of the table's owners (rounded up),
+    whichever is less.  Of three owners or more, two never make it so.
+    """
     found = materialise(candidates(docs, id_col, text_col, owner_col, repository_cols), "secret-candidates")
+    most = max(max_owners, min(wide_owners, (found.select("owner").distinct().count() + 1) // 2))
     keyed = found.where("kind is not null").select(F.sha2("value", 256).alias("digest"), "owner", "repository")
     # distinct (value, owner, repository), then (value, owner), then value: every
     # step combines before its shuffle, so a common value stays small
@@ -92,8 +106,8 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # rows without a candidate get keys of their own rather than one shared null
     digest = F.when(F.col("kind").isNotNull(), F.sha2("value", 256)).otherwise(F.concat(F.lit("-"), F.col("row").cast("string")))
     joined = found.select("row", "id", "text_key", "kind", "start", "end", digest.alias("digest")).join(frequency, "digest", "left")
-    reported = F.col("kind").isNotNull() & ((F.col("kind") < BASE) | (F.col("owners") <= max_owners))
-    span = F.when(reported, F.struct("start", "kind", "end", "owners", "repositories"))
+    reported = F.col("kind").isNotNull() & ((F.col("kind") < BASE) | (F.col("owners") <= most))
+    span = F.when(reported, F.struct("start", "kind", "end", "owners", "repositories", (F.col("owners") > most).alias("copied")))
     return joined.groupBy("row", "id", "text_key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
@@ -105,13 +119,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind_name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = 1, **columns) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = 1, wide_owners: int = 10, **columns) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one
     row per input row.
 
     Null and empty texts have no spans; repeated rows repeat; an empty table
-    gives an empty one.  n_live counts the reported spans whose value has at
-    most ``max_owners`` owners, n_copied the others.  Null owners count as one.
+    gives an empty one.  n_live counts the reported spans whose value isn't
+    widely copied (see ``scan_spans``), n_copied the others.  Null owners count as one.
     """
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < BASE)
@@ -119,23 +133,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ow
     def count(k: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("bigint")
 
-    return scan_spans(docs, id_col, text_col, max_owners=max_owners, **columns).select(
+    return scan_spans(docs, id_col, text_col, max_owners=max_owners, wide_owners=wide_owners, **columns).select(
         F.col("id").alias(id_col),
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
-        F.size(F.filter(spans, lambda s: s["owners"] <= max_owners)).cast("bigint").alias("n_live"),
-        F.size(F.filter(spans, lambda s: s["owners"] > max_owners)).cast("bigint").alias("n_copied"),
+        F.size(F.filter(spans, lambda s: ~s["copied"])).cast("bigint").alias("n_live"),
+        F.size(F.filter(spans, lambda s: s["copied"])).cast("bigint").alias("n_copied"),
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", max_owners: int = 1, **columns) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", max_owners: int = 1, wide_owners: int = 10, **columns) -> DataFrame:
     """The rows of ``docs``, same columns, every reported span replaced by
     ``mark``; overlapping spans become one mark.  Texts without spans, null
     ones included, stay as they are, and so do all columns but the text."""
-    found = scan_spans(docs, id_col, text_col, max_owners=max_owners, **columns).where(F.size("spans") > 0)
+    found = scan_spans(docs, id_col, text_col, max_owners=max_owners, wide_owners=wide_owners, **columns).where(F.size("spans") > 0)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # equal ids with different texts are told apart by the text's digest
     spans = found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("spans").alias("spans"))

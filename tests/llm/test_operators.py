@@ -260,6 +260,24 @@ def test_ownership(spark):
     assert "keyed" not in found[1] and "keyed" in found[3]
 
 
+def test_private_keys(spark):
+    def block(n, end=True):
+        body = "\n".join(hashlib.sha512(f"{n}/{i}".encode()).hexdigest()[:64].replace("a", "Q") for i in range(4))
+        return f"-----BEGIN RSA PRIVATE KEY-----\n{body}\nshortT{n}==" + ("\n-----END RSA PRIVATE KEY-----" if end else "")
+
+    everywhere = "ghp_" + "c3D4" * 10
+    rows = [(1, f"a {block(1)} z", "en", "a"), (2, f"b {block(2)} z", "en", "b"), (3, f"c {block(1)} z", "en", "b"), (4, f"d {block(4, False)}\nmore text", "en", "c"), (5, "-----BEGIN RSA PRIVATE KEY----- starts a key", "en", "c")]
+    rows += [(10 + i, everywhere, "en", o) for i, o in enumerate("abc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    for i, text, *_ in rows[:3]:
+        assert f"private:2:{len(text) - 2}" in found[i].split(",")
+    assert not any("keyed" in found[10 + i] for i in range(3))
+    cut = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [cut[i] for i in (1, 2, 3, 4)] == ["a [SECRET] z", "b [SECRET] z", "c [SECRET] z", "d [SECRET]\nmore text"]
+    assert cut[5] == "[SECRET] starts a key" and cut[10] == everywhere
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
