@@ -2,10 +2,11 @@
 
 Pieces and scores come from a public model.  A segment (blanks and the run
 after them) starts as characters; an agenda holds the merges of neighbours by
-score; a merge that comes up is skipped when a keyed hash of (seed, variant,
-segment, piece, place) falls below the dropout rate.  A document's variant is
-a keyed hash of its id, so one word has different segmentations in different
-documents, all reproducible.  Characters without a piece become byte pieces.
+score; the n-th merge that comes up is skipped when a keyed hash of (seed,
+document id, place of the segment in the document, n) falls below the dropout
+rate.  So every occurrence of a word is dealt by itself, and reproducibly.  A
+segmentation depends on the segment and on which merges were skipped, so these
+two are the cache's key.  Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .textarrays import distinct, join_ranges
 SPACE = "▁"
 MASK = (1 << 64) - 1
 MAX_CACHED = 700_000
+STEP = 0x9E3779B97F4A7C15
+#: Up to this many characters at most 63 merges come up: one for each pair at
+#: first, and two for each merge made.
+SHORT = 22
 
 
 def _mix(x: int) -> int:
@@ -42,7 +47,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """A BPE model's pieces; segments are cached by (segment, variant)."""
+    """A BPE model's pieces; segments are cached by (segment, skipped merges)."""
 
     def __init__(self, path: str, dropout: float, seed: int) -> None:
         import sentencepiece
@@ -68,13 +73,13 @@ class Pieces:
         self.at = np.append(0, np.cumsum(self.width))[:-1]
         self.cache: dict[tuple[bytes, int], bytes] = {}
 
-    def segment(self, raw: bytes, variant: int = 0) -> list[int]:
+    def segment(self, raw: bytes, key: int = 0) -> list[int]:
         """ids of one segment; blanks are plain spaces here."""
         text = raw.decode()
         # a literal blank mark would decode as a space: it goes by its bytes
         part = [SPACE if c == " " else "\x00mark" if c == SPACE else c for c in text]
         score, limit = self.score, self.limit
-        key = _mix(self.seed ^ (zlib.crc32(raw) << 20) ^ variant) if limit else 0
+        key, turn = _mix(self.seed ^ key), -1
         size = len(part)
         before, after = list(range(-1, size - 1)), [*range(1, size), -1]
         agenda = []
@@ -87,7 +92,8 @@ class Pieces:
             _, i, piece, j, width = heapq.heappop(agenda)
             if part[i] is None or after[i] != j or len(part[i]) + len(part[j]) != width:
                 continue
-            if limit and _mix(key ^ (piece << 32) ^ i) >> 32 < limit:
+            turn += 1
+            if limit and _mix((key + turn * STEP) & MASK) >> 32 < limit:
                 continue
             part[i] += part[j]
             part[j] = None
@@ -139,7 +145,11 @@ class Pieces:
         self.char_code = np.array(sorted(map(ord, known)), np.int64)
         self.char_symbol = np.array([symbol[SPACE if c == 32 else chr(c)] for c in self.char_code.tolist()], np.int64)
 
-    def segments(self, raws: list[bytes], variant: np.ndarray) -> list[bytes]:
+    def _skipped(self, key: np.ndarray, turn: int) -> np.ndarray:
+        """Whether the merge that comes up at a turn is skipped, by mixed key."""
+        return _mixed(key + np.uint64(turn * STEP & MASK)) >> np.uint64(32) < np.uint64(self.limit)
+
+    def segments(self, raws: list[bytes], keys: np.ndarray) -> list[bytes]:
         """Packed ids of many segments: the agendas of all of them advance
         together, one merge of each at a time.  Same ids as ``segment``."""
         if not hasattr(self, "pair_key"):
@@ -150,33 +160,27 @@ class Pieces:
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
         place = np.minimum(np.searchsorted(self.char_code, codes), len(self.char_code) - 1)
         sym = np.where(self.char_code[place] == codes, self.char_symbol[place], -1)
-        start = np.append(0, np.cumsum(size))
         word = np.repeat(np.arange(len(texts)), size)
         hard = size > 200
         hard[word[sym < 0]] = True
         out: list[bytes] = [b""] * len(texts)
         for i in np.flatnonzero(hard).tolist():
-            out[i] = np.asarray(self.segment(raws[i], int(variant[i])), kind).tobytes()
+            out[i] = np.asarray(self.segment(raws[i], int(keys[i])), kind).tobytes()
         on = ~hard[word]
-        sym, word, spot = sym[on], word[on], (np.arange(len(on)) - start[word])[on]
-        crc = np.fromiter(map(zlib.crc32, raws), np.uint64, len(raws))
-        key = _mixed(np.uint64(self.seed) ^ (crc << np.uint64(20)) ^ variant.astype(np.uint64))
+        sym, word = sym[on], word[on]
+        key, turn = _mixed(np.uint64(self.seed) ^ keys.astype(np.uint64)), -1
         none = np.int64(1) << 40
 
-        def ranked(left, right, same, of, at):
-            """(rank, piece) of pairs; none across segments, without a piece or skipped."""
+        def ranked(left, right, same):
+            """(rank, piece) of pairs; none across segments or without a piece."""
             k = left * self.symbols + right
             i = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
             fine = same & (self.pair_key[i] == k)
-            if self.limit:
-                f = np.flatnonzero(fine)
-                drawn = _mixed(key[of[f]] ^ (self.pair_piece[i[f]].astype(np.uint64) << np.uint64(32)) ^ at[f].astype(np.uint64)) >> np.uint64(32)
-                fine[f[drawn < np.uint64(self.limit)]] = False
             return np.where(fine, self.pair_rank[i], none), self.pair_piece[i]
 
         rank, piece = np.full(len(sym), none), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
-            rank[:-1], piece[:-1] = ranked(sym[:-1], sym[1:], word[:-1] == word[1:], word[:-1], spot[:-1])
+            rank[:-1], piece[:-1] = ranked(sym[:-1], sym[1:], word[:-1] == word[1:])
         while len(sym):
             new = np.ones(len(sym), bool)
             new[1:] = word[1:] != word[:-1]
@@ -193,34 +197,60 @@ class Pieces:
                 keep = np.repeat(open_, np.diff(bounds))
                 moved = np.cumsum(keep) - 1
                 first, best = moved[first[open_]], best[open_]
-                sym, word, spot, rank, piece = sym[keep], word[keep], spot[keep], rank[keep], piece[keep]
+                sym, word, rank, piece = sym[keep], word[keep], rank[keep], piece[keep]
                 if not len(sym):
                     break
             i = first + (best & 4095)
+            turn += 1
+            if self.limit:
+                skip = self._skipped(key[word[i]], turn)
+                rank[i[skip]] = none
+                i = i[~skip]
+                if not len(i):
+                    continue
             sym[i] = piece[i]
             keep = np.ones(len(sym), bool)
             keep[i + 1] = False
             i = i - np.arange(len(i))
-            sym, word, spot, rank, piece = sym[keep], word[keep], spot[keep], rank[keep], piece[keep]
+            sym, word, rank, piece = sym[keep], word[keep], rank[keep], piece[keep]
             for at in (i, i[i > 0] - 1):
                 at = at[(at + 1 < len(sym))]
-                rank[at], piece[at] = ranked(sym[at], sym[at + 1], word[at] == word[at + 1], word[at], spot[at])
+                rank[at], piece[at] = ranked(sym[at], sym[at + 1], word[at] == word[at + 1])
             if i[-1] == len(sym) - 1:
                 rank[-1] = none
         return out
 
-    def _packed(self, raws: list[bytes], variant: list[int]) -> list[bytes]:
-        keys = list(zip(raws, variant, strict=True))
-        found = list(map(self.cache.get, keys))
+    def _packed(self, raws: list[bytes], skips: list[int], key: np.ndarray, cached: list[bool]) -> list[bytes]:
+        names = list(zip(raws, skips, strict=True))
+        found = list(map(self.cache.get, names))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             if len(self.cache) + len(missing) > MAX_CACHED:
                 self.cache.clear()
-            for i, x in zip(missing, self.segments([raws[i] for i in missing], np.array([variant[i] for i in missing], np.int64)), strict=True):
-                found[i] = self.cache[keys[i]] = x
+            for i, x in zip(missing, self.segments([raws[i] for i in missing], key[missing]), strict=True):
+                found[i] = x
+                if cached[i]:
+                    self.cache[names[i]] = x
         return found
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _skips(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A bit per turn of each short segment, 0 where no merge of the plain
+        segmentation is skipped; the mixed key itself for the others."""
+        out = np.zeros(len(key), np.uint64)
+        if not self.limit:
+            return out
+        key = _mixed(np.uint64(self.seed) ^ key)
+        out[size > SHORT] = key[size > SHORT]
+        at = np.flatnonzero(size <= SHORT)
+        for turn in range(3 * (SHORT - 1)):
+            # a segment that was plain up to its last merge is done
+            at = at[(size[at] - 1 > turn) | ((3 * (size[at] - 1) > turn) & (out[at] > 0))]
+            if not len(at):
+                break
+            out[at] |= self._skipped(key[at], turn).astype(np.uint64) << np.uint64(turn)
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, own_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of all documents of a UTF-8 buffer.  A document that
         isn't empty gets the leading blank that the model adds."""
         size = np.diff(offsets)
@@ -241,11 +271,24 @@ class Pieces:
         end = np.append(begin[1:], len(spaced))
         document = np.searchsorted(edges, begin, "right") - 1
         codes, first = distinct(spaced, begin, end)
-        keys = codes * int(variant.max() + 1) + variant[document]
-        wanted, place = np.unique(keys, return_inverse=True)
-        raw, many = spaced.tobytes(), int(variant.max() + 1)
-        at = first[wanted // many]
-        packed = self._packed([raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], (wanted % many).tolist())
+        size = np.add.reduceat((spaced & 0xC0) != 0x80, begin, dtype=np.int64)
+        nth = np.arange(len(begin)) - np.searchsorted(begin, edges)[document]
+        key = splitmix(own_ids.view(np.uint64))[document] + nth.astype(np.uint64) * np.uint64(STEP | 2)
+        skips = self._skips(key, size)
+        # an occurrence of each wanted pair of a segment and its skipped merges
+        head = np.full(len(first), -1)
+        plain, varied = np.flatnonzero(skips == 0), np.flatnonzero(skips)
+        head[codes[plain]] = plain
+        used = head >= 0
+        place = (np.cumsum(used) - 1)[codes]
+        varied = varied[np.lexsort((skips[varied], codes[varied]))]
+        new = np.ones(len(varied), bool)
+        new[1:] = (codes[varied[1:]] != codes[varied[:-1]]) | (skips[varied[1:]] != skips[varied[:-1]])
+        place[varied] = int(used.sum()) + np.cumsum(new) - 1
+        at = np.append(head[used], varied[new])
+        raw = spaced.tobytes()
+        cached = (size[at] <= SHORT) if self.limit else np.ones(len(at), bool)
+        packed = self._packed([raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], skips[at].tolist(), key[at], cached.tolist())
         kind = "<u2" if len(self.width) <= 1 << 16 else "<u4"
         width = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(kind).itemsize
         pool, from_ = np.frombuffer(b"".join(packed), kind), np.append(0, np.cumsum(width))[:-1]
@@ -269,15 +312,11 @@ def pieces(path: str, dropout: float, seed: int) -> Pieces:
     return Pieces(path, dropout, seed)
 
 
-def variants_of(ids: np.ndarray, seed: int, variants: int) -> np.ndarray:
-    return (splitmix(ids.astype(np.int64).view(np.uint64) ^ np.uint64(seed & MASK)) % np.uint64(variants)).astype(np.int64)
-
-
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>: one row per input row, whole texts.
 
     Null text counts as empty and has no ids; repeated rows have equal ids; a
-    null id counts as 0 for the variant; an empty table gives an empty one;
+    null id counts as 0 for the dropout; an empty table gives an empty one;
     other columns aren't read.  No shuffle.
     """
     prepare(docs.sparkSession)
@@ -287,7 +326,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
         model = pieces(model_path, dropout, seed)
         for batch in slices(batches, "text"):
             own = batch.column("id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            ids, offsets = model.encode(*binary_buffer(batch.column("text")), variants_of(own, seed, variants))
+            ids, offsets = model.encode(*binary_buffer(batch.column("text")), own)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
@@ -310,7 +349,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_crc32, text_crc32 (of the decoded text), lossless: the
     encoding of every row, decoded again and compared with its whole text."""
     prepare(docs.sparkSession)
@@ -321,7 +360,7 @@ def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int
         for batch in slices(batches, "text"):
             own = batch.column("id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             data, edges = binary_buffer(batch.column("text"))
-            ids, offsets = model.encode(data, edges, variants_of(own, seed, variants))
+            ids, offsets = model.encode(data, edges, own)
             back, ends = model.decode(ids, offsets)
             raw, new, packed = data.tobytes(), back.tobytes(), ids.astype("<u4").tobytes()
             rows = list(zip(edges[:-1].tolist(), edges[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))

@@ -233,6 +233,18 @@ def test_pieces(docs, real):
     assert [np.frombuffer(b, "<u2").tolist() for b in both] == [one.segment(r, k % 2) for k, r in enumerate(raws)]
 
 
+def test_dropout_by_occurrence(spark):
+    docs = spark.createDataFrame([(i, "production widgets " * 400, "en") for i in range(3)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: list(r.ids) for r in sentencepieces.encode(docs, PIECE).collect()}
+    assert len({tuple(x) for x in rows.values()}) == 3
+    one = sentencepieces.Pieces(PIECE, 0.1, 1)
+    key = int(common.splitmix(np.array([2], np.uint64))[0])
+    want = [x for n, w in enumerate(["production", "widgets"] * 400 + [""]) for x in one.segment(f" {w}".encode(), key + n * (sentencepieces.STEP | 2) & sentencepieces.MASK)]
+    assert rows[2] == want
+    seen = {tuple(one.segment(b" production", n)) for n in range(400)}
+    assert len(seen) > 4
+
+
 def base_spans(text):
     kinds = (("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))
     found = [(m.start(), k, m.end(), name) for k, (name, pattern, fine) in enumerate(kinds) for m in re.finditer(pattern, text) if fine(m)]
