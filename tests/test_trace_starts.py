@@ -1,0 +1,12 @@
+"""Trace starts rank the symbols of all files."""
+
+import parity
+
+from codemap_spark.plans import catalog, oracles
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_starts_of_all_files(spark):
+    whole = oracles.ORACLE_SQL["trace_starts"].replace("file_id % 50 = 3 AND ", "")
+    assert parity.difference(spark, parity.connection(SF), catalog.trace_starts, whole, SF) == ""
