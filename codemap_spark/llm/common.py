@@ -39,6 +39,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def codes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of every value in order of first appearance, distinct values), by
+    Arrow's hash table: pandas would cost each worker some 50 MB."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False)
+
+
+#: At most so many keys can hold more than this share of the rows.
+HOT_KEYS = 4096
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """``big`` joined with ``small``, which has every key once and in ``count``
+    how many of the ``rows`` rows of ``big`` hold it (or more than that).
+
+    Keys above rows / HOT_KEYS, of which there are at most HOT_KEYS times the
+    overcount, are sent to every task, so no task gets all the rows of a hot
+    key; the others are joined by shuffle.  Null keys don't join.  ``big`` is
+    read twice.
+    """
+    least = rows // HOT_KEYS
+    hot, cold = F.broadcast(small.where(F.col(count) > least)), small.where(F.col(count) <= least)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
     survives lost executors and is computed once."""

@@ -1,35 +1,40 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A document's elements are its shingles of five words, weighted by term
-frequency times inverse document frequency.  Consistent weighted samples (Ioffe
-2010) agree with a probability equal to the weighted Jaccard similarity; bands
-of them give candidates, which are verified by exact weighted Jaccard
-similarity.  Document frequencies are counted over the whole corpus: a count
-sketch finds the few shingles above a thousandth of the documents, an exact
-count follows for those, and all rarer shingles share the largest weight.
+frequency times inverse document frequency, ln(1 + documents / df).
+Consistent weighted samples (Ioffe 2010) agree with a probability equal to the
+weighted Jaccard similarity; bands of them give candidates, which are verified
+by exact weighted Jaccard similarity under the same weights.
+
+Document frequencies are exact and count every row.  Texts are dealt into
+blocks by a digest of their words, equal ones as one with a count; a block
+sends the distinct hashes of its shingles, with how many of its rows hold them,
+to the owners of hash ranges, and gets every shingle's document frequency back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import binary_buffer, materialise, prepare, shared_path, slices, splitmix
+from .common import binary_buffer, codes_of, join_counted, materialise, prepare, slices, splitmix
 from .components import components
 from .textarrays import substring_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 POOL_BITS = 16
-SKETCH_BITS, CHUNK_BITS = 21, 15
-#: A shingle is frequent above this share of all documents (and 16 of them).
-FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 16
+#: Bytes of text of a block, shingles of an owner's range, and bytes that a
+#: task holds before it sends texts on.
+BLOCK_BYTES, RANGE_SHINGLES, HELD_BYTES = 6 << 20, 1 << 20, 12 << 20
+#: Most members of a hub's group that are compared with it in one task.
+STAR_ROWS = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,45 +65,71 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[order], of[order]
 
 
-def term_counts(hashes: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, term frequency) of distinct shingles of documents."""
-    with np.errstate(over="ignore"):
-        codes, _ = pd.factorize(splitmix(hashes ^ splitmix(document.astype(np.uint64))))
-    tf = np.bincount(codes)
-    first = np.empty(len(tf), np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    return hashes[first], document[first], tf
+class Terms:
+    """Distinct shingles of documents, in order of document and hash."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        hashes, document = shingles(data, offsets)
+        order = np.lexsort((hashes, document))
+        hashes, document = hashes[order], document[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
+        first = np.flatnonzero(new)
+        self.hashes, self.document = hashes[first], document[first]
+        self.tf = np.diff(np.append(first, len(hashes)))
+        self.bounds = np.searchsorted(self.document, np.arange(len(offsets)))
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them; empty if all are 1."""
+    most = int(values.max()) if len(values) else 1
+    if most == 1 and (not len(values) or values.min() == 1):
+        return b""
+    return values.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * np.dtype(t).itemsize)).tobytes()
 
 
-class Weights:
-    """idf by shingle: exact for frequent ones, the largest for all others."""
+def _large(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_small``."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if raw else np.ones(n, np.int64)
 
-    def __init__(self, documents: int, frequent: list[tuple[int, int]]) -> None:
-        least = max(FREQUENT_LEAST, documents * FREQUENT_SHARE)
-        self.most = math.log1p(documents / least)
-        keys = np.array([h for h, _ in frequent], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.idf = np.log1p(documents / np.array([n for _, n in frequent], float))[order]
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.most)
-        if len(self.keys):
-            i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            on = self.keys[i] == hashes
-            out[on] = self.idf[i[on]]
-        return out
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the byte planes of their gaps, for the shuffle's compression."""
+    gaps = np.diff(hashes, prepend=np.uint64(0))
+    return gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def idf(frequency: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p(documents / frequency)
 
 
 @lru_cache(maxsize=2)
 def _variates(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Odd multipliers, and r, ln c, beta of every sample and pool entry."""
+    """Odd multipliers, and r, ln c, beta of every sample and pool entry; made
+    row by row, so that no wider copy of a table is ever held."""
     rng = np.random.default_rng(2010)
     odd = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shape = (samples, 1 << POOL_BITS)
-    r = rng.gamma(2, 1, shape).astype(np.float32)
-    c = np.log(rng.gamma(2, 1, shape)).astype(np.float32)
-    return odd, r, c, rng.random(shape).astype(np.float32)
+    size = 1 << POOL_BITS
+    r, c, beta = (np.empty((samples, size), np.float32) for _ in range(3))
+    for j in range(samples):
+        r[j], c[j], beta[j] = rng.gamma(2, 1, size), np.log(rng.gamma(2, 1, size)), rng.random(size)
+    return odd, r, c, beta
+
+
+@lru_cache(maxsize=1)
+def _base_levels(samples: int, base: float) -> np.ndarray:
+    """ln a of every sample and pool entry for the weight ``base``."""
+    _, r, c, beta = _variates(samples)
+    out = np.empty_like(c)
+    for j in range(samples):
+        t = np.floor(np.float64(math.log(base)) / r[j] + beta[j])
+        out[j] = c[j] - r[j] * (t - beta[j] + 1)
+    return out
 
 
 def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, base: float, documents: int) -> np.ndarray:
@@ -106,15 +137,16 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, bas
 
     A sample is the pool entry and step of the element that minimises
     ln a = ln c - r (t - beta + 1), t = floor(ln S / r + beta).  Elements share
-    a pool of variates; those with the weight ``base`` take a from a table.
+    a pool of variates; those with the weight ``base``, that of a shingle found
+    once in one document, take a from a table.
     """
     samples = BANDS * ROWS
     odd, r, c, beta = _variates(samples)
+    levels = _base_levels(samples, base)
     first = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
     log_weight = np.log(weight)
     other = np.flatnonzero(weight != base)
     keys = np.zeros((documents, BANDS), np.uint64)
-    of = document[first]
     index = np.arange(len(hashes), dtype=np.uint64)
     sample_keys = np.zeros((samples, len(first)), np.uint64)
 
@@ -125,11 +157,11 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, bas
     with np.errstate(over="ignore"):
         for j in range(samples):
             entry = ((hashes * odd[j]) >> np.uint64(64 - POOL_BITS)).astype(np.int64)
-            a = _base_levels(samples, base)[j][entry]
+            a = levels[j][entry]
             if len(other):
                 a[other] = level(j, entry[other], log_weight[other])[0]
             # order-preserving bits of a float, then the place
-            bits = a.astype(np.float32).view(np.uint32)
+            bits = a.view(np.uint32)
             bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
             best = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | index, first) & np.uint64(0xFFFFFFFF)
             best = best.astype(np.int64)
@@ -139,86 +171,56 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, bas
             key = np.full(len(first), b + 1, np.uint64)
             for j in range(b * ROWS, (b + 1) * ROWS):
                 key = splitmix(key ^ sample_keys[j])
-            keys[of, b] = key
+            keys[document[first], b] = key
     return keys
 
 
-@lru_cache(maxsize=2)
-def _base_levels(samples: int, base: float) -> np.ndarray:
-    _, r, c, beta = _variates(samples)
-    t = np.floor(np.float64(math.log(base)) / r + beta)
-    return (c - r * (t - beta + 1)).astype(np.float32)
-
-
-def similarities(left: tuple, right: tuple, pairs: int, weights: Weights) -> np.ndarray:
-    """Weighted Jaccard similarity of pairs; both sides are (hashes, pair)."""
-    hashes, pair = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
-    out = np.zeros(pairs)
-    if not len(hashes):
-        return out
+def _elements(texts: pa.Array, frequencies: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every document's elements: (codes, weights), the k-th occurrence of a
+    shingle as an element of its own, so that minimum and maximum are set
+    operations."""
+    out, at = [], 0
+    for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
+        terms = Terms(*binary_buffer(part.column("text")))
+        weight = np.empty(len(terms.hashes))
+        for k in range(part.num_rows):
+            a, b = terms.bounds[k], terms.bounds[k + 1]
+            weight[a:b] = _large(frequencies[at + k], b - a)
+        weight = idf(weight, documents)
+        nth = np.arange(terms.tf.sum()) - np.repeat(np.cumsum(terms.tf) - terms.tf, terms.tf)
+        codes = np.repeat(terms.hashes, terms.tf)
+        codes[nth > 0] = splitmix(codes[nth > 0] ^ splitmix(nth[nth > 0].astype(np.uint64)))
+        weight = np.repeat(weight, terms.tf)
+        ends = np.append(0, np.cumsum(terms.tf))[terms.bounds]
+        out += [(codes[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        at += part.num_rows
+    return out
+
+
+def similarities(left: list, right: list) -> np.ndarray:
+    """Weighted Jaccard similarity of pairs of documents' elements."""
+    pairs = len(left)
+    size = [np.fromiter((len(e[0]) for e in side), np.int64, pairs) for side in (left, right)]
+    if not sum(map(len, (e[0] for e in left))):
+        return np.zeros(pairs)
+    pair = np.concatenate([np.repeat(np.arange(pairs), n) for n in size])
+    codes = np.concatenate([e[0] for side in (left, right) for e in side])
+    weight = np.concatenate([e[1] for side in (left, right) for e in side])
+    total = np.bincount(pair, weight, pairs)
     with np.errstate(over="ignore"):
-        codes, _ = pd.factorize(splitmix(hashes ^ splitmix(pair.astype(np.uint64))))
-    n = codes.max() + 1
-    x, y = np.bincount(codes[: len(left[0])], minlength=n), np.bincount(codes[len(left[0]) :], minlength=n)
-    first = np.empty(n, np.int64)
-    first[codes] = np.arange(len(codes))
-    idf, of = weights.of(hashes[first]), pair[first]
-    most = np.bincount(of, np.maximum(x, y) * idf, pairs)
-    return np.divide(np.bincount(of, np.minimum(x, y) * idf, pairs), most, out=out, where=most > 0)
-
-
-def _frequent(source: DataFrame, sketches: DataFrame, documents: int) -> list[tuple[int, int]]:
-    """(hash, exact document frequency) of shingles above the share.
-
-    The list is bounded by the mean number of shingles a document has over
-    FREQUENT_SHARE, whatever the number of documents."""
-    least = max(FREQUENT_LEAST, documents * FREQUENT_SHARE)
-
-    def heavy(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                part = np.frombuffer(blob, "<i4").astype(np.int64)
-                total[chunk] = total[chunk] + part if chunk in total else part
-        found = [np.flatnonzero(v >= least) + (chunk << CHUNK_BITS) for chunk, v in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int32())], names=["bucket"])
-
-    chunks = 1 << (SKETCH_BITS - CHUNK_BITS)
-    buckets = sketches.repartitionById(chunks, F.col("chunk")).mapInArrow(heavy, "bucket int").toPandas()["bucket"].to_numpy(np.int64)
-    if not len(buckets):
-        return []
-    on = np.zeros(1 << SKETCH_BITS, bool)  # 2 MB at any size of the corpus
-    on[buckets] = True
-
-    def count(batches):
-        total: dict[int, int] = {}
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["hash", "n"])
-
-        for batch in slices(batches, "text"):
-            hashes, document = shingles(*binary_buffer(batch.column("text")))
-            keep = on[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            if not keep.any():
-                continue
-            hashes, _, _ = term_counts(hashes[keep], document[keep])
-            values, n = np.unique(hashes.view(np.int64), return_counts=True)
-            for h, k in zip(values.tolist(), n.tolist(), strict=True):
-                total[h] = total.get(h, 0) + k
-            if len(total) > 300_000:
-                yield flush()
-                total.clear()
-        if total:
-            yield flush()
-
-    rows = source.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return [(r["hash"], r["n"]) for r in rows]
+        place, _ = codes_of(splitmix(codes ^ splitmix(pair.astype(np.uint64))))
+    cut = int(size[0].sum())
+    both = np.zeros(int(place.max()) + 1, bool)
+    both[place[:cut]] = True
+    shared = both[place[cut:]]
+    common = np.bincount(pair[cut:][shared], weight[cut:][shared], pairs)
+    return np.divide(common, total - common, out=np.zeros(pairs), where=total > common)
 
 
 def _pair_matrix(elements: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarities of left with right documents; a document
     is (element codes, weights), each element once."""
-    codes, uniques = pd.factorize(np.concatenate([e[0] for e in elements]))
+    codes, _ = codes_of(np.concatenate([e[0] for e in elements]))
     size = np.fromiter((len(e[0]) for e in elements), np.int64, len(elements))
     of = np.repeat(np.arange(len(elements)), size)
     weight = np.concatenate([e[1] for e in elements])
@@ -246,42 +248,209 @@ def _pair_matrix(elements: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray
     return common / np.maximum(total[left][:, None] + total[right][None, :] - common, 1e-300)
 
 
-def _elements(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Every document's shingles, the k-th occurrence of one as an element of its own."""
-    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
-    return [e for part in slices([whole], "text") for e in _elements_of(part.column("text"), weights)]
+def _digest(text: str | bytes | None) -> bytes | None:
+    """Digest of the words of a text, lower-cased; none without a word."""
+    raw = text.encode() if isinstance(text, str) else text
+    return hashlib.sha256(b" ".join(words)).digest() if raw and (words := raw.lower().split()) else None
+
+
+def _block(digest: bytes, blocks: int) -> int:
+    return int.from_bytes(digest[:6], "big") * blocks >> 48
+
+
+def _deal(source: DataFrame, blocks: int) -> DataFrame:
+    """Distinct texts, by block: block, digests, copies, sizes and the texts
+    themselves, compressed.  Copies that meet in a task go out as one."""
+    schema = "block int, digests binary, copies binary, sizes binary, texts binary"
 
+    def run(batches):
+        codec = pa.Codec("zstd", 1)
+        held: dict[bytes, list] = {}
+        size = 0
+
+        def flush():
+            rows = []
+            order = sorted(held)
+            begin = 0
+            while begin < len(order):
+                block, end = _block(order[begin], blocks), begin
+                while end < len(order) and _block(order[end], blocks) == block:
+                    end += 1
+                part = [held[d] for d in order[begin:end]]
+                texts = b"".join(x[0] for x in part)
+                sizes = np.array([len(x[0]) for x in part], "<i8")
+                rows.append((block, b"".join(order[begin:end]), np.array([x[1] for x in part], "<i8").tobytes(), sizes.tobytes(), codec.compress(texts, asbytes=True)))
+                begin = end
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["block", "digests", "copies", "sizes", "texts"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                raw = text.encode()
+                digest = _digest(raw)
+                if digest is None:
+                    continue
+                found = held.get(digest)
+                if found:
+                    found[1] += 1
+                else:
+                    held[digest] = [raw, 1]
+                    size += len(raw) + 200
+                    if size > HELD_BYTES:
+                        yield from flush()
+                        held, size = {}, 0
+        yield from flush()
+
+    return source.select("text").mapInArrow(run, schema)
+
+
+def _opened(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
+    """(digests, copies, texts) of a block, each text once, by digest."""
+    codec = pa.Codec("zstd")
+    held: dict[bytes, list] = {}
+    for digests, copies, sizes, texts in zip(*(table.column(c).to_pylist() for c in ("digests", "copies", "sizes", "texts")), strict=True):
+        size = np.frombuffer(sizes, "<i8")
+        raw = codec.decompress(texts, int(size.sum()), asbytes=True)
+        at = np.append(0, np.cumsum(size)).tolist()
+        for k, n in enumerate(np.frombuffer(copies, "<i8").tolist()):
+            digest = digests[32 * k : 32 * k + 32]
+            if digest in held:
+                held[digest][0] += n
+                # texts that differ in case or white space only: one of them, whatever the order
+                held[digest][1] = min(held[digest][1], raw[at[k] : at[k + 1]])
+            else:
+                held[digest] = [n, raw[at[k] : at[k + 1]]]
+    order = sorted(held)
+    return order, np.array([held[d][0] for d in order], np.int64), [held[d][1] for d in order]
+
+
+def _terms(texts: list[bytes]) -> Iterator[tuple[int, int, Terms]]:
+    """(first text, text after the last, terms) of runs of texts."""
+    at = 0
+    for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])], "text"):
+        yield at, at + part.num_rows, Terms(*binary_buffer(part.column("text")))
+        at += part.num_rows
+
+
+def _census(texts: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes in order, rows that hold each) of a block."""
+    hashes, rows = [], []
+    for a, b, terms in _terms(texts):
+        hashes.append(terms.hashes)
+        rows.append(copies[a:b][terms.document])
+    hashes, rows = np.concatenate(hashes), np.concatenate(rows)
+    order = np.argsort(hashes)
+    hashes, rows = hashes[order], rows[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], np.add.reduceat(rows, first)
+
+
+def _frequencies(dealt: DataFrame, ranges: int) -> DataFrame:
+    """(block, range, frequencies): document frequencies over the corpus of
+    each block's distinct shingles, in order of range and hash."""
+
+    def bounds(hashes):
+        """Where the ranges begin in sorted hashes."""
+        least = [min((k << 64) // ranges + 1, (1 << 64) - 1) if k else 0 for k in range(ranges)]
+        return np.append(np.searchsorted(hashes, np.array(least, np.uint64)), len(hashes))
+
+    def send(table: pa.Table) -> pa.Table:
+        _, copies, texts = _opened(table)
+        hashes, rows = _census(texts, copies)
+        at = bounds(hashes).tolist()
+        used = [k for k in range(ranges) if at[k] < at[k + 1]]
+        return pa.table(
+            {
+                "range": pa.array(used, pa.int32()),
+                "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()),
+                "hashes": pa.array([_packed(hashes[at[k] : at[k + 1]]) for k in used], pa.binary()),
+                "copies": pa.array([_small(rows[at[k] : at[k + 1]]) for k in used], pa.binary()),
+            }
+        )
+
+    def count(batches):
+        rows, own = [], None
+
+        def settle():
+            hashes = [_unpacked(r[1]) for r in rows]
+            size = np.array(list(map(len, hashes)))
+            copies = np.concatenate([_large(r[2], n) for r, n in zip(rows, size.tolist(), strict=True)])
+            hashes = np.concatenate(hashes)
+            order = np.argsort(hashes)
+            new = np.append(True, np.diff(hashes[order]) != 0)
+            total = np.add.reduceat(copies[order], np.flatnonzero(new))
+            out = np.empty(len(hashes), np.int64)
+            out[order] = total[np.cumsum(new) - 1]
+            at = np.append(0, np.cumsum(size)).tolist()
+            blobs = [_small(out[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([own] * len(rows), pa.int32()), pa.array(size, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "range", "n", "frequencies"]
+            )
 
-def _elements_of(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    hashes, document = shingles(*binary_buffer(texts))
-    order = np.lexsort((hashes, document))
-    hashes, document = hashes[order], document[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
-    first = np.flatnonzero(new)
-    nth = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
-    codes, weight = splitmix(hashes ^ splitmix(nth.astype(np.uint64))), weights.of(hashes)
-    cut = np.searchsorted(document, np.arange(len(texts) + 1))
-    return [(codes[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("range", "block", "hashes", "copies")), strict=True):
+                if part != own:
+                    if rows:
+                        yield settle()
+                    own, rows = part, []
+                rows.append(row)
+        if rows:
+            yield settle()
+
+    sent = dealt.groupBy("block").applyInArrow(send, "range int, block int, hashes binary, copies binary")
+    return sent.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "block").mapInArrow(count, "block int, range int, n bigint, frequencies binary")
+
+
+def _signed(dealt: DataFrame, frequencies: DataFrame, documents: int) -> DataFrame:
+    """(node, digest, text, frequencies, bands) of every distinct text; the
+    frequencies are those of its distinct shingles, in order of hash."""
+    base = float(idf(np.ones(1), documents)[0])
+    schema = "node bigint, digest binary, text string, frequencies binary, bands array<bigint>"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = left.column("block")[0].as_py()
+        digests, copies, texts = _opened(left)
+        hashes, _ = _census(texts, copies)
+        right = right.sort_by("range")
+        counts = np.concatenate([_large(raw, n) for raw, n in zip(right.column("frequencies").to_pylist(), right.column("n").to_pylist(), strict=True)])
+        blobs, bands = [], []
+        for a, b, terms in _terms(texts):
+            count = counts[np.searchsorted(hashes, terms.hashes)]
+            blobs += [_small(count[i:j]) for i, j in zip(terms.bounds[:-1], terms.bounds[1:], strict=True)]
+            bands.append(signatures(terms.hashes, terms.document, terms.tf * idf(count, documents), base, b - a))
+        bands = np.concatenate(bands)
+        n = len(texts)
+        return pa.table(
+            {
+                "node": pa.array((block << 32) + np.arange(n), pa.int64()),
+                "digest": pa.array(digests, pa.binary()),
+                "text": pa.array([t.decode() for t in texts], pa.string()),
+                "frequencies": pa.array(blobs, pa.binary()),
+                "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64), pa.int64())),
+            }
+        )
+
+    return dealt.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(run, schema)
 
 
 #: Members of a tile; a larger bucket is compared tile by tile.
 TILE = 192
 
 
-def _linked_members(members: DataFrame, source: DataFrame, similarity: float, weights: Weights) -> DataFrame:
+def _linked_members(members: DataFrame, texts: DataFrame, similarity: float, documents: int) -> DataFrame:
     """(a, b): a spanning forest of the links between members of a bucket that
-    are in different components.  ``members`` has band, n, id, component.
+    are in different components.  ``members`` has band, n, node, component,
+    ``texts`` node, text, frequencies.
 
-    A bucket of n members is n / TILE tiles by a hash of the id, and every two
+    A bucket of n members is n / TILE tiles by a hash of the node, and every two
     tiles meet in one group, so no task holds more than two tiles.  Texts, not
     pairs, are dealt out.
     """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "id"), tiles).cast("int")
-    texts = members.select("band", "id", "component", own.alias("tile"), tiles.alias("tiles")).join(source, "id")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "component", "text"
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), tiles).cast("int")
+    placed = members.select("band", "node", "component", own.alias("tile"), tiles.alias("tiles")).join(texts, "node")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "text", "frequencies"
     )
 
     def meet(batches):
@@ -316,7 +485,7 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
             left, right = (np.flatnonzero(tile == k) for k in (group[1], group[2]))
             if not len(left) or not len(right):
                 return
-            found = _pair_matrix(_elements(pa.array([r[3] for r in rows]), weights), left, right) >= similarity
+            found = _pair_matrix(_elements(pa.array([r[3] for r in rows]), [r[4] for r in rows], documents), left, right) >= similarity
             component = np.array([r[2] for r in rows], np.int64)
             found &= component[left][:, None] != component[right][None, :]
             p, q = np.nonzero(found)
@@ -325,9 +494,12 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
         def close_small():
             pairs = [(g, p, q) for g, rows in enumerate(small) for p in range(len(rows)) for q in range(p) if rows[p][2] != rows[q][2]]
             if pairs:
-                left = shingles(*binary_buffer(pa.array([small[g][p][3] for g, p, _ in pairs])))
-                right = shingles(*binary_buffer(pa.array([small[g][q][3] for g, _, q in pairs])))
-                found = similarities(left, right, len(pairs), weights) >= similarity
+                of = {}  # every text's elements once
+                for g, p, q in pairs:
+                    of.setdefault((g, p), len(of))
+                    of.setdefault((g, q), len(of))
+                elements = _elements(pa.array([small[g][p][3] for g, p in of]), [small[g][p][4] for g, p in of], documents)
+                found = similarities([elements[of[g, p]] for g, p, _ in pairs], [elements[of[g, q]] for g, _, q in pairs]) >= similarity
                 for k in np.flatnonzero(found).tolist():
                     g, p, q = pairs[k]
                     forest(small[g], [(p, q)])
@@ -335,7 +507,7 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
             waiting[0] = 0
 
         for batch in slices(batches, "text"):
-            columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "tile", "id", "component", "text")]
+            columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "tile", "node", "component", "text", "frequencies")]
             for band, i, j, *row in zip(*columns, strict=True):
                 if (band, i, j) != group:
                     close()
@@ -352,106 +524,112 @@ def _linked_members(members: DataFrame, source: DataFrame, similarity: float, we
     return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(meet, "a bigint, b bigint")
 
 
+def _first(id_col: Column, row: Column) -> Column:
+    """Order of rows: null ids last, then by id, then by row number."""
+    return F.struct(id_col.isNull().alias("none"), id_col.alias("id"), row.alias("row"))
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """id, component_id, group_size, kept: one row per input row.
+    """id, component_id, group_size, kept, text_md5: one row per input row.
 
     Documents link if their weighted Jaccard similarity is at least
-    ``similarity``; the class is the smallest id reachable by links, and its
-    row is kept.  Texts without a word (null, empty) link with nothing.  Rows
-    that share an id are one document, whose rows all appear.  An empty table
-    gives an empty one; other columns aren't read.
+    ``similarity``; the class is the smallest id reachable, and one row of
+    that id is kept.  Texts without a word (null, empty) link with nothing.
+    Rows that repeat an id are documents of their own, and so are rows with a
+    null id, whose class is null only if all its ids are: one row of each class
+    is kept, whatever the ids.  An empty table gives an empty one; other
+    columns aren't read.  ``text_md5`` is the digest of the text as it is (null
+    as empty), so that a kept row is found by id and digest.
     """
     spark = docs.sparkSession
     prepare(spark)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("text_md5"))
 
     def survey(batches):
-        """Digest of every document's words, and a count sketch of the shingles."""
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slices(batches, "text"):
-            hashes, _ = shingles(*binary_buffer(batch.column("text")))
-            sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            digest = [hashlib.sha256(b" ".join(w)).digest() if (w := x.encode().lower().split()) else None for x in batch.column("text").to_pylist()]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("id"), pa.array(digest, pa.binary())], names=["chunk", "blob", "id", "digest"])
-        size = 1 << CHUNK_BITS
-        for k in range(len(sketch) // size):
-            part = sketch[k * size : (k + 1) * size]
-            if part.any():
-                blob = np.minimum(part, (1 << 31) - 1).astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=["chunk", "blob", "id", "digest"])
-
-    path = shared_path(spark, "near-survey")
-    schema = "chunk int, blob binary, id bigint, digest binary"
-    source.mapInArrow(survey, schema).withColumn("sketch", F.col("chunk").isNotNull()).write.partitionBy("sketch").parquet(path)
-    surveyed = spark.read.schema(f"{schema}, sketch boolean").parquet(path)
-    keys = surveyed.where("not sketch").select("id", "digest")
-    documents = keys.count()
-    weights = Weights(documents, _frequent(source, surveyed.where("sketch").select("chunk", "blob"), documents))
-
-    classes = keys.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_md5"), pa.array(map(_digest, texts), pa.binary()), pa.array(map(len, texts), pa.int64())], names=["id", "text_md5", "digest", "size"]
+            )
 
-    def sign(batches):
-        for batch in slices(batches, "text"):
-            hashes, document = shingles(*binary_buffer(batch.column("text")))
-            if not len(hashes):
-                continue
-            hashes, document, tf = term_counts(hashes, document)
-            bands = signatures(hashes, document, tf * weights.of(hashes), weights.most, batch.num_rows)
-            on = np.unique(document)
-            ids = batch.column("id").take(pa.array(on))
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * BANDS, pa.int32()), pa.array(bands[on].ravel().view(np.int64), pa.int64()))], names=["id", "bands"])
-
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    signed = source.mapInArrow(sign, "id bigint, bands array<bigint>").join(reps, "id")
-    members = materialise(signed.select("id", F.explode("bands").alias("band")).distinct(), "near-bands")
-    # the smallest id of a bucket is its hub: one candidate pair per member, not all pairs
-    hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    starred = materialise(members.join(hubs, "band"), "near-stars")
+    surveyed = source.mapInArrow(survey, "id bigint, text_md5 string, digest binary, size bigint")
+    keys = materialise(surveyed.withColumn("row", F.monotonically_increasing_id()), "near-keys")
+    documents = keys.count()
+    classes = keys.where("digest is not null").groupBy("digest").agg(F.min(_first(F.col("id"), F.col("row"))).alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"))
+    classes = materialise(classes, "near-classes")
+    size = classes.agg(F.sum("size")).first()[0] or 0
+    # a shingle begins at a word, and words have some six characters
+    dealt = _deal(source, max(1, round(size / BLOCK_BYTES)))
+    nodes = materialise(_signed(dealt, _frequencies(dealt, max(1, round(size / 6 / RANGE_SHINGLES))), documents), "near-nodes")
+    texts = nodes.select("node", "text", "frequencies")
+
+    members = materialise(nodes.select("node", F.explode("bands").alias("band")).distinct(), "near-bands")
+    # the smallest node of a bucket is its hub: one candidate pair per member, not all pairs
+    hubs = materialise(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
+    starred = materialise(join_counted(members, hubs, "band", "n", members.count()).where("node <> hub"), "near-stars")
+
+    def of_candidates(ids: DataFrame, name: str) -> DataFrame:
+        """The texts of some nodes, sent to the texts if they are few."""
+        ids = materialise(ids.distinct(), name)
+        return texts.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "node", "left_semi")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, similarity) of distinct pairs, from both whole texts."""
-        with_a = pairs.join(source.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(source.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        """(a, b, similarity) of pairs a, b, n from both whole texts; n bounds
+        the pairs of one b, whose text goes to a task per STAR_ROWS of them."""
+        salts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
+        dealt = pairs.select("a", "b", F.pmod(F.xxhash64(F.lit(5), "a"), salts).cast("int").alias("salt"))
+        copies = pairs.groupBy("b").agg(F.max("n").alias("n")).select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        found = materialise(of_candidates(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), f"{name}-nodes"), f"{name}-texts")
+        left = dealt.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequencies").alias("frequencies_a")), "a")
+        right = copies.join(found, "node").select(F.col("node").alias("b"), "salt", F.col("text").alias("text_b"), F.col("frequencies").alias("frequencies_b"))
+        both = left.join(right.hint("shuffle_hash"), ["b", "salt"]).select("a", "b", "text_a", "text_b", "frequencies_a", "frequencies_b")
 
         def run(batches):
-            for batch in slices(batches, "text_a"):
-                n = batch.num_rows
-                left = shingles(*binary_buffer(batch.column("text_a")))
-                right = shingles(*binary_buffer(batch.column("text_b")))
-                found = similarities(left, right, n, weights)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
-
-        return materialise(with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double"), name)
-
-    stars = verify(starred.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "near-verified")
+            for large in slices(batches, "text_b", 1 << 20):
+                for batch in slices([large], "text_a", 1 << 20):
+                    b = batch.column("b").to_numpy()
+                    # a hub's text comes with each of its pairs, side by side
+                    new = np.append(True, b[1:] != b[:-1])
+                    own = pa.array(np.flatnonzero(new))
+                    hubs = _elements(batch.column("text_b").take(own), batch.column("frequencies_b").take(own).to_pylist(), documents)
+                    left = _elements(batch.column("text_a"), batch.column("frequencies_a").to_pylist(), documents)
+                    found = similarities(left, [hubs[k] for k in (np.cumsum(new) - 1).tolist()])
+                    yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
+
+        return materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
+
+    pairs = materialise(starred.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "near-pairs")
+    stars = verify(pairs, "near-verified")
     edges = stars.where(F.col("similarity") >= similarity).select("a", "b")
-    labels = components(edges)
+    labels = materialise(components(edges), "near-labels")
     # Members that their hub doesn't reach may link with others of the bucket.
     # The hub is done: it was compared with every member.  1 - similarity is a
     # metric, so of a pair in different components one is outside the hub's,
     # and the other's distance from the hub is at most 1 - similarity less.
     slack = 1 - similarity + 1e-9
-    far = stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far")).groupBy("id", "hub").agg(F.min("far").alias("far"))
-    around = materialise(
-        starred.where("id <> hub").join(far, ["id", "hub"]).join(labels, "id", "left").join(labels.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-        .select("band", "id", "far", F.coalesce("component", "id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")),
-        "near-around",
-    )
-    nearest = around.where("component <> hub_component").groupBy("band").agg(F.min("far").alias("nearest"))
-    placed = materialise(around.join(nearest, "band").where(F.col("far") >= F.col("nearest") - slack).select("band", "id", "component"), "near-placed")
-    member_set = [F.sum(F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1 << 40))).alias(f"set{k}") for k in range(3)]
+    far = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"))
+    named = starred.join(far, ["node", "hub"]).join(labels.withColumnRenamed("id", "node"), "node", "left").select("band", "node", "far", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "near-named")
+    centres = hubs.join(labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub")), "hub", "left").select("band", "n", F.coalesce("of_hub", "hub").alias("hub_component"))
+    around = materialise(join_counted(named, materialise(centres, "near-centres"), "band", "n", named.count()), "near-around")
+    nearest = around.where("component <> hub_component").groupBy("band").agg(F.min("far").alias("nearest"), F.max("n").alias("all"))
+    placed = join_counted(around.drop("n"), materialise(nearest, "near-nearest"), "band", "all", named.count()).where(F.col("far") >= F.col("nearest") - slack).select("band", "node", "component")
+    placed = materialise(placed, "near-placed")
+    member_set = [F.sum(F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 40))).alias(f"set{k}") for k in range(3)]
     sets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *member_set).where("low <> high")
     # the same members often meet in several bands: once is enough
     mixed = materialise(sets.groupBy("n", "set0", "set1", "set2").agg(F.min("band").alias("band")).select("band", "n"), "near-mixed")
     if not mixed.isEmpty():
-        added = materialise(_linked_members(placed.join(mixed, "band"), source, similarity, weights), "near-crossed")
+        unsettled = materialise(join_counted(placed, mixed, "band", "n", placed.count()), "near-unsettled")
+        added = materialise(_linked_members(unsettled, of_candidates(unsettled.select("node"), "near-unsettled-nodes"), similarity, documents), "near-crossed")
         if not added.isEmpty():
             labels = components(edges.union(added))
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = keys.where("digest is not null").join(named, "digest").select("id", "component")
-    out = materialise(out.union(keys.where("digest is null").select("id", F.col("id").alias("component"))), "near-groups")
-    sizes = out.groupBy("component").agg(F.count("*").alias("group_size"))
-    return out.join(sizes, "component").select(
-        F.col("id").alias(id_col), F.col("component").alias("component_id"), "group_size", F.col("id").eqNullSafe(F.col("component")).alias("kept")
-    )
+    grouped = nodes.select("node", "digest").join(labels.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    grouped = materialise(grouped.join(classes, "digest"), "near-grouped")
+    sizes = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("group_size"), F.count("*").alias("n"))
+    by_class = join_counted(grouped, materialise(sizes, "near-sizes"), "component", "n", grouped.count()).select("digest", "copies", "kept", "group_size")
+    rows = join_counted(keys, materialise(by_class, "near-by-class"), "digest", "copies", documents)
+    linked = rows.select("id", F.col("kept.id").alias("component_id"), "group_size", (F.col("row") == F.col("kept.row")).alias("kept"), "text_md5")
+    alone = keys.where("digest is null").select("id", F.col("id").alias("component_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_md5")
+    return linked.unionByName(alone).withColumnRenamed("id", id_col)

@@ -10,11 +10,10 @@ document's score is their mean, weighted by line length.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_buffer, held_out, prepare, slices, splitmix
+from .common import binary_buffer, codes_of, held_out, prepare, slices, splitmix
 from .textarrays import LETTER, OTHER, byte_classes, substring_hashes, words_of
 
 #: Bin bounds of every measure.
@@ -65,7 +64,7 @@ def line_bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     words = np.bincount(line, minlength=n)
     hashes = substring_hashes(data, start, end)
     with np.errstate(over="ignore"):
-        codes, uniques = pd.factorize(splitmix(hashes ^ (line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        codes, uniques = codes_of(splitmix(hashes ^ (line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
     first_of = np.zeros(len(uniques), np.int64)
     first_of[codes] = line
     same_next = np.zeros(len(start), bool)

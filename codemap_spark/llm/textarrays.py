@@ -6,7 +6,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+
+from .common import codes_of
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -136,7 +137,7 @@ def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     """(code of every substring, index of the first of each code).  Bytes are
     compared, so a hash collision can't merge different substrings."""
     hashes = substring_hashes(data, start, end)
-    codes, uniques = pd.factorize(hashes)
+    codes, uniques = codes_of(hashes)
     first = np.empty(len(uniques), np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
     length = end - start

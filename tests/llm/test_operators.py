@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codemap_spark.llm import common, components, embedding_dedup, exact_dedup, html, language_id, near_dedup, packing, quality, secrets, sentencepieces, token_count, vocabulary
+from codemap_spark.llm import common, components, embedding_dedup, exact_dedup, html, language_id, packing, quality, secrets, sentencepieces, token_count, vocabulary
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [None, "", "a", "A", "  \n", "Hello  world\n\tit's <|endoftext|> x² ½", "x " * 9000, "日本 語 😀", "password: hunter22 token=secret=abcdefgh", "password: hunter22 token=secret=abcdefgh", "▁ a▁b"]
@@ -153,29 +153,6 @@ def test_components(spark):
     assert found == {i: want[i] for a, b in pairs if a != b for i in (a, b)}
 
 
-def test_near(spark):
-    rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(3000)]
-    texts = [None, "", "one two", "ONE two"]
-    for _ in range(12):
-        base = list(rng.choice(words, 120))
-        for _ in range(9):
-            copy = list(base)
-            for k in rng.integers(0, 120, rng.integers(0, 7)):
-                copy[k] = str(rng.choice(words))
-            texts.append(" ".join(copy))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
-    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(df).collect()}
-    # under 16 documents hold any shingle, so all weights are equal and plain Jaccard is the truth
-    assert found == dict(enumerate(components_of(len(texts), pairs)))
-    assert near_dedup.near_duplicate_groups(df.limit(0)).count() == 0
-
-
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SLAB_ROWS", 100)
     rng = np.random.default_rng(4)
