@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, prepare, shared_path, slices
+from .common import join_counted, materialise, prepare, shared_path, slices
 
 #: Bucket capacity in bytes, and the most slots of a directory.  Beyond
 #: BUCKET_BYTES * MAX_SLOTS / 4 bytes of text the capacity grows instead, so
@@ -189,11 +189,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, keep_id, group_size, kept, text_sha256: one row per input row.
 
     Null text counts as empty; equal texts keep the row with the largest id
-    (rows that repeat an id all count, and all of the kept id are kept); an
-    empty table gives an empty one; other columns aren't read.
+    (rows that repeat an id all count, and all of the kept id are kept; null
+    ids are the smallest); an empty table gives an empty one; other columns
+    aren't read.  Texts with over a HOT_KEYS-th of all rows are joined by
+    sending them to every task, so none gets all of their rows.
     """
     keys, entries, _ = build_index(docs, id_col, text_col, bucket_bytes)
     groups = entries.select("digest", "keep_id", "group_size")
-    return keys.join(groups, "digest").select(
+    return join_counted(keys, groups, "digest", "group_size", keys.count()).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
