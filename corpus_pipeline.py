@@ -20,21 +20,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep=COLUMNS).where(F.col("__predicted") == 1).select(*COLUMNS)
 
 
+def _one_of_each(docs: DataFrame, key, chosen: DataFrame) -> DataFrame:
+    """The documents whose id (null counts as a value) and ``key`` are among
+    ``chosen``'s doc_id and __key; of rows equal in both, one."""
+    rows = docs.withColumn("__key", key)
+    chosen = common.materialise(chosen.distinct(), "chosen")
+    kept = rows.join(chosen.withColumnsRenamed({"doc_id": "__id", "__key": "__chosen"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__chosen")), "left_semi")
+    if not rows.groupBy("doc_id", "__key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.select(*COLUMNS)
+
+
 def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays; null ids are smallest."""
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = exact_dedup.exact_duplicates(docs).where("kept").groupBy("doc_id", F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__n"))
-    found = common.materialise(found, "exact-kept")
-    out = docs.withColumn("__sha", F.sha2(lower, 256)).join(found, ["doc_id", "__sha"])
-    if not found.where("__n > 1").isEmpty():  # the same row more than once
-        out = out.dropDuplicates(["doc_id", "__sha"])
-    return out.select(*COLUMNS)
+    found = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__key"))
+    return _one_of_each(docs, F.sha2(lower, 256), found)
 
 
 def keep_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    kept = near_dedup.near_duplicate_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*COLUMNS)
+    found = near_dedup.near_duplicate_groups(docs).where("kept").select("doc_id", F.col("text_md5").alias("__key"))
+    return _one_of_each(docs, F.md5(F.coalesce("text", F.lit("")).cast("binary")), found)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
