@@ -2,17 +2,21 @@
 
 The standard library's streaming parser turns a page into events.  Block tags
 start a new line; a line has text characters and tags.  Its text-to-tag ratio
-is smoothed with a Gaussian over the page, lines above a threshold (a share of
-the standard deviation) form the content cluster, and the semantic region
-(article, main or body) that holds most of the cluster's text is selected.
-Inside an article or main region every line is content; in a plain body only
-the clustered lines are.  Menus, headers, footers, sidebars, adverts, forms,
-notices and comments never make lines.
+is smoothed with a Gaussian over the page, and lines above a threshold (a share
+of the ratios' standard deviation) form the content clusters.  The innermost
+container that holds nearly all of the clusters' text is the content region;
+inside it the clustered lines stay, and short lines of the same container.
+
+Tags that say what they are (menus, footers, forms, scripts, ...) and hidden
+elements are left out where they are closed; one that is never closed leaves
+nothing out, and ratios decide.  Class and id names only lower the level of
+their lines, and so do links.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,119 +29,163 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset(
-    "nav header footer aside form script style noscript template svg math iframe object button select option textarea canvas audio video dialog menu title head".split()
+#: Elements that never hold running text, closed or not.
+NEVER = frozenset("script style noscript template svg math iframe object select option textarea canvas audio video title".split())
+#: Elements that name another part of the page than its article.
+DROPPED = frozenset("nav header footer aside form button dialog menu".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
+#: Elements that may be the content region.
+CONTAINERS = frozenset("html body article main section div center table tbody tr td".split())
+#: A name is taken as a hint if its words are all in these two lists and one is in the first.
+HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav "
+    "navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommendations recommended related replies respond search share sharing sidebar signup social "
+    "sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
-#: Elements that a class, id or role marks as something else than the article.
-DROPPED_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar|side-bar|widget\w*|"
-    r"comments?|comment-list|disqus\w*|replies|respond|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|subscription|social|share|sharing|related|"
-    r"recommend\w*|pagination|pager|contentinfo|complementary|navigation|search|login|signup|toolbar|alert)(?=$|[\s_-])",
-    re.I,
+PARTS = frozenset(
+    "area articles bar block bottom box button buttons container content field form global group head icons inner item items left link links list main message outer page panel post posts primary reader "
+    "right row secondary section site slot stories text thread top unit user view visitor wrap wrapper".split()
 )
-REGION = {"article": 2, "main": 1}
-HEADING_IN_ARTICLE = frozenset(("header",))
-CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "option": frozenset(("option",))}
-BLOCKS_CLOSE_P = frozenset(
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"(?i)(?:display\s*:\s*none|visibility\s*:\s*hidden)")
+CLOSED_BLOCKS_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
+#: What a hint or a link leaves of a line's level.
+LOWERED = 0.05
+#: Share of the clustered text that the content region holds, and that a
+#: container holds among its own lines for its other lines to stay.
+REGION_SHARE, LINE_SHARE = 0.85, 0.5
+
+
+@lru_cache(maxsize=65_536)
+def hinted(names: str, in_article: bool) -> bool:
+    """Whether a class or id attribute names another part than the article; the
+    header of an article is a part of it."""
+    for name in names.split():
+        words = {w.lower() for w in WORD.findall(name)}
+        if in_article:
+            words -= {"header"}
+        if words & HINTS and words <= HINTS | PARTS:
+            return True
+    return False
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, region) lines from the event stream."""
+    """Collects lines and the tree of elements from the event stream."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        # of every line: text, tags, characters in links, element, is a heading
         self.text: list[str] = []
         self.tags: list[int] = []
-        self.region: list[int] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, region
+        self.linked: list[int] = []
+        self.element: list[int] = []
+        self.heading: list[bool] = []
+        # of every block element: parent, tag, left out if closed, lowered, closed
+        self.parent, self.tag, self.left_out, self.lowered, self.closed = [0], ["html"], [False], [False], [False]
+        self.open: list[tuple[str, int, bool]] = []  # tag, element, in an article or main
         self.parts: list[str] = []
-        self.count = 0
-        self.regions = 0
+        self.count = self.links = self.in_link = self.never = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def _top(self) -> tuple[int, bool]:
+        return (self.open[-1][1], self.open[-1][2]) if self.open else (0, False)
 
     def _end_line(self) -> None:
-        words = " ".join("".join(self.parts).split())
-        if words:
-            self.text.append(words)
-            self.tags.append(self.count)
-            self.region.append(self._state()[1])
-        self.parts, self.count = [], 0
+        if self.parts:
+            words = " ".join("".join(self.parts).split())
+            if words:
+                element = self._top()[0]
+                self.text.append(words)
+                self.tags.append(self.count)
+                self.linked.append(self.links)
+                self.element.append(element)
+                self.heading.append(self.tag[element] == "h1")
+                self.count = 0
+            self.parts, self.links = [], 0
 
     def handle_starttag(self, tag, attrs) -> None:
-        dropped, region = self._state()
         if tag in VOID:
-            if not dropped:
-                self.count += 1
-                if tag not in INLINE:
-                    self._end_line()
-            return
-        if tag in BLOCKS_CLOSE_P or tag == "li":
-            self._close_implied("li" if tag == "li" else "p")
-            dropped, region = self._state()
-        if not dropped:
+            self.count += 1
             if tag not in INLINE:
                 self._end_line()
+            return
+        if tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1, False)
+        if tag in INLINE:
             self.count += 1
-            in_article = region and tag in HEADING_IN_ARTICLE
-            if tag in DROPPED and not in_article:
-                dropped = True
-            elif tag not in ("html", "body", "article", "main"):
-                for name, value in attrs:
-                    if name == "hidden" or (value and name in ("class", "id", "role") and DROPPED_HINT.search(value)):
-                        dropped = True
-                        break
-            if tag in REGION and not dropped:
-                self.regions += 1
-                region = self.regions * 4 + REGION[tag]
-        self.open.append((tag, dropped, region))
+            self.in_link += tag == "a"
+            self.open.append((tag, *self._top()))
+            return
+        if tag in CLOSED_BLOCKS_P or tag == "li":
+            self._close_implied("li" if tag == "li" else "p")
+        self._end_line()
+        self.count += 1
+        element, in_article = self._top()
+        in_article = in_article or tag in ("article", "main")
+        left_out = tag in NEVER or tag in DROPPED and not (tag == "header" and in_article) or tag == "head"
+        lowered = False
+        if tag not in ("html", "body"):
+            for name, value in attrs:
+                if name == "hidden" or value and (name == "role" and value.strip().lower() in DROPPED_ROLES or name == "style" and HIDDEN.search(value)):
+                    left_out = True
+                elif value and name in ("class", "id"):
+                    lowered = lowered or hinted(value, in_article)
+        self.never += tag in NEVER
+        self.parent.append(element)
+        self.tag.append(tag)
+        self.left_out.append(left_out)
+        self.lowered.append(lowered)
+        self.closed.append(tag in NEVER)
+        self.open.append((tag, len(self.parent) - 1, in_article))
 
     def _close_implied(self, tag: str) -> None:
         """A new block ends an open paragraph or item of the same parent."""
         for at in range(len(self.open) - 1, -1, -1):
             name = self.open[at][0]
             if name == tag:
-                self._pop(at)
+                self._pop(at, False)
                 return
             if name not in INLINE:
                 return
 
-    def _pop(self, at: int) -> None:
-        if not self.open[at][1] and self.open[at][0] not in INLINE or not self._state()[0]:
-            self._end_line()
+    def _pop(self, at: int, closed: bool) -> None:
+        self._end_line()
+        self.closed[self.open[at][1]] |= closed
+        for tag, _, _ in self.open[at:]:
+            self.never -= tag in NEVER
+            self.in_link -= tag == "a"
         del self.open[at:]
 
     def handle_startendtag(self, tag, attrs) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag) -> None:
         if tag in VOID:
             return
         for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
+            name = self.open[at][0]
+            if name == tag:
+                self.count += 1
                 if tag in INLINE:
-                    if not self._state()[0]:
-                        self.count += 1
-                    # an inline end tag leaves enclosing blocks alone
+                    # an inline end tag leaves the blocks inside alone
                     if all(x[0] in INLINE for x in self.open[at:]):
+                        self.in_link -= sum(x[0] == "a" for x in self.open[at:])
                         del self.open[at:]
-                    return
-                self._pop(at)
-                self.count += 1
+                else:
+                    self._pop(at, True)
                 return
-            if tag in INLINE and self.open[at][0] not in INLINE:
+            if tag in INLINE and name not in INLINE:
                 return
 
     def handle_data(self, data) -> None:
-        if not self._state()[0]:
+        if not self.never:
             self.parts.append(data)
+            if self.in_link:
+                self.links += len(data)
 
     def finish(self) -> None:
         self.close()
@@ -158,23 +206,59 @@ def extract(html: str | None, radius: int = 2, sigma: float = 1.0, share: float
     page = Lines()
     page.feed(html)
     page.finish()
-    if not page.text:
+    elements = len(page.parent)
+    # what is left out or lowered goes down the tree; elements come after their parents
+    out, low = [False] * elements, [False] * elements
+    for e in range(elements):
+        up = page.parent[e]
+        out[e] = out[up] or page.left_out[e] and page.closed[e]
+        low[e] = low[up] or page.lowered[e]
+    lines = [i for i, e in enumerate(page.element) if not out[e]]
+    if not lines:
         return ""
-    length = np.fromiter(map(len, page.text), float, len(page.text))
-    ratio = length / np.maximum(1, np.asarray(page.tags, float))
-    level = smooth(ratio, radius, sigma)
-    content = level >= min(share * ratio.std(), level.max())
-    region = np.asarray(page.region)
-    marked = region > 0
-    if marked.any():
-        inside = {r: (length * (content & (region == r))).sum() for r in np.unique(region[marked])}
-        outside = (length * (content & ~marked)).sum()
-        articles = [r for r in inside if r % 4 == REGION["article"]] or list(inside)
-        if sum(inside.values()) * 4 >= outside:
-            most = max(inside[r] for r in articles)
-            keep = {r for r in inside if r in articles and inside[r] >= 0.1 * most} or set(inside)
-            content = np.isin(region, list(keep))
-    return " ".join(line for line, on in zip(page.text, content, strict=True) if on)
+    element = [page.element[i] for i in lines]
+    length = np.array([len(page.text[i]) for i in lines], float)
+    ratio = length / np.maximum(1, np.array([page.tags[i] for i in lines], float))
+    linked = np.minimum(1, np.array([page.linked[i] for i in lines]) / length)
+    weight = (1 - (1 - LOWERED) * linked) * np.where([low[e] for e in element], LOWERED, 1)
+    smoothed = smooth(ratio, radius, sigma)
+    level = smoothed * weight
+    # a lowered line is never above LOWERED of the page's highest level, unless all lines are lowered
+    content = (level >= min(share * ratio.std(), level.max())) & (level > LOWERED * smoothed.max() * weight.max())
+
+    # text of the clusters and of all lines, by element and what it holds
+    mass, own_mass, own_text = [0.0] * elements, [0.0] * elements, [0.0] * elements
+    container = list(range(elements))
+    for e in range(1, elements):
+        if page.tag[e] not in CONTAINERS:
+            container[e] = container[page.parent[e]]
+    for e, n, on in zip(element, length.tolist(), content.tolist(), strict=True):
+        mass[e] += n * on
+        own_mass[container[e]] += n * on
+        own_text[container[e]] += n
+    for e in range(elements - 1, 0, -1):
+        mass[page.parent[e]] += mass[e]
+    inner: dict[int, int] = {}  # the container of most text inside each
+    for e in range(1, elements):
+        up = container[page.parent[e]]
+        if page.tag[e] in CONTAINERS and (up not in inner or mass[e] > mass[inner[up]]):
+            inner[up] = e
+    region = 0
+    while page.tag[region] != "article" and region in inner and mass[inner[region]] >= REGION_SHARE * mass[0]:
+        region = inner[region]
+    inside = [False] * elements
+    for e in range(elements):
+        inside[e] = e == region or inside[page.parent[e]]
+    kept = [
+        inside[e] and (on or w > 0.5 and own_mass[container[e]] >= LINE_SHARE * own_text[container[e]] or page.heading[i] and not low[e])
+        for i, e, on, w in zip(lines, element, content.tolist(), weight.tolist(), strict=True)
+    ]
+    # a headline may stand just before the region
+    if any(kept) and not any(k and page.heading[i] for k, i in zip(kept, lines, strict=True)):
+        before = [k for k in range(kept.index(True)) if page.heading[lines[k]] and not low[element[k]]]
+        if before:
+            kept[before[-1]] = True
+    return " ".join(page.text[i] for i, k in zip(lines, kept, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

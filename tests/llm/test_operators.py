@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codemap_spark.llm import common, components, embedding_dedup, exact_dedup, html, language_id, packing, quality, secrets, sentencepieces, token_count, vocabulary
+from codemap_spark.llm import common, components, embedding_dedup, exact_dedup, language_id, packing, quality, secrets, sentencepieces, token_count, vocabulary
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [None, "", "a", "A", "  \n", "Hello  world\n\tit's <|endoftext|> x² ½", "x " * 9000, "日本 語 😀", "password: hunter22 token=secret=abcdefgh", "password: hunter22 token=secret=abcdefgh", "▁ a▁b"]
@@ -28,15 +28,6 @@ def real(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
-def test_html_edges(spark):
-    page = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; all</h1><p><b>One<br>two<p>three  four</article><footer>&copy; x</footer>"
-    assert html.extract(page) == "Head & all One two three four"
-    assert html.extract(None) == html.extract("") == html.extract("<p></p>") == ""
-    rows = spark.createDataFrame([(1, "u", None, 0), (1, "u", page, 0)], "page_id long, url string, html string, text int")
-    assert sorted((r.text, r.n_chars) for r in html.extract_text(rows).collect()) == [("", 0), ("Head & all One two three four", 29)]
-    assert html.extract_text(rows.limit(0)).count() == 0
-
-
 def test_pre_tokens_like_the_library(real):
     rng = np.random.default_rng(1)
     texts = [r.text for r in real.limit(60).collect()] + [t or "" for t in TEXTS] + ["".join(rng.choice(list(" \n\t ab1_.É×ª'"), 20)) for _ in range(300)]
