@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codemap_spark.llm import common, components, embedding_dedup, exact_dedup, language_id, packing, quality, secrets, sentencepieces, token_count, vocabulary
+from codemap_spark.llm import common, components, exact_dedup, language_id, packing, quality, secrets, sentencepieces, token_count, vocabulary
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [None, "", "a", "A", "  \n", "Hello  world\n\tit's <|endoftext|> x² ½", "x " * 9000, "日本 語 😀", "password: hunter22 token=secret=abcdefgh", "password: hunter22 token=secret=abcdefgh", "▁ a▁b"]
@@ -144,22 +144,6 @@ def test_components(spark):
     assert found == {i: want[i] for a, b in pairs if a != b for i in (a, b)}
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "SLAB_ROWS", 100)
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((300, 64))
-    x = np.vstack([x, x[:60] + rng.standard_normal((60, 64)) * 0.45, x[:20], np.repeat(x[5:6], 40, 0) + rng.standard_normal((40, 64)) * 0.3]).astype(np.float32)
-    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (904, [1.0, None])]
-    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    links = u @ u.T >= 0.9
-    np.fill_diagonal(links, False)
-    label = components_of(len(x), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(links)))])
-    for i in range(len(x)):
-        assert found[i] == (int(links[i].sum()), label[i], label[i] == i)
-    assert all(found[i] == (0, i, True) for i in range(900, 905))
-
-
 def test_quality(spark, real):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     found = quality.classify(real, labels).join(labels, "doc_id").where("held_out").collect()
