@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,33 +48,46 @@ def codes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: At most so many keys can hold more than this share of the rows.
-HOT_KEYS = 4096
+HOT_KEYS = 1024
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, rows: int) -> DataFrame:
-    """``big`` joined with ``small``, which has every key once and in ``count``
-    how many of the ``rows`` rows of ``big`` hold it (or more than that).
+    """``big`` joined with ``small``, which has every key (a number or binary)
+    once and in ``count`` how many of the ``rows`` rows of ``big`` hold it (or
+    more than that).
 
     Keys above rows / HOT_KEYS, of which there are at most HOT_KEYS times the
-    overcount, are sent to every task, so no task gets all the rows of a hot
-    key; the others are joined by shuffle.  Null keys don't join.  ``big`` is
-    read twice.
+    overcount, are named in the plan and sent to every task, so no task gets
+    all the rows of a hot key; the others are joined by shuffle.  Null keys
+    don't join.  ``big`` is read twice if there are hot keys.
     """
-    least = rows // HOT_KEYS
-    hot, cold = F.broadcast(small.where(F.col(count) > least)), small.where(F.col(count) <= least)
-    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key))
+    hot = small.where(F.col(count) > rows // HOT_KEYS)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return big.join(small, key)
+    listed = ",".join(f"X'{bytes(k).hex()}'" if isinstance(k, (bytes, bytearray)) else f"{k}L" for k in keys)
+    is_hot = F.expr(f"`{key}` IN ({listed})")
+    return big.where(is_hot).join(F.broadcast(hot), key).unionByName(big.where(~is_hot).join(small.where(F.col(count) <= rows // HOT_KEYS), key))
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    survives lost executors and is computed once."""
+    survives lost executors and is computed once.  The folder's owner removes
+    what is left in it when the results have been written."""
     path = shared_path(df.sparkSession, name)
     schema = df.schema
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps now: it
+    follows the driver's garbage collector, which may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_crc32(col: str):
     """CRC-32 of the id's decimal text, as the held-out rule wants it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import binary_buffer, codes_of, join_counted, materialise, prepare, slices, splitmix
+from .common import binary_buffer, codes_of, join_counted, materialise, prepare, release, slices, splitmix
 from .components import components
 from .textarrays import substring_hashes, words_of
 
@@ -70,8 +69,11 @@ class Terms:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         hashes, document = shingles(data, offsets)
-        order = np.lexsort((hashes, document))
-        hashes, document = hashes[order], document[order]
+        order = np.argsort(hashes)
+        document = document[order]
+        narrow = document.astype(np.uint16) if len(offsets) <= 1 << 16 else document
+        again = np.argsort(narrow, kind="stable")  # of few bits: a radix sort
+        hashes, document = hashes[order[again]], document[again]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
         first = np.flatnonzero(new)
@@ -127,7 +129,7 @@ def _base_levels(samples: int, base: float) -> np.ndarray:
     _, r, c, beta = _variates(samples)
     out = np.empty_like(c)
     for j in range(samples):
-        t = np.floor(np.float64(math.log(base)) / r[j] + beta[j])
+        t = np.floor(np.float32(math.log(base)) / r[j] + beta[j])
         out[j] = c[j] - r[j] * (t - beta[j] + 1)
     return out
 
@@ -144,27 +146,26 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, bas
     odd, r, c, beta = _variates(samples)
     levels = _base_levels(samples, base)
     first = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
-    log_weight = np.log(weight)
+    size = np.diff(np.append(first, len(hashes)))
+    log_weight = np.log(weight).astype(np.float32)
     other = np.flatnonzero(weight != base)
+    other_weight = log_weight[other]
     keys = np.zeros((documents, BANDS), np.uint64)
-    index = np.arange(len(hashes), dtype=np.uint64)
     sample_keys = np.zeros((samples, len(first)), np.uint64)
 
     def level(j, entry, log_s):
-        t = np.floor(log_s / r[j, entry] + beta[j, entry])
-        return c[j, entry] - r[j, entry] * (t - beta[j, entry] + 1), t
+        width = r[j][entry]
+        t = np.floor(log_s / width + beta[j][entry])
+        return c[j][entry] - width * (t - beta[j][entry] + 1), t
 
     with np.errstate(over="ignore"):
         for j in range(samples):
-            entry = ((hashes * odd[j]) >> np.uint64(64 - POOL_BITS)).astype(np.int64)
+            entry = ((hashes * odd[j]) >> np.uint64(64 - POOL_BITS)).astype(np.uint16)
             a = levels[j][entry]
             if len(other):
-                a[other] = level(j, entry[other], log_weight[other])[0]
-            # order-preserving bits of a float, then the place
-            bits = a.view(np.uint32)
-            bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
-            best = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | index, first) & np.uint64(0xFFFFFFFF)
-            best = best.astype(np.int64)
+                a[other] = level(j, entry[other], other_weight)[0]
+            least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), size))
+            best = least[np.searchsorted(least, first)]  # the first of each document's least
             _, t = level(j, entry[best], log_weight[best])
             sample_keys[j] = splitmix((entry[best].astype(np.uint64) << np.uint64(32)) ^ t.astype(np.int64).view(np.uint64) ^ (np.uint64(j) << np.uint64(56)))
         for b in range(BANDS):
@@ -175,46 +176,45 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, bas
     return keys
 
 
-def _elements(texts: pa.Array, frequencies: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Every document's elements: (codes, weights), the k-th occurrence of a
-    shingle as an element of its own, so that minimum and maximum are set
-    operations."""
+def _weighted(texts: pa.Array, frequencies: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes in order, term frequencies, idf) of every document's shingles."""
     out, at = [], 0
     for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
         terms = Terms(*binary_buffer(part.column("text")))
-        weight = np.empty(len(terms.hashes))
-        for k in range(part.num_rows):
-            a, b = terms.bounds[k], terms.bounds[k + 1]
-            weight[a:b] = _large(frequencies[at + k], b - a)
-        weight = idf(weight, documents)
-        nth = np.arange(terms.tf.sum()) - np.repeat(np.cumsum(terms.tf) - terms.tf, terms.tf)
-        codes = np.repeat(terms.hashes, terms.tf)
-        codes[nth > 0] = splitmix(codes[nth > 0] ^ splitmix(nth[nth > 0].astype(np.uint64)))
-        weight = np.repeat(weight, terms.tf)
-        ends = np.append(0, np.cumsum(terms.tf))[terms.bounds]
-        out += [(codes[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        count = np.empty(len(terms.hashes))
+        for k, (a, b) in enumerate(zip(terms.bounds[:-1].tolist(), terms.bounds[1:].tolist(), strict=True)):
+            count[a:b] = _large(frequencies[at + k], b - a)
+        weight = idf(count, documents)
+        out += [(terms.hashes[a:b], terms.tf[a:b], weight[a:b]) for a, b in zip(terms.bounds[:-1], terms.bounds[1:], strict=True)]
         at += part.num_rows
     return out
 
 
-def similarities(left: list, right: list) -> np.ndarray:
-    """Weighted Jaccard similarity of pairs of documents' elements."""
-    pairs = len(left)
-    size = [np.fromiter((len(e[0]) for e in side), np.int64, pairs) for side in (left, right)]
-    if not sum(map(len, (e[0] for e in left))):
-        return np.zeros(pairs)
-    pair = np.concatenate([np.repeat(np.arange(pairs), n) for n in size])
-    codes = np.concatenate([e[0] for side in (left, right) for e in side])
-    weight = np.concatenate([e[1] for side in (left, right) for e in side])
-    total = np.bincount(pair, weight, pairs)
-    with np.errstate(over="ignore"):
-        place, _ = codes_of(splitmix(codes ^ splitmix(pair.astype(np.uint64))))
-    cut = int(size[0].sum())
-    both = np.zeros(int(place.max()) + 1, bool)
-    both[place[:cut]] = True
-    shared = both[place[cut:]]
-    common = np.bincount(pair[cut:][shared], weight[cut:][shared], pairs)
-    return np.divide(common, total - common, out=np.zeros(pairs), where=total > common)
+def similarity_of(left: tuple, right: tuple) -> float:
+    """Weighted Jaccard similarity of two documents of ``_weighted``."""
+    (h, m, w), (g, n, v) = left, right
+    if not len(h) or not len(g):
+        return 0.0
+    at = np.minimum(np.searchsorted(g, h), len(g) - 1)
+    on = np.flatnonzero(g[at] == h)
+    common = float((np.minimum(m[on], n[at[on]]) * w[on]).sum())
+    return common / max(float(m @ w + n @ v) - common, 1e-300)
+
+
+def _elements(weighted: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, weights) of documents of ``_weighted``, the k-th occurrence of a
+    shingle as an element of its own, so that minimum and maximum are set
+    operations."""
+    out = []
+    for hashes, tf, weight in weighted:
+        more = np.flatnonzero(tf > 1)
+        if len(more):
+            nth = np.concatenate([np.arange(1, k) for k in tf[more].tolist()])
+            again = np.repeat(more, tf[more] - 1)
+            hashes = np.concatenate([hashes, splitmix(hashes[again] ^ splitmix(nth.astype(np.uint64)))])
+            weight = np.concatenate([weight, weight[again]])
+        out.append((hashes, weight))
+    return out
 
 
 def _pair_matrix(elements: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -324,25 +324,19 @@ def _opened(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
     return order, np.array([held[d][0] for d in order], np.int64), [held[d][1] for d in order]
 
 
-def _terms(texts: list[bytes]) -> Iterator[tuple[int, int, Terms]]:
-    """(first text, text after the last, terms) of runs of texts."""
-    at = 0
+def _census(texts: list[bytes]) -> tuple[list[tuple[int, int, Terms]], np.ndarray, np.ndarray, np.ndarray]:
+    """A block's runs of texts (first, after the last, terms); its distinct
+    hashes in order; the order of all its hashes by hash; and which of those
+    are the first of their kind."""
+    runs, at = [], 0
     for part in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])], "text"):
-        yield at, at + part.num_rows, Terms(*binary_buffer(part.column("text")))
+        runs.append((at, at + part.num_rows, Terms(*binary_buffer(part.column("text")))))
         at += part.num_rows
-
-
-def _census(texts: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes in order, rows that hold each) of a block."""
-    hashes, rows = [], []
-    for a, b, terms in _terms(texts):
-        hashes.append(terms.hashes)
-        rows.append(copies[a:b][terms.document])
-    hashes, rows = np.concatenate(hashes), np.concatenate(rows)
+    hashes = np.concatenate([t.hashes for _, _, t in runs])
     order = np.argsort(hashes)
-    hashes, rows = hashes[order], rows[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    return hashes[first], np.add.reduceat(rows, first)
+    hashes = hashes[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])
+    return runs, hashes[new], order, new
 
 
 def _frequencies(dealt: DataFrame, ranges: int) -> DataFrame:
@@ -356,7 +350,9 @@ def _frequencies(dealt: DataFrame, ranges: int) -> DataFrame:
 
     def send(table: pa.Table) -> pa.Table:
         _, copies, texts = _opened(table)
-        hashes, rows = _census(texts, copies)
+        runs, hashes, order, new = _census(texts)
+        rows = np.concatenate([copies[a:b][terms.document] for a, b, terms in runs])
+        rows = np.add.reduceat(rows[order], np.flatnonzero(new))
         at = bounds(hashes).tolist()
         used = [k for k in range(ranges) if at[k] < at[k + 1]]
         return pa.table(
@@ -409,13 +405,16 @@ def _signed(dealt: DataFrame, frequencies: DataFrame, documents: int) -> DataFra
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py()
-        digests, copies, texts = _opened(left)
-        hashes, _ = _census(texts, copies)
+        digests, _, texts = _opened(left)
+        runs, _, order, new = _census(texts)
         right = right.sort_by("range")
-        counts = np.concatenate([_large(raw, n) for raw, n in zip(right.column("frequencies").to_pylist(), right.column("n").to_pylist(), strict=True)])
-        blobs, bands = [], []
-        for a, b, terms in _terms(texts):
-            count = counts[np.searchsorted(hashes, terms.hashes)]
+        found = np.concatenate([_large(raw, n) for raw, n in zip(right.column("frequencies").to_pylist(), right.column("n").to_pylist(), strict=True)])
+        counts = np.empty(len(order), np.int64)
+        counts[order] = found[np.cumsum(new) - 1]
+        blobs, bands, at = [], [], 0
+        for a, b, terms in runs:
+            count = counts[at : at + len(terms.hashes)]
+            at += len(count)
             blobs += [_small(count[i:j]) for i, j in zip(terms.bounds[:-1], terms.bounds[1:], strict=True)]
             bands.append(signatures(terms.hashes, terms.document, terms.tf * idf(count, documents), base, b - a))
         bands = np.concatenate(bands)
@@ -448,7 +447,7 @@ def _linked_members(members: DataFrame, texts: DataFrame, similarity: float, doc
     """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64(F.lit(3), "node"), tiles).cast("int")
-    placed = members.select("band", "node", "component", own.alias("tile"), tiles.alias("tiles")).join(texts, "node")
+    placed = members.select("band", "node", "component", own.alias("tile"), tiles.alias("tiles")).join(texts.hint("merge"), "node")
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "text", "frequencies"
     )
@@ -485,7 +484,7 @@ def _linked_members(members: DataFrame, texts: DataFrame, similarity: float, doc
             left, right = (np.flatnonzero(tile == k) for k in (group[1], group[2]))
             if not len(left) or not len(right):
                 return
-            found = _pair_matrix(_elements(pa.array([r[3] for r in rows]), [r[4] for r in rows], documents), left, right) >= similarity
+            found = _pair_matrix(_elements(_weighted(pa.array([r[3] for r in rows]), [r[4] for r in rows], documents)), left, right) >= similarity
             component = np.array([r[2] for r in rows], np.int64)
             found &= component[left][:, None] != component[right][None, :]
             p, q = np.nonzero(found)
@@ -498,11 +497,10 @@ def _linked_members(members: DataFrame, texts: DataFrame, similarity: float, doc
                 for g, p, q in pairs:
                     of.setdefault((g, p), len(of))
                     of.setdefault((g, q), len(of))
-                elements = _elements(pa.array([small[g][p][3] for g, p in of]), [small[g][p][4] for g, p in of], documents)
-                found = similarities([elements[of[g, p]] for g, p, _ in pairs], [elements[of[g, q]] for g, _, q in pairs]) >= similarity
-                for k in np.flatnonzero(found).tolist():
-                    g, p, q = pairs[k]
-                    forest(small[g], [(p, q)])
+                weighted = _weighted(pa.array([small[g][p][3] for g, p in of]), [small[g][p][4] for g, p in of], documents)
+                for g, p, q in pairs:
+                    if similarity_of(weighted[of[g, p]], weighted[of[g, q]]) >= similarity:
+                        forest(small[g], [(p, q)])
             small.clear()
             waiting[0] = 0
 
@@ -562,9 +560,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # a shingle begins at a word, and words have some six characters
     dealt = _deal(source, max(1, round(size / BLOCK_BYTES)))
     nodes = materialise(_signed(dealt, _frequencies(dealt, max(1, round(size / 6 / RANGE_SHINGLES))), documents), "near-nodes")
+    release(spark)
     texts = nodes.select("node", "text", "frequencies")
 
-    members = materialise(nodes.select("node", F.explode("bands").alias("band")).distinct(), "near-bands")
+    members = materialise(nodes.select("node", F.explode("bands").alias("band")), "near-bands")
     # the smallest node of a bucket is its hub: one candidate pair per member, not all pairs
     hubs = materialise(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
     starred = materialise(join_counted(members, hubs, "band", "n", members.count()).where("node <> hub"), "near-stars")
@@ -581,8 +580,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         dealt = pairs.select("a", "b", F.pmod(F.xxhash64(F.lit(5), "a"), salts).cast("int").alias("salt"))
         copies = pairs.groupBy("b").agg(F.max("n").alias("n")).select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         found = materialise(of_candidates(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), f"{name}-nodes"), f"{name}-texts")
-        left = dealt.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequencies").alias("frequencies_a")), "a")
-        right = copies.join(found, "node").select(F.col("node").alias("b"), "salt", F.col("text").alias("text_b"), F.col("frequencies").alias("frequencies_b"))
+        left = dealt.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequencies").alias("frequencies_a")).hint("merge"), "a")
+        right = copies.join(found.hint("merge"), "node").select(F.col("node").alias("b"), "salt", F.col("text").alias("text_b"), F.col("frequencies").alias("frequencies_b"))
         both = left.join(right.hint("shuffle_hash"), ["b", "salt"]).select("a", "b", "text_a", "text_b", "frequencies_a", "frequencies_b")
 
         def run(batches):
@@ -592,15 +591,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     # a hub's text comes with each of its pairs, side by side
                     new = np.append(True, b[1:] != b[:-1])
                     own = pa.array(np.flatnonzero(new))
-                    hubs = _elements(batch.column("text_b").take(own), batch.column("frequencies_b").take(own).to_pylist(), documents)
-                    left = _elements(batch.column("text_a"), batch.column("frequencies_a").to_pylist(), documents)
-                    found = similarities(left, [hubs[k] for k in (np.cumsum(new) - 1).tolist()])
+                    hubs = _weighted(batch.column("text_b").take(own), batch.column("frequencies_b").take(own).to_pylist(), documents)
+                    left = _weighted(batch.column("text_a"), batch.column("frequencies_a").to_pylist(), documents)
+                    found = [similarity_of(x, hubs[k]) for x, k in zip(left, (np.cumsum(new) - 1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
 
         return materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
 
     pairs = materialise(starred.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "near-pairs")
     stars = verify(pairs, "near-verified")
+    release(spark)
     edges = stars.where(F.col("similarity") >= similarity).select("a", "b")
     labels = materialise(components(edges), "near-labels")
     # Members that their hub doesn't reach may link with others of the bucket.
