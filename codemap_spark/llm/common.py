@@ -52,8 +52,8 @@ HOT_KEYS = 1024
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, rows: int) -> DataFrame:
-    """``big`` joined with ``small``, which has every key (a number or binary)
-    once and in ``count`` how many of the ``rows`` rows of ``big`` hold it (or
+    """``big`` joined with ``small``, which has every key (a number, binary
+    or a hex string) once and in ``count`` how many of the ``rows`` rows of ``big`` hold it (or
     more than that).
 
     Keys above rows / HOT_KEYS, of which there are at most HOT_KEYS times the
@@ -65,7 +65,7 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, rows: i
     keys = [r[0] for r in hot.select(key).collect()]
     if not keys:
         return big.join(small, key)
-    listed = ",".join(f"X'{bytes(k).hex()}'" if isinstance(k, (bytes, bytearray)) else f"{k}L" for k in keys)
+    listed = ",".join(f"'{k}'" if isinstance(k, str) else f"{k}L" if isinstance(k, int) else f"X'{bytes(k).hex()}'" for k in keys)
     is_hot = F.expr(f"`{key}` IN ({listed})")
     return big.where(is_hot).join(F.broadcast(hot), key).unionByName(big.where(~is_hot).join(small.where(F.col(count) <= rows // HOT_KEYS), key))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import join_counted, materialise
 
 #: The base patterns, in the order that breaks ties of a start.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,14 +98,17 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = materialise(candidates(docs, id_col, text_col, owner_col, repository_cols), "secret-candidates")
     most = max(max_owners, min(wide_owners, (found.select("owner").distinct().count() + 1) // 2))
-    keyed = found.where("kind is not null").select(F.sha2("value", 256).alias("digest"), "owner", "repository")
+    spans = found.where("kind is not null").withColumn("digest", F.sha2("value", 256)).drop("value")
     # distinct (value, owner, repository), then (value, owner), then value: every
     # step combines before its shuffle, so a common value stays small
-    owned = keyed.groupBy("digest", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
-    frequency = owned.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    # rows without a candidate get keys of their own rather than one shared null
-    digest = F.when(F.col("kind").isNotNull(), F.sha2("value", 256)).otherwise(F.concat(F.lit("-"), F.col("row").cast("string")))
-    joined = found.select("row", "id", "text_key", "kind", "start", "end", digest.alias("digest")).join(frequency, "digest", "left")
+    owned = spans.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n")).groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    frequency = owned.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    frequency = materialise(frequency, "secret-values")
+    counted = join_counted(spans, frequency, "digest", "n", spans.count()).select("row", "id", "text_key", "kind", "start", "end", "owners", "repositories")
+    # rows without a candidate meet no value
+    none = F.lit(None)
+    anchors = found.where("kind is null").select("row", "id", "text_key", none.cast("int").alias("kind"), none.cast("int").alias("start"), none.cast("int").alias("end"), none.cast("bigint").alias("owners"), none.cast("bigint").alias("repositories"))
+    joined = counted.unionByName(anchors)
     reported = F.col("kind").isNotNull() & ((F.col("kind") < BASE) | (F.col("owners") <= most))
     span = F.when(reported, F.struct("start", "kind", "end", "owners", "repositories", (F.col("owners") > most).alias("copied")))
     return joined.groupBy("row", "id", "text_key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
@@ -116,16 +119,19 @@ def kind_name(kind: Column) -> Column:
 
 
 def _joined(spans: Column) -> Column:
+    """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind_name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = 1, wide_owners: int = 10, **columns) -> DataFrame:
-    """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one
-    row per input row.
-
-    Null and empty texts have no spans; repeated rows repeat; an empty table
-    gives an empty one.  n_live counts the reported spans whose value isn't
-    widely copied (see ``scan_spans``), n_copied the others.  Null owners count as one.
+    """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    ownership: one row per input row.
+
+    Null and empty texts have no spans; repeated rows repeat, null ids too; an
+    empty table gives an empty one.  n_live counts the reported spans whose
+    value isn't widely copied (see ``scan_spans``), n_copied the others;
+    ownership gives owners:repositories:live or owners:repositories:copied of
+    every reported span, in the order of ``spans``.  Null owners count as one.
     """
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < BASE)
@@ -142,13 +148,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ow
         _joined(spans).alias("spans"),
         F.size(F.filter(spans, lambda s: ~s["copied"])).cast("bigint").alias("n_live"),
         F.size(F.filter(spans, lambda s: s["copied"])).cast("bigint").alias("n_copied"),
+        F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["owners"].cast("string"), s["repositories"].cast("string"), F.when(s["copied"], "copied").otherwise("live"))), ",").alias("ownership"),
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", max_owners: int = 1, wide_owners: int = 10, **columns) -> DataFrame:
     """The rows of ``docs``, same columns, every reported span replaced by
     ``mark``; overlapping spans become one mark.  Texts without spans, null
-    ones included, stay as they are, and so do all columns but the text."""
+    ones included, stay as they are, and so do all columns but the text; rows
+    with a null id are edited like others."""
     found = scan_spans(docs, id_col, text_col, max_owners=max_owners, wide_owners=wide_owners, **columns).where(F.size("spans") > 0)
     text = F.coalesce(F.col(text_col), F.lit(""))
     # equal ids with different texts are told apart by the text's digest
@@ -162,7 +170,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             F.when(s["start"] >= acc["end"], F.concat(acc["text"], F.substring(text, acc["end"] + 1, s["start"] - acc["end"]), F.lit(mark))).otherwise(acc["text"]).alias("text"),
         ),
     )
-    edited = rows.join(spans, (rows[id_col] == spans["__id"]) & (rows["__key"] == spans["__key"]), "left")
+    edited = rows.join(spans.withColumnRenamed("__key", "__found"), rows[id_col].eqNullSafe(F.col("__id")) & (rows["__key"] == F.col("__found")), "left")
     done = F.concat(F.col("__cut.text"), F.substring(text, F.col("__cut.end") + 1, F.char_length(text)))
     out = edited.withColumn("__cut", F.when(F.col("spans").isNotNull(), cut))
     return out.select(*[F.when(F.col("spans").isNotNull(), done).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

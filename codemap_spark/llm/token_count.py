@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, slices
+from .common import join_counted, materialise, prepare, slices
 from .vocabulary import encoder, version
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
@@ -44,7 +44,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     empty table gives an empty one.  Other columns aren't read.  Each append is
     a folder of its own, committed by Spark's writer, so a lost executor or a
     failed run leaves no half-written counts; should two runs append a digest
-    twice, the reader takes one of the equal counts.
+    twice, the reader takes one of the equal counts.  Very common texts are
+    joined by sending their counts to every task.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -64,6 +65,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([own] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.parquet(f"{cache_path.rstrip('/')}/append-{uuid.uuid4().hex}")
-    counts = read_cache(spark, cache_path).where(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    keyed = docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), digest.alias("digest"))
-    return keyed.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    keyed = materialise(docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), digest.alias("digest")), "token-keys")
+    cached = read_cache(spark, cache_path).where(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = materialise(keyed.groupBy("digest").agg(F.count("*").alias("rows")).join(cached, "digest"), "token-counts")
+    found = join_counted(keyed, counts, "digest", "rows", keyed.count())
+    return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

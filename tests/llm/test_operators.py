@@ -224,6 +224,20 @@ def test_ownership(spark):
     assert "keyed" not in found[1] and "keyed" in found[3]
 
 
+def test_owners_of_base_spans(spark):
+    """A base value that most owners hold stays, and is told from a live one."""
+    rows = [(i, f"password = example123 {'ab12' * 9}x", "en", f"s{i % 5}") for i in range(40)] + [(99, "password = mine98765", "en", "s0"), (None, "token=onlyhere1", "en", None), (None, "token=onlyhere1", "de", None)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    by = collections.Counter((r.doc_id if r.doc_id in (None, 99) else 0, r.n_assign, r.n_hex, r.n_live, r.n_copied, r.ownership) for r in found)
+    assert by == {(0, 1, 1, 0, 2, "5:5:copied,5:5:copied"): 40, (99, 1, 0, 1, 0, "1:1:live"): 1, (None, 1, 0, 1, 0, "1:2:live"): 2}
+
+
+def test_redact_null_ids(spark):
+    rows = [(None, "password: hunter22", 1), (None, "nothing", 2), (None, None, 3), (5, "password: hunter22", 4), (5, "clean", 5)]
+    cut = secrets.redact(spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in rows], "doc_id long, text string, lang string, source string, row int")).collect()
+    assert sorted((r.row, r.text) for r in cut) == [(1, "[SECRET]"), (2, "nothing"), (3, None), (4, "[SECRET]"), (5, "clean")]
+
+
 def test_private_keys(spark):
     def block(n, end=True):
         body = "\n".join(hashlib.sha512(f"{n}/{i}".encode()).hexdigest()[:64].replace("a", "Q") for i in range(4))
