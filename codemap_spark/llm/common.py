@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -78,14 +79,27 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     schema = df.schema
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing reads any more."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._shared_path)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps now: it
-    follows the driver's garbage collector, which may take half an hour."""
+    follows the driver's garbage collector, which may take half an hour.  Twice,
+    as the last job is held until the first collection has been seen."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def id_crc32(col: str):

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import binary_buffer, codes_of, join_counted, materialise, prepare, release, slices, splitmix
+from .common import binary_buffer, codes_of, discard, join_counted, materialise, prepare, release, slices, splitmix
 from .components import components
 from .textarrays import substring_hashes, words_of
 
@@ -596,8 +596,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     found = [similarity_of(x, hubs[k]) for x, k in zip(left, (np.cumsum(new) - 1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
 
-        return materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
+        out = materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
+        discard(found)
+        return out
 
+    discard(members)
     pairs = materialise(starred.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "near-pairs")
     stars = verify(pairs, "near-verified")
     release(spark)
@@ -611,11 +614,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     far = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"))
     named = starred.join(far, ["node", "hub"]).join(labels.withColumnRenamed("id", "node"), "node", "left").select("band", "node", "far", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "near-named")
+    discard(starred)
     centres = hubs.join(labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub")), "hub", "left").select("band", "n", F.coalesce("of_hub", "hub").alias("hub_component"))
     around = materialise(join_counted(named, materialise(centres, "near-centres"), "band", "n", named.count()), "near-around")
     nearest = around.where("component <> hub_component").groupBy("band").agg(F.min("far").alias("nearest"), F.max("n").alias("all"))
     placed = join_counted(around.drop("n"), materialise(nearest, "near-nearest"), "band", "all", named.count()).where(F.col("far") >= F.col("nearest") - slack).select("band", "node", "component")
     placed = materialise(placed, "near-placed")
+    discard(around)
     member_set = [F.sum(F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 40))).alias(f"set{k}") for k in range(3)]
     sets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *member_set).where("low <> high")
     # the same members often meet in several bands: once is enough
