@@ -33,7 +33,8 @@ MEASURES: dict[str, tuple[float, ...]] = {
 }
 BINS = 8
 FEATURES = len(MEASURES) * BINS * 3 + 1  # own, previous, next; and one for no neighbour
-EMPTY_BIN = 255
+#: Lines that follow one another and are learnt from together, in a long text.
+RUN_LINES = 50
 
 
 def line_bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,10 +169,25 @@ def fit_field(index: np.ndarray, size: np.ndarray, label: np.ndarray, rounds: in
     return theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4_096, max_lines: int = 120_000) -> dict:
-    """Fit on at most about ``max_rows`` labelled documents, chosen by a hash
-    of the id, and their first lines up to ``max_lines`` in all; the lines'
-    bins, not the texts, come to the driver.
+def chosen_runs(lines: int, id_: int, most: int, run: int = RUN_LINES) -> list[tuple[int, int]]:
+    """Bounds of the runs of a text's lines to learn from: all of them, or the
+    ``most // run`` runs of least hash of (id, place), wherever they stand."""
+    if lines <= most:
+        return [(0, lines)]
+    starts = np.arange(0, lines, run)
+    order = np.argsort(splitmix(splitmix(np.array([id_], np.int64).view(np.uint64)) ^ starts.astype(np.uint64)), kind="stable")
+    return [(int(a), min(int(a) + run, lines)) for a in sorted(starts[order[: max(1, most // run)]].tolist())]
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4_096, max_lines: int = 120_000, text_lines: int = 400
+) -> dict:
+    """Fit on a bounded sample of the labelled documents that aren't held out.
+
+    Of each label at most about ``max_rows`` / 2 documents, chosen by a hash of
+    the id (all of a rarer label), and ``max_lines`` / 2 lines; of one text at
+    most ``text_lines`` lines, in runs of RUN_LINES from anywhere in it, each a
+    chain of its own.  The lines' bins, not the texts, come to the driver.
 
     Repeated labels of an id count by their minimum; labels other than 0 and 1
     or null are left out.  Without both labels the score is their prior.
@@ -180,30 +196,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prepare(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
     known = known.where(~held_out(id_col))
-    share = min(1.0, max_rows / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # at most max_rows ids: small enough to send to every task
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0)
+    for value, n in counts.items():
+        share = F.when(F.col("label") == value, int(min(1.0, max_rows / 2 / n) * (1 << 20))).otherwise(share)
+    known = known.where(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(1 << 20)) < share)
+    # at most about max_rows ids: small enough to send to every task
     chosen = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), id_col).select(F.col(id_col).cast("bigint").alias("id"), "label", "text")
 
     def measure(batches):
         for batch in slices(batches, "text"):
-            data, offsets = binary_buffer(batch.column("text"))
-            bins, length, document = line_bins(data, offsets)
-            cut = np.searchsorted(document, np.arange(batch.num_rows + 1))
-            blobs = [bins[a : min(b, a + 400)].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(blobs, pa.binary())], names=["id", "label", "bins"])
+            bins, _, document = line_bins(*binary_buffer(batch.column("text")))
+            cut = np.searchsorted(document, np.arange(batch.num_rows + 1)).tolist()
+            rows = []
+            for id_, label, a, b in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), cut[:-1], cut[1:], strict=True):
+                rows += [(id_, label, c, bins[a + c : a + d].tobytes()) for c, d in chosen_runs(b - a, id_, text_lines)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["id", "label", "at", "bins"])
 
-    rows = sorted(chosen.mapInArrow(measure, "id bigint, label int, bins binary").collect(), key=lambda r: (splitmix(np.array([r.id], np.int64).view(np.uint64))[0], r.id, r.bins))
-    prior = (sum(r.label for r in rows) + 1) / (len(rows) + 2)
-    held, size, label, lines = [], [], [], 0
+    rows = chosen.mapInArrow(measure, "id bigint, label int, at int, bins binary").collect()
+    rows = sorted(rows, key=lambda r: (splitmix(np.array([r.id], np.int64).view(np.uint64))[0], r.id, r.at, r.bins))
+    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    held, size, label, lines = [], [], [], {0: 0, 1: 0}
     for r in rows:
         bins = np.frombuffer(r.bins, np.uint8).reshape(-1, len(MEASURES))
-        if len(bins) and lines + len(bins) <= max_lines:
+        # whole runs in order of the ids' hashes until a label has its lines, so long texts fare like others
+        if len(bins) and lines[r.label] < max_lines // 2:
             held.append(bins)
             size.append(len(bins))
             label.append(r.label)
-            lines += len(bins)
+            lines[r.label] += len(bins)
     if len(set(label)) < 2:
         return {"prior": prior, "weight": None, "transition": None}
     size_of = np.asarray(size)
