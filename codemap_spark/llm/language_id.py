@@ -22,27 +22,34 @@ DIMENSIONS = 1024
 SEED = 77
 
 
-@lru_cache(maxsize=4096)
+#: Trigram vectors that are held at once.
+GRAMS = 4096
+
+
+@lru_cache(maxsize=16_384)
 def letter_vector(code: int) -> np.ndarray:
     """Letter vector of a code point; 0 is the word boundary."""
-    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
+    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
 
 
 def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, has a letter) of texts; zeros where no letter is."""
+    """(unit vectors, has a letter) of texts; zeros where no letter is.
+
+    The vectors of GRAMS distinct trigrams at a time are held, whatever the
+    texts' alphabets."""
     n = len(texts)
     joined = "\n".join(["", *texts, ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     present = np.unique(codes) if len(codes) and codes.max() > 1 << 17 else np.flatnonzero(np.bincount(codes))
-    letters = [int(c) for c in present if chr(c).isalpha()]
-    table = np.zeros(int(present.max()) + 1, np.int64)
+    letters = np.array([int(c) for c in present if chr(c).isalpha()], np.int64)
+    table = np.zeros(int(present.max()) + 1, np.int32)
     table[letters] = np.arange(1, len(letters) + 1)
     symbol, k = table[codes], len(letters) + 1
     lengths = np.fromiter(map(len, texts), np.int64, n)
     begin = np.cumsum(lengths + 1) - lengths
-    document = np.zeros(len(codes), np.int64)
+    document = np.zeros(len(codes), np.int32)
     document[begin[1:] - 1] = 1
-    document = np.cumsum(document)
+    document = np.cumsum(document, dtype=np.int32)
     a, b, c = symbol[:-2], symbol[1:-1], symbol[2:]
     on = np.flatnonzero((b > 0) & ((a > 0) | (c > 0)))
     has = np.zeros(n, bool)
@@ -50,25 +57,36 @@ def document_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, DIMENSIONS), np.float32)
     if not len(on):
         return out, has
-    gram, where = (a[on] * k + b[on]) * k + c[on], document[on + 1]
+    gram, where = (a[on].astype(np.int64) * k + b[on]) * k + c[on], document[on + 1]
     if k**3 <= 1 << 24:
         seen = np.flatnonzero(np.bincount(gram, minlength=1))
-        place = np.zeros(int(seen[-1]) + 1, np.int64)
+        place = np.zeros(int(seen[-1]) + 1, np.int32)
         place[seen] = np.arange(len(seen))
         at = place[gram]
     else:
         seen, at = np.unique(gram, return_inverse=True)
-    vectors = np.stack([letter_vector(0), *map(letter_vector, letters)])
-    grams = np.roll(vectors, 2, 1)[seen // (k * k)]
-    grams *= np.roll(vectors, 1, 1)[seen // k % k]
-    grams *= vectors[seen % k]
-    step = max(1, (1 << 22) // len(seen))
-    order = np.searchsorted(where, np.arange(0, n + step, step))
-    for i, first in enumerate(range(0, n, step)):
-        m = min(step, n - first)
-        part = slice(order[i], order[i + 1])
-        counts = np.bincount((where[part] - first) * len(seen) + at[part], minlength=m * len(seen)).reshape(m, len(seen))
-        out[first : first + m] = counts.astype(np.float32) @ grams
+    step = (1 << 22) // GRAMS
+    if len(seen) > GRAMS:
+        order = np.argsort(at // GRAMS, kind="stable")  # documents stay in order within a block
+        at, where = at[order], where[order]
+    cuts = np.searchsorted(at // GRAMS, np.arange(-(-len(seen) // GRAMS) + 1))
+    known = np.append(0, letters)
+    for g in range(len(cuts) - 1):
+        part = seen[g * GRAMS : (g + 1) * GRAMS]
+        used, spot = np.unique(np.stack([part // (k * k), part // k % k, part % k]), return_inverse=True)
+        vectors = np.stack([letter_vector(int(x)) for x in known[used]])
+        spot = spot.reshape(3, -1)
+        grams = np.roll(vectors, 2, 1)[spot[0]]
+        grams *= np.roll(vectors, 1, 1)[spot[1]]
+        grams *= vectors[spot[2]]
+        grams = grams.astype(np.float32)
+        own_at, own = at[cuts[g] : cuts[g + 1]] - g * GRAMS, where[cuts[g] : cuts[g + 1]]
+        bounds = np.searchsorted(own, np.arange(0, n + step, step))
+        for i, first in enumerate(range(0, n, step)):
+            if bounds[i] < bounds[i + 1]:
+                m, rows = min(step, n - first), slice(bounds[i], bounds[i + 1])
+                counts = np.bincount((own[rows] - first).astype(np.int64) * len(part) + own_at[rows], minlength=m * len(part)).reshape(m, len(part))
+                out[first : first + m] += counts.astype(np.float32) @ grams
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     return out, has
 
@@ -79,14 +97,17 @@ def _vectors(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_rows: int = 16_384) -> tuple[list[str], np.ndarray]:
-    """(languages in order, unit prototypes) from at most about ``max_rows``
-    labelled rows, chosen by a hash of the id; what comes to the driver is one
-    row per language and dimension."""
+    """(languages in order, unit prototypes) from labelled rows: of each
+    language at most about its even share of ``max_rows``, chosen by a hash of
+    the id, and all rows of a rarer one; what comes to the driver is one row
+    per language, and one per language and dimension."""
     prepare(docs.sparkSession)
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    share = min(1.0, max_rows / max(1, known.select("id", "lang").count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = {lang: int(max_rows / len(counts) / n * (1 << 30)) for lang, n in counts.items() if n * len(counts) > max_rows}
+    if shares:
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")), F.lit(1 << 30))
+        known = known.where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) < share)
 
     def bundle(batches):
         total: dict[str, np.ndarray] = {}
