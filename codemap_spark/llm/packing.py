@@ -19,9 +19,9 @@ from .common import prepare, slices, splitmix
 from .vocabulary import encoder
 
 DIMENSIONS, BITS, BUCKETS = 3, 12, 1024
-#: Rows that the range bounds are fitted on, and tokens of a range.
+#: Rows that the range bounds are fitted on, tokens of a range, and the most ranges.
 SAMPLE_ROWS = 8_192
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS, MAX_RANGES = 2_000_000, 1 << 20
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -79,8 +79,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Null text counts as empty (the end id alone); rows that repeat an id are
     packed each; an empty table gives an empty one; other columns aren't read.
-    Range bounds come from SAMPLE_ROWS documents; every document is packed.
-    Equal keys are dealt by a hash of the id, so copies spread over ranges.
+    Range bounds come from about SAMPLE_ROWS documents, chosen by a hash of id
+    and length, and lie between their keys where more ranges are wanted; every
+    document is packed.  Equal keys are dealt by a hash of the id, so copies
+    spread over ranges.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -97,7 +99,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     rows = source.count()
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    fitted = source if share == 1.0 else source.sample(share, seed=11)
+    fitted = source if share == 1.0 else source.where(F.pmod(F.xxhash64(F.lit(11), "id", F.char_length("text")), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = fitted.mapInArrow(sketch, "id bigint, n bigint, x double, y double, z double").toPandas()
     at = sample[["x", "y", "z"]].to_numpy()
     # cell bounds are the sample's quantiles, so that cells hold alike many documents
@@ -111,9 +113,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     sample_ids = sample["id"].fillna(0).to_numpy(np.int64)
     keys, weight = curve(at, sample_ids), sample["n"].to_numpy(np.int64)
     order = np.argsort(keys)
-    ranges = max(1, round(weight.sum() / share / RANGE_TOKENS)) if len(keys) else 1
+    ranges = min(MAX_RANGES, max(1, round(weight.sum() / share / RANGE_TOKENS))) if len(keys) else 1
     passed = np.cumsum(weight[order])
-    bounds = np.unique(keys[order][np.searchsorted(passed, passed[-1] * np.arange(1, ranges) / ranges)]) if ranges > 1 else np.zeros(0, np.int64)
+    # between two keys of the sample the bounds are as far apart as the tokens wanted
+    bounds = np.unique(np.interp(passed[-1] * np.arange(1, ranges) / ranges, passed, keys[order].astype(float)).astype(np.int64)) if ranges > 1 else np.zeros(0, np.int64)
 
     def tokens(batches):
         for batch in slices(batches, "text"):
