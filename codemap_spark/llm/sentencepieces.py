@@ -12,8 +12,8 @@ two are the cache's key.  Characters without a piece become byte pieces.
 from __future__ import annotations
 
 import heapq
-import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +27,8 @@ SPACE = "▁"
 MASK = (1 << 64) - 1
 MAX_CACHED = 700_000
 STEP = 0x9E3779B97F4A7C15
+#: Symbol of a place whose character is part of a symbol before it.
+GONE = -2
 #: Up to this many characters at most 63 merges come up: one for each pair at
 #: first, and two for each merge made.
 SHORT = 22
@@ -73,53 +75,84 @@ class Pieces:
         self.at = np.append(0, np.cumsum(self.width))[:-1]
         self.cache: dict[tuple[bytes, int], bytes] = {}
 
-    def segment(self, raw: bytes, key: int = 0) -> list[int]:
-        """ids of one segment; blanks are plain spaces here."""
-        text = raw.decode()
-        # a literal blank mark would decode as a space: it goes by its bytes
-        part = [SPACE if c == " " else "\x00mark" if c == SPACE else c for c in text]
-        score, limit = self.score, self.limit
+    def segment(self, raw: bytes, key: int = 0) -> array:
+        """ids of one segment; blanks are plain spaces here.  Symbols, links and
+        agenda are flat arrays, as a segment can be a whole text."""
+        if not hasattr(self, "pair_key"):
+            self._tables()
+        codes = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
+        sym = np.concatenate([self._symbols(codes[k : k + (1 << 18)]) for k in range(0, max(1, len(codes)), 1 << 18)])
+        size, limit, pair = len(sym), self.limit, self.pair
         key, turn = _mix(self.seed ^ key), -1
-        size = len(part)
-        before, after = list(range(-1, size - 1)), [*range(1, size), -1]
-        agenda = []
-        for i in range(size - 1):
-            found = score.get(part[i] + part[i + 1])
-            if found:
-                agenda.append((found[0], i, found[1], i + 1, len(part[i]) + len(part[i + 1])))
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, piece, j, width = heapq.heappop(agenda)
-            if part[i] is None or after[i] != j or len(part[i]) + len(part[j]) != width:
+        # of every pair that makes a piece, its rank above its place: numbers in the order of the agenda.
+        # Those of the start are sorted once; a heap holds what merges add
+        parts = []
+        for k in range(0, size - 1, 1 << 18):
+            at, rank = self._ranked(sym[k : min(k + (1 << 18), size - 1)].astype(np.int64), sym[k + 1 : k + (1 << 18) + 1].astype(np.int64))
+            parts.append((rank << 40) | (at + k))
+        first = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        del parts
+        sym = array("i", sym.tobytes())
+        before, after = array("i", range(-1, size - 1)), array("i", range(1, size + 1))
+        agenda, place, done, taken, ahead = [], (1 << 40) - 1, 0, 0, []
+        while True:
+            if taken == len(ahead) and done < len(first):
+                ahead, taken = first[done : done + 4096].tolist(), 0
+                done += len(ahead)
+            if taken < len(ahead) and (not agenda or ahead[taken] < agenda[0]):
+                top = ahead[taken]
+                taken += 1
+            elif agenda:
+                top = heapq.heappop(agenda)
+            else:
+                break
+            i = top & place
+            j = after[i]
+            if sym[i] == GONE or j >= size:
+                continue
+            found = pair(sym[i], sym[j])
+            if found is None or found[0] != top >> 40:
                 continue
             turn += 1
             if limit and _mix((key + turn * STEP) & MASK) >> 32 < limit:
                 continue
-            part[i] += part[j]
-            part[j] = None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                k = after[i]
-                found = score.get(part[i] + part[k])
+            sym[i], sym[j] = found[1], GONE
+            after[i] = k = after[j]
+            if k < size:
+                before[k] = i
+                found = pair(sym[i], sym[k])
                 if found:
-                    heapq.heappush(agenda, (found[0], i, found[1], k, len(part[i]) + len(part[k])))
-            if before[i] >= 0:
-                k = before[i]
-                found = score.get(part[k] + part[i])
+                    heapq.heappush(agenda, found[0] << 40 | i)
+            k = before[i]
+            if k >= 0:
+                found = pair(sym[k], sym[i])
                 if found:
-                    heapq.heappush(agenda, (found[0], k, found[1], i, len(part[k]) + len(part[i])))
-        out = []
-        for p in part:
-            if p is None:
-                continue
-            found = score.get(p)
-            if found:
-                out.append(found[1])
-            else:
-                out += [self.byte_ids[b] for b in (SPACE if p == "\x00mark" else p).encode()]
+                    heapq.heappush(agenda, found[0] << 40 | k)
+        out, i = array("i"), 0
+        while i < size:
+            if 0 <= sym[i] < len(self.width):
+                out.append(sym[i])
+            else:  # characters without a piece, and blanks on their own, go by their bytes
+                out.extend(self.byte_ids[x] for x in (SPACE if codes[i] == 32 else chr(codes[i])).encode())
+            i = after[i]
         return out
 
+    def _symbols(self, codes: np.ndarray) -> np.ndarray:
+        """Symbols of code points; -1 of those that no piece has."""
+        place = np.minimum(np.searchsorted(self.char_code, codes), len(self.char_code) - 1)
+        return np.where(self.char_code[place] == codes, self.char_symbol[place], -1).astype(np.int32)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, ranks) of the pairs that make a piece."""
+        k = np.where((left >= 0) & (right >= 0), left * self.symbols + right, -1)
+        i = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
+        at = np.flatnonzero(self.pair_key[i] == k)
+        return at, self.pair_rank[i[at]]
+
+    def pair(self, left: int, right: int) -> tuple[int, int] | None:
+        """(rank, piece) of two symbols, if they make one."""
+        return self.pairs.get(left * self.symbols + right) if left >= 0 and right >= 0 else None
+
     def _tables(self) -> None:
         """Pairs of symbols that make a piece, sorted by key, and known characters."""
         chars = sorted({c for p in self.score for c in p} | {SPACE})
@@ -130,13 +163,16 @@ class Pieces:
                 symbol[c] = extra
                 extra += 1
         self.symbols = extra
-        rank_of = {p: r for r, p in enumerate(sorted(self.score, key=self.score.get))}
+        # pieces of one score have one rank: of these the leftmost merge comes first
+        rank = {x: r for r, x in enumerate(sorted({x for x, _ in self.score.values()}))}
+        rank_of = {p: rank[x] for p, (x, _) in self.score.items()}
         pairs = {}
         for p in self.score:
             for k in range(1, len(p)):
                 left, right = symbol.get(p[:k]), symbol.get(p[k:])
                 if left is not None and right is not None:
                     pairs[left * extra + right] = (rank_of[p], symbol[p])
+        self.pairs = pairs
         self.pair_key = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.pair_rank = np.array([pairs[k][0] for k in self.pair_key.tolist()], np.int64)
         self.pair_piece = np.array([pairs[k][1] for k in self.pair_key.tolist()], np.int64)
@@ -158,8 +194,7 @@ class Pieces:
         texts = [r.decode() for r in raws]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
-        place = np.minimum(np.searchsorted(self.char_code, codes), len(self.char_code) - 1)
-        sym = np.where(self.char_code[place] == codes, self.char_symbol[place], -1)
+        sym = self._symbols(codes).astype(np.int64)
         word = np.repeat(np.arange(len(texts)), size)
         hard = size > 200
         hard[word[sym < 0]] = True

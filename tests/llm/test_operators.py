@@ -182,7 +182,7 @@ def test_pieces(docs, real):
     one = sentencepieces.Pieces(PIECE, 0.3, 7)
     raws = [(" " + w).encode() for w in texts[0].split()[:200]]
     both = one.segments(raws, np.arange(len(raws)) % 2)
-    assert [np.frombuffer(b, "<u2").tolist() for b in both] == [one.segment(r, k % 2) for k, r in enumerate(raws)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in both] == [list(one.segment(r, k % 2)) for k, r in enumerate(raws)]
 
 
 def test_dropout_by_occurrence(spark):
