@@ -27,7 +27,7 @@ from .components import components
 from .textarrays import substring_hashes, words_of
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 16, 4
 POOL_BITS = 16
 #: Bytes of text of a block, shingles of an owner's range, and bytes that a
 #: task holds before it sends texts on.
