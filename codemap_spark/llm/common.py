@@ -71,15 +71,21 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, rows: i
     return big.where(is_hot).join(F.broadcast(hot), key).unionByName(big.where(~is_hot).join(small.where(F.col(count) <= rows // HOT_KEYS), key))
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *partition_by: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    survives lost executors and is computed once.  The folder's owner removes
-    what is left in it when the results have been written."""
-    path = shared_path(df.sparkSession, name)
+    survives lost executors and is computed once.  A ``small`` table, a few
+    numbers a row and cheap to finish, is written by a sixteenth of the shuffle
+    partitions, as each file costs its writer calls to the file system and on
+    a local one processes.  The folder's owner removes what is left in it when
+    the results have been written."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     schema = df.schema
+    if small:
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._shared_path = path
     return out
 

@@ -390,9 +390,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         group = classes.select("digest", "node", "first", "copies").join(links, "node", "left").join(labels, "node", "left").select(
             "digest", "first", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")
         )
-        group = materialise(group, "vector-groups")
+        group = materialise(group, "vector-groups", small=True)
         named = group.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-        by_class = materialise(join_counted(group, named, "component", "n", group.count()).select("digest", "copies", "n_links", "component_id"), "vector-named")
+        by_class = materialise(join_counted(group, named, "component", "n", group.count()).select("digest", "copies", "n_links", "component_id"), "vector-named", small=True)
         linked = join_counted(known.select("id", "digest"), by_class, "digest", "copies", known.count()).select("id", "n_links", "component_id")
         out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -555,7 +555,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = materialise(surveyed.withColumn("row", F.monotonically_increasing_id()), "near-keys")
     documents = keys.count()
     classes = keys.where("digest is not null").groupBy("digest").agg(F.min(_first(F.col("id"), F.col("row"))).alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"))
-    classes = materialise(classes, "near-classes")
+    classes = materialise(classes, "near-classes", small=True)
     size = classes.agg(F.sum("size")).first()[0] or 0
     # a shingle begins at a word, and words have some six characters
     dealt = _deal(source, max(1, round(size / BLOCK_BYTES)))
@@ -563,15 +563,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     release(spark)
     texts = nodes.select("node", "text", "frequencies")
 
-    members = materialise(nodes.select("node", F.explode("bands").alias("band")), "near-bands")
+    members = nodes.select("node", F.explode("bands").alias("band"))
     # the smallest node of a bucket is its hub: one candidate pair per member, not all pairs
-    hubs = materialise(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs")
-    starred = materialise(join_counted(members, hubs, "band", "n", members.count()).where("node <> hub"), "near-stars")
+    hubs = materialise(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs", small=True)
+    starred = materialise(join_counted(members, hubs, "band", "n", nodes.count() * BANDS).where("node <> hub"), "near-stars", small=True)
 
-    def of_candidates(ids: DataFrame, name: str) -> DataFrame:
-        """The texts of some nodes, sent to the texts if they are few."""
-        ids = materialise(ids.distinct(), name)
-        return texts.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "node", "left_semi")
+    def of_candidates(ids: DataFrame, most: int) -> DataFrame:
+        """The texts of some nodes, of which there are at most ``most``; sent
+        to the texts if they are few."""
+        return texts.join(F.broadcast(ids.distinct()) if most <= 1_000_000 else ids, "node", "left_semi")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, similarity) of pairs a, b, n from both whole texts; n bounds
@@ -579,7 +579,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         salts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
         dealt = pairs.select("a", "b", F.pmod(F.xxhash64(F.lit(5), "a"), salts).cast("int").alias("salt"))
         copies = pairs.groupBy("b").agg(F.max("n").alias("n")).select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        found = materialise(of_candidates(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), f"{name}-nodes"), f"{name}-texts")
+        found = of_candidates(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
         left = dealt.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequencies").alias("frequencies_a")).hint("merge"), "a")
         right = copies.join(found.hint("merge"), "node").select(F.col("node").alias("b"), "salt", F.col("text").alias("text_b"), F.col("frequencies").alias("frequencies_b"))
         both = left.join(right.hint("shuffle_hash"), ["b", "salt"]).select("a", "b", "text_a", "text_b", "frequencies_a", "frequencies_b")
@@ -596,16 +596,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     found = [similarity_of(x, hubs[k]) for x, k in zip(left, (np.cumsum(new) - 1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
 
-        out = materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
-        discard(found)
-        return out
+        return materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
 
-    discard(members)
-    pairs = materialise(starred.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "near-pairs")
+    pairs = materialise(starred.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "near-pairs", small=True)
     stars = verify(pairs, "near-verified")
     release(spark)
     edges = stars.where(F.col("similarity") >= similarity).select("a", "b")
-    labels = materialise(components(edges), "near-labels")
+    labels = components(edges)
     # Members that their hub doesn't reach may link with others of the bucket.
     # The hub is done: it was compared with every member.  1 - similarity is a
     # metric, so of a pair in different components one is outside the hub's,
@@ -613,28 +610,29 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     slack = 1 - similarity + 1e-9
     far = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"))
     named = starred.join(far, ["node", "hub"]).join(labels.withColumnRenamed("id", "node"), "node", "left").select("band", "node", "far", F.coalesce("component", "node").alias("component"))
-    named = materialise(named, "near-named")
+    named = materialise(named, "near-named", small=True)
+    count = named.count()
     discard(starred)
     centres = hubs.join(labels.select(F.col("id").alias("hub"), F.col("component").alias("of_hub")), "hub", "left").select("band", "n", F.coalesce("of_hub", "hub").alias("hub_component"))
-    around = materialise(join_counted(named, materialise(centres, "near-centres"), "band", "n", named.count()), "near-around")
+    around = materialise(join_counted(named, centres, "band", "n", count), "near-around", small=True)
     nearest = around.where("component <> hub_component").groupBy("band").agg(F.min("far").alias("nearest"), F.max("n").alias("all"))
-    placed = join_counted(around.drop("n"), materialise(nearest, "near-nearest"), "band", "all", named.count()).where(F.col("far") >= F.col("nearest") - slack).select("band", "node", "component")
-    placed = materialise(placed, "near-placed")
+    placed = join_counted(around.drop("n"), nearest, "band", "all", count).where(F.col("far") >= F.col("nearest") - slack).select("band", "node", "component")
+    placed = materialise(placed, "near-placed", small=True)
     discard(around)
     member_set = [F.sum(F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 40))).alias(f"set{k}") for k in range(3)]
     sets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *member_set).where("low <> high")
     # the same members often meet in several bands: once is enough
-    mixed = materialise(sets.groupBy("n", "set0", "set1", "set2").agg(F.min("band").alias("band")).select("band", "n"), "near-mixed")
+    mixed = materialise(sets.groupBy("n", "set0", "set1", "set2").agg(F.min("band").alias("band")).select("band", "n"), "near-mixed", small=True)
     if not mixed.isEmpty():
-        unsettled = materialise(join_counted(placed, mixed, "band", "n", placed.count()), "near-unsettled")
-        added = materialise(_linked_members(unsettled, of_candidates(unsettled.select("node"), "near-unsettled-nodes"), similarity, documents), "near-crossed")
+        unsettled = materialise(join_counted(placed, mixed, "band", "n", placed.count()), "near-unsettled", small=True)
+        added = materialise(_linked_members(unsettled, of_candidates(unsettled.select("node"), unsettled.count()), similarity, documents), "near-crossed")
         if not added.isEmpty():
             labels = components(edges.union(added))
     grouped = nodes.select("node", "digest").join(labels.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    grouped = materialise(grouped.join(classes, "digest"), "near-grouped")
+    grouped = materialise(grouped.join(classes, "digest"), "near-grouped", small=True)
     sizes = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("group_size"), F.count("*").alias("n"))
-    by_class = join_counted(grouped, materialise(sizes, "near-sizes"), "component", "n", grouped.count()).select("digest", "copies", "kept", "group_size")
-    rows = join_counted(keys, materialise(by_class, "near-by-class"), "digest", "copies", documents)
+    by_class = join_counted(grouped, sizes, "component", "n", grouped.count()).select("digest", "copies", "kept", "group_size")
+    rows = join_counted(keys, materialise(by_class, "near-by-class", small=True), "digest", "copies", documents)
     linked = rows.select("id", F.col("kept.id").alias("component_id"), "group_size", (F.col("row") == F.col("kept.row")).alias("kept"), "text_md5")
     alone = keys.where("digest is null").select("id", F.col("id").alias("component_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_md5")
     return linked.unionByName(alone).withColumnRenamed("id", id_col)

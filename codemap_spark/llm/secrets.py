@@ -103,7 +103,7 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # step combines before its shuffle, so a common value stays small
     owned = spans.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n")).groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
     frequency = owned.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
-    frequency = materialise(frequency, "secret-values")
+    frequency = materialise(frequency, "secret-values", small=True)
     counted = join_counted(spans, frequency, "digest", "n", spans.count()).select("row", "id", "text_key", "kind", "start", "end", "owners", "repositories")
     # rows without a candidate meet no value
     none = F.lit(None)

@@ -67,6 +67,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses.mapInArrow(encode, CACHE_SCHEMA).write.parquet(f"{cache_path.rstrip('/')}/append-{uuid.uuid4().hex}")
     keyed = materialise(docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), digest.alias("digest")), "token-keys")
     cached = read_cache(spark, cache_path).where(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counts = materialise(keyed.groupBy("digest").agg(F.count("*").alias("rows")).join(cached, "digest"), "token-counts")
+    counts = materialise(keyed.groupBy("digest").agg(F.count("*").alias("rows")).join(cached, "digest"), "token-counts", small=True)
     found = join_counted(keyed, counts, "digest", "rows", keyed.count())
     return found.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
