@@ -47,3 +47,5 @@ START_FILES = "index.php main.py __main__.py app.py server.py main.ts main.tsx m
 RENDER_TOKENS = "frontend front view render rendering html markup template page pagina visualizzazione titolo title heading".split()
 TRACE_DOCS = "doc docs documentazione readme".split()
 SERVICE_PARTS = "/orchestrator /controller /handler /router /service".split()
+SYMPTOM_WORDS = "bug errore error exception fail fails failing failure regression regressione render rendered response risposta symptom sintomo test tests wrong".split()
+GENERAL_PARTS = "base component controller handler http page request response route router template view views".split()

@@ -1,4 +1,4 @@
-"""Context ranking (CX1 to CX10), overview scoring (OV1) and tracing (TR1)."""
+"""Context ranking (CX1 to CX11), overview scoring (OV1) and tracing (TR1)."""
 
 from __future__ import annotations
 
@@ -10,47 +10,123 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import lexicon as L, text as T
 from .relations import related_scores
 
+#: Weights of a query's tokens by source; "all" stands for sources not named.
+Weights = dict[str, dict[str, float]]
 
-def path_scores(files: DataFrame, weights: DataFrame) -> DataFrame:
-    """CX1 without soft matches: path, score of files that a token hits.
 
-    ``weights`` (token, weight) holds a query's tokens, a handful of rows."""
-    tokens = F.broadcast(weights)
-    name = T.file_name(F.col("path"))
-    squashed = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[^a-z0-9]", "")
-    prepared = files.select("id", "path", F.lower("role").alias("role"), F.lower("language").alias("language"), T.path_tokens(F.col("path")).alias("in_path"), T.path_tokens(name).alias("in_name"), squashed.alias("squashed"))
-    token, w = F.col("token"), F.col("weight")
-    hit = (
-        F.when(F.array_contains("in_path", token), 7.0).otherwise(0.0)
-        + F.when(F.array_contains("in_name", token), 5.0).when((F.char_length(token) >= 5) & F.contains("squashed", token), 4.0).otherwise(0.0)
-        + F.when(F.contains("role", token) | F.contains("language", token), 1.5).otherwise(0.0)
-    )
-    scored = prepared.join(tokens, hit > 0).groupBy("id", "path").agg(F.sum(hit * w).alias("score"))
-    return scored
+def flat(tokens: list[str]) -> Weights:
+    """Every token weighs 1 everywhere."""
+    return {t: {"all": 1.0} for t in tokens}
+
+
+def weight(weights: Weights, token: str, source: str) -> float:
+    """AGG3: the weight of a token in a source, or in all, or 1."""
+    own = weights[token]
+    return own.get(source, own.get("all", 1.0))
+
+
+def name_stem(path: Column) -> Column:
+    """File name without its suffix, lower-cased, letters and digits only."""
+    return F.regexp_replace(F.lower(F.regexp_replace(T.file_name(path), r"(?<=.)\.[^.]*$", "")), "[^a-z0-9]", "")
+
 
+def soft_path_matches(files: DataFrame, tokens: list[str]) -> DataFrame:
+    """CX1: id, token, in_path, in_name: the best soft match of each long token
+    with a term of the path and of the file name, from 0.78 on.
 
-def symbol_scores(symbols: DataFrame, weights: DataFrame) -> DataFrame:
-    """CX2: file_id, score: 3.5 times the weight, once per file and token that
-    a symbol name contains."""
-    hits = symbols.select("file_id", F.lower("name").alias("name")).join(F.broadcast(weights), F.expr("contains(name, token)"))
-    return hits.groupBy("file_id", "token").agg(F.max("weight").alias("weight")).groupBy("file_id").agg(F.sum(3.5 * F.col("weight")).alias("score"))
+    The matcher sees every distinct term of the corpus once."""
+    long = [t for t in tokens if len(t) >= 6]
+    terms = files.select("id", F.explode(T.path_tokens(F.col("path"))).alias("candidate"), T.path_tokens(T.file_name(F.col("path"))).alias("name"))
+    terms = terms.select("id", "candidate", F.array_contains("name", F.col("candidate")).alias("named"))
+    distinct = terms.select("candidate").distinct()
+    pairs = distinct.select("candidate", F.explode(T.strings(long)).alias("token"))
+    found = soft_matches(pairs).where("score >= 0.78")
+    best = terms.join(found, "candidate").groupBy("id", "token")
+    return best.agg(F.max("score").alias("in_path"), F.max(F.when(F.col("named"), F.col("score"))).alias("in_name"))
 
 
-def commit_scores(commits: DataFrame, commit_files: DataFrame, weights: DataFrame) -> DataFrame:
+def path_scores(files: DataFrame, weights: Weights, soft: bool = False) -> DataFrame:
+    """CX1: id, path, score of files that a token hits.
+
+    ``weights`` holds a query's tokens, a handful, which become expressions;
+    with ``soft`` terms that are nearly a token count too."""
+    name = T.file_name(F.col("path"))
+    prepared = files.select("id", "path", F.lower("role").alias("role"), F.lower("language").alias("language"), T.path_tokens(F.col("path")).alias("in_path"), T.path_tokens(name).alias("in_name"), name_stem(F.col("path")).alias("stem"))
+    score = F.lit(0.0)
+    for t in weights:
+        w_path, w_name = weight(weights, t, "path"), weight(weights, t, "filename")
+        w_role = max(weight(weights, t, "role"), weight(weights, t, "language"))
+        score = score + F.when(F.array_contains("in_path", t), 7.0 * w_path).otherwise(0.0)
+        in_name = F.when(F.array_contains("in_name", t), 5.0 * w_name)
+        score = score + (in_name.when(F.contains("stem", F.lit(t)), 4.0 * w_name) if len(t) >= 5 else in_name).otherwise(0.0)
+        score = score + F.when(F.contains("role", F.lit(t)) | F.contains("language", F.lit(t)), 1.5 * w_role).otherwise(0.0)
+    scored = prepared.withColumn("score", score)
+    if soft and any(len(t) >= 6 for t in weights):
+        points = F.lit(0.0)
+        for t in weights:
+            on = F.col("token") == t
+            points = points + F.when(on & ~F.array_contains("paths", t), F.coalesce("in_path", F.lit(0.0)) * 2.5 * weight(weights, t, "path")).otherwise(0.0)
+            points = points + F.when(on & ~F.array_contains("names", t), F.coalesce("in_name", F.lit(0.0)) * 2.0 * weight(weights, t, "filename")).otherwise(0.0)
+        exact = prepared.select("id", F.col("in_path").alias("paths"), F.col("in_name").alias("names"))
+        more = soft_path_matches(files, list(weights)).join(exact, "id").groupBy("id").agg(F.sum(points).alias("more"))
+        scored = scored.join(more, "id", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return scored.where("score > 0").select("id", "path", "score")
+
+
+def documentation_share(role: Column, kind: Column, tokens: list[str]) -> Column:
+    """CX2: what a symbol of documentation counts, unless it is asked for."""
+    if set(tokens) & set(L.DOCS_INTENT):
+        return F.lit(1.0)
+    return F.when(role == "documentation", F.when(kind.isin("heading", "command_example"), 0.25).otherwise(0.5)).otherwise(1.0)
+
+
+def matched_symbols(symbols: DataFrame, files: DataFrame, tokens: list[str]) -> DataFrame:
+    """CX2: file_id, path, token, id, share: the first symbol (by id) of a file
+    that holds a token."""
+    found = F.array_compact(F.array(*[F.when(F.lower("name").contains(t), F.lit(t)) for t in tokens]))
+    hits = symbols.select("file_id", "id", "kind", F.explode(found).alias("token"))
+    first = hits.groupBy("file_id", "token").agg(F.min(F.struct("id", "kind")).alias("s"))
+    named = first.join(files.select(F.col("id").alias("file_id"), "path", "role"), "file_id")
+    return named.select("file_id", "path", "token", F.col("s.id").alias("id"), documentation_share(F.col("role"), F.col("s.kind"), tokens).alias("share"))
+
+
+def _worth(weights: Weights, source: str) -> Column:
+    """The weight in a source of the column ``token``."""
+    out = F.lit(1.0)
+    for t in weights:
+        out = F.when(F.col("token") == t, weight(weights, t, source)).otherwise(out)
+    return out
+
+
+def symbol_scores(symbols: DataFrame, files: DataFrame, weights: Weights) -> DataFrame:
+    """CX2: path, score: 3.5 times the weight and the symbol's share, once per
+    file and token that a symbol name contains."""
+    found = matched_symbols(symbols, files, list(weights))
+    return found.groupBy("path").agg(F.sum(3.5 * _worth(weights, "symbol") * F.col("share")).alias("score"))
+
+
+def commit_scores(commits: DataFrame, commit_files: DataFrame, weights: Weights) -> DataFrame:
     """CX3: path, score: 1.2 times the weight per matching token and 0.8 per
     matching commit."""
-    hits = commits.select(F.col("id").alias("commit_id"), F.lower("message").alias("message")).join(F.broadcast(weights), F.expr("contains(message, token)"))
-    per_commit = hits.groupBy("commit_id").agg((F.sum(1.2 * F.col("weight")) + 0.8).alias("score"))
+    message = F.lower("message")
+    points = sum((F.when(message.contains(t), 1.2 * weight(weights, t, "commit")).otherwise(0.0) for t in weights), F.lit(0.0))
+    any_token = F.exists(T.strings(weights), lambda t: F.contains(message, t))
+    per_commit = commits.where(any_token).select(F.col("id").alias("commit_id"), (points + 0.8).alias("score"))
     return commit_files.join(per_commit, "commit_id").groupBy("path").agg(F.sum("score").alias("score"))
 
 
-def call_scores(relations: DataFrame, files: DataFrame, weights: DataFrame) -> DataFrame:
+def matched_calls(relations: DataFrame, files: DataFrame, tokens: list[str]) -> DataFrame:
+    """CX4: path, token, target: the first called name of a file that holds a token."""
+    name = F.lower("target_id")
+    found = F.array_compact(F.array(*[F.when(name.contains(t), F.lit(t)) for t in tokens]))
+    called = relations.where((F.col("relation") == "calls") & (F.col("target_type") == "symbol_name")).select(F.col("source_id").alias("id"), "target_id", F.explode(found).alias("token"))
+    return called.groupBy("id", "token").agg(F.min("target_id").alias("target")).join(files.select("id", "path"), "id").select("path", "token", "target")
+
+
+def call_scores(relations: DataFrame, files: DataFrame, weights: Weights) -> DataFrame:
     """CX4: path, score: 2.2 times the weight, once per file and token that a
     called name contains."""
-    called = relations.where((F.col("relation") == "calls") & (F.col("target_type") == "symbol_name")).select(F.col("source_id").alias("id"), F.lower("target_id").alias("name")).distinct()
-    hits = called.join(F.broadcast(weights), F.expr("contains(name, token)"))
-    by_file = hits.groupBy("id", "token").agg(F.max("weight").alias("weight")).groupBy("id").agg(F.sum(2.2 * F.col("weight")).alias("score"))
-    return by_file.join(files.select("id", "path"), "id").select("path", "score")
+    return matched_calls(relations, files, list(weights)).groupBy("path").agg(F.sum(2.2 * _worth(weights, "symbol")).alias("score"))
 
 
 def pack_commits(commits: DataFrame, commit_files: DataFrame, candidates: DataFrame, tokens: list[str], limit: int = 5, most_files: int = 10) -> DataFrame:
@@ -90,35 +166,44 @@ def adjusted(scored: DataFrame, tokens: list[str]) -> DataFrame:
     return out.withColumn("score", F.when((role == "source") & ext.isin(".php", ".py", ".js", ".ts", ".go", ".rs"), s * 1.05 + 0.1).otherwise(s))
 
 
-def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, signals: DataFrame, weights: DataFrame, tokens: list[str], limit: int = 10, relations: DataFrame | None = None) -> DataFrame:
-    """CX1 to CX9 as one plan (CX4 and CX5 if relations are given): path, raw score, score over the top
-    score; best first, ties by path."""
-    hits = path_scores(files, weights).select("path", "score")
-    by_symbol = symbol_scores(symbols, weights).join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "score")
-    rows = hits.unionByName(by_symbol).unionByName(commit_scores(commits, commit_files, weights))
+def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, signals: DataFrame, weights: Weights, limit: int = 10, relations: DataFrame | None = None, soft: bool = True) -> DataFrame:
+    """CX1 to CX9 as one plan (CX4 and CX5 if relations are given): path,
+    language, role, raw score, score over the top score; best first, ties by
+    path.  Only files of the index are listed."""
+    tokens = list(weights)
+    rows = path_scores(files, weights, soft).select("path", "score").unionByName(symbol_scores(symbols, files, weights)).unionByName(commit_scores(commits, commit_files, weights))
     if relations is not None:
         rows = rows.unionByName(call_scores(relations, files, weights))
     total = rows.groupBy("path").agg(F.sum("score").alias("score"))
     if relations is not None:
         related = related_scores(relations, files, total.where("score > 0").select("path"))
         total = total.unionByName(related).groupBy("path").agg(F.sum("score").alias("score"))
-    known = adjusted(files.select("path", "role").join(total, "path"), tokens).join(signals, "path", "left")
+    known = adjusted(files.select("path", "language", "role").join(total, "path"), tokens).join(signals, "path", "left")
     boosted = F.col("score") + F.coalesce("boost", F.lit(0.0))
-    final = F.when(F.coalesce("penalty", F.lit(0.0)) < 0, F.greatest(F.lit(0.0), boosted + F.col("penalty")) * 0.35).otherwise(boosted)
-    top = known.select("path", F.round(final, 6).alias("raw")).where("raw > 0").orderBy(F.desc("raw"), "path").limit(limit)
+    final = F.when((F.coalesce("penalty", F.lit(0.0)) < 0) & (boosted > 0), F.greatest(F.lit(0.0), boosted + F.col("penalty")) * 0.35).otherwise(boosted)
+    top = known.select("path", "language", "role", F.round(final, 6).alias("raw")).where("raw > 0").orderBy(F.desc("raw"), "path").limit(limit)
     return top.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 2))  # over at most ``limit`` rows
 
 
-def related_symbols(symbols: DataFrame, files: DataFrame, tokens: list[str], limit: int = 10) -> DataFrame:
-    """CX10 by name: name, path, line, score: 3 per token that the name has."""
-    name = F.lower("name")
-    score = sum((F.when(name.contains(t), 3).otherwise(0) for t in tokens), F.lit(0))
-    return symbols.withColumn("score", score).where("score > 0").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("name", "path", "line", "score").orderBy(F.desc("score"), "path", "line", "name").limit(limit)
+def related_symbols(symbols: DataFrame, files: DataFrame, tokens: list[str], candidates: DataFrame, limit: int = 10) -> DataFrame:
+    """CX10: name, kind, path, line, score: 1 if the file is a candidate and 3
+    if any token is in the name; best first, then by path, line and name.
+    ``candidates`` (path) are the few of a pack."""
+    any_token = F.exists(T.strings(tokens), lambda t: F.contains(F.lower("name"), t))
+    on = F.broadcast(candidates.select("path", F.lit(1).alias("on")).distinct())  # as many rows as a pack lists
+    named = symbols.join(files.select(F.col("id").alias("file_id"), "path").join(on, "path", "left"), "file_id")
+    score = F.coalesce("on", F.lit(0)) + F.when(any_token, 3).otherwise(0)
+    found = named.select("name", "kind", "path", F.coalesce("line", F.lit(0)).alias("line"), score.alias("score")).where("score > 0")
+    return found.orderBy(F.desc("score"), "path", "line", "name").limit(limit)
 
 
 def soft_matches(pairs: DataFrame) -> DataFrame:
-    """FN11 over distinct (token, candidate) pairs: the best of prefix,
-    substring and sequence similarity; 0 below the thresholds."""
+    """FN11 over distinct (token, candidate) pairs: a long common prefix gives
+    0.9, else one inside the other 0.84, else the sequence similarity from 0.82
+    on; 0 below the thresholds and for noise.
+
+    Twice the letters that both have, and twice the shorter length, over the
+    sum of the lengths bound the similarity, so few pairs reach Python."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -127,15 +212,14 @@ def soft_matches(pairs: DataFrame) -> DataFrame:
     a, b = F.col("token"), F.col("candidate")
     la, lb = F.char_length(a), F.char_length(b)
     short, long_ = F.least(la, lb), F.greatest(la, lb)
-    cover = short / long_
-    inside = F.contains(a, b) | F.contains(b, a)
-    prefix = F.startswith(a, b) | F.startswith(b, a)
-    fine = (la >= 6) & (lb >= 5) & ~T.is_noise(b)
-    exact = F.greatest(F.when(prefix & (short >= 6) & (cover >= 0.5), 0.9).otherwise(0.0), F.when(inside & (cover >= 0.65), 0.84).otherwise(0.0))
-    # twice the shorter length over both bounds the ratio, so few pairs reach Python
-    near = pairs.distinct().where(fine).withColumn("exact", exact)
-    scored = near.withColumn("ratio", F.when(2 * short / (la + lb) >= 0.82, ratio(a, b)).otherwise(0.0))
-    return scored.select("token", "candidate", F.greatest("exact", F.when(F.col("ratio") >= 0.82, F.col("ratio")).otherwise(0.0)).alias("score"))
+    prefix = (F.startswith(a, b) | F.startswith(b, a)) & (short >= 6) & (2 * short >= long_)
+    inside = (F.contains(a, b) | F.contains(b, a)) & (short >= 6) & (short / long_ >= 0.65)
+    fine = (la >= 6) & (lb >= 5) & ~T.is_noise(a) & ~T.is_noise(b)
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(la - F.char_length(F.replace(a, c)), lb - F.char_length(F.replace(b, c))))
+    near = (2 * shared / (la + lb) >= 0.82) & ~prefix & ~inside
+    known = pairs.distinct().where(fine).select("token", "candidate", F.when(prefix, 0.9).when(inside, 0.84).alias("exact"), near.alias("near"))
+    by_ratio = known.where("near").withColumn("ratio", ratio(a, b)).select("token", "candidate", F.when(F.col("ratio") >= 0.82, F.col("ratio")).otherwise(0.0).alias("score"))
+    return known.where("not near").select("token", "candidate", F.coalesce("exact", F.lit(0.0)).alias("score")).unionByName(by_ratio)
 
 
 def first_reads(files: DataFrame, limit: int = 12) -> DataFrame:

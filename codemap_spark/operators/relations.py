@@ -61,11 +61,13 @@ def callers_of_file_symbols(symbols: DataFrame, calls: DataFrame, files: DataFra
     return named.withColumn("rank", rank).where(F.col("rank") <= per_symbol).select("symbol_id", "name", "path", "call_count").orderBy(F.desc("call_count"), "path", "symbol_id").limit(limit)
 
 
-def distinct_relations(calls: DataFrame) -> DataFrame:
-    """JN9: source, target, best confidence and the metadata of that row
-    (ties by the metadata)."""
+def distinct_relations(relations: DataFrame) -> DataFrame:
+    """JN9: source_id, relation, target_type, target_id, best confidence and
+    the metadata of that row (ties by the metadata) of every file's relations
+    other than its definitions and calls."""
     best = F.max(F.struct("confidence", "metadata"))
-    return calls.groupBy("source_id", "target_id").agg(best.alias("b")).select("source_id", "target_id", F.col("b.confidence").alias("confidence"), F.col("b.metadata").alias("metadata"))
+    own = relations.where((F.col("source_type") == "file") & ~F.col("relation").isin("defines", "calls"))
+    return own.groupBy("source_id", "relation", "target_type", "target_id").agg(best.alias("b")).select("source_id", "relation", "target_type", "target_id", F.col("b.confidence").alias("confidence"), F.col("b.metadata").alias("metadata"))
 
 
 def suffix_index(paths: DataFrame) -> DataFrame:
@@ -109,6 +111,24 @@ def resolved_calls(relations: DataFrame, symbols: DataFrame, files: DataFrame, f
     return names.join(first.select("name", "path", "kind", "line"), "name", "left")
 
 
+def _targets_among(relations: DataFrame, candidates: DataFrame) -> DataFrame:
+    """target_id, linked: the candidate that a relation's target names, by its
+    own path or the end of one, or by its file name."""
+    normal = F.regexp_replace("target_id", r"^[./]+", "")
+    suffixes = F.explode(T.path_suffixes(F.regexp_replace("path", r"^[./]+", "")))
+    index = candidates.select("path", suffixes.alias("suffix")).groupBy("suffix").agg(F.min("path").alias("path"))
+    whole = index.select(F.col("suffix").alias("normal"), F.col("path").alias("by_path"))
+    name = index.select(F.col("suffix").alias("name"), F.col("path").alias("by_name"))
+    targets = relations.select("target_id", normal.alias("normal")).distinct().withColumn("name", T.file_name(F.col("normal")))
+    return targets.join(whole, "normal", "left").join(name, "name", "left").select("target_id", F.coalesce("by_path", "by_name").alias("linked")).where("linked is not null")
+
+
+def _boosted() -> tuple:
+    """(path that an edge boosts, path at its other end)."""
+    inside = F.col("inside")
+    return F.when(inside, F.when(F.col("linked") != F.col("source"), F.col("linked"))).otherwise(F.col("source")), F.when(inside, F.col("source")).otherwise(F.col("linked"))
+
+
 def related_scores(relations: DataFrame, files: DataFrame, candidates: DataFrame, step: float = 0.5, most: float = 1.5) -> DataFrame:
     """CX5: path, score: ``step`` per edge between a candidate and another file.
 
@@ -116,14 +136,16 @@ def related_scores(relations: DataFrame, files: DataFrame, candidates: DataFrame
     candidates, one from any other file that leads to a candidate boosts its
     source.  Equal edges are counted before they are dealt out."""
     edges = relations.groupBy(F.col("source_id").alias("id"), "target_id").agg(F.count("*").alias("n")).join(files.select("id", F.col("path").alias("source")), "id")
-    normal = F.regexp_replace("target_id", r"^[./]+", "")
-    suffixes = F.explode(T.path_suffixes(F.regexp_replace("path", r"^[./]+", "")))
-    index = candidates.select("path", suffixes.alias("suffix")).groupBy("suffix").agg(F.min("path").alias("path"))
-    whole = index.select(F.col("suffix").alias("normal"), F.col("path").alias("by_path"))
-    name = index.select(F.col("suffix").alias("name"), F.col("path").alias("by_name"))
-    targets = relations.select("target_id", normal.alias("normal")).distinct().withColumn("name", T.file_name(F.col("normal")))
-    linked = targets.join(whole, "normal", "left").join(name, "name", "left").select("target_id", F.coalesce("by_path", "by_name").alias("linked")).where("linked is not null")
     inside = candidates.select(F.col("path").alias("source"), F.lit(True).alias("inside")).distinct()
-    found = edges.join(linked, "target_id").join(inside, "source", "left")
-    boosted = F.when(F.col("inside"), F.when(F.col("linked") != F.col("source"), F.col("linked"))).otherwise(F.col("source"))
-    return found.select(boosted.alias("path"), "n").where("path is not null").groupBy("path").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))
+    found = edges.join(_targets_among(relations, candidates), "target_id").join(inside, "source", "left")
+    return found.select(_boosted()[0].alias("path"), "n").where("path is not null").groupBy("path").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))
+
+
+def linked_edges(relations: DataFrame, files: DataFrame, candidates: DataFrame) -> DataFrame:
+    """CX5's edges one by one: path (boosted), other, source_id, relation,
+    target_type, target_id, id."""
+    inside = candidates.select(F.col("path").alias("source"), F.lit(True).alias("inside")).distinct()
+    edges = relations.select("id", "source_id", "relation", "target_type", "target_id").join(files.select(F.col("id").alias("source_id"), F.col("path").alias("source")), "source_id")
+    path, other = _boosted()
+    found = edges.join(_targets_among(relations, candidates), "target_id").join(inside, "source", "left")
+    return found.select(path.alias("path"), other.alias("other"), "source_id", "relation", "target_type", "target_id", "id").where("path is not null")

@@ -29,20 +29,35 @@ def token_weights(stats: DataFrame, tokens: list[str], missing: float = 0.25) ->
     return wanted.join(stats.where(F.col("term").isin(tokens)).select(F.col("term").alias("token"), "weight"), "token", "left").select("token", F.coalesce("weight", F.lit(missing)).alias("weight"))
 
 
-def file_tags(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """AGG4: file_id, tag, source, weight: the largest weight per tag and source."""
+def file_tags(files: DataFrame, symbols: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """AGG4: file_id, tag, source, weight: the largest weight per tag and source.
+
+    The file name counts without its suffix.  Names of symbols, kinds and
+    relation targets are cut into tokens once each, however many files have
+    them."""
 
     def tagged(df, id_col, source, text):
         return df.select(F.col(id_col).alias("file_id"), F.explode(T.query_tokens(text)).alias("tag"), F.lit(source).alias("source"), F.lit(L.TAG_WEIGHTS[source]).alias("weight"))
 
+    def by_text(df, source, text):
+        """Tags of (file_id, text) rows by way of the distinct texts."""
+        pairs = df.select("file_id", F.col(text).alias("text")).distinct()
+        tokens = df.select(F.col(text).alias("text")).distinct().select("text", T.query_tokens(F.col("text")).alias("tokens"))
+        return pairs.join(tokens, "text").select("file_id", F.explode("tokens").alias("tag"), F.lit(source).alias("source"), F.lit(L.TAG_WEIGHTS[source]).alias("weight"))
+
+    known = files.select(F.col("id").alias("file_id"))
+    own = symbols.join(known, "file_id", "left_semi")
     parts = [
         tagged(files, "id", "path", F.col("path")),
-        tagged(files, "id", "filename", T.file_name(F.col("path"))),
+        tagged(files, "id", "filename", F.regexp_replace(T.file_name(F.col("path")), r"(?<=.)\.[^.]*$", "")),
         tagged(files, "id", "language", F.col("language")),
         tagged(files, "id", "role", F.col("role")),
-        tagged(symbols.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"), "file_id", "symbol", F.col("name")),
-        tagged(symbols.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi"), "file_id", "symbol_kind", F.col("kind")),
+        by_text(own, "symbol", "name"),
+        by_text(own, "symbol_kind", "kind"),
     ]
+    if relations is not None:
+        edges = relations.where("source_type = 'file'").withColumnRenamed("source_id", "file_id").join(known, "file_id", "left_semi")
+        parts += [by_text(edges, "relation", "relation"), by_text(edges, "relation_target", "target_id")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -50,13 +65,19 @@ def file_tags(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def subsystems(files: DataFrame, top: int = 3, limit: int = 10) -> DataFrame:
-    """AGG5: prefix, files, top languages (ties by name), largest prefixes first."""
-    rows = files.select(T.subsystem(F.col("path")).alias("prefix"), "language").where(~F.col("prefix").isin(".agent", ".git", "__pycache__"))
-    counted = rows.groupBy("prefix", "language").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("prefix").orderBy(F.desc("n"), "language")
-    ranked = counted.withColumn("rank", F.row_number().over(order))
-    languages = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "language")))), lambda s: s["language"]), ",")
-    return ranked.groupBy("prefix").agg(F.sum("n").alias("files"), languages.alias("languages")).orderBy(F.desc("files"), "prefix").limit(limit)
+    """AGG5: prefix, files, top languages and roles (ties by the first path
+    that has them), largest prefixes first."""
+    rows = files.select("path", T.subsystem(F.col("path")).alias("prefix"), "language", "role").where(~F.col("prefix").isin(".agent", ".git", "__pycache__"))
+    labels = F.explode(F.array(F.struct(F.lit("language").alias("what"), F.col("language").alias("label")), F.struct(F.lit("role").alias("what"), F.col("role").alias("label"))))
+    counted = rows.select("path", "prefix", labels.alias("x")).groupBy("prefix", "x.what", "x.label").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("prefix", "what").orderBy(F.desc("n"), "first")))
+
+    def listed(what):
+        some = F.collect_list(F.when((F.col("what") == what) & (F.col("rank") <= top) & (F.coalesce("label", F.lit("")) != ""), F.struct("rank", "label")))
+        return F.array_join(F.transform(F.array_sort(some), lambda s: s["label"]), ",")
+
+    size = F.sum(F.when(F.col("what") == "language", F.col("n"))).alias("files")
+    return ranked.groupBy("prefix").agg(size, listed("language").alias("languages"), listed("role").alias("roles")).orderBy(F.desc("files"), "prefix").limit(limit)
 
 
 def activity(notes: DataFrame, feedback: DataFrame, events: DataFrame) -> DataFrame:

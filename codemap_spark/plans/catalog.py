@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import listing, memory, ranking, relations, stats, store
+from ..operators import context, listing, memory, ranking, relations, stats, store
 from ..sources import corpus as C
 
 QUERY = "red widget"
 TOKENS = ["red", "widget"]
+#: The context pack's query: "sprockets" is no term of the corpus, but nearly one.
+PACK_QUERY = "red widget sprockets"
+PACK_TOKENS = PACK_QUERY.split()
 PATH = "part/1000"
 VARIANTS = (".git/", "vendor/", "lib/x.egg-info/", "src/", ".hidden/", "")
 
@@ -47,36 +50,72 @@ def term_weight_lookup(s, d):
 
 
 def file_tags(s, d):
-    return stats.file_tags(C.files(s, d), C.symbols(s, d))
+    return stats.file_tags(C.files(s, d), C.symbols(s, d), C.relations(s, d))
 
 
 def keyword_search(s, d):
     return relations.keyword_search(C.files(s, d), C.symbols(s, d), C.commits(s, d), "widget")
 
 
-def _weights(s, d):
-    return s.createDataFrame([(t, 1.0) for t in TOKENS], "token string, weight double")
+def term_stats_all(s, d):
+    return context.all_term_stats(C.files(s, d), C.symbols(s, d), C.commits(s, d))
+
+
+def _hits(s, d):
+    """Files that the plain tokens hit, all weighing 1."""
+    return ranking.path_scores(C.files(s, d), ranking.flat(TOKENS))
 
 
 def context_pack_path_role(s, d):
-    return ranking.path_scores(C.files(s, d), _weights(s, d)).select("path", F.round("score", 6).alias("score"))
+    return _hits(s, d).select("path", F.round("score", 6).alias("score"))
 
 
-def context_pack_full(s, d):
+def _pack_weights(s, d):
+    files, symbols, commits = C.files(s, d), C.symbols(s, d), C.commits(s, d)
+    return context.query_weights(context.all_term_stats(files, symbols, commits), PACK_TOKENS, context.source_documents(files, symbols, commits).where("source in ('path', 'symbol', 'commit')"))
+
+
+def _pack(s, d, weights):
     files = C.files(s, d)
-    signals = memory.feedback_signals(C.feedback(s, d), files, QUERY)
-    return ranking.context_pack(files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), signals, _weights(s, d), TOKENS, relations=C.relations(s, d))
+    signals = memory.feedback_signals(C.feedback(s, d), files, PACK_QUERY)
+    return ranking.context_pack(files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), signals, weights, relations=C.relations(s, d))
+
+
+def context_pack_full(s, d):
+    return _pack(s, d, _pack_weights(s, d))
+
+
+def _pack_reasons(s, d, pack, weights):
+    files, tokens = C.files(s, d), list(weights)
+    scored = ranking.path_scores(files, weights, soft=True).select("path").unionByName(ranking.matched_symbols(C.symbols(s, d), files, tokens).select("path"))
+    scored = scored.unionByName(ranking.commit_scores(C.commits(s, d), C.commit_files(s, d), weights).select("path")).unionByName(ranking.call_scores(C.relations(s, d), files, weights).select("path")).distinct()
+    return context.pack_reasons(pack, files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), C.feedback(s, d), C.relations(s, d), scored, weights, PACK_QUERY)
+
+
+def context_reasons(s, d):
+    """Why the files of the pack are in it."""
+    weights = _pack_weights(s, d)
+    return _pack_reasons(s, d, _pack(s, d, weights), weights).select("path", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def context_diagnostics(s, d):
+    weights = _pack_weights(s, d)
+    pack = _pack(s, d, weights)
+    return context.diagnose(pack, _pack_reasons(s, d, pack, weights), PACK_QUERY, PACK_TOKENS)
 
 
 def context_related_symbols(s, d):
-    return ranking.related_symbols(C.symbols(s, d), C.files(s, d), TOKENS)
+    candidates = _hits(s, d).orderBy(F.desc("score"), "path").limit(10)
+    return ranking.related_symbols(C.symbols(s, d), C.files(s, d), TOKENS, candidates)
+
+
+SOFT = ("widgets", "gadgett", "sprockets")
 
 
 def soft_match(s, d):
-    """Distinct terms of part names against long query tokens."""
-    names = C._part_names(s, d).select(F.explode(T.identifier_terms(F.col("p_name"))).alias("candidate"))
-    tokens = s.createDataFrame([("widgets",), ("gadgett",), ("sprockets",)], "token string")
-    return ranking.soft_matches(F.broadcast(tokens).join(names, F.abs(F.char_length("token") - F.char_length("candidate")) <= 3)).where("score > 0")
+    """Distinct terms of all part names against long query tokens."""
+    names = C.table(s, d, "part").select(F.explode(T.identifier_terms(F.col("p_name"))).alias("candidate")).distinct()
+    return ranking.soft_matches(names.select(F.explode(T.strings(SOFT)).alias("token"), "candidate")).where("score > 0")
 
 
 def feedback_signals(s, d):
@@ -118,7 +157,7 @@ def callers_for_file_symbols(s, d):
 
 
 def relation_dedupe_max_confidence(s, d):
-    return relations.distinct_relations(C.calls(s, d))
+    return relations.distinct_relations(C.relations(s, d))
 
 
 def path_suffix_index(s, d):
@@ -143,7 +182,7 @@ def note_staleness_dashboard(s, d):
 
 
 def memory_search(s, d):
-    return memory.search_notes(C.notes(s, d), "user widget")
+    return memory.search_notes(_tagged_notes(s, d), "user widget").select("id", "score")
 
 
 def memory_topics(s, d):
@@ -217,7 +256,7 @@ def reading_plan_fusion(s, d):
     def rows(df, source, score=none, boost=none, penalty=none, fresh=flag, stale=flag):
         return df.select("path", F.lit(source).alias("source"), score.alias("score"), boost.alias("boost"), penalty.alias("penalty"), fresh.alias("fresh"), stale.alias("stale"))
 
-    graph = rows(ranking.path_scores(files, _weights(s, d)), "graph", F.col("score"))
+    graph = rows(ranking.path_scores(files, ranking.flat(TOKENS)), "graph", F.col("score"))
     signals = rows(memory.feedback_signals(C.feedback(s, d), files, QUERY), "feedback", none, F.col("boost"), F.col("penalty"))
     notes = rows(_stale(s, d).where("scope = 'file'").join(files.select("path"), "path", "left_semi"), "memory", F.lit(0.1), none, none, ~F.col("stale"), F.col("stale"))
     return memory.fusion(graph.unionByName(signals).unionByName(notes))
@@ -251,15 +290,15 @@ def session_events(s, d):
 
 
 def context_calls(s, d):
-    return ranking.call_scores(C.relations(s, d), C.paths(s, d), _weights(s, d)).select("path", F.round("score", 6).alias("score"))
+    return ranking.call_scores(C.relations(s, d), C.paths(s, d), ranking.flat(TOKENS)).select("path", F.round("score", 6).alias("score"))
 
 
 def context_related_files(s, d):
-    return relations.related_scores(C.relations(s, d), C.paths(s, d), ranking.path_scores(C.files(s, d), _weights(s, d)).select("path"))
+    return relations.related_scores(C.relations(s, d), C.paths(s, d), _hits(s, d).select("path"))
 
 
 def context_commits(s, d):
-    return ranking.pack_commits(C.commits(s, d), C.commit_files(s, d), ranking.path_scores(C.files(s, d), _weights(s, d)).select("path"), TOKENS)
+    return ranking.pack_commits(C.commits(s, d), C.commit_files(s, d), _hits(s, d).select("path"), TOKENS)
 
 
 def resolved_calls(s, d):
@@ -414,7 +453,7 @@ def focused_entry_points(s, d):
 
 def supporting_files(s, d):
     entries = C.files(s, d).orderBy("path").limit(4)
-    return listing.supporting(ranking.path_scores(C.files(s, d), _weights(s, d)).select("path", F.round("score", 6).alias("score")), entries)
+    return listing.supporting(_hits(s, d).select("path", F.round("score", 6).alias("score")), entries)
 
 
 def table_counts(s, d):
@@ -445,7 +484,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_language_role, ignore_filter, content_fingerprint, identifier_terms, query_tokens, term_stats, term_weight_lookup, file_tags, keyword_search,
-        context_pack_path_role, context_pack_full, context_related_symbols, soft_match, feedback_signals, feedback_explain, cochanged_files, file_recent_commits,
+        term_stats_all, context_pack_path_role, context_pack_full, context_reasons, context_diagnostics, context_related_symbols, soft_match, feedback_signals, feedback_explain, cochanged_files, file_recent_commits,
         commits_left_join_files, callers_of_symbol, symbol_definitions, callers_for_file_symbols, relation_dedupe_max_confidence, path_suffix_index, edge_resolution,
         note_staleness, note_staleness_dashboard, memory_search, memory_topics, memory_audit, duplicate_topics, file_activity, subsystem_rollup, overview_first_reads,
         estimate_tokens, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, trace_paths, retrieval_eval, savings, session_events,

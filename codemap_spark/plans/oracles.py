@@ -47,7 +47,7 @@ _MACROS = {
     "before": """old AS (SELECT path, CASE WHEN id % 10 = 1 THEN 'altered' ELSE sha256 END AS sha256 FROM content WHERE id % 10 <> 0 UNION ALL SELECT 'removed/' || path, sha256 FROM content WHERE id % 10 = 0)""",
     "relations": """relations AS (SELECT event_id AS id, 'file' AS source_type, user_id AS source_id, ['includes', 'defines', 'calls'][event_id % 3 + 1] AS relation, ['file', 'symbol', 'symbol_name'][event_id % 3 + 1] AS target_type,
             CASE event_id % 3 WHEN 0 THEN path WHEN 1 THEN CAST((event_id % 10 + 1) * 1000000 + event_id % 200 + 1 AS VARCHAR) ELSE p_name END AS target_id, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence, props AS metadata
-        FROM events JOIN part200 ON event_id % 200 = name_key LEFT JOIN paths ON paths.id = event_id * 7 % 200)""",
+        FROM events JOIN part200 ON event_id % 200 = name_key LEFT JOIN paths ON paths.id = event_id * 7 % (user_id * 13 + 50))""",
     "project": f"""pnamed AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'src/api/' WHEN 1 THEN 'tests/' ELSE '' END || lang || '/d' || doc_id || '/' || ['main.py', '__init__.py', 'pyproject.toml', 'README.md', 'app.py', 'widget.py', 'Makefile', 'routes.py'][doc_id % 8 + 1] AS path, doc_id % 8 AS kind8 FROM documents),
         project AS (SELECT id, path, list_last(string_split(path, '/')) AS name, len(string_split(path, '/')) AS depth, ['python', 'python', 'toml', 'markdown', 'python', 'python', 'unknown', 'python'][kind8 + 1] AS language,
             CASE WHEN kind8 = 2 THEN 'config' WHEN kind8 = 3 THEN 'documentation' WHEN starts_with(path, 'tests/') THEN 'test' WHEN kind8 = 7 THEN 'route' WHEN kind8 = 6 THEN 'unknown' ELSE 'source' END AS role FROM pnamed),
@@ -106,7 +106,7 @@ _FIRST_READS = f"""scored AS (SELECT path, len(string_split(path, '/')) AS depth
         + CASE WHEN contains(low, '/src/') OR starts_with(low, 'src/') THEN 1 ELSE 0 END - CASE WHEN contains(low, '/docs/') OR starts_with(low, 'docs/') THEN 2 ELSE 0 END AS s FROM scored)"""
 
 _TAGS = f"""tag_rows AS (SELECT id AS file_id, unnest({_useful("path")}) AS tag, 'path' AS source, 1.0 AS weight FROM files
-        UNION ALL SELECT id, unnest({_useful("list_last(string_split(path, '/'))")}), 'filename', 1.3 FROM files
+        UNION ALL SELECT id, unnest({_useful("regexp_replace(list_last(string_split(path, '/')), '[.][^.]*$', '')")}), 'filename', 1.3 FROM files
         UNION ALL SELECT id, unnest({_useful("language")}), 'language', 0.6 FROM files UNION ALL SELECT id, unnest({_useful("role")}), 'role', 0.6 FROM files
         UNION ALL SELECT file_id, unnest({_useful("name")}), 'symbol', 1.2 FROM symbols WHERE file_id IN (SELECT id FROM files)
         UNION ALL SELECT file_id, unnest({_useful("kind")}), 'symbol_kind', 0.5 FROM symbols WHERE file_id IN (SELECT id FROM files))"""
@@ -136,7 +136,12 @@ ORACLE_SQL = {
     "query_tokens": _with(["commits"], f"""SELECT id, array_to_string({_distinct(_useful("(message || ' how the apiHandler of go_db')"))}, ' ') AS tokens FROM commits"""),
     "term_stats": "WITH " + _stats("text", "documents", "text") + " SELECT * FROM stats",
     "term_weight_lookup": _plus(_with(["paths"], ""), _stats("path", "paths", "path"), "SELECT token, coalesce(weight, 0.25) AS weight FROM (SELECT unnest(['red', 'widget', 'absentterm']) AS token) LEFT JOIN stats ON term = token"),
-    "file_tags": _plus(_with(["files", "symbols"], ""), _TAGS, "SELECT file_id, tag, source, CAST(max(weight) AS DOUBLE) AS weight FROM tag_rows GROUP BY ALL"),
+    "file_tags": _plus(
+        _with(["files", "symbols", "relations"], ""),
+        _TAGS + f""", more_tags AS (SELECT * FROM tag_rows UNION ALL SELECT source_id, unnest({_useful("relation")}), 'relation', 0.8 FROM relations WHERE source_id IN (SELECT id FROM files)
+            UNION ALL SELECT source_id, unnest({_useful("target_id")}), 'relation_target', 1.0 FROM relations WHERE source_id IN (SELECT id FROM files) AND target_id IS NOT NULL)""",
+        "SELECT file_id, tag, source, CAST(max(weight) AS DOUBLE) AS weight FROM more_tags GROUP BY ALL",
+    ),
     "keyword_search": _with(
         ["files", "symbols", "commits"],
         """SELECT * FROM (SELECT 'file' AS kind, path AS label, CASE WHEN low = 'widget' THEN 100 ELSE 0 END + CASE WHEN contains(low, 'widget') THEN 40 ELSE 0 END + CASE WHEN role = 'widget' THEN 35 WHEN contains(role, 'widget') THEN 20 ELSE 0 END AS score
@@ -145,9 +150,9 @@ ORACLE_SQL = {
     ),
     "context_pack_path_role": _with(["hits"], "SELECT path, CAST(round(score, 6) AS DOUBLE) AS score FROM path_scores"),
     "context_related_symbols": _with(
-        ["files", "symbols"],
-        """SELECT name, path, line, score FROM (SELECT *, (CASE WHEN contains(lower(name), 'red') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(name), 'widget') THEN 3 ELSE 0 END) AS score FROM symbols)
-        JOIN (SELECT id AS file_id, path FROM files) USING (file_id) WHERE score > 0 ORDER BY score DESC, path, line, name LIMIT 10""",
+        ["hits", "symbols"],
+        """SELECT name, kind, path, line, score FROM (SELECT symbols.*, files.path, (CASE WHEN files.path IN (SELECT path FROM path_scores ORDER BY score DESC, path LIMIT 10) THEN 1 ELSE 0 END)
+            + (CASE WHEN contains(lower(name), 'red') OR contains(lower(name), 'widget') THEN 3 ELSE 0 END) AS score FROM symbols JOIN files ON files.id = file_id) WHERE score > 0 ORDER BY score DESC, path, line, name LIMIT 10""",
     ),
     "feedback_signals": _with(["feedback"], "SELECT * FROM signals"),
     "feedback_explain": _with(
@@ -167,7 +172,10 @@ ORACLE_SQL = {
         """SELECT symbol_id, name, path, call_count FROM (SELECT symbols.id AS symbol_id, name, path, count(*) AS call_count, row_number() OVER (PARTITION BY symbols.id ORDER BY count(*) DESC, path) AS rank
           FROM events JOIN part200 ON event_id % 200 = name_key JOIN symbols ON name = p_name AND file_id = 7 JOIN paths ON paths.id = user_id WHERE user_id <> 7 GROUP BY symbols.id, name, path) WHERE rank <= 20 ORDER BY call_count DESC, path, symbol_id LIMIT 20""",
     ),
-    "relation_dedupe_max_confidence": "SELECT user_id AS source_id, event_type AS target_id, max(value) AS confidence, max_by(props, (value, props)) AS metadata FROM events GROUP BY ALL",
+    "relation_dedupe_max_confidence": _with(
+        ["relations"],
+        "SELECT source_id, relation, target_type, target_id, max(confidence) AS confidence, max_by(metadata, (confidence, metadata)) AS metadata FROM relations WHERE relation NOT IN ('defines', 'calls') GROUP BY ALL",
+    ),
     "path_suffix_index": _plus(_with(["paths"], ""), _SUFFIXES, "SELECT suffix, path FROM idx"),
     "edge_resolution": _plus(
         _with(["paths"], ""),
@@ -191,8 +199,9 @@ ORACLE_SQL = {
     ),
     "subsystem_rollup": _with(
         ["files"],
-        """SELECT prefix, CAST(sum(n) AS BIGINT) AS files, string_agg(language, ',' ORDER BY rank) FILTER (rank <= 3) AS languages FROM (SELECT prefix, language, count(*) AS n, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, language) AS rank
-          FROM (SELECT string_split(path, '/')[1] AS prefix, language FROM files) GROUP BY prefix, language) GROUP BY prefix ORDER BY files DESC, prefix LIMIT 10""",
+        """SELECT prefix, CAST(sum(n) FILTER (what = 'language') AS BIGINT) AS files, string_agg(label, ',' ORDER BY rank) FILTER (rank <= 3 AND what = 'language') AS languages, string_agg(label, ',' ORDER BY rank) FILTER (rank <= 3 AND what = 'role') AS roles
+        FROM (SELECT prefix, what, label, count(*) AS n, row_number() OVER (PARTITION BY prefix, what ORDER BY count(*) DESC, min(path)) AS rank
+          FROM (SELECT string_split(path, '/')[1] AS prefix, path, 'language' AS what, language AS label FROM files UNION ALL SELECT string_split(path, '/')[1], path, 'role', role FROM files) GROUP BY prefix, what, label) GROUP BY prefix ORDER BY files DESC, prefix LIMIT 10""",
     ),
     "overview_first_reads": _plus(_with(["files"], ""), _FIRST_READS, "SELECT path, score FROM (SELECT path, depth, CAST(CASE WHEN role = 'test' THEN s * 0.2 ELSE s END AS DOUBLE) AS score FROM points) WHERE score > 0 ORDER BY score DESC, depth, path LIMIT 12"),
     "estimate_tokens": _with(["content"], "SELECT language, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(ceil(sum(length(content)) / 4) AS BIGINT) AS tokens FROM content GROUP BY language"),
@@ -256,6 +265,22 @@ def _bias(role: str, low: str) -> str:
         - CASE WHEN contains({low}, '/versions/') OR starts_with({low}, 'alembic/') OR contains({low}, '/migrations/') THEN 3.0 ELSE 0.0 END - CASE WHEN regexp_matches({low}, '[.](css|png|jpg|jpeg|gif|webp|svg)$') THEN 4.0 ELSE 0.0 END"""
 
 
+_ALL_STATS = f"""texts AS (SELECT 'path' AS source, path AS t FROM files UNION ALL SELECT 'filename', list_last(string_split(path, '/')) FROM files UNION ALL SELECT 'language', language FROM files UNION ALL SELECT 'role', role FROM files
+        UNION ALL SELECT 'symbol', name FROM symbols UNION ALL SELECT 'commit', message FROM commits), texts2 AS (SELECT row_number() OVER () AS r, source, t FROM texts),
+    words AS (SELECT r, source, unnest({_useful("t")}) AS term FROM texts2), counted AS (SELECT term, source, count(DISTINCT r) AS dc, count(*) AS tc FROM words GROUP BY ALL),
+    sized AS (SELECT source, count(*) AS n FROM texts GROUP BY source UNION ALL SELECT 'all', count(*) FROM texts),
+    all_stats AS (SELECT term, source, CAST(dc AS BIGINT) AS document_count, CAST(tc AS BIGINT) AS total_count, least(2.8, greatest(0.25, 0.45 + ln((n + 1) / (dc + 1)))) AS weight
+        FROM (SELECT * FROM counted UNION ALL SELECT term, 'all', sum(dc), sum(tc) FROM counted GROUP BY term) JOIN sized USING (source))"""
+
+
+def _soft(terms: str) -> str:
+    """Best prefix or inside match of ``token`` with a term; sequence similarity
+    adds nothing to the tokens and terms of the test tables."""
+    return f"""coalesce(CASE WHEN length(token) >= 6 THEN list_max(list_transform(list_filter({terms}, lambda c: length(c) >= 5), lambda c: CASE WHEN least(length(c), length(token)) < 6 THEN 0.0
+        WHEN least(length(c), length(token)) / greatest(length(c), length(token)) >= 0.5 AND (starts_with(c, token) OR starts_with(token, c)) THEN 0.9
+        WHEN least(length(c), length(token)) / greatest(length(c), length(token)) >= 0.65 AND (contains(c, token) OR contains(token, c)) THEN 0.84 ELSE 0.0 END)) END, 0.0)"""
+
+
 _STEP = "regexp_replace(target_id, '^[./]+', '')"
 _RELATED = f"""csuf AS (SELECT path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) AS suffix FROM path_scores), cidx AS (SELECT suffix, min(path) AS path FROM csuf GROUP BY suffix),
     linked AS (SELECT f.path AS source, coalesce(a.path, b.path) AS linked, f.path IN (SELECT path FROM path_scores) AS inside FROM relations JOIN paths f ON f.id = source_id
@@ -270,25 +295,38 @@ _GONE = "gone AS (SELECT id, path FROM files WHERE id % 5 = 0), tags AS (SELECT
 _TRACE_PATHS = ORACLE_SQL["trace_paths"].rsplit("SELECT start, target", 1)[0].rstrip()
 
 ORACLE_SQL |= {
+    "term_stats_all": _plus(
+        _with(["files", "symbols", "commits"], ""), _ALL_STATS,
+        "SELECT term, source, document_count, total_count, round(weight, 6) AS weight FROM all_stats",
+    ),
     "context_pack_full": _plus(
-        _with(["hits", "symbols", "commits", "commit_files", "relations", "feedback"], ""),
-        """points AS (SELECT path, CAST(score AS DOUBLE) AS score FROM path_scores
-            UNION ALL SELECT path, 3.5 * count(*) FROM (SELECT DISTINCT file_id, token FROM symbols, lookup WHERE contains(lower(name), token)) JOIN files ON files.id = file_id GROUP BY path, file_id
-            UNION ALL SELECT path, worth FROM commit_files JOIN (SELECT commits.id, 0.8 + CAST(1.2 AS DOUBLE) * count(*) AS worth FROM commits, lookup WHERE contains(lower(message), token) GROUP BY commits.id) c ON c.id = commit_id
-            UNION ALL SELECT path, CAST(2.2 AS DOUBLE) FROM (SELECT DISTINCT path, token FROM relations JOIN paths ON paths.id = source_id, lookup WHERE relation = 'calls' AND contains(lower(target_id), token))),
-        totals AS (SELECT path, sum(score) AS score FROM points GROUP BY path), """
+        _with(["hits", "symbols", "commits", "commit_files", "relations", "feedback"], "").replace("['red', 'widget']", "['red', 'widget', 'sprockets']"),
+        _ALL_STATS
+        + f""", token_stats AS (SELECT token, count(term) AS known, {", ".join(f"max(CASE WHEN source = '{x}' THEN weight END) AS w_{x}" for x in ("all", "path", "filename", "language", "role", "symbol", "commit"))}
+            FROM lookup LEFT JOIN (SELECT term, source, round(weight, 6) AS weight FROM all_stats) ON term = token GROUP BY token),
+        worth AS (SELECT token, {", ".join(f"CASE WHEN known = 0 THEN 0.25 ELSE coalesce(w_{x}, w_all, 1.0) END AS {x}" for x in ("path", "filename", "language", "role", "symbol", "commit"))} FROM token_stats),
+        worded AS (SELECT id, path, role, language, name, regexp_extract_all(lower(path), '[a-z]+|[0-9]+') AS pt, regexp_extract_all(lower(name), '[a-z]+|[0-9]+') AS nt FROM prepared),
+        soft AS (SELECT id, w.*, {_soft("pt")} AS sp, {_soft("nt")} AS sn, list_contains(pt, token) AS ep, list_contains(nt, token) AS en, contains(worded.role, token) OR contains(worded.language, token) AS labelled,
+            length(token) >= 5 AND contains(regexp_replace(lower(regexp_replace(name, '[.][^.]*$', '')), '[^a-z0-9]', '', 'g'), token) AS inside, worded.path AS file FROM worded, worth w),
+        points AS (SELECT file AS path, CAST(CASE WHEN ep THEN 7 * path ELSE 2.5 * path * sp END + CASE WHEN en THEN 5 * filename WHEN inside THEN 4 * filename ELSE 0 END + CASE WHEN en THEN 0 ELSE 2.0 * filename * sn END
+                + CASE WHEN labelled THEN 1.5 * greatest(role, language) ELSE 0 END AS DOUBLE) AS score FROM soft
+            UNION ALL SELECT files.path, 3.5 * symbol * CASE WHEN files.role = 'documentation' THEN CASE WHEN kind IN ('heading', 'command_example') THEN 0.25 ELSE 0.5 END ELSE 1.0 END
+                FROM (SELECT file_id, token, arg_min(kind, id) AS kind FROM symbols, lookup WHERE contains(lower(name), token) GROUP BY ALL) JOIN files ON files.id = file_id JOIN worth USING (token)
+            UNION ALL SELECT path, amount FROM commit_files JOIN (SELECT commits.id, 0.8 + sum(1.2 * worth.commit) AS amount FROM commits, worth WHERE contains(lower(message), token) GROUP BY commits.id) c ON c.id = commit_id
+            UNION ALL SELECT path, 2.2 * symbol FROM (SELECT DISTINCT paths.path, token FROM relations JOIN paths ON paths.id = source_id, lookup WHERE relation = 'calls' AND contains(lower(target_id), token)) JOIN (SELECT token, symbol FROM worth) USING (token)),
+        totals AS (SELECT path, sum(score) AS score FROM points WHERE score > 0 GROUP BY path), """
         + _RELATED.replace("path_scores", "(SELECT path FROM totals WHERE score > 0)")
         + """, joint AS (SELECT path, sum(score) AS score FROM (SELECT * FROM totals UNION ALL SELECT path, CAST(least(0.5 * count(*), 1.5) AS DOUBLE) FROM (SELECT linked AS path FROM linked WHERE inside AND linked <> source UNION ALL SELECT source FROM linked WHERE NOT inside AND linked IS NOT NULL) GROUP BY path) GROUP BY path),
-        judged AS (SELECT path, (score * CASE WHEN role = 'test' THEN 0.45 ELSE 1.0 END * CASE WHEN role = 'asset' OR ext IN ('.css', '.scss', '.less') THEN 0.7 ELSE 1.0 END * CASE WHEN role = 'migration' OR ext = '.sql' THEN 0.75 ELSE 1.0 END
+        judged AS (SELECT path, language, role, (score * CASE WHEN role = 'test' THEN 0.45 ELSE 1.0 END * CASE WHEN role = 'asset' OR ext IN ('.css', '.scss', '.less') THEN 0.7 ELSE 1.0 END * CASE WHEN role = 'migration' OR ext = '.sql' THEN 0.75 ELSE 1.0 END
             * CASE WHEN role = 'documentation' OR ext IN ('.md', '.rst', '.txt') THEN 0.4 ELSE 1.0 END) AS s, role = 'source' AND ext IN ('.php', '.py', '.js', '.ts', '.go', '.rs') AS code FROM joint JOIN files USING (path) JOIN named USING (path)),
-        boosted AS (SELECT path, CASE WHEN code THEN s * 1.05 + 0.1 ELSE s END + coalesce(boost, 0) AS b, coalesce(penalty, 0) AS p FROM judged LEFT JOIN signals USING (path)),
-        best AS (SELECT path, CAST(round(CASE WHEN p < 0 THEN greatest(0.0, b + p) * 0.35 ELSE b END, 6) AS DOUBLE) AS raw FROM boosted ORDER BY raw DESC, path LIMIT 10)""",
-        "SELECT path, raw, round(raw / (SELECT max(raw) FROM best), 2) AS score FROM best WHERE raw > 0",
+        boosted AS (SELECT path, language, role, CASE WHEN code THEN s * 1.05 + 0.1 ELSE s END + coalesce(boost, 0) AS b, coalesce(penalty, 0) AS p FROM judged LEFT JOIN signals USING (path)),
+        best AS (SELECT path, language, role, CAST(round(CASE WHEN p < 0 AND b > 0 THEN greatest(0.0, b + p) * 0.35 ELSE b END, 6) AS DOUBLE) AS raw FROM boosted ORDER BY raw DESC, path LIMIT 10)""",
+        "SELECT path, language, role, raw, round(raw / (SELECT max(raw) FROM best), 2) AS score FROM best WHERE raw > 0",
     ),
-    "memory_search": _with(
-        ["notes"],
-        f"""SELECT id, score FROM (SELECT id, CAST(round(len(list_intersect(['user', 'widget'], list_concat({_useful("note")}, {_useful("path")}, {_useful("topic")}))) / 2 + CASE WHEN contains(lower(topic), 'user widget') THEN 0.5 ELSE 0.0 END
-            + CASE WHEN contains(lower(path), 'user') OR contains(lower(path), 'widget') THEN 0.2 ELSE 0.0 END, 6) AS DOUBLE) AS score FROM notes) WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10""",
+    "memory_search": _plus(
+        _with(["notes"], ""), _TAGGED,
+        f"""SELECT id, score FROM (SELECT id, CAST(round(len(list_intersect(['user', 'widget'], {_useful("concat_ws(' ', path, topic, note, array_to_string(tags, ' '))")})) / 2 + CASE WHEN contains(lower(topic), 'user widget') THEN 0.5 ELSE 0.0 END
+            + CASE WHEN contains(lower(path), 'user') OR contains(lower(path), 'widget') THEN 0.2 ELSE 0.0 END + CASE WHEN list_has_any(['user', 'widget'], tags) THEN 0.4 ELSE 0.0 END, 4) AS DOUBLE) AS score FROM tagged) WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10""",
     ),
     "context_calls": _with(
         ["relations"],
@@ -381,7 +419,7 @@ ORACLE_SQL |= {
         f"""queried AS (SELECT id, path, CASE WHEN contains(lower(path), 'test') THEN 4.0 ELSE 0.0 END + CASE WHEN contains(lower(content), 'test') THEN 2.0 ELSE 0.0 END + {_bias("role", "lower(path)")} AS score FROM content),
         first4 AS (SELECT id, path, 0 AS part, -score AS a, id AS b FROM queried WHERE score <> 0 ORDER BY score DESC, id LIMIT 4),
         told AS (SELECT content.id, path, name, kind, min(line) AS line, CASE kind WHEN 'project_script' THEN 0 WHEN 'route' THEN 3 WHEN 'package_script' THEN 4 ELSE 5 END AS priority FROM psymbols JOIN content ON content.id = file_id
-            WHERE file_id % 50 = 3 AND (kind <> 'function' OR lower(name) IN ({_list(L.ENTRY_NAMES)}) OR ends_with(lower(name), 'app')) AND NOT (role = 'test' AND kind = 'route') GROUP BY ALL),
+            WHERE (kind <> 'function' OR lower(name) IN ({_list(L.ENTRY_NAMES)}) OR ends_with(lower(name), 'app')) AND NOT (role = 'test' AND kind = 'route') GROUP BY ALL),
         entries AS (SELECT id, path, row_number() OVER (ORDER BY priority, len(string_split(path, '/')), path, line, name, kind) AS pos FROM told),
         each AS (SELECT id, path, min((part, a, b)) AS spot FROM (SELECT id, path, part, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM first4 UNION ALL SELECT id, path, 1, CAST(pos AS DOUBLE), CAST(0 AS DOUBLE) FROM entries WHERE pos <= 4) GROUP BY id, path)""",
         "SELECT * FROM (SELECT id, path, CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS place FROM each) WHERE place <= 8",

@@ -105,10 +105,12 @@ def plan_items(spark, sf_dir) -> DataFrame:
 
 def relations(spark, sf_dir) -> DataFrame:
     """id, source_type, source_id, relation, target_type, target_id, confidence,
-    metadata: events as edges to files, symbol ids and called names."""
+    metadata: events as edges to files, symbol ids and called names.  Include
+    edges lead to any file, by its path."""
     kind = (F.col("event_id") % 3 + 1).cast("int")
-    some = paths(spark, sf_dir).where("id < 200").select(F.col("id").alias("file_key"), F.col("path").alias("file_path"))  # at most 200 rows
-    events = table(spark, sf_dir, "events").join(F.broadcast(_part_names(spark, sf_dir)), F.col("event_id") % 200 == F.col("name_key")).join(F.broadcast(some), F.col("event_id") * 7 % 200 == F.col("file_key"), "left")
+    rows = table(spark, sf_dir, "events").withColumn("file_key", F.col("event_id") * 7 % (F.col("user_id") * 13 + 50))
+    targets = paths(spark, sf_dir).select(F.col("id").alias("file_key"), F.col("path").alias("file_path"))
+    events = rows.join(F.broadcast(_part_names(spark, sf_dir)), F.col("event_id") % 200 == F.col("name_key")).join(targets, "file_key", "left")
     symbol = ((F.col("event_id") % 10 + 1) * 1000000 + F.col("event_id") % 200 + 1).cast("string")
     return events.select(
         F.col("event_id").alias("id"),
