@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -71,19 +72,24 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, rows: i
     return big.where(is_hot).join(F.broadcast(hot), key).unionByName(big.where(~is_hot).join(small.where(F.col(count) <= rows // HOT_KEYS), key))
 
 
+#: On a local file system (one machine, or a mounted shared folder) every file
+#: with a side file of checksums starts four processes that set rights; without
+#: it, two.  Other file systems don't read these settings.
+LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
     survives lost executors and is computed once.  A ``small`` table, a few
-    numbers a row and cheap to finish, is written by a sixteenth of the shuffle
-    partitions, as each file costs its writer calls to the file system and on
-    a local one processes.  The folder's owner removes what is left in it when
-    the results have been written."""
+    numbers a row and cheap to finish, is written by a 64th of the shuffle
+    partitions, as each file costs calls to the file system.  The folder's
+    owner removes what is left in it when the results have been written."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     schema = df.schema
     if small:
-        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 64))
+    writer = df.write.mode("errorifexists").option("compression", "zstd").options(**LOCAL_FILES)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._shared_path = path
@@ -153,3 +159,28 @@ def slices(batches, column: str, max_bytes: int = (1 << 21) - 1):
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def by_bytes(rows: list, size, most: int = 1 << 20):
+    """Lists of rows, in order, of at most ``most`` bytes by ``size`` (a longer
+    row stands alone)."""
+    part, held = [], 0
+    for row in rows:
+        n = size(row)
+        if part and held + n > most:
+            yield part
+            part, held = [], 0
+        part.append(row)
+        held += n
+    if part:
+        yield part
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system: a worker
+    waits for its next task with what it once needed, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back this way

@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_counted, materialise, prepare, shared_path, slices
+from .common import LOCAL_FILES, join_counted, materialise, prepare, shared_path, slices
 
 #: Bucket capacity in bytes, and the most slots of a directory.  Beyond
 #: BUCKET_BYTES * MAX_SLOTS / 4 bytes of text the capacity grows instead, so
 #: the directory stays small enough to be sent to every task.
 BUCKET_BYTES = 4 << 20
 MAX_SLOTS = 1 << 20
-MAX_OWNERS = 1 << 15
+#: Bytes of text that one owner task inserts, some buckets after another.
+OWNER_BYTES = 32 << 20
 
 
 class Directory:
@@ -97,8 +98,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for p, n in keys.groupBy(prefix.alias("p")).agg(F.sum(F.col("n_bytes") + 64).alias("n")).collect():
         histogram[p] = n
     directory = Directory(histogram, capacity)
-    owners = min(directory.buckets, MAX_OWNERS)
-    per_owner = -(-directory.buckets // owners)
+    per_owner = max(1, OWNER_BYTES // capacity)
+    owners = -(-directory.buckets // per_owner)
 
     def combine(batches):
         """Copies within the task become one row; flushed when it holds much."""
@@ -178,7 +179,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = combined.repartitionById(owners, F.col("owner")).drop("owner").sortWithinPartitions("key")
     path = shared_path(spark, "dedup-index")
     schema = f"bucket bigint, chain int, key bigint, digest binary, keep_id {id_type}, group_size bigint, text binary"
-    owned.mapInArrow(insert, schema).write.option("compression", "zstd").parquet(f"{path}/entries")
+    owned.mapInArrow(insert, schema).write.option("compression", "zstd").options(**LOCAL_FILES).parquet(f"{path}/entries")
     spark.createDataFrame(
         [(int(i), int(b), int(directory.depth), int(x)) for i, (b, x) in enumerate(zip(directory.slots, directory.local, strict=True))], "slot bigint, bucket bigint, depth int, local_depth int"
     ).coalesce(1).write.parquet(f"{path}/directory")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import binary_buffer, codes_of, discard, join_counted, materialise, prepare, release, slices, splitmix
+from .common import binary_buffer, by_bytes, codes_of, discard, join_counted, materialise, prepare, release, slices, splitmix, trim
 from .components import components
 from .textarrays import substring_hashes, words_of
 
@@ -31,7 +31,7 @@ BANDS, ROWS = 16, 4
 POOL_BITS = 16
 #: Bytes of text of a block, shingles of an owner's range, and bytes that a
 #: task holds before it sends texts on.
-BLOCK_BYTES, RANGE_SHINGLES, HELD_BYTES = 6 << 20, 1 << 20, 12 << 20
+BLOCK_BYTES, RANGE_SHINGLES, HELD_BYTES = 3 << 20, 1 << 20, 8 << 20
 #: Most members of a hub's group that are compared with it in one task.
 STAR_ROWS = 256
 
@@ -281,8 +281,8 @@ def _deal(source: DataFrame, blocks: int) -> DataFrame:
                 sizes = np.array([len(x[0]) for x in part], "<i8")
                 rows.append((block, b"".join(order[begin:end]), np.array([x[1] for x in part], "<i8").tobytes(), sizes.tobytes(), codec.compress(texts, asbytes=True)))
                 begin = end
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["block", "digests", "copies", "sizes", "texts"])
+            for part in by_bytes(rows, lambda r: len(r[1]) + len(r[4])):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["block", "digests", "copies", "sizes", "texts"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -419,6 +419,8 @@ def _signed(dealt: DataFrame, frequencies: DataFrame, documents: int) -> DataFra
             bands.append(signatures(terms.hashes, terms.document, terms.tf * idf(count, documents), base, b - a))
         bands = np.concatenate(bands)
         n = len(texts)
+        del runs, order, new, found, counts
+        trim()
         return pa.table(
             {
                 "node": pa.array((block << 32) + np.arange(n), pa.int64()),
@@ -573,7 +575,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         to the texts if they are few."""
         return texts.join(F.broadcast(ids.distinct()) if most <= 1_000_000 else ids, "node", "left_semi")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of pairs a, b, n from both whole texts; n bounds
         the pairs of one b, whose text goes to a task per STAR_ROWS of them."""
         salts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
@@ -596,10 +598,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     found = [similarity_of(x, hubs[k]) for x, k in zip(left, (np.cumsum(new) - 1).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
 
-        return materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), name)
+        return materialise(both.mapInArrow(run, "a bigint, b bigint, similarity double"), "near-verified")
 
     pairs = materialise(starred.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "near-pairs", small=True)
-    stars = verify(pairs, "near-verified")
+    stars = verify(pairs)
     release(spark)
     edges = stars.where(F.col("similarity") >= similarity).select("a", "b")
     labels = components(edges)
@@ -632,7 +634,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = materialise(grouped.join(classes, "digest"), "near-grouped", small=True)
     sizes = grouped.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("group_size"), F.count("*").alias("n"))
     by_class = join_counted(grouped, sizes, "component", "n", grouped.count()).select("digest", "copies", "kept", "group_size")
-    rows = join_counted(keys, materialise(by_class, "near-by-class", small=True), "digest", "copies", documents)
+    by_class = materialise(by_class, "near-by-class", small=True)
+    discard(nodes)
+    rows = join_counted(keys, by_class, "digest", "copies", documents)
     linked = rows.select("id", F.col("kept.id").alias("component_id"), "group_size", (F.col("row") == F.col("kept.row")).alias("kept"), "text_md5")
     alone = keys.where("digest is null").select("id", F.col("id").alias("component_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_md5")
     return linked.unionByName(alone).withColumnRenamed("id", id_col)

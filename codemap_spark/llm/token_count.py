@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_counted, materialise, prepare, slices
+from .common import LOCAL_FILES, join_counted, materialise, prepare, slices
 from .vocabulary import encoder, version
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens bigint"
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
             n = tokens.count_batch(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([own] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.parquet(f"{cache_path.rstrip('/')}/append-{uuid.uuid4().hex}")
+    misses.mapInArrow(encode, CACHE_SCHEMA).write.options(**LOCAL_FILES).parquet(f"{cache_path.rstrip('/')}/append-{uuid.uuid4().hex}")
     keyed = materialise(docs.select(F.col(id_col), F.octet_length(text).cast("bigint").alias("n_bytes"), digest.alias("digest")), "token-keys")
     cached = read_cache(spark, cache_path).where(F.col("version") == own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = materialise(keyed.groupBy("digest").agg(F.count("*").alias("rows")).join(cached, "digest"), "token-counts", small=True)
