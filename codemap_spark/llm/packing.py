@@ -21,7 +21,7 @@ from .vocabulary import encoder
 DIMENSIONS, BITS, BUCKETS = 3, 12, 1024
 #: Rows that the range bounds are fitted on, tokens of a range, and the most ranges.
 SAMPLE_ROWS = 8_192
-RANGE_TOKENS, MAX_RANGES = 2_000_000, 1 << 20
+RANGE_TOKENS, MAX_RANGES = 8_000_000, 1 << 20
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
