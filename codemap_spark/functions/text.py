@@ -128,9 +128,10 @@ def path_suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def is_indexable(path: Column) -> Column:
-    """SRC2: no excluded or hidden folder, file name or suffix."""
+def is_indexable(path: Column, dirs=(), files=(), suffixes=(), hidden=()) -> Column:
+    """SRC2: no excluded or hidden folder, file name or suffix; what a project
+    excludes (or, of hidden folders, includes) comes on top of the fixed lists."""
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
-    excluded = F.exists(folders, lambda p: p.isin(L.EXCLUDED_DIRS) | p.endswith(".egg-info") | p.endswith(".dist-info") | (p.startswith(".") & (F.char_length(p) > 1)))
-    return ~(excluded | file_name(path).isin(L.EXCLUDED_FILES) | extension(path).isin(L.EXCLUDED_SUFFIXES))
+    excluded = F.exists(folders, lambda p: p.isin([*L.EXCLUDED_DIRS, *dirs]) | p.endswith(".egg-info") | p.endswith(".dist-info") | (p.startswith(".") & ~p.isin([".", "..", *hidden])))
+    return ~(excluded | file_name(path).isin([*L.EXCLUDED_FILES, *files]) | extension(path).isin([*L.EXCLUDED_SUFFIXES, *suffixes]))

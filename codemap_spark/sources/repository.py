@@ -1,27 +1,27 @@
 """Repository files as a table, and the symbols and relations in them (SRC1 to
-SRC6, EX1, EX5 to EX12)."""
+SRC8, EX1 to EX12)."""
 
 from __future__ import annotations
 
-import ast
+import datetime
 import hashlib
 import json
 import os
-import re
 import subprocess
-import tomllib
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L, text as T
+from . import extraction
 
 MAX_BYTES, PROBED = 2_000_000, 4096
 
 
 def list_files(root: str) -> list[str]:
     """SRC1: sorted paths that git lists, or else all below the root without
-    excluded folders."""
+    the folders that are always excluded."""
     if os.path.exists(os.path.join(root, ".git")):
         done = subprocess.run(["git", "-C", root, "ls-files", "-co", "--exclude-standard", "-z"], capture_output=True)
         if done.returncode == 0:
@@ -29,7 +29,7 @@ def list_files(root: str) -> list[str]:
             return [p for p in listed if os.path.isfile(os.path.join(root, p))]
     out = []
     for folder, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in L.EXCLUDED_DIRS and not d.startswith(".")]
+        dirs[:] = [d for d in dirs if d not in L.EXCLUDED_DIRS]
         out += [os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/") for n in names]
     return sorted(out)
 
@@ -44,146 +44,73 @@ def decode(raw: bytes) -> str | None:
         return raw.decode("latin-1")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, language, role, size, sha256, content of the indexable files.
+class IgnoreRules(NamedTuple):
+    """SRC3: what a project's settings exclude beside the fixed lists."""
 
-    The root must be readable from the executors, which read the files."""
-    listed = spark.createDataFrame([(p,) for p in list_files(root)], "path string").where(T.is_indexable(F.col("path")))
+    dirs: frozenset[str] = frozenset()
+    files: frozenset[str] = frozenset()
+    suffixes: frozenset[str] = frozenset()
+    hidden: frozenset[str] = frozenset()
+
+
+def ignore_rules(settings: str | None) -> IgnoreRules:
+    """SRC3 from the text of the settings (JSON); broken ones add nothing.
+    Suffixes get their dot."""
+    try:
+        found = json.loads(settings or "{}")
+    except ValueError:
+        found = {}
+
+    def texts(key: str) -> frozenset[str]:
+        value = found.get(key) if isinstance(found, dict) else None
+        return frozenset(str(x) for x in value if str(x)) if isinstance(value, list) else frozenset()
+
+    suffixes = frozenset(x if x.startswith(".") else f".{x}" for x in texts("exclude_extensions"))
+    return IgnoreRules(texts("exclude_dirs"), texts("exclude_files"), suffixes, texts("include_hidden_dirs"))
+
+
+def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> DataFrame:
+    """path, language, role, size, extension, modified (UTC seconds), sha256,
+    content of the indexable files (SRC1 to SRC6).
+
+    The root must be readable from the executors, which read the files; one
+    that has gone or can't be read is left out."""
+    rules = rules or IgnoreRules()
+    indexable = T.is_indexable(F.col("path"), rules.dirs, rules.files, rules.suffixes, rules.hidden)
+    listed = spark.createDataFrame([(p,) for p in list_files(root)], "path string").where(indexable)
+    schema = "path string, size bigint, modified string, sha256 string, content string"
 
     def read(batches):
         for batch in batches:
             rows = []
             for p in batch.column("path").to_pylist():
-                with open(os.path.join(root, p), "rb") as f:
-                    raw = f.read()
-                rows.append((p, len(raw), hashlib.sha256(raw).hexdigest(), decode(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "size", "sha256", "content"])
-
-    out = listed.mapInArrow(read, "path string, size bigint, sha256 string, content string")
-    return out.select("path", T.language_of(F.col("path")).alias("language"), T.role_of(F.col("path")).alias("role"), "size", "sha256", "content")
-
-
-#: language: (pattern of a line, kind of symbol or relation, "symbol" or "relation")
-LINE_RULES: dict[str, tuple[tuple[re.Pattern, str, str], ...]] = {
-    "javascript": (
-        (re.compile(r"\bfunction\s+([A-Za-z_$][\w$]*)"), "function", "symbol"),
-        (re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)"), "class", "symbol"),
-        (re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*="), "constant", "symbol"),
-        (re.compile(r"""\b(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['"]([^'"]+)"""), "route", "symbol"),
-        (re.compile(r"""(?:\bfrom\s+|\brequire\(\s*|\bimport\s+)['"]([^'"]+)['"]"""), "imports", "relation"),
-    ),
-    "php": (
-        (re.compile(r"\bclass\s+([A-Za-z_]\w*)", re.I), "class", "symbol"),
-        (re.compile(r"\bfunction\s+&?([A-Za-z_]\w*)", re.I), "function", "symbol"),
-        (re.compile(r"""\bdefine\(\s*['"]([^'"]+)""", re.I), "constant", "symbol"),
-        (re.compile(r"""\b(?:include|require)(?:_once)?\b[^'"]*['"]([^'"]+)""", re.I), "include", "relation"),
-        (re.compile(r"\b(?:from|join|into|update)\s+`?([A-Za-z_]\w*)", re.I), "uses_table", "relation"),
-    ),
-    "go": (
-        (re.compile(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), "function", "symbol"),
-        (re.compile(r"^type\s+([A-Za-z_]\w*)\s+struct"), "struct", "symbol"),
-        (re.compile(r"^type\s+([A-Za-z_]\w*)\s+interface"), "interface", "symbol"),
-        (re.compile(r"""^import\s+(?:\w+\s+)?"([^"]+)"|^\s+(?:\w+\s+)?"([^"\s]+)"$"""), "imports", "relation"),
-    ),
-    "rust": (
-        (re.compile(r"\bfn\s+([A-Za-z_]\w*)"), "function", "symbol"),
-        (re.compile(r"\bstruct\s+([A-Za-z_]\w*)"), "struct", "symbol"),
-        (re.compile(r"\benum\s+([A-Za-z_]\w*)"), "enum", "symbol"),
-        (re.compile(r"\btrait\s+([A-Za-z_]\w*)"), "trait", "symbol"),
-        (re.compile(r"^\s*use\s+([A-Za-z_]\w*)"), "imports", "relation"),
-    ),
-    "yaml": ((re.compile(r"^([A-Za-z_][\w.-]*)\s*:"), "config_key", "symbol"),),
-}
-LINE_RULES["typescript"] = LINE_RULES["javascript"]
-
-
-def _python(content: str) -> list[tuple]:
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return []
-    rows: list[tuple] = []
-
-    def visit(node, inside_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef):
-                rows.append(("symbol", "class", child.name, child.lineno))
-                visit(child, True)
-                continue
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                rows.append(("symbol", "method" if inside_class else "function", child.name, child.lineno))
-                visit(child, False)
-                continue
-            if isinstance(child, ast.Import):
-                rows.extend(("relation", "imports", a.name, child.lineno) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                rows.append(("relation", "imports", "." * child.level + (child.module or ""), child.lineno))
-            elif isinstance(child, ast.Call):
-                name = child.func.id if isinstance(child.func, ast.Name) else child.func.attr if isinstance(child.func, ast.Attribute) else None
-                if name and name not in __builtins_names__:
-                    rows.append(("relation", "calls", name, child.lineno))
-            visit(child, inside_class)
-
-    visit(tree, False)
-    return rows
-
-
-__builtins_names__ = frozenset(dir(__builtins__) if not isinstance(__builtins__, dict) else __builtins__)
-
-
-def _markdown(content: str) -> list[tuple]:
-    rows, fenced = [], False
-    for n, line in enumerate(content.splitlines(), 1):
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-        elif not fenced and (m := re.match(r"#{1,6}\s+(.*?)\s*#*$", line)):
-            rows.append(("symbol", "heading", m[1], n))
-    return rows
-
-
-def _keys(content: str, load) -> list[tuple]:
-    try:
-        value = load(content)
-    except ValueError:
-        return []
-    if not isinstance(value, dict):
-        return []
-    rows = [("symbol", "config_key", str(k), 1) for k in sorted(value)]
-    scripts = value.get("scripts") if load is json.loads else (value.get("project") or {}).get("scripts")
-    kind = "package_script" if load is json.loads else "project_script"
-    return rows + [("symbol", kind, str(k), 1) for k in sorted(scripts)] if isinstance(scripts, dict) else rows
-
-
-def extract(content: str | None, language: str) -> list[tuple]:
-    """(symbol or relation, kind, name, line) rows of one file; none without
-    content or for a language without rules."""
-    if not content:
-        return []
-    if language == "python":
-        return _python(content)
-    if language == "markdown":
-        return _markdown(content)
-    if language == "json":
-        return _keys(content, json.loads)
-    if language == "toml":
-        return _keys(content, tomllib.loads)
-    rows = []
-    for n, line in enumerate(content.splitlines(), 1):
-        for pattern, kind, what in LINE_RULES.get(language, ()):
-            for found in dict.fromkeys(next(g for g in m.groups() if g) for m in pattern.finditer(line)):
-                rows.append((what, kind, found, n))
-    return rows
+                try:
+                    with open(os.path.join(root, p), "rb") as f:
+                        raw, at = f.read(), os.fstat(f.fileno()).st_mtime
+                except OSError:
+                    continue
+                modified = datetime.datetime.fromtimestamp(int(at), datetime.UTC).isoformat()
+                rows.append((p, len(raw), modified, hashlib.sha256(raw).hexdigest(), decode(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["path", "size", "modified", "sha256", "content"])
+
+    out = listed.mapInArrow(read, schema)
+    return out.select("path", T.language_of(F.col("path")).alias("language"), T.role_of(F.col("path")).alias("role"), "size", T.extension(F.col("path")).alias("extension"), "modified", "sha256", "content")
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """path, what, kind, name, line of all files (path, language, content)."""
+    """path, what (symbol or relation), kind, target_type, name, line,
+    confidence, signature of all files (path, language, content).
+
+    One map over the files; a file is read by one task, however long."""
+    schema = "path string, what string, kind string, target_type string, name string, line int, confidence double, signature string"
+    types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
 
     def run(batches):
         for batch in batches:
-            rows = [(p, *r) for p, g, c in zip(*(batch.column(k).to_pylist() for k in ("path", "language", "content")), strict=True) for r in extract(c, g)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()))], names=["path", "what", "kind", "name", "line"])
+            rows = [(p, *r) for p, g, c in zip(*(batch.column(k).to_pylist() for k in ("path", "language", "content")), strict=True) for r in extraction.extract(c, g, p or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["path", *extraction.Row._fields])
 
-    return files.select("path", "language", "content").mapInArrow(run, "path string, what string, kind string, name string, line int")
+    return files.select("path", "language", "content").mapInArrow(run, schema)
 
 
 def git_log(spark: SparkSession, root: str, limit: int = 50) -> tuple[DataFrame, DataFrame]:
