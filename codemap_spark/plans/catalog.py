@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import context, listing, memory, ranking, relations, stats, store
-from ..sources import corpus as C
+from ..sources import corpus as C, repository
+from . import samples
 
 QUERY = "red widget"
 TOKENS = ["red", "widget"]
@@ -480,6 +481,28 @@ def combined_tags(s, d):
     return listing.combined_tags(_tagged_notes(s, d), stats.file_tags(files, C.symbols(s, d)), files).select("path", F.array_join("tags", ",").alias("tags"))
 
 
+#: Which sample texts each extraction query reads.
+EXTRACTED = {
+    "extract_python": ["src/app/m@K@.py"], "extract_python_broken": ["src/app/broken@K@.py"], "extract_php": ["web/p@K@.php"], "extract_typescript": ["web/a@K@.ts"], "extract_go": ["cmd/m@K@.go"],
+    "extract_rust": ["src/m@K@.rs"], "extract_markdown": ["docs/README@K@.md"], "extract_settings": ["pkg@K@/package.json", "pkg@K@/pyproject.toml", "conf/c@K@.yml"],
+}
+
+
+def sample_files(s, d, paths):
+    """path, language, content: the sample texts of every part."""
+    key = F.col("p_partkey").cast("string")
+    each = F.explode(F.array(*[F.struct(F.replace(F.lit(p), F.lit("@K@"), key).alias("path"), F.replace(F.lit(samples.TEXTS[p]), F.lit("@K@"), key).alias("content")) for p in paths]))
+    return C.table(s, d, "part").select(each.alias("x")).select("x.path", T.language_of(F.col("x.path")).alias("language"), "x.content")
+
+
+def _extraction(name):
+    def query(s, d):
+        return repository.extracted(sample_files(s, d, EXTRACTED[name])).select("path", "what", "kind", "target_type", "name", "line", "confidence")
+
+    query.__name__ = name
+    return query
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -493,7 +516,7 @@ QUERIES = {
         trace_starts, trace_scores, trace_targets, trace_profile,
         list_feedback, list_notes, list_stale_notes, list_tasks, list_plans, focused_entry_points, supporting_files, table_counts, fallback_weights, note_tags, tag_scores, combined_tags,
     )
-}
+} | {name: _extraction(name) for name in EXTRACTED}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
+from . import samples
 
 
 def _list(values) -> str:
@@ -476,3 +477,11 @@ ORACLE_SQL |= {
         "SELECT path, array_to_string(list_filter(u, lambda t, i: list_position(u, t) = i)[:16], ',') AS tags FROM joint",
     ),
 }
+
+ORACLE_SQL |= {
+    name: samples.sql(paths)
+    for name, paths in {
+        "extract_python": ["src/app/m@K@.py"], "extract_python_broken": ["src/app/broken@K@.py"], "extract_php": ["web/p@K@.php"], "extract_typescript": ["web/a@K@.ts"], "extract_go": ["cmd/m@K@.go"],
+        "extract_rust": ["src/m@K@.rs"], "extract_markdown": ["docs/README@K@.md"], "extract_settings": ["pkg@K@/package.json", "pkg@K@/pyproject.toml", "conf/c@K@.yml"],
+    }.items()
+}

@@ -1,0 +1,166 @@
+"""A source text of every language, and what is in it, worked out by hand.
+
+``@K@`` stands for the key of a part, so that each part has texts of its own.
+"""
+
+from __future__ import annotations
+
+TEXTS = {
+    "src/app/m@K@.py": """import os, json as j
+from ..core.util import x@K@
+from . import sibling
+LIMIT_@K@ = 3
+
+class Part@K@(Base):
+    size: int = 1
+    def load(self):
+        def inner():
+            return len(fetch_@K@())
+        return self.store.read_@K@(inner)
+
+@app.get('/part/@K@')
+async def show_@K@(request):
+    return render(request, 'p@K@.html')
+
+urlpatterns = [path('old/@K@/', views.old_@K@)]
+""",
+    "src/app/broken@K@.py": """import os, sys as system
+from .core import y
+class Old@K@:
+    def run(self):
+        print 'no'
+def free_@K@(a):
+    pass
+""",
+    "web/p@K@.php": """<?php
+require_once 'lib/p@K@.php';
+define('SIZE_@K@', 1);
+class Part@K@ {
+  const MAX = 2;
+  function load($id) {
+    $r = find_@K@($id); // skip_me(1)
+    return query("SELECT * FROM parts_@K@ JOIN sizes");
+  }
+}
+function free_@K@() { return strlen('x(') + twice(1) + twice(2); }
+$routes = ['/p/@K@' => 'PartController@show'];
+Route::get('/q/@K@', [QController::class, 'index']);
+""",
+    "web/a@K@.ts": """import { a } from './lib@K@';
+import './side@K@.css';
+const v@K@ = require('mod@K@');
+export const LIMIT@K@ = make_@K@(2);
+class View@K@ { }
+function draw@K@(x) { return Paint(x) + helper@K@("call(1)"); }
+app.get('/p/@K@', show@K@);
+fastify.route({
+  method: 'POST',
+  url: '/q/@K@',
+  handler: save@K@,
+});
+""",
+    "cmd/m@K@.go": """package main
+import (
+  "fmt"
+  log "example.org/log@K@"
+)
+import "os"
+type Part@K@ struct { }
+type Reader interface { }
+const Max@K@ = 3
+func (p *Part@K@) Load(id int) int { return id }
+func main() {
+  r.GET("/p/@K@", handlers.Show@K@)
+}
+""",
+    "src/m@K@.rs": """use std::collections::HashMap;
+pub use crate@K@::{a, b};
+mod inner@K@;
+pub struct Part@K@ { }
+enum Kind { A }
+pub trait Load { }
+impl<T> Load for store::Part@K@ { }
+pub const MAX@K@: u8 = 1;
+pub async fn run@K@() { }
+""",
+    "docs/README@K@.md": """# Part @K@ #
+```bash
+# comment
+$ make part@K@
+```
+```python
+no()
+```
+##  Use   it
+text # no
+""",
+    "pkg@K@/package.json": """{"name": "p@K@", "scripts": {"test": "run @K@", "build": "make"}, "a": 1}""",
+    "pkg@K@/pyproject.toml": """[project]
+name = "p@K@"
+scripts = {run@K@ = "m:main"}
+[project.gui-scripts]
+win = "m:win"
+[project.entry-points.plug]
+one@K@ = "m:one"
+[tool.poetry.scripts]
+old = "m:old"
+""",
+    "conf/c@K@.yml": """# c: 1
+name@K@: x
+list:
+  - a: 1
+name@K@: y
+a.b-c: 2
+""",
+}
+
+S, R = "symbol", "relation"
+#: path: (what, kind, target type, name, line, confidence)
+FOUND = {
+    "src/app/m@K@.py": [
+        (R, "imports", "module", "os", 1, 0.65), (R, "imports", "module", "json", 1, 0.65), (R, "imports", "module", "src.core.util", 2, 0.75), (S, "constant", None, "LIMIT_@K@", 4, None),
+        (S, "class", None, "Part@K@", 6, None), (S, "method", None, "load", 8, None), (S, "method", None, "inner", 9, None), (R, "calls", "symbol_name", "fetch_@K@", 10, 0.45),
+        (R, "calls", "symbol_name", "read_@K@", 11, 0.45), (S, "function", None, "show_@K@", 14, None), (S, "route", None, "/part/@K@", 13, None), (R, "route_to_handler", "symbol_name", "show_@K@", 13, 0.8),
+        (R, "calls", "symbol_name", "get", 13, 0.45), (R, "calls", "symbol_name", "render", 15, 0.45), (R, "renders_template", "template", "p@K@.html", 15, 0.7),
+        (S, "route", None, "/old/@K@", 17, None), (R, "route_to_handler", "symbol_name", "old_@K@", 17, 0.65), (R, "calls", "symbol_name", "path", 17, 0.45),
+    ],
+    "src/app/broken@K@.py": [
+        (R, "imports", "module", "os", 1, 0.65), (R, "imports", "module", "sys", 1, 0.65), (R, "imports", "module", "src.app.core", 2, 0.75), (S, "class", None, "Old@K@", 3, None), (S, "method", None, "run", 4, None),
+        (S, "function", None, "free_@K@", 6, None),
+    ],
+    "web/p@K@.php": [
+        (R, "require_once", "file", "lib/p@K@.php", 2, 0.8), (S, "constant", None, "SIZE_@K@", 3, None), (R, "calls", "symbol_name", "define", 3, 0.45), (S, "class", None, "Part@K@", 4, None), (S, "constant", None, "MAX", 5, None), (S, "method", None, "load", 6, None),
+        (R, "calls", "symbol_name", "find_@K@", 7, 0.45), (R, "calls", "symbol_name", "query", 8, 0.45), (R, "uses_table", "sql_table", "parts_@K@", 8, 0.6), (R, "uses_table", "sql_table", "sizes", 8, 0.6),
+        (S, "function", None, "free_@K@", 11, None), (R, "calls", "symbol_name", "twice", 11, 0.45), (S, "route", None, "/p/@K@", 12, None), (R, "route_to_handler", "symbol_name", "show", 12, 0.65),
+        (S, "route", None, "/q/@K@", 13, None), (R, "route_to_handler", "symbol_name", "class", 13, 0.65),
+    ],
+    "web/a@K@.ts": [
+        (R, "imports", "module", "./lib@K@", 1, 0.75), (R, "imports", "module", "./side@K@.css", 2, 0.75), (S, "constant", None, "v@K@", 3, None), (R, "imports", "module", "mod@K@", 3, 0.75), (R, "calls", "symbol_name", "require", 3, 0.45),
+        (S, "constant", None, "LIMIT@K@", 4, None), (R, "calls", "symbol_name", "make_@K@", 4, 0.45), (S, "class", None, "View@K@", 5, None), (S, "function", None, "draw@K@", 6, None),
+        (R, "calls", "symbol_name", "helper@K@", 6, 0.45), (S, "route", None, "/p/@K@", 7, None), (R, "route_to_handler", "symbol_name", "show@K@", 7, 0.65), (R, "calls", "symbol_name", "get", 7, 0.45),
+        (S, "route", None, "/q/@K@", 8, None), (R, "route_to_handler", "symbol_name", "save@K@", 8, 0.65), (R, "calls", "symbol_name", "route", 8, 0.45),
+    ],
+    "cmd/m@K@.go": [
+        (R, "imports", "module", "fmt", 3, 0.75), (R, "imports", "module", "example.org/log@K@", 4, 0.75), (R, "imports", "module", "os", 6, 0.75), (S, "struct", None, "Part@K@", 7, None), (S, "interface", None, "Reader", 8, None),
+        (S, "constant", None, "Max@K@", 9, None), (S, "function", None, "Load", 10, None), (S, "function", None, "main", 11, None), (S, "route", None, "/p/@K@", 12, None), (R, "route_to_handler", "symbol_name", "Show@K@", 12, 0.65),
+    ],
+    "src/m@K@.rs": [
+        (R, "imports", "module", "std", 1, 0.7), (R, "imports", "module", "crate@K@", 2, 0.7), (R, "imports", "module", "inner@K@", 3, 0.7), (S, "struct", None, "Part@K@", 4, None), (S, "enum", None, "Kind", 5, None),
+        (S, "trait", None, "Load", 6, None), (S, "impl", None, "Part@K@", 7, None), (S, "constant", None, "MAX@K@", 8, None), (S, "function", None, "run@K@", 9, None),
+    ],
+    "docs/README@K@.md": [(S, "heading", None, "Part @K@", 1, None), (S, "command_example", None, "make part@K@", 4, None), (S, "heading", None, "Use it", 9, None)],
+    "pkg@K@/package.json": [(S, "config_key", None, k, 1, None) for k in ("a", "name", "scripts")] + [(S, "package_script", None, k, 1, None) for k in ("build", "test")],
+    "pkg@K@/pyproject.toml": [(S, "config_key", None, k, 1, None) for k in ("project", "tool")] + [(S, "project_script", None, k, 1, None) for k in ("run@K@", "win", "old")] + [(S, "project_entry_point", None, "plug:one@K@", 1, None)],
+    "conf/c@K@.yml": [(S, "config_key", None, "name@K@", 2, None), (S, "config_key", None, "list", 3, None), (S, "config_key", None, "a.b-c", 6, None)],
+}
+
+
+def sql(paths: list[str]) -> str:
+    """DuckDB SQL of what is in the texts of every part."""
+
+    def cell(x) -> str:
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+    rows = ", ".join("(" + ", ".join(cell(x) for x in (p, *r)) + ")" for p in paths for r in FOUND[p])
+    return f"""SELECT replace(path, '@K@', p_partkey::VARCHAR) AS path, what, kind, target_type, replace(name, '@K@', p_partkey::VARCHAR) AS name, line, CAST(confidence AS DOUBLE) AS confidence
+        FROM part, (VALUES {rows}) AS found(path, what, kind, target_type, name, line, confidence)"""
