@@ -102,47 +102,89 @@ def duplicate_topics(notes: DataFrame) -> DataFrame:
 
 
 def plan_stats(plans: DataFrame, items: DataFrame) -> DataFrame:
-    """AGG10 in one row: plans, finished, opened events per finished plan,
-    shares of finished plans with a useful file at rank 1 and up to 3."""
-    totals = plans.agg(F.count("*").alias("plans"), F.count_if("finished").alias("finished"))
+    """AGG10 in one row: plans, finished and unfinished ones, average budget,
+    opened or read events per finished plan, shares of finished plans with a
+    useful file at rank 1 and up to 3, missing events."""
+    totals = plans.agg(F.count("*").alias("plans"), F.count_if("finished").alias("finished"), F.count_if(~F.col("finished")).alias("unfinished"), F.round(F.avg("read_budget"), 4).alias("average_budget"))
     seen = items.join(plans.where("finished").select(F.col("id").alias("plan_id")), "plan_id", "left_semi")
-    events = seen.agg(
-        F.count_if(F.col("event") == "opened").alias("opened"),
-        F.count_distinct(F.when((F.col("event") == "useful") & (F.col("rank") <= 1), F.col("plan_id"))).alias("top1"),
-        F.count_distinct(F.when((F.col("event") == "useful") & (F.col("rank") <= 3), F.col("plan_id"))).alias("top3"),
-    )
-    share = lambda c: F.round(F.col(c) / F.col("finished"), 4)
-    return totals.crossJoin(events).select("plans", "finished", share("opened").alias("opened_per_plan"), share("top1").alias("top1_rate"), share("top3").alias("top3_rate"))  # one row each
+    events = seen.agg(F.count_if(F.col("event").isin("opened", "read")).alias("opened"))
+    useful = items.where("event = 'useful' AND rank > 0").agg(F.count_distinct(F.when(F.col("rank") <= 1, F.col("plan_id"))).alias("top1"), F.count_distinct(F.when(F.col("rank") <= 3, F.col("plan_id"))).alias("top3"))
+    missing = items.agg(F.count_if(F.col("event") == "missing").alias("missing"))
+    share = lambda c: F.round(F.when(F.col("finished") > 0, F.col(c) / F.col("finished")).otherwise(0.0), 4)
+    joint = totals.crossJoin(events).crossJoin(useful).crossJoin(missing)  # one row each
+    return joint.select("plans", "finished", "unfinished", "average_budget", share("opened").alias("opened_per_plan"), share("top1").alias("top1_rate"), share("top3").alias("top3_rate"), "missing")
+
+
+def plan_histogram(items: DataFrame) -> DataFrame:
+    """AGG10: rank, useful, noisy: outcomes by the rank of their item; events
+    without a ranked item don't count."""
+    said = items.where("rank > 0 AND event IN ('useful', 'noisy')")
+    return said.groupBy("rank").agg(F.count_if(F.col("event") == "useful").alias("useful"), F.count_if(F.col("event") == "noisy").alias("noisy"))
+
+
+#: Actions of files that a reading budget is spent on (RP5).
+READ_ACTIONS = ("read", "verify_stale", "inspect_related")
 
 
 def assign_budget(items: DataFrame, budget: int = 3) -> DataFrame:
-    """RP5: the first ``budget`` eligible items by rank of each plan are read
-    now; noisy ones are skipped."""
-    eligible = F.col("event") != "noisy"
+    """RP5: plan_id, rank, path, read_priority, read_budget_rank: the first
+    ``budget`` items (1 to 10) by rank of each plan whose action is reading are
+    read now, later ones if needed; others give context or are skipped."""
+    budget = max(1, min(budget, 10))
+    eligible = F.col("action").isin(*READ_ACTIONS)
     run = F.sum(F.when(eligible, 1).otherwise(0)).over(Window.partitionBy("plan_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    out = items.withColumn("run", run)
-    priority = F.when(~eligible, "skip_unless_needed").when(F.col("run") <= budget, "read_now").otherwise("read_if_needed")
-    return out.select("plan_id", "rank", "path", priority.alias("read_priority"), F.when(eligible & (F.col("run") <= budget), F.col("run")).cast("bigint").alias("read_budget_rank"))
+    now = eligible & (F.col("run") <= budget)
+    priority = F.when(F.col("action") == "skip_unless_needed", "skip_unless_needed").when(now, "read_now").when(eligible, "read_if_needed").otherwise("context_only")
+    return items.withColumn("run", run).select("plan_id", "rank", "path", priority.alias("read_priority"), F.when(now, F.col("run")).cast("bigint").alias("read_budget_rank"))
+
+
+def plan_diff(items: DataFrame, events: DataFrame) -> DataFrame:
+    """RP9: plan_id, path, difference: suggested_not_read, read_not_planned,
+    read_now_not_read, read_without_outcome, of items (plan_id, path,
+    read_priority) and events (plan_id, path, event).  A path counts as read by
+    an ``opened`` or ``read`` event, its outcome is useful, noisy or missing."""
+    said = events.where("path <> ''").groupBy("plan_id", "path").agg(F.bool_or(F.col("event").isin("opened", "read")).alias("was_read"), F.bool_or(F.col("event").isin("useful", "noisy", "missing")).alias("judged"))
+    planned = items.where("path <> ''").groupBy("plan_id", "path").agg(F.lit(True).alias("planned"), F.bool_or(F.col("read_priority") == "read_now").alias("now"))
+    both = planned.join(said, ["plan_id", "path"], "full_outer").na.fill(False, ["was_read", "judged", "planned", "now"])
+    read = F.col("was_read")
+    kinds = F.array(
+        F.when(F.col("planned") & ~read, "suggested_not_read"), F.when(read & ~F.col("planned"), "read_not_planned"), F.when(F.col("now") & ~read, "read_now_not_read"), F.when(read & ~F.col("judged"), "read_without_outcome")
+    )
+    return both.select("plan_id", "path", F.explode(F.array_compact(kinds)).alias("difference"))
 
 
-def plan_diff(items: DataFrame, read: DataFrame) -> DataFrame:
-    """RP9: plan_id, path, difference between suggested and read files."""
-    both = items.select("plan_id", "path", F.lit(True).alias("planned")).join(read.select("plan_id", "path", F.lit(True).alias("was_read")), ["plan_id", "path"], "full_outer")
-    kind = F.when(F.col("was_read").isNull(), "suggested_not_read").when(F.col("planned").isNull(), "read_not_planned")
-    return both.select("plan_id", "path", kind.alias("difference")).where("difference is not null")
+def recent_notes(notes: DataFrame, newest: int = 3) -> DataFrame:
+    """RP1: path, notes, fresh, stale: of the newest notes of each path, how
+    many, and whether one is known to be fresh or stale."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("id")))
+    few = notes.where("scope <> 'repo'").withColumn("place", place).where(F.col("place") <= newest)
+    return few.groupBy("path").agg(F.count("*").alias("notes"), F.coalesce(F.bool_or(~F.col("stale")), F.lit(False)).alias("fresh"), F.coalesce(F.bool_or("stale"), F.lit(False)).alias("stale"))
 
 
-def fusion(scores: DataFrame, limit: int = 30) -> DataFrame:
-    """RP1, RP3, RP4 over long rows (path, source, score, boost, penalty,
-    fresh, stale): one row per path with score, sources, confidence, rank."""
+def fusion(scores: DataFrame, notes: DataFrame, limit: int = 10) -> DataFrame:
+    """RP1, RP3, RP4: rank, path, score, sources, action, confidence.
+
+    ``scores`` are long rows (path, source, score, boost, penalty) of the
+    sources graph, trace, memory, feedback and tags; ``notes`` is of
+    ``recent_notes``, and adds to paths that a source names."""
     by = lambda s: F.coalesce(F.max(F.when(F.col("source") == s, F.col("score"))), F.lit(0.0))
-    total = (
-        10 * by("graph") + 0.35 * by("trace") + 5 * by("memory") + 1.5 * F.least(by("tags"), F.lit(8.0)) + 0.4 * F.coalesce(F.max("boost"), F.lit(0.0)) + 0.8 * F.coalesce(F.min("penalty"), F.lit(0.0))
-        + F.when(F.coalesce(F.bool_or("fresh"), F.lit(False)), 3.0).otherwise(0.0) + F.when(F.coalesce(F.bool_or("stale"), F.lit(False)), 1.0).otherwise(0.0)
+    has = lambda s: F.coalesce(F.bool_or(F.col("source") == s), F.lit(False))
+    merged = scores.groupBy("path").agg(
+        (10 * by("graph") + 0.35 * by("trace") + 5 * by("memory") + 1.5 * F.least(by("tags"), F.lit(8.0)) + 0.4 * F.coalesce(F.max("boost"), F.lit(0.0)) + 0.8 * F.coalesce(F.min("penalty"), F.lit(0.0))).alias("points"),
+        F.count_distinct("source").alias("sources"), F.coalesce(F.min("penalty"), F.lit(0.0)).alias("penalty"), has("graph").alias("graph"), has("trace").alias("trace"), has("memory").alias("memory"),
     )
-    merged = scores.groupBy("path").agg(F.round(total, 4).alias("score"), F.count_distinct("source").alias("sources"), F.coalesce(F.bool_or("fresh"), F.lit(False)).alias("fresh"), F.coalesce(F.bool_or(F.col("source") == "memory"), F.lit(False)).alias("noted"))
-    confidence = F.when((F.col("sources") >= 3) | F.col("fresh"), "high").when((F.col("sources") >= 2) | F.col("noted"), "medium").otherwise("low")
-    top = merged.select("path", "score", "sources", confidence.alias("confidence")).orderBy(F.desc("score"), "path").limit(limit)
+    known = merged.join(notes, "path", "left").na.fill(False, ["fresh", "stale"]).na.fill(0, ["notes"])
+    score = F.round(F.col("points") + F.when(F.col("fresh"), 3.0).otherwise(0.0) + F.when(F.col("stale"), 1.0).otherwise(0.0), 4)
+    graph, fresh, stale = F.col("graph"), F.col("fresh"), F.col("stale")
+    action = (
+        F.when((F.col("penalty") < 0) & ~(graph | F.col("trace") | F.col("memory")), "skip_unless_needed")
+        .when(stale, "verify_stale")
+        .when(F.col("trace") & ~graph, "inspect_related")
+        .when(fresh & ~graph, "use_memory_context")
+        .otherwise("read")
+    )
+    confidence = F.when((F.col("sources") >= 3) | fresh, "high").when((F.col("sources") >= 2) | (F.col("notes") > 0), "medium").otherwise("low")
+    top = known.select("path", score.alias("score"), "sources", action.alias("action"), confidence.alias("confidence")).orderBy(F.desc("score"), "path").limit(max(1, min(limit, 30)))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))  # over at most ``limit`` rows
 
 

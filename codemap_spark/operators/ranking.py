@@ -326,8 +326,9 @@ def trace_starts(files: DataFrame, symbols: DataFrame, tokens: list[str], by_que
     return each.withColumn("place", F.row_number().over(Window.orderBy("order"))).where(F.col("place") <= limit).select("id", "path", "place")  # at most 14 rows
 
 
-def trace_scores(files: DataFrame, tokens: list[str]) -> DataFrame:
-    """TR4: path, score of files (path, content, distance) on a trace."""
+def trace_scores(files: DataFrame, tokens: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """TR4: path, score, and the kept columns, of files (path, content,
+    distance) on a trace."""
     lower, text = F.lower("path"), F.lower(F.coalesce("content", F.lit("")))
     score = F.greatest(F.lit(0.1), 3.0 - F.col("distance") * 0.35)
     name = T.file_name(lower)
@@ -338,7 +339,7 @@ def trace_scores(files: DataFrame, tokens: list[str]) -> DataFrame:
     acts = text.rlike(r"\b(handle|process|dispatch|orchestrat|route|persist|create)_?[a-z_]*\b")
     markup = text.rlike(r"<h[1-6]\b|echo\s+['\"]<|<main\b|<title\b|render\(|template")
     score = score + _role_bias(role, lower, tokens) + F.when(service, 1.0).otherwise(0.0) + F.when(acts, 0.75).otherwise(0.0) + F.when(markup, 2.0).otherwise(0.0)
-    return files.select("path", F.round(F.greatest(F.lit(0.0), score), 6).alias("score"))
+    return files.select("path", F.round(F.greatest(F.lit(0.0), score), 6).alias("score"), *keep)
 
 
 def dedupe_targets(paths: DataFrame, order: str) -> DataFrame:

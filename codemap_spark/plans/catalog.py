@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import context, listing, memory, ranking, relations, stats, store
+from ..operators import context, listing, memory, ranking, relations, sessions, stats, store, tracing
 from ..sources import corpus as C, repository
 from . import samples
 
@@ -235,32 +235,99 @@ def task_merge(s, d):
     return memory.merge_tasks(old, new).select("id", F.size("files").alias("n_files"), F.array_join(F.array_sort("files"), ",").alias("files"))
 
 
+def _planned(s, d):
+    """Plan items with the action that their event calls for."""
+    action = F.when(F.col("event") == "noisy", "skip_unless_needed").when(F.col("rank") % 4 == 0, "use_memory_context").otherwise("read")
+    return C.plan_items(s, d).withColumn("action", action)
+
+
 def plan_diff(s, d):
     items = C.plan_items(s, d)
-    read = items.where("rank % 2 = 1").select("plan_id", "path").unionByName(items.where("rank = 1").select("plan_id", F.concat(F.lit("extra/"), "path").alias("path")))
-    return memory.plan_diff(items, read)
+    events = items.where("rank % 2 = 1").select("plan_id", "path", F.lit("opened").alias("event")).unionByName(items.where("event = 'useful' AND rank % 3 = 1").select("plan_id", "path", "event"))
+    events = events.unionByName(items.where("rank = 1").select("plan_id", F.concat(F.lit("extra/"), "path").alias("path"), F.lit("read").alias("event")))
+    return memory.plan_diff(memory.assign_budget(_planned(s, d)), events)
 
 
 def plan_stats(s, d):
     return memory.plan_stats(C.plans(s, d), C.plan_items(s, d))
 
 
+def plan_histogram(s, d):
+    return memory.plan_histogram(C.plan_items(s, d))
+
+
 def reading_plan_budget(s, d):
-    return memory.assign_budget(C.plan_items(s, d))
+    return memory.assign_budget(_planned(s, d))
 
 
 def reading_plan_fusion(s, d):
+    """All five sources of one query, over the context pack's query."""
     files = C.files(s, d)
     none = F.lit(None).cast("double")
-    flag = F.lit(None).cast("boolean")
 
-    def rows(df, source, score=none, boost=none, penalty=none, fresh=flag, stale=flag):
-        return df.select("path", F.lit(source).alias("source"), score.alias("score"), boost.alias("boost"), penalty.alias("penalty"), fresh.alias("fresh"), stale.alias("stale"))
+    def rows(df, source, score=none, boost=none, penalty=none):
+        return df.select("path", F.lit(source).alias("source"), score.alias("score"), boost.alias("boost"), penalty.alias("penalty"))
+
+    graph = rows(_pack(s, d, _pack_weights(s, d)), "graph", F.col("score"))
+    best = trace_scores(s, d).where("score > 0").orderBy(F.desc("score"), "path").limit(10)
+    traced = rows(best, "trace", F.col("score"))
+    noted = memory.search_notes(_tagged_notes(s, d), PACK_QUERY, 20).where("scope <> 'repo'").groupBy("path").agg(F.max("score").alias("score"))
+    signals = rows(memory.feedback_signals(C.feedback(s, d), files, PACK_QUERY), "feedback", none, F.col("boost"), F.col("penalty"))
+    tagged = rows(listing.tag_scores(stats.file_tags(files, C.symbols(s, d)), files, PACK_TOKENS), "tags", F.col("score"))
+    scores = graph.unionByName(traced).unionByName(rows(noted, "memory", F.col("score"))).unionByName(signals).unionByName(tagged)
+    return memory.fusion(scores, memory.recent_notes(_stale(s, d)), 30)
+
+
+def _includes(s, d):
+    """Include relations to whole paths, every second one from the root."""
+    found = C.relations(s, d).where("relation = 'includes' AND target_id IS NOT NULL")
+    return found.withColumn("relation", F.lit("include")).withColumn("target_id", F.concat(F.when(F.col("id") % 2 == 0, "/").otherwise(""), "target_id"))
+
+
+def include_edges(s, d):
+    return tracing.resolved_edges(_includes(s, d), C.paths(s, d), C.symbols(s, d)).select("source", "target", "target_id", "confidence")
+
+
+def trace_query(s, d):
+    """The best files along include edges from the trace's starts."""
+    files = C.files(s, d, content=True)
+    edges = tracing.resolved_edges(_includes(s, d), C.paths(s, d), C.symbols(s, d))
+    return tracing.trace(edges, files, trace_starts(s, d), TRACE)
+
+
+def _tasks(s, d):
+    text = lambda c: F.lit(c).cast("string")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return C.table(s, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat_ws(" ", F.lit("order"), F.col("o_orderkey").cast("string")).alias("title"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("status"),
+        F.col("o_orderpriority").alias("topic"), text("").alias("summary"), F.array(F.concat(F.lit("c/"), F.col("o_custkey").cast("string"))).alias("files"), T.strings(()).alias("tests"), T.strings(()).alias("remaining"),
+        text("agent").alias("source"), day.alias("created_at"), day.alias("updated_at"), F.when(F.col("o_orderstatus") == "F", day).alias("closed_at"),
+    )
+
+
+def task_changes(s, d):
+    """A task added, one done with more files, and a note on another."""
+    tasks = sessions.add_task(_tasks(s, d), " new one ", "2030-01-01", files=["./a/b.py"])
+    tasks = sessions.update_task(tasks, 1, "2030-01-02", status="done", topic=" t ", files=["x.py", "x.py"])
+    notes = s.createDataFrame([], sessions.NOTE_SCHEMA)
+    tasks, _ = sessions.add_task_note(tasks, notes, 2, "said", "2030-01-03", files=["y.py"])
+    return tasks.select("id", "title", "status", "topic", F.array_join("files", ",").alias("files"), "updated_at", "closed_at")
+
+
+def session_summary(s, d):
+    return sessions.summary(_stale(s, d), C.feedback(s, d), _tasks(s, d), C.plans(s, d), [" M a.py"], 5)
+
+
+def session_close(s, d):
+    return sessions.close_checklist(_stale(s, d), _tasks(s, d), C.plans(s, d), [" M a.py", "?? b"])
+
+
+def session_suggestions(s, d):
+    return sessions.suggestions(_stale(s, d), C.plans(s, d), C.plan_items(s, d))
+
 
-    graph = rows(ranking.path_scores(files, ranking.flat(TOKENS)), "graph", F.col("score"))
-    signals = rows(memory.feedback_signals(C.feedback(s, d), files, QUERY), "feedback", none, F.col("boost"), F.col("penalty"))
-    notes = rows(_stale(s, d).where("scope = 'file'").join(files.select("path"), "path", "left_semi"), "memory", F.lit(0.1), none, none, ~F.col("stale"), F.col("stale"))
-    return memory.fusion(graph.unionByName(signals).unionByName(notes))
+def audit_counts(s, d):
+    return sessions.audit_counts(_stale(s, d))
 
 
 def trace_paths(s, d):
@@ -510,7 +577,7 @@ QUERIES = {
         term_stats_all, context_pack_path_role, context_pack_full, context_reasons, context_diagnostics, context_related_symbols, soft_match, feedback_signals, feedback_explain, cochanged_files, file_recent_commits,
         commits_left_join_files, callers_of_symbol, symbol_definitions, callers_for_file_symbols, relation_dedupe_max_confidence, path_suffix_index, edge_resolution,
         note_staleness, note_staleness_dashboard, memory_search, memory_topics, memory_audit, duplicate_topics, file_activity, subsystem_rollup, overview_first_reads,
-        estimate_tokens, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, trace_paths, retrieval_eval, savings, session_events,
+        estimate_tokens, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, savings, session_events,
         context_calls, context_related_files, context_commits, resolved_calls, export_relations, export_commits, upsert_files, append_notes, replace_symbols, defines_edges,
         cascade_delete, upsert_meta, update_notes, delete_notes, clear_feedback, flow_topics, plan_activity, benchmark_summary, overview_entry_points, overview_manifests,
         trace_starts, trace_scores, trace_targets, trace_profile,

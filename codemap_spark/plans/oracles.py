@@ -121,6 +121,11 @@ def _plus(sql: str, extra: str, body: str) -> str:
     return sql.rstrip() + (",\n" if sql.strip() else "WITH ") + extra + "\n" + body
 
 
+_BUDGET = """acted AS (SELECT *, CASE WHEN event = 'noisy' THEN 'skip_unless_needed' WHEN rank % 4 = 0 THEN 'use_memory_context' ELSE 'read' END AS action FROM items),
+    counted_up AS (SELECT *, count(*) FILTER (action = 'read') OVER (PARTITION BY plan_id ORDER BY rank) AS run FROM acted),
+    budget AS (SELECT plan_id, rank, path, CASE WHEN action = 'skip_unless_needed' THEN action WHEN action = 'read' AND run <= 3 THEN 'read_now' WHEN action = 'read' THEN 'read_if_needed' ELSE 'context_only' END AS read_priority,
+        CASE WHEN action = 'read' AND run <= 3 THEN run END AS read_budget_rank FROM counted_up)"""
+
 ORACLE_SQL = {
     "file_language_role": _with(["files"], "SELECT id, path, language, role FROM files"),
     "ignore_filter": _with(
@@ -216,31 +221,23 @@ ORACLE_SQL = {
     ),
     "task_merge": """WITH o AS (SELECT l_orderkey AS id, list(DISTINCT CAST(l_partkey AS VARCHAR)) AS f FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), n AS (SELECT l_orderkey AS id, list(DISTINCT CAST(l_partkey AS VARCHAR)) AS g FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
         m AS (SELECT id, list_distinct(list_concat(f, coalesce(g, []))) AS files FROM o LEFT JOIN n USING (id)) SELECT id, CAST(len(files) AS INTEGER) AS n_files, array_to_string(list_sort(files), ',') AS files FROM m""",
-    "plan_diff": _with(
-        ["items"],
-        "SELECT plan_id, path, 'suggested_not_read' AS difference FROM items WHERE rank % 2 = 0 UNION ALL SELECT plan_id, 'extra/' || path, 'read_not_planned' FROM items WHERE rank = 1",
+    "plan_diff": _plus(
+        _with(["items"], ""), _BUDGET
+        + """, said AS (SELECT plan_id, path, 'opened' AS event FROM items WHERE rank % 2 = 1 UNION ALL SELECT plan_id, path, event FROM items WHERE event = 'useful' AND rank % 3 = 1 UNION ALL SELECT plan_id, 'extra/' || path, 'read' FROM items WHERE rank = 1),
+        seen AS (SELECT plan_id, path, bool_or(event IN ('opened', 'read')) AS was_read, bool_or(event = 'useful') AS judged FROM said GROUP BY ALL),
+        joint AS (SELECT plan_id, path, b.path IS NOT NULL AS planned, coalesce(read_priority = 'read_now', false) AS now, coalesce(was_read, false) AS was_read, coalesce(judged, false) AS judged FROM budget b FULL JOIN seen USING (plan_id, path))""",
+        """SELECT plan_id, path, 'suggested_not_read' AS difference FROM joint WHERE planned AND NOT was_read UNION ALL SELECT plan_id, path, 'read_not_planned' FROM joint WHERE was_read AND NOT planned
+        UNION ALL SELECT plan_id, path, 'read_now_not_read' FROM joint WHERE now AND NOT was_read UNION ALL SELECT plan_id, path, 'read_without_outcome' FROM joint WHERE was_read AND NOT judged""",
     ),
     "plan_stats": _with(
         ["items"],
-        """SELECT plans, finished, round(opened / finished, 4) AS opened_per_plan, round(top1 / finished, 4) AS top1_rate, round(top3 / finished, 4) AS top3_rate
+        """SELECT plans, finished, plans - finished AS unfinished, CAST(3 AS DOUBLE) AS average_budget, round(opened / finished, 4) AS opened_per_plan, round(top1 / finished, 4) AS top1_rate, round(top3 / finished, 4) AS top3_rate, missing
         FROM (SELECT count(*) AS plans, count(*) FILTER (o_orderstatus <> 'O') AS finished FROM orders),
-             (SELECT count(*) FILTER (event = 'opened') AS opened, count(DISTINCT CASE WHEN event = 'useful' AND rank <= 1 THEN plan_id END) AS top1, count(DISTINCT CASE WHEN event = 'useful' AND rank <= 3 THEN plan_id END) AS top3
-              FROM items WHERE plan_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'))""",
-    ),
-    "reading_plan_budget": _with(
-        ["items"],
-        """SELECT plan_id, CAST(rank AS INTEGER) AS rank, path, CASE WHEN event = 'noisy' THEN 'skip_unless_needed' WHEN run <= 3 THEN 'read_now' ELSE 'read_if_needed' END AS read_priority, CASE WHEN event <> 'noisy' AND run <= 3 THEN run END AS read_budget_rank
-        FROM (SELECT *, count(*) FILTER (event <> 'noisy') OVER (PARTITION BY plan_id ORDER BY rank) AS run FROM items)""",
-    ),
-    "reading_plan_fusion": _with(
-        ["hits", "feedback", "notes"],
-        """, n AS (SELECT path, bool_or(NOT stale) AS fresh, bool_or(stale) AS stale FROM stale WHERE scope = 'file' AND path IN (SELECT path FROM files) GROUP BY path),
-        f AS (SELECT path, coalesce(p.score, 0) AS graph, coalesce(boost, 0) AS boost, coalesce(penalty, 0) AS penalty, coalesce(fresh, false) AS fresh, coalesce(n.stale, false) AS stale, n.path IS NOT NULL AS noted,
-            (p.path IS NOT NULL)::int + (s.path IS NOT NULL)::int + (n.path IS NOT NULL)::int AS sources FROM files LEFT JOIN path_scores p USING (path) LEFT JOIN signals s USING (path) LEFT JOIN n USING (path) WHERE p.path IS NOT NULL OR s.path IS NOT NULL OR n.path IS NOT NULL),
-        t AS (SELECT path, CAST(round(10 * graph + 5 * CASE WHEN noted THEN 0.1 ELSE 0 END + 0.4 * boost + 0.8 * penalty + CASE WHEN fresh THEN 3 ELSE 0 END + CASE WHEN stale THEN 1 ELSE 0 END, 4) AS DOUBLE) AS score, CAST(sources AS BIGINT) AS sources,
-            CASE WHEN sources >= 3 OR fresh THEN 'high' WHEN sources >= 2 OR noted THEN 'medium' ELSE 'low' END AS confidence FROM f)
-        SELECT *, CAST(row_number() OVER (ORDER BY score DESC, path) AS INTEGER) AS rank FROM t ORDER BY score DESC, path LIMIT 30""",
+             (SELECT count(*) FILTER (event = 'opened') AS opened FROM items WHERE plan_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O')),
+             (SELECT count(DISTINCT CASE WHEN event = 'useful' AND rank <= 1 THEN plan_id END) AS top1, count(DISTINCT CASE WHEN event = 'useful' AND rank <= 3 THEN plan_id END) AS top3, count(*) FILTER (event = 'missing') AS missing FROM items)""",
     ),
+    "plan_histogram": _with(["items"], "SELECT CAST(rank AS INTEGER) AS rank, count(*) FILTER (event = 'useful') AS useful, count(*) FILTER (event = 'noisy') AS noisy FROM items WHERE event IN ('useful', 'noisy') GROUP BY rank"),
+    "reading_plan_budget": _plus(_with(["items"], ""), _BUDGET, "SELECT plan_id, CAST(rank AS INTEGER) AS rank, path, read_priority, read_budget_rank FROM budget"),
     "trace_paths": """WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM (SELECT n_nationkey AS source, (3 * n_nationkey + 1) % 25 AS target FROM nation UNION ALL SELECT n_nationkey, (7 * n_nationkey + 2) % 25 FROM nation) WHERE source <> target),
         p AS (SELECT n_nationkey AS start, n_nationkey AS target, [n_nationkey] AS path FROM nation WHERE n_regionkey = 0 UNION ALL SELECT start, e.target, list_append(path, e.target) FROM p JOIN e ON e.source = p.target WHERE NOT list_contains(path, e.target) AND len(path) <= 4)
         SELECT start, target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p""",
@@ -255,7 +252,6 @@ ORACLE_SQL = {
     ),
     "session_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL",
 }
-ORACLE_SQL["reading_plan_fusion"] = ORACLE_SQL["reading_plan_fusion"].replace("\n, n AS", ",\nn AS", 1)
 
 _TRACE = ("widget", "test", "product")
 
@@ -478,6 +474,42 @@ ORACLE_SQL |= {
     ),
 }
 
+_THREE = "['red', 'widget', 'sprockets']"
+_RECENT_NOTES = """newest_notes AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY id DESC) AS place FROM stale WHERE scope <> 'repo'),
+    noted AS (SELECT path, count(*) AS notes, coalesce(bool_or(NOT stale), false) AS fresh, coalesce(bool_or(stale), false) AS stale FROM newest_notes WHERE place <= 3 GROUP BY path)"""
+ORACLE_SQL |= {
+    "reading_plan_fusion": _plus(
+        _with(["feedback", "notes", "symbols"], "").replace("['red', 'widget']", _THREE),
+        _TAGGED + ", " + _TAGS + ", " + _RECENT_NOTES
+        + f""", graph AS ({ORACLE_SQL["context_pack_full"]}), traced AS (SELECT path, score FROM ({ORACLE_SQL["trace_scores"]}) WHERE score > 0 ORDER BY score DESC, path LIMIT 10),
+        asked AS (SELECT id, path, scope, round(len(list_intersect({_THREE}, {_useful("concat_ws(' ', path, topic, note, array_to_string(tags, ' '))")})) / 3 + CASE WHEN contains(lower(topic), 'red widget sprockets') THEN 0.5 ELSE 0.0 END
+            + CASE WHEN contains(lower(path), 'red') OR contains(lower(path), 'widget') OR contains(lower(path), 'sprockets') THEN 0.2 ELSE 0.0 END + CASE WHEN list_has_any({_THREE}, tags) THEN 0.4 ELSE 0.0 END, 4) AS score FROM tagged),
+        matched AS (SELECT path, max(score) AS score FROM (SELECT * FROM asked WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 20) WHERE scope <> 'repo' GROUP BY path),
+        heavy AS (SELECT path, round(least(8.0, sum(weight)), 6) AS score FROM (SELECT file_id, tag, source, max(weight) AS weight FROM tag_rows GROUP BY ALL) JOIN files ON files.id = file_id WHERE tag IN ('red', 'widget', 'sprockets') GROUP BY path),
+        every AS (SELECT path FROM graph UNION SELECT path FROM traced UNION SELECT path FROM matched UNION SELECT path FROM signals UNION SELECT path FROM heavy),
+        fused AS (SELECT path, 10 * coalesce(g.score, 0) + 0.35 * coalesce(t.score, 0) + 5 * coalesce(m.score, 0) + 1.5 * coalesce(h.score, 0) + 0.4 * coalesce(boost, 0) + 0.8 * coalesce(penalty, 0) + CASE WHEN fresh THEN 3 ELSE 0 END + CASE WHEN n.stale THEN 1 ELSE 0 END AS points,
+            (g.path IS NOT NULL)::int + (t.path IS NOT NULL)::int + (m.path IS NOT NULL)::int + (s.path IS NOT NULL)::int + (h.path IS NOT NULL)::int AS sources, coalesce(penalty, 0) AS penalty, g.path IS NOT NULL AS g, t.path IS NOT NULL AS t, m.path IS NOT NULL AS m,
+            coalesce(fresh, false) AS fresh, coalesce(n.stale, false) AS is_stale, coalesce(notes, 0) AS notes
+            FROM every LEFT JOIN graph g USING (path) LEFT JOIN traced t USING (path) LEFT JOIN matched m USING (path) LEFT JOIN signals s USING (path) LEFT JOIN heavy h USING (path) LEFT JOIN noted n USING (path)),
+        listed AS (SELECT path, CAST(round(points, 4) AS DOUBLE) AS score, CAST(sources AS BIGINT) AS sources, CASE WHEN penalty < 0 AND NOT g AND NOT t AND NOT m THEN 'skip_unless_needed' WHEN is_stale THEN 'verify_stale' WHEN t AND NOT g THEN 'inspect_related' WHEN fresh AND NOT g THEN 'use_memory_context' ELSE 'read' END AS action,
+            CASE WHEN sources >= 3 OR fresh THEN 'high' WHEN sources >= 2 OR notes > 0 THEN 'medium' ELSE 'low' END AS confidence FROM fused)""",
+        "SELECT *, CAST(row_number() OVER (ORDER BY score DESC, path) AS INTEGER) AS rank FROM listed ORDER BY score DESC, path LIMIT 30",
+    ),
+    "include_edges": _with(
+        ["relations"],
+        """SELECT source_id AS source, t.id AS target, (CASE WHEN relations.id % 2 = 0 THEN '/' ELSE '' END) || target_id AS target_id, confidence FROM relations JOIN paths s ON s.id = source_id JOIN paths t ON t.path = target_id WHERE relation = 'includes' AND source_id <> t.id""",
+    ),
+    "task_changes": """SELECT o_orderkey AS id, 'order ' || o_orderkey AS title, CASE WHEN o_orderkey = 1 OR o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status, CASE WHEN o_orderkey = 1 THEN 't' ELSE o_orderpriority END AS topic,
+            'c/' || o_custkey || CASE o_orderkey WHEN 1 THEN ',x.py' WHEN 2 THEN ',y.py' ELSE '' END AS files, CASE o_orderkey WHEN 1 THEN '2030-01-02' WHEN 2 THEN '2030-01-03' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_at,
+            CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey = 1 THEN '2030-01-02' END AS closed_at FROM orders
+        UNION ALL SELECT max(o_orderkey) + 1, 'new one', 'open', '', 'a/b.py', '2030-01-01', NULL FROM orders""",
+    "audit_counts": _with(
+        ["notes"],
+        f"""WITH_RECENT SELECT 'stale' AS issue, count(*) FILTER (stale) AS notes FROM recent_hundred UNION ALL SELECT 'unknown_evidence', count(*) FROM recent_hundred UNION ALL SELECT 'missing_topic', count(*) FILTER (trim(coalesce(topic, '')) = '') FROM recent_hundred
+        UNION ALL SELECT 'short_note', count(*) FILTER (len(list_distinct({_useful("note")})) < 5) FROM recent_hundred UNION ALL SELECT 'duplicate_file_topic', count(*) FROM (SELECT 1 FROM recent_hundred WHERE scope = 'file' GROUP BY path, topic HAVING count(*) > 1)""",
+    ).replace("\nWITH_RECENT SELECT", ",\nrecent_hundred AS (SELECT * FROM stale ORDER BY id DESC LIMIT 100)\nSELECT"),
+}
+
 ORACLE_SQL |= {
     name: samples.sql(paths)
     for name, paths in {
