@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import context, listing, memory, ranking, relations, sessions, stats, store, tracing
+from ..operators import context, evaluation, listing, memory, ranking, relations, sessions, stats, store, tracing
 from ..sources import corpus as C, repository
 from . import samples
 
@@ -338,13 +338,15 @@ def trace_paths(s, d):
     return ranking.simple_paths(edges, nation.where("n_regionkey = 0").select(k.alias("node")))
 
 
-def retrieval_eval(s, d):
-    """Rank of the expected file (the newest toxic-free label) per query name."""
-    from pyspark.sql import Window
+def retrieval_cases(s, d):
+    """A case per query of the feedback: its three first useful files by path."""
+    useful = C.feedback(s, d).where("rating = 'useful'").groupBy(F.col("query").alias("name")).agg(F.array_sort(F.collect_set("path")).alias("p"))
+    return useful.select("name", F.col("name").alias("query"), F.slice("p", 1, 3).alias("expected_files"), T.strings(("tests/", ".css")).alias("noise_patterns"))
+
 
-    f = C.feedback(s, d)
-    ranked = f.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rating"), "path")))
-    return ranked.groupBy("query").agg(F.min(F.when(F.col("rating") == "useful", F.col("rank"))).alias("rank"), F.count("*").alias("candidates")).select("query", "rank", "candidates", F.coalesce(F.col("rank") <= 3, F.lit(False)).alias("top3"))
+def retrieval_eval(s, d):
+    cases = retrieval_cases(s, d)
+    return evaluation.evaluate(cases, evaluation.ranked_paths(C.paths(s, d), cases)).drop("manual_scan_file_count", "manual_scan_reduction_percent")
 
 
 def savings(s, d):

@@ -243,9 +243,17 @@ ORACLE_SQL = {
         SELECT start, target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p""",
     "retrieval_eval": _with(
         ["feedback"],
-        """SELECT query, CAST(min(rank) FILTER (rating = 'useful') AS INTEGER) AS rank, count(*) AS candidates, coalesce(min(rank) FILTER (rating = 'useful') <= 3, false) AS top3
-        FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rating DESC, path) AS rank FROM feedback) GROUP BY query""",
-    ),
+        """, cases AS (SELECT query AS name, list_sort(list_distinct(list(path)))[:3] AS expected FROM feedback WHERE rating = 'useful' GROUP BY query),
+        parts AS (SELECT path, unnest(list_distinct(list_filter(regexp_extract_all(lower(path), '[a-z]+|[0-9]+'), lambda t: length(t) >= 3))) AS token, regexp_extract_all(lower(list_last(string_split(path, '/'))), '[a-z]+|[0-9]+') AS n FROM paths),
+        asked AS (SELECT name, unnest(list_distinct(string_split(name, ' '))) AS token FROM cases),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, path) AS rank FROM (SELECT name, path, sum(7 + CASE WHEN list_contains(n, token) THEN 5 ELSE 0 END) AS score FROM parts JOIN asked USING (token) GROUP BY name, path)),
+        lists AS (SELECT name, list(path ORDER BY rank) AS c FROM placed WHERE rank <= 10 GROUP BY name), j AS (SELECT cases.*, coalesce(c, []) AS c FROM cases LEFT JOIN lists USING (name))
+        SELECT name, 'ok' AS status, list_has_any(c[:1], expected) AS top1_hit, list_has_any(c[:3], expected) AS top3_hit, list_has_any(c[:5], expected) AS top5_hit, CAST(len(expected) AS INTEGER) AS expected_count,
+            CAST(len(list_intersect(expected, c)) AS INTEGER) AS expected_hit_count, CAST(len(expected) - len(list_intersect(expected, c)) AS INTEGER) AS missing_expected_count,
+            CAST(len(list_filter(c, lambda p: contains(p, 'tests/') OR contains(p, '.css'))) AS INTEGER) AS noise_hit_count, CAST(len(c) AS INTEGER) AS candidate_file_count,
+            array_to_string(list_transform(expected, lambda p: p || '=' || CASE WHEN list_contains(c, p) THEN CAST(list_position(c, p) AS VARCHAR) ELSE 'missing' END), '; ') AS expected_file_ranks,
+            array_to_string(list_filter(expected, lambda p: NOT list_contains(c, p)), '; ') AS missing_expected_files FROM j""",
+    ).replace("\n, cases AS", ",\ncases AS"),
     "savings": _with(
         ["content"],
         """SELECT language, round(greatest(0.0, (1 - r / a) * 100), 1) AS saved, round(greatest(a - r, 0) / a * 100, 1) AS reduction FROM (SELECT language, CAST(sum(length(content)) AS DOUBLE) AS a, CAST(sum(CASE WHEN id % 10 = 0 THEN length(content) ELSE 0 END) AS DOUBLE) AS r FROM content GROUP BY language)""",
