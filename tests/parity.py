@@ -18,11 +18,13 @@ def connection(sf_dir: str):
 
 
 def _cell(x):
+    """Truth values, whole numbers and others stay apart; others count alike
+    up to nine places."""
     if isinstance(x, bool) or x is None:
-        return x
-    if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 6)
-    return float(x) if isinstance(x, int) or type(x).__name__ == "Decimal" else x
+        return str(x)
+    if isinstance(x, float) or type(x).__name__ == "Decimal":
+        return "nan" if math.isnan(x) else ("number", round(float(x), 9))
+    return ("whole", x) if isinstance(x, int) else x
 
 
 def _rows(names, rows):
