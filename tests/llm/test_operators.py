@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import json
 import re
 import zlib
 
@@ -254,10 +253,3 @@ def test_private_keys(spark):
     cut = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert [cut[i] for i in (1, 2, 3, 4)] == ["a [SECRET] z", "b [SECRET] z", "c [SECRET] z", "d [SECRET]\nmore text"]
     assert cut[5] == "[SECRET] starts a key" and cut[10] == everywhere
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert json.dumps(rows.columns).count("_id") == 2 and rows.count() > 0
