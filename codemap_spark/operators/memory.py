@@ -78,15 +78,21 @@ def search_notes(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return notes.select("id", "path", "scope", F.round(score, 4).alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("id")).limit(max(1, min(limit, 50)))
 
 
-def topics(notes: DataFrame) -> DataFrame:
-    """AGG7: topic, notes, files, repository notes, stale notes, newest id."""
-    return notes.groupBy("topic").agg(
+def topics(notes: DataFrame, limit: int = 20, per_topic: int = 5, scanned: int = 500) -> DataFrame:
+    """AGG7: topic, note_count, file_count, repo_count, stale_count, latest_id,
+    paths (the first ten), newest (ids of the newest ``per_topic`` notes), over
+    the newest ``scanned`` notes; most notes first, then by topic."""
+    recent = notes.orderBy(F.desc("id")).limit(scanned)  # so a topic's lists are bounded
+    own = F.collect_set(F.when(F.coalesce("path", F.lit("")) != "", F.col("path")))
+    return recent.groupBy("topic").agg(
         F.count("*").alias("note_count"),
-        F.count_distinct(F.when(F.col("scope") == "file", F.col("path"))).alias("file_count"),
+        F.size(own).alias("file_count"),
         F.count_if(F.col("scope") == "repo").alias("repo_count"),
         F.count_if(F.col("stale")).alias("stale_count"),
         F.max("id").alias("latest_id"),
-    )
+        F.slice(F.array_sort(own), 1, 10).alias("paths"),
+        F.slice(F.sort_array(F.collect_list("id"), asc=False), 1, max(1, min(per_topic, 20))).alias("newest"),
+    ).orderBy(F.desc("note_count"), "topic").limit(max(1, min(limit, 100)))
 
 
 def audit(notes: DataFrame) -> DataFrame:

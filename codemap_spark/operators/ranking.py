@@ -222,24 +222,47 @@ def soft_matches(pairs: DataFrame) -> DataFrame:
     return known.where("not near").select("token", "candidate", F.coalesce("exact", F.lit(0.0)).alias("score")).unionByName(by_ratio)
 
 
-def first_reads(files: DataFrame, limit: int = 12) -> DataFrame:
-    """OV1 by path and role: path, score; ties by depth and path."""
+def semantic_depth(path: Column) -> Column:
+    """FN19: depth without a leading folder that only holds the sources."""
+    return T.depth(path) - F.when(F.split(path, "/")[0].isin("src", "lib", "app"), 1).otherwise(0)
+
+
+def framework_points(path: Column) -> Column:
+    """FN20: 12 or 8 for the package file of commands, servers or routing."""
+    parts = F.split(F.lower(path), "/")
+    package = (T.file_name(path) == "__init__.py") & (semantic_depth(path) <= 4)
+    return F.when(package & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_PARTS[:-3])), 12).when(package & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_PARTS[-3:])), 8).otherwise(0)
+
+
+def first_reads(files: DataFrame, symbols: DataFrame, limit: int = 12) -> DataFrame:
+    """OV1: path, score by path, role and what a file declares; best first,
+    ties by depth and path."""
     path, role = F.col("path"), F.col("role")
     name, depth, lower = T.file_name(path), T.depth(path), F.lower(path)
     top = depth == 1
+    said = F.lower("name")
+    telling = F.col("kind").isin("class", "function", "struct", "impl") & (said.isin(L.ENTRY_NAMES) | said.endswith("app"))
+    flags = {"project_script": F.col("kind") == "project_script", "package_script": F.col("kind") == "package_script", "route": F.col("kind") == "route", "entry": telling}
+    declared = symbols.groupBy(F.col("file_id").alias("id")).agg(*[F.bool_or(c).alias(f"has_{k}") for k, c in flags.items()])
+    has = lambda k: F.coalesce(f"has_{k}", F.lit(False))
     score = (
         F.when(name.isin(L.MANIFESTS), F.when(top, 12).otherwise(4)).otherwise(0)
         + F.when(F.lower(name).startswith("readme."), F.when(top, 9).otherwise(4)).otherwise(0)
         + F.when(name.isin(L.OVERVIEW_CONFIGS), 4).when(role == "config", 2).otherwise(0)
         + F.when(name.isin(L.ENTRY_FILES), 8).otherwise(0)
+        + framework_points(path)
         + F.when(F.arrays_overlap(F.split(lower, "/"), T.strings(L.ENTRY_PARTS)), 4).otherwise(0)
         + F.when(role == "route", 5).otherwise(0)
         - F.when(role.isin("asset", "migration"), 3).otherwise(0)
+        + F.when(has("project_script"), 4).otherwise(0)
+        + F.when(has("package_script"), 3).otherwise(0)
+        + F.when(has("route") & (role != "test"), 3).otherwise(0)
+        + F.when(has("entry"), 7).otherwise(0)
         + F.when(lower.contains("/src/") | lower.startswith("src/"), 1).otherwise(0)
         - F.when(lower.contains("/docs/") | lower.startswith("docs/"), 2).otherwise(0)
     )
     score = F.when(role == "test", score * 0.2).otherwise(score * 1.0)
-    return files.select("path", F.round(score, 6).alias("score"), depth.alias("depth")).where("score > 0").orderBy(F.desc("score"), "depth", "path").limit(limit).drop("depth")
+    return files.join(declared, "id", "left").select("path", F.round(score, 6).alias("score"), depth.alias("depth")).where("score > 0").orderBy(F.desc("score"), "depth", "path").limit(limit).drop("depth")
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_out: int = 25) -> DataFrame:
@@ -258,9 +281,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_ou
 
 
 def _framework_entry(path) -> Column:
-    parts = F.split(F.lower(path), "/")
-    semantic = F.size(parts) - F.when(F.split(path, "/")[0].isin("src", "lib", "app"), 1).otherwise(0)
-    return (T.file_name(path) == "__init__.py") & (semantic <= 4) & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_PARTS))
+    return framework_points(path) > 0
 
 
 def entry_points(files: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:

@@ -93,6 +93,22 @@ def size_estimate(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files"), chars.cast("bigint").alias("characters"), T.estimated_tokens(chars).cast("bigint").alias("tokens"))
 
 
+#: Roles of files that are read as texts (AGG11).
+READABLE = ("source", "test", "route", "view", "migration", "documentation", "config", "unknown")
+
+
+def read_sizes(files: DataFrame, pack: DataFrame) -> DataFrame:
+    """AGG11: section, files, characters, tokens: of the first five files of a
+    pack (path, raw), of its first ten, and of all that the index can read."""
+    place = F.row_number().over(Window.orderBy(F.desc("raw"), "path"))  # as many rows as a pack lists
+    few = F.broadcast(pack.select("path", place.alias("place")).where("place <= 10"))
+    own = files.join(few, "path").select("place", "content")
+    rows = own.where("place <= 5").select(F.lit("suggested_first_reads").alias("section"), "content").unionByName(own.select(F.lit("top_candidates").alias("section"), "content"))
+    rows = rows.unionByName(files.where(F.col("role").isin(*READABLE) & (F.col("language") != "unknown")).select(F.lit("indexed_project").alias("section"), "content"))
+    chars = F.coalesce(F.sum(F.char_length("content")), F.lit(0))
+    return rows.groupBy("section").agg(F.count("*").alias("files"), chars.cast("bigint").alias("characters"), T.estimated_tokens(chars).cast("bigint").alias("tokens"))
+
+
 def flow_topics(notes: DataFrame, tags: DataFrame, files: DataFrame, newest: int = 100, limit: int = 20) -> DataFrame:
     """AGG8: tag, file_count, note_count, stale_count, file_tag_count,
     memory_tag_count, needs_summary; most notes first, then most files, then

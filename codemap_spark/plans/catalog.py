@@ -187,7 +187,8 @@ def memory_search(s, d):
 
 
 def memory_topics(s, d):
-    return memory.topics(_stale(s, d))
+    found = memory.topics(_stale(s, d))
+    return found.withColumns({"paths": F.array_join("paths", ","), "newest": F.array_join(F.transform("newest", lambda i: i.cast("string")), ",")})
 
 
 def memory_audit(s, d):
@@ -207,13 +208,17 @@ def subsystem_rollup(s, d):
 
 
 def overview_first_reads(s, d):
-    return ranking.first_reads(C.files(s, d))
+    return ranking.first_reads(C.project_files(s, d), C.project_symbols(s, d))
 
 
 def estimate_tokens(s, d):
     return stats.size_estimate(C.files(s, d, content=True))
 
 
+def read_sizes(s, d):
+    return stats.read_sizes(C.files(s, d, content=True), _pack(s, d, _pack_weights(s, d)))
+
+
 def _before(s, d):
     now = C.files(s, d, content=True).select("id", "path", "sha256")
     old = now.where("id % 10 <> 0").select("path", F.when(F.col("id") % 10 == 1, "altered").otherwise(F.col("sha256")).alias("sha256"))
@@ -579,7 +584,7 @@ QUERIES = {
         term_stats_all, context_pack_path_role, context_pack_full, context_reasons, context_diagnostics, context_related_symbols, soft_match, feedback_signals, feedback_explain, cochanged_files, file_recent_commits,
         commits_left_join_files, callers_of_symbol, symbol_definitions, callers_for_file_symbols, relation_dedupe_max_confidence, path_suffix_index, edge_resolution,
         note_staleness, note_staleness_dashboard, memory_search, memory_topics, memory_audit, duplicate_topics, file_activity, subsystem_rollup, overview_first_reads,
-        estimate_tokens, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, savings, session_events,
+        estimate_tokens, read_sizes, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, savings, session_events,
         context_calls, context_related_files, context_commits, resolved_calls, export_relations, export_commits, upsert_files, append_notes, replace_symbols, defines_edges,
         cascade_delete, upsert_meta, update_notes, delete_notes, clear_feedback, flow_topics, plan_activity, benchmark_summary, overview_entry_points, overview_manifests,
         trace_starts, trace_scores, trace_targets, trace_profile,

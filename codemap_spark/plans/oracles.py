@@ -99,12 +99,15 @@ def _stats(source: str, rows: str, text: str) -> str:
             round(least(2.8, greatest(0.25, 0.45 + ln(((SELECT count(*) FROM {rows}) + 1) / (count(DISTINCT r) + 1)))), 6) AS weight FROM terms GROUP BY term)"""
 
 
-_FIRST_READS = f"""scored AS (SELECT path, len(string_split(path, '/')) AS depth, role, lower(path) AS low, list_last(string_split(path, '/')) AS name FROM files),
+_FIRST_READS = f"""scored AS (SELECT id, path, len(string_split(path, '/')) AS depth, role, lower(path) AS low, list_last(string_split(path, '/')) AS name FROM project),
+    declared AS (SELECT file_id AS id, bool_or(kind = 'project_script') AS script, bool_or(kind = 'package_script') AS package, bool_or(kind = 'route') AS route, bool_or(kind = 'function' AND (lower(name) IN ({_list(L.ENTRY_NAMES)}) OR ends_with(lower(name), 'app'))) AS entry FROM psymbols GROUP BY file_id),
     points AS (SELECT path, depth, role,
         CASE WHEN name IN ({_list(L.MANIFESTS)}) THEN CASE WHEN depth = 1 THEN 12 ELSE 4 END ELSE 0 END + CASE WHEN starts_with(lower(name), 'readme.') THEN CASE WHEN depth = 1 THEN 9 ELSE 4 END ELSE 0 END
         + CASE WHEN name IN ({_list(L.OVERVIEW_CONFIGS)}) THEN 4 WHEN role = 'config' THEN 2 ELSE 0 END + CASE WHEN name IN ({_list(L.ENTRY_FILES)}) THEN 8 ELSE 0 END
+        + CASE WHEN name = '__init__.py' AND depth - CASE WHEN starts_with(path, 'src/') THEN 1 ELSE 0 END <= 4 THEN CASE WHEN list_has_any(string_split(low, '/'), [{_list(L.FRAMEWORK_PARTS[:-3])}]) THEN 12 WHEN list_has_any(string_split(low, '/'), [{_list(L.FRAMEWORK_PARTS[-3:])}]) THEN 8 ELSE 0 END ELSE 0 END
         + CASE WHEN list_has_any(string_split(low, '/'), [{_list(L.ENTRY_PARTS)}]) THEN 4 ELSE 0 END + CASE WHEN role = 'route' THEN 5 ELSE 0 END - CASE WHEN role IN ('asset', 'migration') THEN 3 ELSE 0 END
-        + CASE WHEN contains(low, '/src/') OR starts_with(low, 'src/') THEN 1 ELSE 0 END - CASE WHEN contains(low, '/docs/') OR starts_with(low, 'docs/') THEN 2 ELSE 0 END AS s FROM scored)"""
+        + CASE WHEN script THEN 4 ELSE 0 END + CASE WHEN package THEN 3 ELSE 0 END + CASE WHEN route AND role <> 'test' THEN 3 ELSE 0 END + CASE WHEN entry THEN 7 ELSE 0 END
+        + CASE WHEN contains(low, '/src/') OR starts_with(low, 'src/') THEN 1 ELSE 0 END - CASE WHEN contains(low, '/docs/') OR starts_with(low, 'docs/') THEN 2 ELSE 0 END AS s FROM scored LEFT JOIN declared USING (id))"""
 
 _TAGS = f"""tag_rows AS (SELECT id AS file_id, unnest({_useful("path")}) AS tag, 'path' AS source, 1.0 AS weight FROM files
         UNION ALL SELECT id, unnest({_useful("regexp_replace(list_last(string_split(path, '/')), '[.][^.]*$', '')")}), 'filename', 1.3 FROM files
@@ -192,8 +195,10 @@ ORACLE_SQL = {
     "note_staleness_dashboard": _with(["notes"], "SELECT id, path, stale_dashboard AS stale FROM stale"),
     "memory_topics": _with(
         ["notes"],
-        "SELECT topic, count(*) AS note_count, count(DISTINCT CASE WHEN scope = 'file' THEN path END) AS file_count, count(*) FILTER (scope = 'repo') AS repo_count, count(*) FILTER (stale) AS stale_count, max(id) AS latest_id FROM stale GROUP BY topic",
-    ),
+        """, scanned AS (SELECT * FROM stale ORDER BY id DESC LIMIT 500)
+        SELECT topic, count(*) AS note_count, CAST(count(DISTINCT path) AS INTEGER) AS file_count, count(*) FILTER (scope = 'repo') AS repo_count, count(*) FILTER (stale) AS stale_count, max(id) AS latest_id, array_to_string(list_sort(list_distinct(list(path)))[:10], ',') AS paths,
+            array_to_string(list_reverse_sort(list(id))[:5], ',') AS newest FROM scanned GROUP BY topic ORDER BY note_count DESC, topic LIMIT 20""",
+    ).replace("\n, scanned AS", ",\nscanned AS"),
     "memory_audit": _with(
         ["notes"],
         f"""SELECT id, 'stale' AS issue FROM stale WHERE stale UNION ALL SELECT id, 'short_note' FROM stale WHERE len(list_distinct({_useful("note")})) < 5 UNION ALL SELECT id, 'no_hash' FROM stale WHERE scope = 'file' AND file_sha256 = ''""",
@@ -209,7 +214,7 @@ ORACLE_SQL = {
         FROM (SELECT prefix, what, label, count(*) AS n, row_number() OVER (PARTITION BY prefix, what ORDER BY count(*) DESC, min(path)) AS rank
           FROM (SELECT string_split(path, '/')[1] AS prefix, path, 'language' AS what, language AS label FROM files UNION ALL SELECT string_split(path, '/')[1], path, 'role', role FROM files) GROUP BY prefix, what, label) GROUP BY prefix ORDER BY files DESC, prefix LIMIT 10""",
     ),
-    "overview_first_reads": _plus(_with(["files"], ""), _FIRST_READS, "SELECT path, score FROM (SELECT path, depth, CAST(CASE WHEN role = 'test' THEN s * 0.2 ELSE s END AS DOUBLE) AS score FROM points) WHERE score > 0 ORDER BY score DESC, depth, path LIMIT 12"),
+    "overview_first_reads": _plus(_with(["project"], ""), _FIRST_READS, "SELECT path, score FROM (SELECT path, depth, CAST(CASE WHEN role = 'test' THEN s * 0.2 ELSE s END AS DOUBLE) AS score FROM points) WHERE score > 0 ORDER BY score DESC, depth, path LIMIT 12"),
     "estimate_tokens": _with(["content"], "SELECT language, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(ceil(sum(length(content)) / 4) AS BIGINT) AS tokens FROM content GROUP BY language"),
     "refresh_diff": _with(
         ["before"],
@@ -518,6 +523,14 @@ ORACLE_SQL |= {
     ).replace("\nWITH_RECENT SELECT", ",\nrecent_hundred AS (SELECT * FROM stale ORDER BY id DESC LIMIT 100)\nSELECT"),
 }
 
+ORACLE_SQL["read_sizes"] = _plus(
+    _with(["content"], ""),
+    f"""pack AS ({ORACLE_SQL["context_pack_full"]}), placed AS (SELECT path, row_number() OVER (ORDER BY raw DESC, path) AS place FROM pack), own AS (SELECT place, text FROM placed JOIN content USING (path) JOIN documents ON doc_id = id),
+        sections AS (SELECT 'suggested_first_reads' AS section, length(text) AS n FROM own WHERE place <= 5 UNION ALL SELECT 'top_candidates', length(text) FROM own WHERE place <= 10
+            UNION ALL SELECT 'indexed_project', length(content) FROM content WHERE role IN ('source', 'test', 'route', 'view', 'migration', 'documentation', 'config', 'unknown') AND language <> 'unknown')""",
+    "SELECT section, count(*) AS files, CAST(sum(n) AS BIGINT) AS characters, CAST(ceil(sum(n) / 4) AS BIGINT) AS tokens FROM sections GROUP BY section",
+)
+
 ORACLE_SQL |= {
     name: samples.sql(paths)
     for name, paths in {
