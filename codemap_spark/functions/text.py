@@ -90,6 +90,11 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"/(\./)+|/{2,}", "/"), r"^[./]+", "")
 
 
+def scope_of(scope: Column) -> Column:
+    """FN23: a note without a scope is about a file."""
+    return F.coalesce(F.nullif(scope, F.lit("")), F.lit("file"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """FN10: 0 if either side is empty."""
     union = F.size(F.array_union(a, b))

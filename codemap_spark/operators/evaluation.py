@@ -81,3 +81,20 @@ def gate_failures(summary: dict, least_top3: float = 0.85, least_top5: float = 1
     """EV1: which quality gates a summary (AGG12) fails."""
     failed = [f"{k} {summary[k]} < {least}" for k, least in (("top3_rate", least_top3), ("top5_rate", least_top5)) if (summary[k] or 0) < least]
     return failed + ([f"noise_hits {summary['noise_hits']} > {most_noise}"] if summary["noise_hits"] > most_noise else [])
+
+
+def edge_assertions(relations: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """XP2: name, passed: whether a file whose path ends with ``source`` has
+    the relation to a target that ends with ``target``."""
+    rows = wanted.select("name", "source", "relation", "target")
+    edges = relations.where("source_type = 'file'").join(files.select(F.col("id").alias("source_id"), "path"), "source_id").select("path", F.col("relation").alias("kind"), "target_id").distinct()
+    few = F.broadcast(rows)  # the assertions of a case
+    held = edges.join(few, (F.col("kind") == F.col("relation")) & F.endswith("path", "source") & F.endswith("target_id", "target"), "inner").select("name").distinct()
+    return rows.select("name").join(held.withColumn("passed", F.lit(True)), "name", "left").select("name", F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+def assertion_summary(results: DataFrame) -> DataFrame:
+    """AGG15: passed, total, pass_rate, failed (names in order) in one row."""
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name")))), ", ")
+    total = F.count("*")
+    return results.agg(F.count_if("passed").alias("passed"), total.alias("total"), F.when(total > 0, F.round(F.count_if("passed") / total, 3)).alias("pass_rate"), failed.alias("failed"))

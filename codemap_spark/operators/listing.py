@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -135,6 +135,26 @@ def finish_plan(plan_id: int, query: str, outcomes: Mapping[str, list[str]], row
     return events, events.where(F.col("event").isin("useful", "noisy", "missing")).select(F.lit(query).alias("query"), "path", F.col("event").alias("rating"), F.lit("agent").alias("source"))
 
 
+def missing_tables(have: Iterable[str], required: Iterable[str]) -> list[str]:
+    """FLT8: the required tables that aren't there, in order."""
+    return sorted(set(required) - set(have))
+
+
+def save_plan(plans_: DataFrame, items: DataFrame, ranked: DataFrame, query: str, now: str, read_budget: int = 3) -> tuple[DataFrame, DataFrame]:
+    """RP7: (plans, items) with a new plan of the ranked items (rank, path,
+    score, action, confidence, read_priority), whose id is the next."""
+    row = plans_.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+    plan = row.withColumns({"query": F.lit(query), "read_budget": F.lit(max(1, min(read_budget, 10))), "created_at": F.lit(now), "finished": F.lit(False)})
+    own = ranked.crossJoin(F.broadcast(row.withColumnRenamed("id", "plan_id")))  # one row
+    return plans_.unionByName(plan.select(*plans_.columns)), items.unionByName(own.select(*items.columns))
+
+
+def record_reads(events: DataFrame, plan_id: int, paths: Sequence[str]) -> DataFrame:
+    """RP8: the events with an ``opened`` one for each path, once."""
+    rows = [(plan_id, "opened", p) for p in dict.fromkeys(paths) if p]
+    return events.unionByName(events.sparkSession.createDataFrame(rows, "plan_id long, event string, path string").select(*events.columns))
+
+
 def close_task(rows: DataFrame, task_id: int, now: str) -> DataFrame:
     """TK1: the tasks with that one done; it keeps its first closing date."""
     mine = F.col("id") == task_id

@@ -29,13 +29,21 @@ def feedback_signals(feedback: DataFrame, files: DataFrame, query: str) -> DataF
 
 
 def feedback_explain(feedback: DataFrame, files: DataFrame, query: str) -> DataFrame:
-    """FB2: id, path, status (used, not-indexed, below-threshold), contribution."""
+    """FB2: id, path, status (used, not-indexed, below-threshold), contribution,
+    and of those used the net of their path and the place by size in it."""
     tokens = T.query_tokens(F.lit(query))
     rows = feedback.withColumn("similarity", T.jaccard(tokens, T.query_tokens(F.col("query")))).where("similarity > 0")
     known = files.select("path", F.lit(True).alias("known"))
     status = F.when(F.col("known").isNull(), "not-indexed").when(F.col("similarity") < L.MIN_SIMILARITY, "below-threshold").otherwise("used")
-    c = _lookup(L.RATING_WEIGHTS, F.col("rating")) * _lookup(L.SOURCE_WEIGHTS, F.col("source")) * F.col("similarity")
-    return rows.join(known, "path", "left").select("id", "path", status.alias("status"), F.round(c, 6).alias("contribution"))
+    c = F.round(_lookup(L.RATING_WEIGHTS, F.col("rating")) * _lookup(L.SOURCE_WEIGHTS, F.col("source")) * F.col("similarity"), 6)
+    judged = rows.join(known, "path", "left").select("id", "path", status.alias("status"), c.alias("contribution"))
+    used = judged.where("status = 'used'")
+    net = F.least(F.lit(L.MAX_BOOST), F.sum(F.greatest(F.col("contribution"), F.lit(0.0)))) + F.greatest(F.lit(L.MAX_PENALTY), F.sum(F.least(F.col("contribution"), F.lit(0.0))))
+    nets = used.groupBy("path").agg(F.round(net, 6).alias("net"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.abs("contribution")), "id"))
+    ordered = used.withColumn("place", place).join(nets, "path")
+    none = judged.where("status <> 'used'").withColumns({"place": F.lit(None).cast("int"), "net": F.lit(None).cast("double")})
+    return ordered.unionByName(none).select("id", "path", "status", "contribution", "net", "place")
 
 
 def with_staleness(notes: DataFrame, files: DataFrame) -> DataFrame:

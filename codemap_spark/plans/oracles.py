@@ -166,8 +166,11 @@ ORACLE_SQL = {
     "feedback_signals": _with(["feedback"], "SELECT * FROM signals"),
     "feedback_explain": _with(
         ["feedback"],
-        "SELECT id, path, CASE WHEN path NOT IN (SELECT path FROM paths) THEN 'not-indexed' WHEN similarity < 0.25 THEN 'below-threshold' ELSE 'used' END AS status, round(c, 6) AS contribution FROM weighed WHERE similarity > 0",
-    ),
+        """, judged AS (SELECT id, path, CASE WHEN path NOT IN (SELECT path FROM paths) THEN 'not-indexed' WHEN similarity < 0.25 THEN 'below-threshold' ELSE 'used' END AS status, round(c, 6) AS contribution FROM weighed WHERE similarity > 0),
+        nets AS (SELECT path, round(least(30.0, sum(greatest(contribution, 0.0))) + greatest(-5.0, sum(least(contribution, 0.0))), 6) AS net FROM judged WHERE status = 'used' GROUP BY path)
+        SELECT id, path, status, CAST(contribution AS DOUBLE) AS contribution, CASE WHEN status = 'used' THEN CAST(net AS DOUBLE) END AS net, CASE WHEN status = 'used' THEN CAST(row_number() OVER (PARTITION BY path, status ORDER BY abs(contribution) DESC, id) AS INTEGER) END AS place
+        FROM judged LEFT JOIN nets USING (path)""",
+    ).replace("\n, judged AS", ",\njudged AS"),
     "cochanged_files": _plus(_with(["commits", "commit_files"], ""), _RECENT, f"SELECT path, count(*) AS commits FROM commit_files WHERE commit_id IN (SELECT id FROM recent) AND path <> {_PATH} GROUP BY path ORDER BY commits DESC, path LIMIT 20"),
     "file_recent_commits": _plus(_with(["commits", "commit_files"], ""), _RECENT, "SELECT * FROM recent"),
     "commits_left_join_files": _with(["commits", "commit_files"], "SELECT id, date, count(path) AS n_files FROM commits LEFT JOIN commit_files ON commit_id = id GROUP BY ALL"),

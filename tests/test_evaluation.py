@@ -34,3 +34,31 @@ def test_cases_and_report(spark, tmp_path):
 
     summary = stats.benchmark_summary(results.withColumns({"elapsed_seconds": F.lit(1.0), "manual_scan_elapsed_seconds": F.lit(None).cast("double")})).first().asDict()
     assert evaluation.gate_failures(summary) == ["top3_rate 0.5 < 0.85", "top5_rate 0.5 < 1.0"]
+
+
+def test_assertions_and_plans(spark):
+    from codemap_spark.functions import text as T
+    from codemap_spark.operators import listing
+
+    files = spark.createDataFrame([(1, "src/a.py")], "id long, path string")
+    relations = spark.createDataFrame([("file", 1, "imports", "pkg.core")], "source_type string, source_id long, relation string, target_id string")
+    wanted = spark.createDataFrame([("one", "a.py", "imports", "core"), ("two", "a.py", "calls", "core"), ("three", "b.py", "imports", "core")], "name string, source string, relation string, target string")
+    results = evaluation.edge_assertions(relations, files, wanted)
+    assert {r.name: r.passed for r in results.collect()} == {"one": True, "two": False, "three": False}
+    assert tuple(evaluation.assertion_summary(results).first()) == (1, 3, 0.333, "three, two")
+    plans = spark.createDataFrame([(4, "old", 3, "t", True)], "id long, query string, read_budget int, created_at string, finished boolean")
+    items = spark.createDataFrame([], "plan_id long, rank int, path string, read_priority string")
+    ranked = spark.createDataFrame([(1, "a.py", "read_now", 2.0), (2, "b.py", "read_if_needed", 1.0)], "rank int, path string, read_priority string, score double")
+    plans, items = listing.save_plan(plans, items, ranked, "q", "t2", 99)
+    assert [tuple(r) for r in plans.orderBy("id").collect()][1] == (5, "q", 10, "t2", False) and [tuple(r) for r in items.orderBy("rank").collect()] == [(5, 1, "a.py", "read_now"), (5, 2, "b.py", "read_if_needed")]
+    events = listing.record_reads(spark.createDataFrame([], "plan_id long, event string, path string"), 5, ["a.py", "a.py", ""])
+    assert [tuple(r) for r in events.collect()] == [(5, "opened", "a.py")]
+    assert listing.missing_tables(["files"], ["files", "symbols"]) == ["symbols"]
+    scopes = spark.createDataFrame([(None,), ("",), ("repo",)], "scope string").select(T.scope_of(files_scope()).alias("s"))
+    assert [r.s for r in scopes.collect()] == ["file", "file", "repo"]
+
+
+def files_scope():
+    from pyspark.sql import functions as F
+
+    return F.col("scope")
