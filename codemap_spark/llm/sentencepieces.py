@@ -27,6 +27,8 @@ SPACE = "▁"
 MASK = (1 << 64) - 1
 MAX_CACHED = 700_000
 STEP = 0x9E3779B97F4A7C15
+#: Characters of a segment that lists are quicker for than arrays.
+FEW = 1_000
 #: Symbol of a place whose character is part of a symbol before it.
 GONE = -2
 #: Up to this many characters at most 63 merges come up: one for each pair at
@@ -77,10 +79,13 @@ class Pieces:
 
     def segment(self, raw: bytes, key: int = 0) -> array:
         """ids of one segment; blanks are plain spaces here.  Symbols, links and
-        agenda are flat arrays, as a segment can be a whole text."""
+        agenda are flat arrays, as a segment can be a whole text; one of few characters goes by lists."""
+        text = raw.decode()
+        if len(text) <= FEW:
+            return array("i", self._short_segment(text, key))
         if not hasattr(self, "pair_key"):
             self._tables()
-        codes = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
         sym = np.concatenate([self._symbols(codes[k : k + (1 << 18)]) for k in range(0, max(1, len(codes)), 1 << 18)])
         size, limit, pair = len(sym), self.limit, self.pair
         key, turn = _mix(self.seed ^ key), -1
@@ -137,6 +142,53 @@ class Pieces:
             i = after[i]
         return out
 
+    def _short_segment(self, text: str, key: int) -> list[int]:
+        """``segment`` by lists, which cost more memory and less time.  Pieces
+        of one score are merged from left to right, as in ranks."""
+        # a literal blank mark would decode as a space: it goes by its bytes
+        part = [SPACE if c == " " else "\x00mark" if c == SPACE else c for c in text]
+        score, limit = self.score, self.limit
+        key, turn = _mix(self.seed ^ key), -1
+        size = len(part)
+        before, after = list(range(-1, size - 1)), [*range(1, size), -1]
+        agenda = []
+        for i in range(size - 1):
+            found = score.get(part[i] + part[i + 1])
+            if found:
+                agenda.append((found[0], i, found[1], i + 1, len(part[i]) + len(part[i + 1])))
+        heapq.heapify(agenda)
+        while agenda:
+            _, i, piece, j, width = heapq.heappop(agenda)
+            if part[i] is None or after[i] != j or len(part[i]) + len(part[j]) != width:
+                continue
+            turn += 1
+            if limit and _mix((key + turn * STEP) & MASK) >> 32 < limit:
+                continue
+            part[i] += part[j]
+            part[j] = None
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+                k = after[i]
+                found = score.get(part[i] + part[k])
+                if found:
+                    heapq.heappush(agenda, (found[0], i, found[1], k, len(part[i]) + len(part[k])))
+            if before[i] >= 0:
+                k = before[i]
+                found = score.get(part[k] + part[i])
+                if found:
+                    heapq.heappush(agenda, (found[0], k, found[1], i, len(part[k]) + len(part[i])))
+        out = []
+        for p in part:
+            if p is None:
+                continue
+            found = score.get(p)
+            if found:
+                out.append(found[1])
+            else:
+                out += [self.byte_ids[b] for b in (SPACE if p == "\x00mark" else p).encode()]
+        return out
+
     def _symbols(self, codes: np.ndarray) -> np.ndarray:
         """Symbols of code points; -1 of those that no piece has."""
         place = np.minimum(np.searchsorted(self.char_code, codes), len(self.char_code) - 1)
