@@ -17,7 +17,8 @@ ARROW_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session, as texts can be very long."""
+    """Bound the Arrow batches of the session, as texts can be very long.  The
+    setting stays, as results are computed after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
