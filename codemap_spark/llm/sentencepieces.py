@@ -27,6 +27,8 @@ SPACE = "▁"
 MASK = (1 << 64) - 1
 MAX_CACHED = 700_000
 STEP = 0x9E3779B97F4A7C15
+#: Slots of the first table that finds pairs.
+SLOT_BITS = 20
 #: Characters of a segment that lists are quicker for than arrays.
 FEW = 1_000
 #: Symbol of a place whose character is part of a symbol before it.
@@ -228,11 +230,45 @@ class Pieces:
         self.pair_key = np.fromiter(sorted(pairs), np.int64, len(pairs))
         self.pair_rank = np.array([pairs[k][0] for k in self.pair_key.tolist()], np.int64)
         self.pair_piece = np.array([pairs[k][1] for k in self.pair_key.tolist()], np.int64)
+        self.padded_key = np.append(self.pair_key, -2)
+        self.padded_rank, self.padded_piece = np.append(self.pair_rank, 1 << 40), np.append(self.pair_piece, 0)
+        self.tables = self._spread(self.pair_key)
         # blanks come as plain spaces here, and a literal blank mark is unknown
         known = [c for c in chars if c not in (SPACE, " ")] + [" "]
         self.char_code = np.array(sorted(map(ord, known)), np.int64)
         self.char_symbol = np.array([symbol[SPACE if c == 32 else chr(c)] for c in self.char_code.tolist()], np.int64)
 
+    def _spread(self, keys: np.ndarray) -> list[tuple[np.ndarray, np.uint64, np.uint64]]:
+        """Tables of places in ``keys`` by hash; a key whose slot in one table
+        is another's is in the next, of an eighth of the slots."""
+        tables, left, bits = [], np.arange(len(keys)), SLOT_BITS
+        while len(left):
+            odd = splitmix(np.array([len(tables)], np.uint64))[0] | np.uint64(1)
+            table = np.full(1 << bits, len(keys), np.int32)
+            with np.errstate(over="ignore"):
+                slot = (keys[left].astype(np.uint64) * odd) >> np.uint64(64 - bits)
+            table[slot] = left
+            tables.append((table, odd, np.uint64(64 - bits)))
+            left, bits = left[table[slot] != left], max(12, bits - 3)
+        return tables
+
+    def _places(self, k: np.ndarray) -> np.ndarray:
+        """Places of pair keys, the number of pairs for those that make no piece."""
+        at, out = None, None
+        u = k.view(np.uint64)
+        with np.errstate(over="ignore"):
+            for table, odd, shift in self.tables:
+                if at is None:
+                    out = table[(u * odd) >> shift]
+                    at = np.flatnonzero(self.padded_key[out] != k)
+                    continue
+                found = table[(u[at] * odd) >> shift]
+                fine = self.padded_key[found] == k[at]
+                out[at[fine]] = found[fine]
+                at = at[~fine]
+        out[at] = len(self.pair_key)
+        return out
+
     def _skipped(self, key: np.ndarray, turn: int) -> np.ndarray:
         """Whether the merge that comes up at a turn is skipped, by mixed key."""
         return _mixed(key + np.uint64(turn * STEP & MASK)) >> np.uint64(32) < np.uint64(self.limit)
@@ -247,6 +283,9 @@ class Pieces:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
         sym = self._symbols(codes).astype(np.int64)
+        # a line end or control character goes by its byte, which merges with nothing
+        alone = np.flatnonzero((sym < 0) & (codes < 128))
+        sym[alone] = np.asarray(self.byte_ids)[codes[alone]]
         word = np.repeat(np.arange(len(texts)), size)
         hard = size > 200
         hard[word[sym < 0]] = True
@@ -260,10 +299,8 @@ class Pieces:
 
         def ranked(left, right, same):
             """(rank, piece) of pairs; none across segments or without a piece."""
-            k = left * self.symbols + right
-            i = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
-            fine = same & (self.pair_key[i] == k)
-            return np.where(fine, self.pair_rank[i], none), self.pair_piece[i]
+            i = self._places(np.where(same, left * self.symbols + right, -1))
+            return self.padded_rank[i], self.padded_piece[i]
 
         rank, piece = np.full(len(sym), none), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
@@ -313,7 +350,10 @@ class Pieces:
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             if len(self.cache) + len(missing) > MAX_CACHED:
-                self.cache.clear()
+                # plain segmentations are wanted most
+                self.cache = {k: v for k, v in self.cache.items() if not k[1]}
+                if len(self.cache) > MAX_CACHED // 2:
+                    self.cache = {}
             for i, x in zip(missing, self.segments([raws[i] for i in missing], key[missing]), strict=True):
                 found[i] = x
                 if cached[i]:
@@ -329,12 +369,15 @@ class Pieces:
         key = _mixed(np.uint64(self.seed) ^ key)
         out[size > SHORT] = key[size > SHORT]
         at = np.flatnonzero(size <= SHORT)
+        most = size[at] - 1  # turns: one for each merge made, and one for each skipped
         for turn in range(3 * (SHORT - 1)):
-            # a segment that was plain up to its last merge is done
-            at = at[(size[at] - 1 > turn) | ((3 * (size[at] - 1) > turn) & (out[at] > 0))]
+            on = most > turn
+            at, most = at[on], most[on]
             if not len(at):
                 break
-            out[at] |= self._skipped(key[at], turn).astype(np.uint64) << np.uint64(turn)
+            skip = self._skipped(key[at], turn)
+            out[at] |= skip.astype(np.uint64) << np.uint64(turn)
+            most += skip
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, own_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
