@@ -78,10 +78,11 @@ def pack_reasons(
     order in which the rules are applied, each once, at most ``most``.  What
     lowers or prefers a file comes first, the last rule foremost.
 
-    ``pack`` (path) has few rows and is sent to every task; ``candidates``
-    (path) are all files with a score before CX5."""
+    ``pack`` (path) has few rows, which are read once and sent to every task;
+    ``candidates`` (path) are all files with a score before CX5."""
     tokens = list(weights)
-    top = F.broadcast(pack.select("path").distinct())  # as many rows as a pack lists
+    listed_paths = pack.sparkSession.createDataFrame([(r.path,) for r in pack.select("path").distinct().collect()], "path string")  # as many rows as a pack lists
+    top = F.broadcast(listed_paths)
     own = files.join(top, "path", "left_semi")
     name = T.file_name(F.col("path"))
     soft = ranking.soft_path_matches(own, tokens) if any(len(t) >= 6 for t in tokens) else None
@@ -155,7 +156,7 @@ def pack_reasons(
         out = out.unionByName(r)
     once = out.groupBy("path", "reason").agg(F.min("place").alias("place"))
     listed = once.groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "reason"))), 1, most).alias("x"))
-    return pack.select("path").join(listed, "path", "left").select("path", F.coalesce(F.col("x.reason"), F.array().cast("array<string>")).alias("reasons"))
+    return listed_paths.join(listed, "path", "left").select("path", F.coalesce(F.col("x.reason"), F.array().cast("array<string>")).alias("reasons"))
 
 
 #: What a strong reason says (CX12).

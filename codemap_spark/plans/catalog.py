@@ -101,7 +101,8 @@ def context_reasons(s, d):
 
 def context_diagnostics(s, d):
     weights = _pack_weights(s, d)
-    pack = _pack(s, d, weights)
+    found = _pack(s, d, weights)
+    pack = s.createDataFrame(found.collect(), found.schema)  # ten rows
     return context.diagnose(pack, _pack_reasons(s, d, pack, weights), PACK_QUERY, PACK_TOKENS)
 
 
