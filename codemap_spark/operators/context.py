@@ -28,10 +28,14 @@ def all_term_stats(files: DataFrame, symbols: DataFrame, commits: DataFrame) ->
     the sources' counts, as it holds every document of each."""
     docs = source_documents(files, symbols, commits)
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
-    terms = docs.select("source", F.sort_array(T.useful_terms(F.col("text"))).alias("terms"))
+    # paths are nearly all distinct; names, messages and labels repeat, and are cut into terms once each
+    alone = F.col("source").isin("path", "filename")
+    texts = docs.where(alone).withColumn("times", F.lit(1).cast("bigint")).unionByName(docs.where(~alone).groupBy("source", "text").agg(F.count("*").alias("times")))
+    terms = texts.select("source", "times", F.sort_array(T.useful_terms(F.col("text"))).alias("terms"))
     before = F.concat(F.array(F.lit("")), F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
-    paired = terms.select("source", F.explode(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))).alias("x")).where("x.term is not null")
-    counted = paired.groupBy(F.col("x.term").alias("term"), "source").agg(F.count_if(F.col("x.before") != F.col("x.term")).alias("document_count"), F.count("*").alias("total_count"))
+    paired = terms.select("source", "times", F.explode(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))).alias("x")).where("x.term is not null")
+    first = F.when(F.col("x.before") != F.col("x.term"), F.col("times")).otherwise(0)
+    counted = paired.groupBy(F.col("x.term").alias("term"), "source").agg(F.sum(first).alias("document_count"), F.sum("times").alias("total_count"))
     either = F.explode(F.array(F.col("source"), F.lit("all")))
     by_source = counted.select("term", either.alias("source"), "document_count", "total_count").groupBy("term", "source").agg(F.sum("document_count").alias("document_count"), F.sum("total_count").alias("total_count"))
     known = by_source.join(F.broadcast(sizes.select(either.alias("source"), "n").groupBy("source").agg(F.sum("n").alias("n"))), "source")  # seven rows
