@@ -16,15 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import binary_buffer, codes_of, join_counted, materialise, prepare, release, slices, trim
+from .common import binary_buffer, codes_of, discard, join_counted, materialise, prepare, release, slices, trim
 from .textarrays import distinct, join_ranges
 
 #: Bytes that end a piece, bytes that end a word, and the scale of scores.
 PIECE_ENDS, BLANKS, SCALE = b".,;:!?\n\x0b\x0c\r", b" \t", 1_000_000
-#: Bytes of text of one block; a longer text stands alone.
-BLOCK_BYTES = 6 << 20
+#: Bytes of text after which a task closes its blocks.
+BLOCK_BYTES = 24 << 20
 #: Shares of the final ranking that are cut to the limit before a language's rows meet.
 SHARES = 64
 
@@ -52,73 +53,91 @@ def words_with_positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return start, end, np.arange(len(start)) + np.cumsum(gap)
 
 
-def _lists(owner: np.ndarray, position: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
-    """(length, list of little-endian 32-bit positions) of every owner below
-    ``n``; positions ascend."""
+def _lists(owner: np.ndarray, position: np.ndarray, n: int) -> pa.Array:
+    """The list of little-endian 32-bit positions of every owner below ``n``;
+    positions ascend."""
     order = np.argsort(owner, kind="stable")
-    length = np.bincount(owner, minlength=n)
     offsets = np.zeros(n + 1, np.int32)
-    np.cumsum(4 * length, out=offsets[1:])
+    np.cumsum(4 * np.bincount(owner, minlength=n), out=offsets[1:])
     raw = position[order].astype("<i4").tobytes()
-    return length, pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+
+
+class _Block:
+    """The words of one part's texts as they come in: slices are encoded by
+    their own distinct words, which are made one list at the end."""
+
+    def __init__(self) -> None:
+        self.codes, self.positions, self.words, self.known, self.following = [], [], [], 0, 0
+
+    def add(self, texts: pa.Array) -> None:
+        data, offsets = binary_buffer(texts)
+        data = _LOWER[data]
+        start, end, position = words_with_positions(data, offsets)
+        if not len(start):
+            return
+        codes, first = distinct(data, start, end)
+        self.codes.append((codes + self.known).astype(np.int32))
+        self.positions.append((position + self.following).astype(np.int32))
+        self.words.append(_substrings(data, start[first], end[first]))
+        self.known += len(first)
+        self.following += int(position[-1]) + 2
+
+    def rows(self, number: int, prefix: bytes, most: int = 1 << 15):
+        """block, word, positions, some thousand at a time."""
+        if not self.codes:
+            return
+        words = pa.chunked_array(self.words).combine_chunks().dictionary_encode()
+        owner = words.indices.to_numpy()[np.concatenate(self.codes)]
+        words = pa.compute.binary_join_element_wise(pa.scalar(prefix, pa.binary()), words.dictionary, pa.scalar(b"", pa.binary()))
+        lists = _lists(owner, np.concatenate(self.positions), len(words))
+        for a in range(0, len(words), most):
+            part = words.slice(a, most)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), part, lists.slice(a, most)], names=["block", "word", "positions"])
+
+
+def _substrings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=offsets[1:])
+    raw = data[join_ranges(start, end - start)]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
 def postings(docs: DataFrame, text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """block, word (part, line feed, word), n, positions: each block's lists.
+    """block, word (part, line feed, word), positions: each block's lists.
 
-    Null texts are empty, a null part is 'und'.
-    """
+    Null texts are empty, a null part is 'und'.  A block holds texts of one part."""
     prepare(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(part_col).cast("string"), F.lit("und")).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def blocks(batches):
-        """Batches joined to blocks, so that lists get long."""
-        held, size = [], 0
-        for batch in slices(batches, "text"):
-            held.append(batch)
-            size += batch.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
     def invert(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        for block in blocks(batches):
-            parts = block.column("part").to_pylist()
-            for part in sorted(set(parts)):
-                data, offsets = binary_buffer(block.column("text").filter(pa.array([p == part for p in parts])))
-                data = _LOWER[data]
-                start, end, position = words_with_positions(data, offsets)
-                if len(start):
-                    codes, first = distinct(data, start, end)
-                    length, lists = _lists(codes, position, len(first))
-                    prefix = np.frombuffer(part.encode() + b"\n", np.uint8)
-                    yield from _posting_rows(number, prefix, data, start[first], end[first], length, lists)
+        number, held, blocks = TaskContext.get().partitionId() << 32, 0, {}
+
+        def flush():
+            nonlocal number
+            for part in sorted(blocks):
+                yield from blocks[part].rows(number, part.encode() + b"\n")
                 number += 1
+            blocks.clear()
             trim()
 
-    return source.mapInArrow(invert, "block bigint, word binary, n bigint, positions binary")
-
+        for batch in slices(batches, "text"):
+            parts = batch.column("part").dictionary_encode()
+            for k, part in enumerate(parts.dictionary.to_pylist()):
+                texts = batch.column("text").filter(pa.compute.equal(parts.indices, k))
+                blocks.setdefault(part, _Block()).add(texts)
+            held += batch.column("text").nbytes
+            if held >= BLOCK_BYTES:
+                yield from flush()
+                held = 0
+        yield from flush()
 
-def _posting_rows(number, prefix, data, start, end, length, lists, most: int = 1 << 15):
-    """Rows of one block, some thousand at a time."""
-    for a in range(0, len(start), most):
-        s, e = start[a : a + most], end[a : a + most]
-        width = len(prefix) + e - s
-        offsets = np.zeros(len(s) + 1, np.int32)
-        np.cumsum(width, out=offsets[1:])
-        raw = np.empty(offsets[-1], np.uint8)
-        raw[join_ranges(offsets[:-1].astype(np.int64), np.full(len(s), len(prefix)))] = np.tile(prefix, len(s))
-        raw[join_ranges(offsets[:-1].astype(np.int64) + len(prefix), e - s)] = data[join_ranges(s, e - s)]
-        words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), number)), words, pa.array(length[a : a + most]), lists.slice(a, len(s))], names=["block", "word", "n", "positions"])
+    return source.mapInArrow(invert, "block bigint, word binary, positions binary")
 
 
-_EXTENDED = "block bigint, a bigint, b bigint, n bigint, positions binary"
+_EXTENDED = "block bigint, a bigint, b bigint, positions binary"
 
 
 def _extend(group: pa.Table) -> pa.Table:
@@ -132,9 +151,10 @@ def _extend(group: pa.Table) -> pa.Table:
     at[position] = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets) // 4)
     here = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
     codes, pairs = codes_of(at[here].astype(np.int64) * len(ids) + at[here + 1])
-    length, lists = _lists(codes, here, len(pairs))
-    columns = [np.full(len(pairs), group.column("block")[0].as_py(), np.int64), ids[pairs // len(ids)], ids[pairs % len(ids)], length]
-    return pa.Table.from_arrays([*map(pa.array, columns), lists], names=["block", "a", "b", "n", "positions"])
+    lists = _lists(codes, here, len(pairs))
+    columns = [np.full(len(pairs), group.column("block")[0].as_py(), np.int64), ids[pairs // len(ids)], ids[pairs % len(ids)]]
+    out = pa.Table.from_arrays([*map(pa.array, columns), lists], names=["block", "a", "b", "positions"])
+    return pa.Table.from_batches(out.to_batches(max_chunksize=1 << 15), out.schema)
 
 
 def _longer(lists: DataFrame, min_count: int, name: str) -> DataFrame:
@@ -143,11 +163,12 @@ def _longer(lists: DataFrame, min_count: int, name: str) -> DataFrame:
 
     A phrase has one row per block, so its rows are a small share of all.
     Ids are unique, as all rows of a phrase are in one task, and fixed by the
-    written table.
-    """
+    written table."""
     found = lists.select("block", "id", "positions").groupBy("block").applyInArrow(_extend, _EXTENDED)
-    same = Window.partitionBy("a", "b")
-    counted = found.withColumn("f", F.sum("n").over(same)).where(F.col("f") >= min_count)
+    # sorted by a hash first, which nearly always tells two phrases apart at the first look
+    same = Window.partitionBy(F.xxhash64("a", "b"), "a", "b")
+    dealt = found.repartition("a", "b")
+    counted = dealt.withColumn("f", F.sum(F.expr("octet_length(positions) div 4")).over(same)).where(F.col("f") >= min_count)
     return materialise(counted.withColumn("id", F.min(F.monotonically_increasing_id()).over(same)).select("block", "id", "a", "b", "f", "positions"), name)
 
 
@@ -168,18 +189,22 @@ def phrases(docs: DataFrame, min_words: int = 2, max_words: int = 3, min_count:
     """
     spark = docs.sparkSession
     inverted = materialise(postings(docs, text_col, part_col), "phrase-postings")
-    counts = materialise(inverted.groupBy("word").agg(F.sum("n").alias("f")), "phrase-words")
+    counts = materialise(inverted.groupBy("word").agg(F.sum(F.expr("octet_length(positions) div 4")).alias("f")), "phrase-words")
     last = F.substring_index(F.col("word").cast("string"), "\n", -1)  # a word holds no line feed
     part = F.col("word").cast("string").substr(F.lit(1), F.char_length(F.col("word").cast("string")) - F.char_length(last) - 1)
     named = counts.select("word", "f", last.alias("last"), part.alias("part"))
     totals = named.groupBy("part").agg(F.sum("f").alias("n"))
     frequent = materialise(named.where(F.col("f") >= min_count).withColumn("id", F.monotonically_increasing_id()), "phrase-level-1")
     all_words = counts.agg(F.sum("f")).first()[0] or 0
-    lists = join_counted(inverted.select("block", "word", "positions"), frequent.select("word", "id", "f"), "word", "f", all_words)
+    release(spark)
+    lists = materialise(join_counted(inverted, frequent.select("word", "id", "f"), "word", "f", all_words).select("block", "id", "positions"), "phrase-lists-1")
+    discard(inverted)
+    release(spark)
     level = frequent.select("id", "part", F.col("last").alias("phrase"), "last", "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))
     levels = []
     for k in range(2, max_words + 1):
-        lists = _longer(lists, min_count, f"phrase-lists-{k}")
+        shorter, lists = lists, _longer(lists, min_count, f"phrase-lists-{k}")
+        discard(shorter)
         release(spark)
         found = lists.groupBy("id", "a", "b").agg(F.max("f").alias("f"))
         found = materialise(found, f"phrase-found-{k}")
