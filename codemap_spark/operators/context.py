@@ -6,41 +6,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L, text as T
-from . import listing, memory, ranking
+from . import listing, memory, ranking, term_index
 from .ranking import Weights, weight
 from .relations import linked_edges
-
-
-def source_documents(files: DataFrame, symbols: DataFrame, commits: DataFrame) -> DataFrame:
-    """source, text: what AGG1 counts terms in: path, file name, language and
-    role of every file, every symbol's name, every commit's message."""
-    of_file = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.alias("text")) for k, v in (("path", F.col("path")), ("filename", T.file_name(F.col("path"))), ("language", F.col("language")), ("role", F.col("role")))]))
-    rows = files.select(of_file.alias("x")).select("x.*")
-    rows = rows.unionByName(symbols.select(F.lit("symbol").alias("source"), F.col("name").alias("text")))
-    return rows.unionByName(commits.select(F.lit("commit").alias("source"), F.col("message").alias("text")))
+from .term_index import source_documents
 
 
 def all_term_stats(files: DataFrame, symbols: DataFrame, commits: DataFrame) -> DataFrame:
     """AGG1: term, source, document_count, total_count, weight, for every
-    source and for ``all`` of them together.
-
-    A source's counts are combined before their shuffle, and ``all`` adds up
-    the sources' counts, as it holds every document of each."""
+    source and for ``all`` of them together."""
     docs = source_documents(files, symbols, commits)
-    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
-    # paths are nearly all distinct; names, messages and labels repeat, and are cut into terms once each
-    alone = F.col("source").isin("path", "filename")
-    texts = docs.where(alone).withColumn("times", F.lit(1).cast("bigint")).unionByName(docs.where(~alone).groupBy("source", "text").agg(F.count("*").alias("times")))
-    terms = texts.select("source", "times", F.sort_array(T.useful_terms(F.col("text"))).alias("terms"))
-    before = F.concat(F.array(F.lit("")), F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
-    paired = terms.select("source", "times", F.explode(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))).alias("x")).where("x.term is not null")
-    first = F.when(F.col("x.before") != F.col("x.term"), F.col("times")).otherwise(0)
-    counted = paired.groupBy(F.col("x.term").alias("term"), "source").agg(F.sum(first).alias("document_count"), F.sum("times").alias("total_count"))
-    either = F.explode(F.array(F.col("source"), F.lit("all")))
-    by_source = counted.select("term", either.alias("source"), "document_count", "total_count").groupBy("term", "source").agg(F.sum("document_count").alias("document_count"), F.sum("total_count").alias("total_count"))
-    known = by_source.join(F.broadcast(sizes.select(either.alias("source"), "n").groupBy("source").agg(F.sum("n").alias("n"))), "source")  # seven rows
-    raw = 0.45 + F.log((F.col("n") + 1) / (F.col("document_count") + 1))
-    return known.select("term", "source", "document_count", "total_count", F.round(F.least(F.lit(2.8), F.greatest(F.lit(0.25), raw)), 6).alias("weight"))
+    return term_index.weighed(term_index.counts(docs), term_index.sizes(docs))
 
 
 def query_weights(stats: DataFrame, tokens: list[str], texts: DataFrame) -> Weights:

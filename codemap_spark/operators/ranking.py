@@ -265,21 +265,6 @@ def first_reads(files: DataFrame, symbols: DataFrame, limit: int = 12) -> DataFr
     return files.join(declared, "id", "left").select("path", F.round(score, 6).alias("score"), depth.alias("depth")).where("score > 0").orderBy(F.desc("score"), "depth", "path").limit(limit).drop("depth")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_out: int = 25) -> DataFrame:
-    """TR1, TR2: start, target, hops, path of every simple path from the starts.
-
-    Each node keeps its ``fan_out`` strongest edges (ties by target) before
-    the first hop, so a hop grows by at most that factor."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "target"))
-    strong = edges.withColumn("rank", rank).where(F.col("rank") <= fan_out).select("source", "target")
-    front = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
-    out = front
-    for _ in range(max_depth):
-        front = front.join(strong, F.col("at") == F.col("source")).where(~F.array_contains("path", F.col("target"))).select("start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"))
-        out = out.unionByName(front)
-    return out.select("start", F.col("at").alias("target"), (F.size("path") - 1).alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
 def _framework_entry(path) -> Column:
     return framework_points(path) > 0
 
@@ -347,6 +332,10 @@ def trace_starts(files: DataFrame, symbols: DataFrame, tokens: list[str], by_que
     return each.withColumn("place", F.row_number().over(Window.orderBy("order"))).where(F.col("place") <= limit).select("id", "path", "place")  # at most 14 rows
 
 
+def emits_markup(text: Column) -> Column:
+    return text.rlike(r"<h[1-6]\b|echo\s+['\"]<|<main\b|<title\b|render\(|template")
+
+
 def trace_scores(files: DataFrame, tokens: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """TR4: path, score, and the kept columns, of files (path, content,
     distance) on a trace."""
@@ -358,19 +347,10 @@ def trace_scores(files: DataFrame, tokens: list[str], keep: tuple[str, ...] = ()
     role = F.when(lower.contains("/test") | lower.startswith("test"), "test").when(lower.rlike(r"\.(md|rst)$"), "documentation").otherwise("")
     service = F.greatest(*[lower.contains(p) for p in L.SERVICE_PARTS])
     acts = text.rlike(r"\b(handle|process|dispatch|orchestrat|route|persist|create)_?[a-z_]*\b")
-    markup = text.rlike(r"<h[1-6]\b|echo\s+['\"]<|<main\b|<title\b|render\(|template")
-    score = score + _role_bias(role, lower, tokens) + F.when(service, 1.0).otherwise(0.0) + F.when(acts, 0.75).otherwise(0.0) + F.when(markup, 2.0).otherwise(0.0)
+    score = score + _role_bias(role, lower, tokens) + F.when(service, 1.0).otherwise(0.0) + F.when(acts, 0.75).otherwise(0.0) + F.when(emits_markup(text), 2.0).otherwise(0.0)
     return files.select("path", F.round(F.greatest(F.lit(0.0), score), 6).alias("score"), *keep)
 
 
-def dedupe_targets(paths: DataFrame, order: str) -> DataFrame:
-    """TR5: one row per target, at the place of its first row (by ``order``),
-    with the first row that has edges if there is one."""
-    columns = [c for c in paths.columns if c != "target"]
-    best = F.min(F.struct((F.col("hops") == 0).alias("bare"), F.col(order).alias("at"), F.struct(*columns).alias("row")))
-    return paths.groupBy("target").agg(F.min(order).alias("position"), best.alias("best")).select("target", "position", *[F.col(f"best.row.{c}").alias(c) for c in columns])
-
-
 def trace_profile(tokens) -> Column:
     """TR6 over a column of token lists."""
     return F.when(F.arrays_overlap(tokens, T.strings(L.RENDER_TOKENS)), "entrypoint_render").when(F.exists(tokens, lambda t: t.contains("test")), "test_trace").otherwise("entrypoint_trace")

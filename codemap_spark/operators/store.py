@@ -67,16 +67,16 @@ def _next_id(stored: DataFrame, id_col: str = "id") -> DataFrame:
     return stored.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).alias("first"))
 
 
-def upsert_files(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_files(stored: DataFrame, incoming: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """SNK1: incoming rows replace stored ones of their path, whose id stays;
-    new paths get the next ids.  A path that comes in more than once counts
-    with its largest row."""
+    new paths get the next ids, or ids from ``first`` (one value) on.  A path
+    that comes in more than once counts with its largest row."""
     values = [c for c in stored.columns if c not in ("id", "path")]
     latest = incoming.groupBy("path").agg(F.max(F.struct(*values)).alias("new"))
     both = stored.select("id", "path", F.struct(*values).alias("old")).join(latest, "path", "full_outer")
     merged = both.select("id", "path", F.when(F.col("new").isNull(), F.col("old")).otherwise(F.col("new")).alias("row"))
     known = merged.where("id is not null")
-    fresh = numbered(merged.where("id is null").drop("id"), "path", _next_id(stored))
+    fresh = numbered(merged.where("id is null").drop("id"), "path", _next_id(stored) if first is None else first)
     return known.unionByName(fresh).select("id", "path", *[F.col(f"row.{c}").alias(c) for c in values])
 
 

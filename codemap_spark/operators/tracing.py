@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.shared import stage
 from . import ranking
 
 INCLUDES = ("include", "include_once", "require", "require_once")
@@ -52,7 +53,7 @@ def _rendered(target: Column) -> Column:
 
 
 def resolved_edges(relations: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """JN10: source, target (file ids), relation, target_id, confidence.
+    """JN10: id (the relation's), source, target (file ids), relation, target_id, confidence.
 
     Includes, imports and templates lead to the first of their candidate paths
     that is a file, templates else to the first path that ends with them under
@@ -61,7 +62,7 @@ def resolved_edges(relations: DataFrame, files: DataFrame, symbols: DataFrame) -
     are left out.  Candidates are joined by equality, path ends too."""
     target = F.col("target_id")
     named = relations.where("source_type = 'file'").join(files.select(F.col("id").alias("source_id"), F.col("path").alias("source_path")), "source_id")
-    keyed = named.select("source_id", "source_path", "relation", "target_type", "target_id", "confidence")
+    keyed = named.select("id", "source_id", "source_path", "relation", "target_type", "target_id", "confidence")
     candidates = (
         F.when((F.col("target_type") == "file") & F.col("relation").isin(*INCLUDES), _included(F.col("source_path"), target))
         .when((F.col("target_type") == "module") & (F.col("relation") == "imports"), _imported(F.col("source_path"), target))
@@ -77,36 +78,130 @@ def resolved_edges(relations: DataFrame, files: DataFrame, symbols: DataFrame) -
     rows = tried.join(known, "path").select("source_path", "relation", "target_type", "target_id", "priority", "target")
     rows = rows.unionByName(by_end.select("source_path", "relation", "target_type", "target_id", F.lit(99).alias("priority"), F.col("at.id").alias("target")))
     first = rows.groupBy("source_path", "relation", "target_type", "target_id").agg(F.min(F.struct("priority", "target")).alias("best"))
-    by_path = keyed.join(first, ["source_path", "relation", "target_type", "target_id"]).select("source_id", F.col("best.target").alias("target"), "relation", "target_id", "confidence")
+    by_path = keyed.join(first, ["source_path", "relation", "target_type", "target_id"]).select("id", "source_id", F.col("best.target").alias("target"), "relation", "target_id", "confidence")
     defined = symbols.select(F.lower("name").alias("lower"), F.col("file_id").alias("target")).distinct()
     called = keyed.where("target_type = 'symbol_name' AND relation IN ('calls', 'route_to_handler')").withColumn("lower", F.lower("target_id"))
-    by_name = called.join(defined, "lower").select("source_id", "target", "relation", "target_id", "confidence")
+    by_name = called.join(defined, "lower").select("id", "source_id", "target", "relation", "target_id", "confidence")
     return by_path.unionByName(by_name).where("source_id <> target").withColumnRenamed("source_id", "source")
 
 
-def weighted(edges: DataFrame) -> DataFrame:
-    """TR2: source, target, weight: 4 for includes, 2 for imports, 1 for
-    others, and the confidence; of several edges between two files the best."""
+#: The texts of a trace's reasons.
+AT_DISTANCE, IN_PATH, IN_CONTENT, IN_NAME = "reachable from start at distance ", 'path contains "', 'content contains "', 'filename contains "'
+MARKUP, MATCHED, ROUTE_START, USUAL_START = "emits HTML/render markup", "query matched path tokens: ", "route file selected as likely runtime start", " selected as likely entrypoint/start file"
+REACHED, IS_START, FOLLOWED = " is reachable through ", " is a start file; ", "followed "
+MOST_REASONS, MOST_MATCHES = 8, 4
+
+
+def strongest(edges: DataFrame, fan_out: int = 25) -> DataFrame:
+    """TR2: source, target, place, relation, target_id, confidence: of each
+    file's ``fan_out`` best edges (includes weigh 4, imports 2, others 1, and
+    their confidence; ties by the relation's id, then target) the best to every
+    target.  Spark keeps the best few of every task before it shuffles, so a
+    file with very many edges is no burden."""
     base = F.when(F.col("relation").isin(*INCLUDES), 4.0).when(F.col("relation") == "imports", 2.0).otherwise(1.0)
-    return edges.groupBy("source", "target").agg(F.max(base + F.coalesce("confidence", F.lit(0.0))).alias("weight"))
+    sure = F.coalesce("confidence", F.lit(0.0))
+    order = Window.partitionBy("source").orderBy(F.desc(base + sure), "id", "target")
+    few = edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fan_out)
+    best = few.groupBy("source", "target").agg(F.min(F.struct("place", "relation", F.coalesce("target_id", F.lit("")).alias("target_id"), F.round(sure, 3).alias("confidence"))).alias("edge"))
+    return best.select("source", "target", "edge.*")
+
+
+def best_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_out: int = 25) -> DataFrame:
+    """TR1: start, target, hops, order, edges: for every start (node) and file
+    the first of the shortest paths, in the order in which a breadth-first
+    search finds them.
+
+    A score falls with the distance, so no other path of the pair can come
+    before it.  Each round joins the newest labels with the edges once, keeps
+    one label per start and file and drops those that are known; it is written
+    before the next one.  ``order`` holds the places of the edges taken,
+    ``edges`` (source, target, relation, target_id, confidence) the edges."""
+    strong = stage(strongest(edges, fan_out), "trace-edges")
+    edge = "array<struct<source:bigint,target:bigint,relation:string,target_id:string,confidence:double>>"
+    node = F.col("node").cast("bigint")
+    front = starts.select(node.alias("start"), node.alias("target"), F.lit(0).alias("hops"), F.array().cast("array<int>").alias("order"), F.array().cast(edge).alias("edges"))
+    known = front = stage(front.distinct(), "trace-0")
+    for hop in range(1, max_depth + 1):
+        taken = F.struct("s.source", "s.target", "s.relation", "s.target_id", "s.confidence")
+        longer = front.alias("f").join(strong.alias("s"), F.col("f.target") == F.col("s.source")).select(
+            "f.start", F.col("s.target").alias("target"), F.concat("f.order", F.array("s.place")).alias("order"), F.concat("f.edges", F.array(taken)).cast(edge).alias("edges")
+        )
+        first = longer.groupBy("start", "target").agg(F.min(F.struct("order", "edges")).alias("x"))
+        fresh = first.join(known.select("start", "target"), ["start", "target"], "left_anti").select("start", "target", F.lit(hop).alias("hops"), "x.order", "x.edges")
+        front = stage(fresh, f"trace-{hop}")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    return known
+
+
+def _reasons(tokens: list[str]) -> Column:
+    """Why a file (path, content, distance) has its score, in order, the first few."""
+    lower, text = F.lower("path"), F.lower(F.coalesce("content", F.lit("")))
+    said = [F.concat(F.lit(AT_DISTANCE), F.col("distance").cast("string"))]
+    for t in sorted(set(tokens)):
+        said.append(F.when(lower.contains(t), F.lit(f'{IN_PATH}{t}"')))
+        said.append(F.when(text.contains(t), F.lit(f'{IN_CONTENT}{t}"')).when(T.file_name(lower).contains(t), F.lit(f'{IN_NAME}{t}"')))
+    said.append(F.when(ranking.emits_markup(text), F.lit(MARKUP)))
+    return F.slice(F.array_compact(F.array(*said)), 1, MOST_REASONS)
+
+
+def _start_reason(path: Column, role: Column, tokens: list[str]) -> Column:
+    found = F.array_compact(F.array(*[F.when(F.lower(path).contains(t), F.lit(t)) for t in sorted(set(tokens))]))
+    matched = F.concat(F.lit(MATCHED), F.array_join(F.slice(found, 1, MOST_MATCHES), ", "))
+    return F.when(F.size(found) > 0, matched).when(role == "route", ROUTE_START).otherwise(F.concat(T.file_name(path), F.lit(USUAL_START)))
 
 
 def trace(edges: DataFrame, files: DataFrame, starts: DataFrame, tokens: list[str], max_depth: int = 4, limit: int = 10) -> DataFrame:
-    """TR1: rank, target, score, distance, trail: files along simple paths from
-    the starts (id, place), best first.
+    """TR1: rank, target, score, distance, trail, edges, start_reason,
+    why_this_path, reasons: files that the starts (id, place) lead to, best
+    first.
 
     A file that several paths lead to stands at the place of the best of them,
     with the best path that has edges if there is one.  Paths are at most
-    min(max_depth, 6) long over each file's 25 best edges, starts at most
-    eight, so the paths are bounded, whatever the corpus."""
-    few = F.broadcast(starts.orderBy("place").limit(8).select(F.col("id").alias("node"), "place"))  # eight rows
-    paths = ranking.simple_paths(weighted(edges), few.select("node"), max(1, min(max_depth, 6))).join(few.withColumnRenamed("node", "start"), "start")
-    reached = paths.select(F.col("target").alias("id"), F.col("hops").alias("distance")).distinct()
-    on = files.select("id", "path", "role", "content").join(reached, "id")
-    scored = ranking.trace_scores(on, tokens, keep=("id", "distance"))
-    rows = paths.join(scored.select(F.col("id").alias("target"), F.col("distance").alias("hops"), "score", F.col("path").alias("file")), ["target", "hops"]).where("score > 0")
-    order = Window.orderBy(F.desc("score"), "place", "hops", "path")
-    # the paths of eight starts over 25 edges a step
-    placed = rows.withColumn("at", F.row_number().over(order)).select(F.col("file").alias("target"), "score", "hops", F.col("path").alias("trail"), "at")
-    best = ranking.dedupe_targets(placed, "at").orderBy("position").limit(max(1, min(limit, 30)))
-    return best.select(F.row_number().over(Window.orderBy("position")).alias("rank"), "target", F.round("score", 3).alias("score"), F.col("hops").alias("distance"), "trail")
+    min(max_depth, 6) long, starts at most eight.  Only the ``limit`` best
+    files (30 at most) meet in one task."""
+    few = F.broadcast(starts.orderBy("place").limit(8).select(F.col("id").cast("bigint").alias("start"), F.col("place").alias("start_place")))  # eight rows
+    labels = best_paths(edges, few.select(F.col("start").alias("node")), max(1, min(max_depth, 6))).join(few, "start")
+    own = F.struct("hops", "start_place", "order", "start", "edges")
+    best = labels.groupBy("target").agg(F.min(own).alias("first"), F.min(F.when(F.col("hops") > 0, own)).alias("shown"))
+    best = best.select(F.col("target").alias("id"), "first", F.coalesce("shown", "first").alias("shown"))
+    on = best.join(files.select("id", "path", "role", "content"), "id")
+    first = ranking.trace_scores(on.withColumn("distance", F.col("first.hops")), tokens, keep=("id", "role", "content", "first", "shown")).withColumnRenamed("score", "first_score").where("first_score > 0")
+    scored = ranking.trace_scores(first.withColumn("distance", F.col("shown.hops")), tokens, keep=("id", "first", "shown", "first_score", "distance", "role", "content"))
+    # a path with edges counts only if its own score is above 0
+    bare = F.col("score") <= 0
+    order = [F.desc("first_score"), F.col("first.start_place"), F.col("first.hops"), F.col("first.order")]
+    rows = scored.orderBy(*order).limit(max(1, min(limit, 30)))
+    rows = rows.select(
+        F.struct((-F.col("first_score")).alias("s"), F.col("first.start_place").alias("p"), F.col("first.hops").alias("h"), F.col("first.order").alias("o")).alias("at"), "path", "content",
+        F.when(bare, F.col("first_score")).otherwise(F.col("score")).alias("score"), F.when(bare, F.col("first")).otherwise(F.col("shown")).alias("x"),
+    ).select("at", "path", "content", "score", "x.start", F.col("x.hops").alias("distance"), F.col("x.edges").alias("taken"))
+    rows = stage(rows.select("*", _reasons(tokens).alias("reasons")).drop("content"), "trace-rows")  # 30 rows at most
+    return _explained(rows, files, tokens)
+
+
+def _explained(rows: DataFrame, files: DataFrame, tokens: list[str]) -> DataFrame:
+    """The few rows of a trace with paths in place of ids."""
+    named = rows.select("path", F.explode(F.concat(F.array("start"), F.col("taken.target"))).alias("id")).select("id").distinct()
+    names = F.broadcast(files.join(F.broadcast(named), "id", "left_semi").select("id", F.col("path").alias("name"), F.col("role").alias("its_role")))  # at most seven a row
+    steps = rows.select("path", F.posexplode(F.concat(F.array(F.struct(F.col("start").alias("target"), F.lit("").alias("relation"), F.lit("").alias("target_id"), F.lit(0.0).alias("confidence"))), F.transform("taken", lambda e: F.struct(e["target"].alias("target"), e["relation"].alias("relation"), e["target_id"].alias("target_id"), e["confidence"].alias("confidence"))))).alias("at_step", "e"))
+    steps = steps.join(names, F.col("e.target") == F.col("id"))
+    listed = steps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at_step", "name", "its_role", "e"))).alias("steps"))
+    step = F.col("steps")
+    pairs = F.transform(
+        F.slice(step, 2, F.greatest(F.size(step) - 1, F.lit(0))),
+        lambda x, i: F.struct(
+            F.get(step, i)["name"].alias("from"), x["name"].alias("to"), x["e"]["relation"].alias("relation"), x["e"]["confidence"].alias("confidence"),
+            F.concat(F.lit(FOLLOWED), x["e"]["relation"], F.lit(" relation to "), F.when(x["e"]["target_id"] != "", x["e"]["target_id"]).otherwise(x["name"])).alias("reason"),
+        ),
+    )
+    full = rows.join(F.broadcast(listed), "path").withColumn("edges", pairs)
+    chain = F.array_join(F.transform("edges", lambda e: e["relation"]), " -> ")
+    why = F.when(F.size("edges") > 0, F.concat("path", F.lit(REACHED), chain, F.lit("; "), F.get("reasons", F.lit(0)))).otherwise(F.concat("path", F.lit(IS_START), F.get("reasons", F.lit(0))))
+    start = F.get(step, F.lit(0))
+    return full.select(
+        F.row_number().over(Window.orderBy("at")).alias("rank"), F.col("path").alias("target"), F.round("score", 3).alias("score"), "distance",
+        F.array_join(F.transform(step, lambda x: x["name"]), " > ").alias("trail"), "edges", _start_reason(start["name"], start["its_role"], tokens).alias("start_reason"),
+        why.alias("why_this_path"), "reasons",
+    )

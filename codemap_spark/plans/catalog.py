@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import context, evaluation, listing, memory, ranking, relations, sessions, stats, store, tracing
-from ..sources import corpus as C, repository
-from . import samples
+from ..operators import bucket_store, context, evaluation, listing, memory, ranking, relations, sessions, stats, store, term_index, tracing
+from ..sources import corpus as C
+from ..sources.shared import shared_root, stage
 
 QUERY = "red widget"
 TOKENS = ["red", "widget"]
@@ -230,6 +232,51 @@ def refresh_diff(s, d):
     return relations.refresh_diff(_before(s, d), C.files(s, d, content=True).select("path", "sha256"))
 
 
+def _earlier(s, d):
+    """Files and symbols as they were: a tenth under other paths, a tenth with
+    another role and other names."""
+    files, symbols = C.files(s, d), C.symbols(s, d)
+    fresh = F.col("id") % 10 == 0
+    old_files = files.select(
+        F.when(fresh, -F.col("id") - 1).otherwise(F.col("id")).alias("id"), F.when(fresh, F.concat(F.lit("removed/"), "path")).otherwise(F.col("path")).alias("path"), "language",
+        F.when(F.col("id") % 10 == 1, "legacy page").otherwise(F.col("role")).alias("role"),
+    )
+    owner = F.when(F.col("file_id") % 10 == 0, -F.col("file_id") - 1).otherwise(F.col("file_id"))
+    name = F.when(F.col("file_id") % 10 == 1, F.concat(F.lit("former_"), "name")).otherwise(F.col("name"))
+    return old_files, symbols.select("id", owner.alias("file_id"), name.alias("name"))
+
+
+def refresh_term_stats(s, d):
+    """Term statistics after a refresh: the stored counts of the earlier state
+    with the difference that its changed files and a quarter of new commits make."""
+    files, symbols, commits = C.files(s, d), C.symbols(s, d), C.commits(s, d)
+    old_files, old_symbols = _earlier(s, d)
+    fresh = F.col("id") % 4 == 0
+    before = term_index.source_documents(old_files, old_symbols, commits.where(~fresh))
+    counts, sizes = stage(term_index.counts(before), "stored-terms"), stage(term_index.sizes(before), "stored-term-sizes")
+    touched = stage(refresh_diff(s, d).where("change <> 'unchanged'").select("path"), "touched-paths")
+
+    def of(files, symbols, commits=None):
+        own = files.join(touched, "path", "left_semi")
+        return term_index.source_documents(own, symbols.join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi"), commits)
+
+    change, size_change = term_index.delta(of(old_files, old_symbols), of(files, symbols, commits.where(fresh)))
+    return term_index.weighed(term_index.applied(counts, change), term_index.applied_sizes(sizes, size_change))
+
+
+def bucket_update(s, d):
+    """Two versions of the symbols in buckets: the second one rewrites those of
+    a tenth of the files."""
+    columns = "id long, file_id long, kind string, line int"
+    symbols = C.symbols(s, d).select("id", "file_id", "kind", F.col("line").cast("int").alias("line"))
+    kept = bucket_store.BucketStore(s, f"{shared_root(s)}/buckets-{uuid.uuid4().hex}", {"symbols": columns}, {"symbols": "file_id"}, buckets=64)
+    kept.commit([bucket_store.Change("symbols", symbols, lambda stored: symbols)])
+    touched = symbols.where("file_id % 10 = 7").select("file_id").distinct()
+    incoming = symbols.where("file_id % 10 = 7 AND line % 2 = 0").withColumn("kind", F.lit("moved"))
+    kept.commit([bucket_store.Change("symbols", touched, lambda stored: store.replace_children(stored, incoming, touched))])
+    return kept.read("symbols", 1).select(F.lit(1).alias("version"), "id", "kind").unionByName(kept.read("symbols").select(F.lit(2).alias("version"), "id", "kind"))
+
+
 def doctor_diff(s, d):
     return relations.index_health(_before(s, d).select("path"), C.paths(s, d).select("path"))
 
@@ -294,11 +341,15 @@ def include_edges(s, d):
     return tracing.resolved_edges(_includes(s, d), C.paths(s, d), C.symbols(s, d)).select("source", "target", "target_id", "confidence")
 
 
+def _include_steps(s, d):
+    return tracing.resolved_edges(_includes(s, d), C.paths(s, d), C.symbols(s, d))
+
+
 def trace_query(s, d):
     """The best files along include edges from the trace's starts."""
-    files = C.files(s, d, content=True)
-    edges = tracing.resolved_edges(_includes(s, d), C.paths(s, d), C.symbols(s, d))
-    return tracing.trace(edges, files, trace_starts(s, d), TRACE)
+    found = tracing.trace(_include_steps(s, d), C.files(s, d, content=True), trace_starts(s, d), TRACE)
+    step = F.transform("edges", lambda e: F.concat_ws(" ", e["from"], e["to"], e["relation"], e["confidence"].cast("string"), e["reason"]))
+    return found.withColumns({"edges": F.array_join(step, "; "), "reasons": F.array_join("reasons", "; ")})
 
 
 def _tasks(s, d):
@@ -336,12 +387,20 @@ def audit_counts(s, d):
     return sessions.audit_counts(_stale(s, d))
 
 
+def _traced(s, d):
+    """Paths along include edges from a tenth of the files that include others."""
+    edges = _include_steps(s, d)
+    nodes = C.relations(s, d).where("source_id % 10 = 1").select(F.col("source_id").alias("id")).distinct().join(C.paths(s, d), "id").select(F.col("id").alias("node"))
+    return tracing.best_paths(edges, nodes)
+
+
+def _ids(path):
+    return F.array_join(F.concat(F.array(F.col(f"{path}start")), F.transform(F.col(f"{path}edges"), lambda e: e["target"])), ">").alias("path")
+
+
 def trace_paths(s, d):
-    nation = C.table(s, d, "nation")
-    k = F.col("n_nationkey")
-    edges = nation.select(k.alias("source"), ((3 * k + 1) % 25).alias("target"), F.lit(1.0).alias("weight")).unionByName(nation.select(k.alias("source"), ((7 * k + 2) % 25).alias("target"), F.lit(2.0).alias("weight")))
-    edges = edges.where("source <> target").groupBy("source", "target").agg(F.max("weight").alias("weight"))
-    return ranking.simple_paths(edges, nation.where("n_regionkey = 0").select(k.alias("node")))
+    """The first shortest path from each start to every file in reach."""
+    return _traced(s, d).select("start", "target", "hops", _ids(""))
 
 
 def retrieval_cases(s, d):
@@ -493,8 +552,9 @@ def trace_scores(s, d):
 
 
 def trace_targets(s, d):
-    """Every node once, at the place of its first path."""
-    return ranking.dedupe_targets(trace_paths(s, d), "path").select("target", "position", "start", "hops", "path")
+    """Every file in reach once, by the first of its shortest paths."""
+    best = _traced(s, d).groupBy("target").agg(F.min(F.struct("hops", "start", "order", "edges")).alias("x"))
+    return best.select("target", "x.start", "x.hops", _ids("x."))
 
 
 def trace_profile(s, d):
@@ -556,28 +616,6 @@ def combined_tags(s, d):
     return listing.combined_tags(_tagged_notes(s, d), stats.file_tags(files, C.symbols(s, d)), files).select("path", F.array_join("tags", ",").alias("tags"))
 
 
-#: Which sample texts each extraction query reads.
-EXTRACTED = {
-    "extract_python": ["src/app/m@K@.py"], "extract_python_broken": ["src/app/broken@K@.py"], "extract_php": ["web/p@K@.php"], "extract_typescript": ["web/a@K@.ts"], "extract_go": ["cmd/m@K@.go"],
-    "extract_rust": ["src/m@K@.rs"], "extract_markdown": ["docs/README@K@.md"], "extract_settings": ["pkg@K@/package.json", "pkg@K@/pyproject.toml", "conf/c@K@.yml"],
-}
-
-
-def sample_files(s, d, paths):
-    """path, language, content: the sample texts of every part."""
-    key = F.col("p_partkey").cast("string")
-    each = F.explode(F.array(*[F.struct(F.replace(F.lit(p), F.lit("@K@"), key).alias("path"), F.replace(F.lit(samples.TEXTS[p]), F.lit("@K@"), key).alias("content")) for p in paths]))
-    return C.table(s, d, "part").select(each.alias("x")).select("x.path", T.language_of(F.col("x.path")).alias("language"), "x.content")
-
-
-def _extraction(name):
-    def query(s, d):
-        return repository.extracted(sample_files(s, d, EXTRACTED[name])).select("path", "what", "kind", "target_type", "name", "line", "confidence")
-
-    query.__name__ = name
-    return query
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -585,13 +623,13 @@ QUERIES = {
         term_stats_all, context_pack_path_role, context_pack_full, context_reasons, context_diagnostics, context_related_symbols, soft_match, feedback_signals, feedback_explain, cochanged_files, file_recent_commits,
         commits_left_join_files, callers_of_symbol, symbol_definitions, callers_for_file_symbols, relation_dedupe_max_confidence, path_suffix_index, edge_resolution,
         note_staleness, note_staleness_dashboard, memory_search, memory_topics, memory_audit, duplicate_topics, file_activity, subsystem_rollup, overview_first_reads,
-        estimate_tokens, read_sizes, refresh_diff, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, savings, session_events,
+        estimate_tokens, read_sizes, refresh_diff, refresh_term_stats, bucket_update, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, savings, session_events,
         context_calls, context_related_files, context_commits, resolved_calls, export_relations, export_commits, upsert_files, append_notes, replace_symbols, defines_edges,
         cascade_delete, upsert_meta, update_notes, delete_notes, clear_feedback, flow_topics, plan_activity, benchmark_summary, overview_entry_points, overview_manifests,
         trace_starts, trace_scores, trace_targets, trace_profile,
         list_feedback, list_notes, list_stale_notes, list_tasks, list_plans, focused_entry_points, supporting_files, table_counts, fallback_weights, note_tags, tag_scores, combined_tags,
     )
-} | {name: _extraction(name) for name in EXTRACTED}
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
-from . import samples
 
 
 def _list(values) -> str:
@@ -246,9 +245,6 @@ ORACLE_SQL = {
     ),
     "plan_histogram": _with(["items"], "SELECT CAST(rank AS INTEGER) AS rank, count(*) FILTER (event = 'useful') AS useful, count(*) FILTER (event = 'noisy') AS noisy FROM items WHERE event IN ('useful', 'noisy') GROUP BY rank"),
     "reading_plan_budget": _plus(_with(["items"], ""), _BUDGET, "SELECT plan_id, CAST(rank AS INTEGER) AS rank, path, read_priority, read_budget_rank FROM budget"),
-    "trace_paths": """WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM (SELECT n_nationkey AS source, (3 * n_nationkey + 1) % 25 AS target FROM nation UNION ALL SELECT n_nationkey, (7 * n_nationkey + 2) % 25 FROM nation) WHERE source <> target),
-        p AS (SELECT n_nationkey AS start, n_nationkey AS target, [n_nationkey] AS path FROM nation WHERE n_regionkey = 0 UNION ALL SELECT start, e.target, list_append(path, e.target) FROM p JOIN e ON e.source = p.target WHERE NOT list_contains(path, e.target) AND len(path) <= 4)
-        SELECT start, target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p""",
     "retrieval_eval": _with(
         ["feedback"],
         """, cases AS (SELECT query AS name, list_sort(list_distinct(list(path)))[:3] AS expected FROM feedback WHERE rating = 'useful' GROUP BY query),
@@ -305,7 +301,6 @@ _ENTRIES = f"""picked AS (SELECT path, psymbols.name, kind, line, 0 AS late FROM
     judged AS (SELECT once.*, depth, CASE WHEN kind = 'project_script' THEN 0 WHEN project.name IN ({_list(L.ENTRY_FILES)}) THEN 1 WHEN project.name = '__init__.py' AND depth - CASE WHEN starts_with(path, 'src/') THEN 1 ELSE 0 END <= 4 AND list_has_any(string_split(path, '/'), [{_list(L.FRAMEWORK_PARTS)}]) THEN 2
         WHEN kind = 'route' THEN 3 WHEN kind = 'package_script' THEN 4 ELSE 5 END AS priority FROM once JOIN project USING (path))"""
 _GONE = "gone AS (SELECT id, path FROM files WHERE id % 5 = 0), tags AS (SELECT DISTINCT file_id, source, tag FROM tag_rows)"
-_TRACE_PATHS = ORACLE_SQL["trace_paths"].rsplit("SELECT start, target", 1)[0].rstrip()
 
 ORACLE_SQL |= {
     "term_stats_all": _plus(
@@ -444,8 +439,6 @@ ORACLE_SQL |= {
           + CASE WHEN regexp_matches(body, '\\b(handle|process|dispatch|orchestrat|route|persist|create)_?[a-z_]*\\b') THEN 0.75 ELSE 0.0 END + CASE WHEN regexp_matches(body, '<h[1-6]\\b|echo\\s+[''"]<|<main\\b|<title\\b|render\\(|template') THEN 2.0 ELSE 0.0 END), 6) AS DOUBLE) AS score
         FROM (SELECT id, path, lower(path) AS low, coalesce(lower(content), '') AS body, list_last(string_split(lower(path), '/')) AS base FROM content)""",
     ),
-    "trace_targets": _TRACE_PATHS + """, q AS (SELECT start, target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p), f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops = 0, path) AS k, min(path) OVER (PARTITION BY target) AS position FROM q)
-        SELECT target, position, start, hops, path FROM f WHERE k = 1""",
     "trace_profile": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'entrypoint_render' WHEN 1 THEN 'test_trace' ELSE 'entrypoint_trace' END AS profile FROM orders",
 }
 
@@ -534,10 +527,81 @@ ORACLE_SQL["read_sizes"] = _plus(
     "SELECT section, count(*) AS files, CAST(sum(n) AS BIGINT) AS characters, CAST(ceil(sum(n) / 4) AS BIGINT) AS tokens FROM sections GROUP BY section",
 )
 
-ORACLE_SQL |= {
-    name: samples.sql(paths)
-    for name, paths in {
-        "extract_python": ["src/app/m@K@.py"], "extract_python_broken": ["src/app/broken@K@.py"], "extract_php": ["web/p@K@.php"], "extract_typescript": ["web/a@K@.ts"], "extract_go": ["cmd/m@K@.go"],
-        "extract_rust": ["src/m@K@.rs"], "extract_markdown": ["docs/README@K@.md"], "extract_settings": ["pkg@K@/package.json", "pkg@K@/pyproject.toml", "conf/c@K@.yml"],
-    }.items()
-}
+#: Counts that follow a change are those of a full recount.
+ORACLE_SQL["refresh_term_stats"] = ORACLE_SQL["term_stats_all"]
+ORACLE_SQL["bucket_update"] = _with(
+    ["symbols"],
+    """, altered AS (
+        SELECT id, kind FROM symbols WHERE file_id % 10 <> 7
+        UNION ALL SELECT id, 'moved' FROM symbols WHERE file_id % 10 = 7 AND line % 2 = 0)
+    SELECT 1 AS version, id, kind FROM symbols UNION ALL SELECT 2, id, kind FROM altered""",
+)
+
+#: Every simple path of at most four steps, then the first of each pair: the search itself keeps only the first.
+_SIMPLE = """steps AS (
+        SELECT relations.id, source_id AS source, t.id AS target, confidence, (CASE WHEN relations.id % 2 = 0 THEN '/' ELSE '' END) || target_id AS said
+        FROM relations JOIN paths s ON s.id = source_id JOIN paths t ON t.path = target_id WHERE relation = 'includes' AND source_id <> t.id),
+    few AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY 4 + confidence DESC, id, target) AS k FROM steps QUALIFY k <= 25),
+    strong AS (SELECT source, target, k, said, confidence FROM few QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY k) = 1),
+    simple AS (
+        SELECT node AS start, node AS target, [node] AS ids, CAST([] AS BIGINT[]) AS ord, CAST([] AS VARCHAR[]) AS said, CAST([] AS DOUBLE[]) AS sure FROM nodes
+        UNION ALL
+        SELECT p.start, e.target, list_append(p.ids, e.target), list_append(p.ord, e.k), list_append(p.said, e.said), list_append(p.sure, e.confidence)
+        FROM simple p JOIN strong e ON e.source = p.target WHERE NOT list_contains(p.ids, e.target) AND len(p.ids) <= 4),
+    firsts AS (SELECT * FROM simple QUALIFY row_number() OVER (PARTITION BY start, target ORDER BY len(ids), ord) = 1)"""
+_NODES = "nodes AS (SELECT DISTINCT source_id AS node FROM relations JOIN paths ON paths.id = source_id WHERE source_id % 10 = 1)"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE_SQL["trace_paths"] = _recursive(
+    _plus(
+        _with(["relations"], ""), _NODES + ", " + _SIMPLE,
+        "SELECT start, target, CAST(len(ids) - 1 AS INTEGER) AS hops, array_to_string(ids, '>') AS path FROM firsts",
+    )
+)
+ORACLE_SQL["trace_targets"] = _recursive(
+    _plus(
+        _with(["relations"], ""), _NODES + ", " + _SIMPLE,
+        "SELECT target, start, CAST(len(ids) - 1 AS INTEGER) AS hops, array_to_string(ids, '>') AS path FROM firsts QUALIFY row_number() OVER (PARTITION BY target ORDER BY len(ids), start, ord) = 1",
+    )
+)
+_TRACE_SCORED = ORACLE_SQL["trace_scores"].rsplit("SELECT path, CAST", 1)[1].replace("id % 12", "distance").replace("FROM content)", "FROM at_distance)").replace("SELECT id, path,", "SELECT id, path, distance,")
+_SORTED_TRACE = sorted(set(_TRACE))
+_WHY = ", ".join(
+    [
+        "'reachable from start at distance ' || distance",
+        *[
+            f"""CASE WHEN contains(lower(path), '{t}') THEN 'path contains "{t}"' END,
+            CASE WHEN contains(lower(content), '{t}') THEN 'content contains "{t}"' WHEN contains(list_last(string_split(lower(path), '/')), '{t}') THEN 'filename contains "{t}"' END"""
+            for t in _SORTED_TRACE
+        ],
+        r"""CASE WHEN regexp_matches(lower(content), '<h[1-6]\b|echo\s+[''"]<|<main\b|<title\b|render\(|template') THEN 'emits HTML/render markup' END""",
+    ]
+)
+_PLACE = "len(ids), place, ord"
+ORACLE_SQL["trace_query"] = _recursive(
+    _plus(
+        _with(["content", "relations", "project"], ""),
+        f"""begun AS ({ORACLE_SQL["trace_starts"]}), nodes AS (SELECT CAST(id AS BIGINT) AS node FROM begun), {_SIMPLE},
+        at_distance AS (SELECT DISTINCT content.id, content.path, content, len(ids) - 1 AS distance FROM simple JOIN content ON content.id = target),
+        scored AS (SELECT id, distance, CAST{_TRACE_SCORED}),
+        judged AS (SELECT simple.*, place, score, distance, row_number() OVER (ORDER BY score DESC, place, len(ids), ord) AS pos
+            FROM simple JOIN scored ON scored.id = target AND distance = len(ids) - 1 JOIN begun ON begun.id = start WHERE score > 0),
+        chosen AS (SELECT *, min(pos) OVER (PARTITION BY target) AS spot FROM judged QUALIFY row_number() OVER (PARTITION BY target ORDER BY distance = 0, pos) = 1),
+        top AS (SELECT *, row_number() OVER (ORDER BY spot) AS rank FROM chosen ORDER BY spot LIMIT 10),
+        steps_of AS (SELECT rank, generate_subscripts(ids, 1) AS i, unnest(ids) AS id FROM top),
+        names AS (SELECT rank, list(path ORDER BY i) AS names FROM steps_of JOIN paths USING (id) GROUP BY rank),
+        told AS (SELECT rank, list_filter([{_WHY}], lambda x: x IS NOT NULL)[1:8] AS reasons FROM top JOIN content ON content.id = target),
+        began AS (SELECT rank, content.path, role, list_filter([{", ".join(f"CASE WHEN contains(lower(path), '{t}') THEN '{t}' END" for t in _SORTED_TRACE)}], lambda x: x IS NOT NULL) AS found FROM top JOIN content ON content.id = start)""",
+        """SELECT CAST(rank AS INTEGER) AS rank, names[-1] AS target, round(score, 3) AS score, CAST(distance AS INTEGER) AS distance, array_to_string(names, ' > ') AS trail,
+            coalesce(array_to_string(list_transform(range(1, len(names)), lambda i: names[i] || ' ' || names[i + 1] || ' include ' || round(sure[i], 3) || ' followed include relation to ' || said[i]), '; '), '') AS edges,
+            CASE WHEN len(found) > 0 THEN 'query matched path tokens: ' || array_to_string(found[1:4], ', ') WHEN role = 'route' THEN 'route file selected as likely runtime start'
+                 ELSE list_last(string_split(path, '/')) || ' selected as likely entrypoint/start file' END AS start_reason,
+            CASE WHEN distance > 0 THEN names[-1] || ' is reachable through ' || array_to_string(list_transform(said, lambda x: 'include'), ' -> ') || '; ' || reasons[1] ELSE names[-1] || ' is a start file; ' || reasons[1] END AS why_this_path,
+            array_to_string(reasons, '; ') AS reasons
+        FROM top JOIN names USING (rank) JOIN told USING (rank) JOIN began USING (rank)""",
+    )
+)

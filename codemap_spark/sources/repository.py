@@ -1,5 +1,4 @@
-"""Repository files as a table, and the symbols and relations in them (SRC1 to
-SRC8, EX1 to EX12)."""
+"""Repository files as a table, and its commits (SRC1 to SRC8)."""
 
 from __future__ import annotations
 
@@ -14,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L, text as T
-from . import extraction
 
 MAX_BYTES, PROBED = 2_000_000, 4096
 
@@ -97,22 +95,6 @@ def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> Da
     return out.select("path", T.language_of(F.col("path")).alias("language"), T.role_of(F.col("path")).alias("role"), "size", T.extension(F.col("path")).alias("extension"), "modified", "sha256", "content")
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """path, what (symbol or relation), kind, target_type, name, line,
-    confidence, signature of all files (path, language, content).
-
-    One map over the files; a file is read by one task, however long."""
-    schema = "path string, what string, kind string, target_type string, name string, line int, confidence double, signature string"
-    types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string())
-
-    def run(batches):
-        for batch in batches:
-            rows = [(p, *r) for p, g, c in zip(*(batch.column(k).to_pylist() for k in ("path", "language", "content")), strict=True) for r in extraction.extract(c, g, p or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["path", *extraction.Row._fields])
-
-    return files.select("path", "language", "content").mapInArrow(run, schema)
-
-
 def git_log(spark: SparkSession, root: str, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """SRC7: (commits, commit_files) of the newest ``limit`` commits, from one
     process; both empty outside a repository or without a commit."""

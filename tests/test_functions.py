@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codemap_spark.functions import text as T
 from codemap_spark.operators import memory
-from codemap_spark.sources import repository
+from codemap_spark.sources import line_rules, repository
 
 
 def one(spark, column, **values):
@@ -47,15 +47,15 @@ def test_tokenizer_against_re(text):
     assert [m.lower() for m in re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", cut)] == want
 
 
-def test_extraction(spark, tmp_path):
-    (tmp_path / "a.py").write_text("import os\nclass A:\n    def b(self):\n        return helper()\n")
-    (tmp_path / "r.md").write_text("# Title\n```\n# no\n```\n")
-    (tmp_path / "x.js").write_text("import y from 'z'\nfunction f() {}\n")
+def test_rules_over_lines(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import os\nclass A:\n    def b(self):\n        return helper(one(1))\n")
+    (tmp_path / "r.md").write_text("# Title\r\ntext\n")
     (tmp_path / "node_modules").mkdir()
-    (tmp_path / "node_modules" / "n.js").write_text("function g() {}")
-    files = repository.scan(spark, str(tmp_path))
-    rows = {(r.path, r.kind, r["name"], r.line) for r in repository.extracted(files).collect()}
-    assert rows == {("a.py", "imports", "os", 1), ("a.py", "class", "A", 2), ("a.py", "method", "b", 3), ("a.py", "calls", "helper", 4), ("r.md", "heading", "Title", 1), ("x.js", "imports", "z", 1), ("x.js", "function", "f", 2)}
+    (tmp_path / "node_modules" / "n.py").write_text("import no")
+    (tmp_path / "b.bin").write_bytes(b"\0")
+    rules = [line_rules.Rule("python", "relation", "imports", r"^import (\w+)", "module", 0.9), line_rules.Rule("python", "symbol", "class", r"^class (\w+)"), line_rules.Rule("python", "relation", "calls", r"(\w+)\((?!self)", "symbol_name", 0.5), line_rules.Rule("markdown", "symbol", "heading", r"^# (.+)$")]
+    rows = {(r.path, r.kind, r["name"], r.line, r.signature) for r in line_rules.extracted(repository.scan(spark, str(tmp_path)), rules).collect()}
+    assert rows == {("a.py", "imports", "os", 1, None), ("a.py", "class", "A", 2, "class A:"), ("a.py", "calls", "helper", 4, None), ("a.py", "calls", "one", 4, None), ("r.md", "heading", "Title", 1, "# Title")}
 
 
 def test_stream_counts_like_the_batch(spark, tmp_path):

@@ -1,5 +1,8 @@
 """Edges, traces, tasks and sessions on small projects worked out by hand."""
 
+import collections
+import random
+
 import pytest
 
 from codemap_spark.operators import sessions, tracing
@@ -22,16 +25,54 @@ def test_edges_and_trace(spark):
         (4, 5, "imports", "app.core.util"), (4, 6, "imports", "app.core"), (4, 7, "imports", "tool"), (4, 12, "route_to_handler", "show"),
         (8, 9, "imports", "./views"), (9, 8, "imports", "../side"), (12, 10, "renders_template", "shop/item.html"), (12, 11, "renders_template", "deep/page.html"), (5, 2, "calls", "helper"),
     }
-    weights = {(r.source, r.target): round(r.weight, 2) for r in tracing.weighted(tracing.resolved_edges(relations, files, symbols)).collect()}
-    assert weights[1, 3] == 4.8 and weights[4, 5] == 2.75 and weights[4, 12] == 1.8
+    strong = {(r.source, r.target): (r.place, r.relation) for r in tracing.strongest(tracing.resolved_edges(relations, files, symbols)).collect()}
+    assert strong[1, 3] == (1, "include") and strong[1, 2][1] == "calls" and strong[4, 5] == (1, "imports") and strong[4, 12] == (4, "route_to_handler")
     starts = spark.createDataFrame([(4, "app/main.py", 1)], "id long, path string, place int")
     rows = tracing.trace(tracing.resolved_edges(relations, files, symbols), files, starts, ["page", "widget"], max_depth=4).collect()
     # page is in the path (4) and the text (2), widget in the text (2), three steps away 3 - 2 x 0.35, markup by the path's text 2
-    assert rows[0].target == "x/templates/deep/page.html" and rows[0].distance == 2 and rows[0].trail == "4>12>11"
+    first = rows[0]
+    assert (first.target, first.distance, first.trail) == ("x/templates/deep/page.html", 2, "app/main.py > app/show.py > x/templates/deep/page.html")
+    assert [tuple(e) for e in first.edges] == [("app/main.py", "app/show.py", "route_to_handler", 0.8, "followed route_to_handler relation to show"), ("app/show.py", "x/templates/deep/page.html", "renders_template", 0.7, "followed renders_template relation to deep/page.html")]
+    assert first.start_reason == "main.py selected as likely entrypoint/start file" and first.why_this_path == "x/templates/deep/page.html is reachable through route_to_handler -> renders_template; reachable from start at distance 2"
+    assert first.reasons == ["reachable from start at distance 2", 'path contains "page"', 'content contains "page"', 'content contains "widget"', "emits HTML/render markup"]
     assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and len({r.target for r in rows}) == len(rows)
     assert {r.target for r in rows} == {"app/main.py", "app/core/util.py", "app/core/__init__.py", "src/tool.py", "app/show.py", "web/lib/db.php", "shop/templates/shop/item.html", "x/templates/deep/page.html"}
 
 
+def test_best_paths_equal_the_enumeration(spark):
+    """Against every simple path, searched breadth-first as a plain queue, on graphs with equal weights, double edges and circles."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, rng.randrange(14), rng.randrange(14), rng.choice(["include", "imports", "calls"]), "x", rng.choice([0.0, 0.5, 0.75, None])) for i in range(60)]
+        edges = spark.createDataFrame([r for r in rows if r[1] != r[2]], "id long, source long, target long, relation string, target_id string, confidence double")
+        base = {"include": 4.0, "imports": 2.0, "calls": 1.0}
+        out = {}
+        for i, a, b, relation, _, sure in sorted((r for r in rows if r[1] != r[2]), key=lambda r: (-(base[r[3]] + (r[5] or 0.0)), r[0], r[2])):
+            out.setdefault(a, []).append((b, relation))
+        out = {a: e[:3] for a, e in out.items()}
+        want = {}
+        for start in (0, 5):
+            queue = collections.deque([[start]])
+            while queue:
+                path = queue.popleft()
+                want.setdefault((start, path[-1]), path)
+                if len(path) <= 4:
+                    queue.extend([*path, b] for b, _ in out.get(path[-1], []) if b not in path)
+        found = {(r.start, r.target): [r.start, *[e.target for e in r.edges]] for r in tracing.best_paths(edges, spark.createDataFrame([(0,), (5,)], "node long"), 4, 3).collect()}
+        assert found == want
+
+
+def test_start_that_others_reach(spark):
+    """A start stands at its own place, with the path that has edges; a file that scores nothing is left out."""
+    files = spark.createDataFrame([(1, "a.py", "source", "word"), (2, "b.py", "source", "word word"), (3, "c.css", "asset", "")], "id long, path string, role string, content string")
+    edges = spark.createDataFrame([(1, 1, 2, "include", "b.py", 0.5), (2, 1, 3, "include", "c.css", 0.5)], "id long, source long, target long, relation string, target_id string, confidence double")
+    starts = spark.createDataFrame([(2, 1), (1, 2)], "id long, place int")
+    rows = tracing.trace(edges, files, starts, ["word"]).collect()
+    assert [(r.rank, r.target, r.distance, r.score, r.trail) for r in rows] == [(1, "b.py", 1, 4.65, "a.py > b.py"), (2, "a.py", 0, 5.0, "a.py")]
+    assert rows[1].why_this_path == "a.py is a start file; reachable from start at distance 0" and rows[1].edges == []
+    assert tracing.trace(edges, files, starts.limit(0), ["word"]).count() == 0
+
+
 def test_include_beside_the_file(spark):
     files = spark.createDataFrame([(1, "a/b/c.php"), (2, "a/b/d/e.php"), (3, "a/b/f.php")], "id long, path string")
     symbols = spark.createDataFrame([], "id long, file_id long, name string")
