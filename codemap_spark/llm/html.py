@@ -7,10 +7,12 @@ of the ratios' standard deviation) form the content clusters.  The innermost
 container that holds nearly all of the clusters' text is the content region;
 inside it the clustered lines stay, and short lines of the same container.
 
-Tags that say what they are (menus, footers, forms, scripts, ...) and hidden
-elements are left out where they are closed; one that is never closed leaves
-nothing out, and ratios decide.  Class and id names only lower the level of
-their lines, and so do links.
+Tags that say what they are (menus, footers, scripts, ...) and hidden elements
+are left out where they are closed; one that is never closed leaves nothing
+out, and ratios decide.  A form is left out unless it holds most of the
+clusters' text, as one around a whole page does.  Class and id names, and links
+outside of articles, lower the level of their lines, which the threshold then
+passes or not.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ INLINE = frozenset(
 #: Elements that never hold running text, closed or not.
 NEVER = frozenset("script style noscript template svg math iframe object select option textarea canvas audio video title".split())
 #: Elements that name another part of the page than its article.
-DROPPED = frozenset("nav header footer aside form button dialog menu".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+DROPPED = frozenset("nav header footer aside button dialog menu".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 #: Elements that may be the content region.
 CONTAINERS = frozenset("html body article main section div center table tbody tr td".split())
@@ -47,29 +49,37 @@ PARTS = frozenset(
     "area articles bar block bottom box button buttons container content field form global group head icons inner item items left link links list main message outer page panel post posts primary reader "
     "right row secondary section site slot stories text thread top unit user view visitor wrap wrapper".split()
 )
+#: Names written as one word, such as commentlist.
+JOINED = frozenset(x for h in HINTS if len(h) > 2 for p in PARTS for x in (h + p, p + h)) - PARTS
+#: Inside an article these may name its own matter; lines are lowered to MILD there.
+AMBIGUOUS = frozenset("banner footer header login menu menus navigation notice notices pager pagination replies respond search social toolbar widget widgets".split())
+#: Elements of running text, whose names say nothing about the page's parts.
+UNNAMED = frozenset("html body blockquote figure figcaption h1 h2 h3 h4 h5 h6 p pre dd dt dl".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"(?i)(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 CLOSED_BLOCKS_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
-#: What a hint or a link leaves of a line's level.
-LOWERED = 0.05
+#: What a hint, a hint that may mean an article's own matter, and a link leave of a line's level.
+LOWERED, MILD, LINKED = 0.002, 0.5, 0.05
 #: Share of the clustered text that the content region holds, and that a
 #: container holds among its own lines for its other lines to stay.
 REGION_SHARE, LINE_SHARE = 0.85, 0.5
 
 
 @lru_cache(maxsize=65_536)
-def hinted(names: str, in_article: bool) -> bool:
-    """Whether a class or id attribute names another part than the article; the
-    header of an article is a part of it."""
+def hinted(names: str, in_article: bool) -> float:
+    """What a class or id attribute leaves of the level of its lines: less than
+    1 if it names another part than the article."""
+    left = 1.0
     for name in names.split():
         words = {w.lower() for w in WORD.findall(name)}
         if in_article:
             words -= {"header"}
-        if words & HINTS and words <= HINTS | PARTS:
-            return True
-    return False
+        hints = words & HINTS | words & JOINED
+        if hints and words <= HINTS | PARTS | JOINED:
+            left = min(left, MILD if in_article and hints <= AMBIGUOUS else LOWERED)
+    return left
 
 
 class Lines(HTMLParser):
@@ -83,8 +93,8 @@ class Lines(HTMLParser):
         self.linked: list[int] = []
         self.element: list[int] = []
         self.heading: list[bool] = []
-        # of every block element: parent, tag, left out if closed, lowered, closed
-        self.parent, self.tag, self.left_out, self.lowered, self.closed = [0], ["html"], [False], [False], [False]
+        # of every block element: parent, tag, left out if closed, what its names leave of levels, closed, in an article
+        self.parent, self.tag, self.left_out, self.named, self.closed, self.in_article = [0], ["html"], [False], [1.0], [False], [False]
         self.open: list[tuple[str, int, bool]] = []  # tag, element, in an article or main
         self.parts: list[str] = []
         self.count = self.links = self.in_link = self.never = 0
@@ -125,19 +135,20 @@ class Lines(HTMLParser):
         element, in_article = self._top()
         in_article = in_article or tag in ("article", "main")
         left_out = tag in NEVER or tag in DROPPED and not (tag == "header" and in_article) or tag == "head"
-        lowered = False
+        named = 1.0
         if tag not in ("html", "body"):
             for name, value in attrs:
                 if name == "hidden" or value and (name == "role" and value.strip().lower() in DROPPED_ROLES or name == "style" and HIDDEN.search(value)):
                     left_out = True
-                elif value and name in ("class", "id"):
-                    lowered = lowered or hinted(value, in_article)
+                elif value and name in ("class", "id") and tag not in UNNAMED:
+                    named = min(named, hinted(value, in_article))
         self.never += tag in NEVER
         self.parent.append(element)
         self.tag.append(tag)
         self.left_out.append(left_out)
-        self.lowered.append(lowered)
+        self.named.append(named)
         self.closed.append(tag in NEVER)
+        self.in_article.append(in_article)
         self.open.append((tag, len(self.parent) - 1, in_article))
 
     def _close_implied(self, tag: str) -> None:
@@ -207,37 +218,49 @@ def extract(html: str | None, radius: int = 2, sigma: float = 1.0, share: float
     page.feed(html)
     page.finish()
     elements = len(page.parent)
-    # what is left out or lowered goes down the tree; elements come after their parents
-    out, low = [False] * elements, [False] * elements
+    # what is left out or named goes down the tree; elements come after their parents
+    out, named = [False] * elements, [1.0] * elements
     for e in range(elements):
         up = page.parent[e]
         out[e] = out[up] or page.left_out[e] and page.closed[e]
-        low[e] = low[up] or page.lowered[e]
-    lines = [i for i, e in enumerate(page.element) if not out[e]]
-    if not lines:
-        return ""
-    element = [page.element[i] for i in lines]
-    length = np.array([len(page.text[i]) for i in lines], float)
-    ratio = length / np.maximum(1, np.array([page.tags[i] for i in lines], float))
-    linked = np.minimum(1, np.array([page.linked[i] for i in lines]) / length)
-    weight = (1 - (1 - LOWERED) * linked) * np.where([low[e] for e in element], LOWERED, 1)
-    smoothed = smooth(ratio, radius, sigma)
-    level = smoothed * weight
-    # a lowered line is never above LOWERED of the page's highest level, unless all lines are lowered
-    content = (level >= min(share * ratio.std(), level.max())) & (level > LOWERED * smoothed.max() * weight.max())
-
-    # text of the clusters and of all lines, by element and what it holds
-    mass, own_mass, own_text = [0.0] * elements, [0.0] * elements, [0.0] * elements
+        named[e] = min(named[up], page.named[e])
     container = list(range(elements))
     for e in range(1, elements):
         if page.tag[e] not in CONTAINERS:
             container[e] = container[page.parent[e]]
+    forms = [e for e in range(elements) if page.tag[e] == "form" and page.closed[e] and not out[e]]
+    while True:
+        lines = [i for i, e in enumerate(page.element) if not out[e]]
+        if not lines:
+            return ""
+        element = [page.element[i] for i in lines]
+        length = np.array([len(page.text[i]) for i in lines], float)
+        ratio = length / np.maximum(1, np.array([page.tags[i] for i in lines], float))
+        linked = np.minimum(1, np.array([page.linked[i] for i in lines]) / length)
+        linked[[page.in_article[e] for e in element]] = 0
+        weight = (1 - (1 - LINKED) * linked) * np.array([named[e] for e in element])
+        smoothed = smooth(ratio, radius, sigma)
+        level = smoothed * weight
+        content = level >= min(share * ratio.std(), level.max())
+        # text of the clusters, by element and all that it holds
+        mass = [0.0] * elements
+        for e, n, on in zip(element, length.tolist(), content.tolist(), strict=True):
+            mass[e] += n * on
+        for e in range(elements - 1, 0, -1):
+            mass[page.parent[e]] += mass[e]
+        aside = [e for e in forms if mass[e] < LINE_SHARE * mass[0]]
+        if not aside:
+            break
+        forms = [e for e in forms if e not in aside]
+        for e in aside:
+            out[e] = True
+        for e in range(1, elements):
+            out[e] = out[e] or out[page.parent[e]]
+
+    own_mass, own_text = [0.0] * elements, [0.0] * elements
     for e, n, on in zip(element, length.tolist(), content.tolist(), strict=True):
-        mass[e] += n * on
         own_mass[container[e]] += n * on
         own_text[container[e]] += n
-    for e in range(elements - 1, 0, -1):
-        mass[page.parent[e]] += mass[e]
     inner: dict[int, int] = {}  # the container of most text inside each
     for e in range(1, elements):
         up = container[page.parent[e]]
@@ -250,12 +273,12 @@ def extract(html: str | None, radius: int = 2, sigma: float = 1.0, share: float
     for e in range(elements):
         inside[e] = e == region or inside[page.parent[e]]
     kept = [
-        inside[e] and (on or w > 0.5 and own_mass[container[e]] >= LINE_SHARE * own_text[container[e]] or page.heading[i] and not low[e])
+        inside[e] and (on or w > 0.5 and own_mass[container[e]] >= LINE_SHARE * own_text[container[e]] or page.heading[i] and named[e] == 1)
         for i, e, on, w in zip(lines, element, content.tolist(), weight.tolist(), strict=True)
     ]
     # a headline may stand just before the region
     if any(kept) and not any(k and page.heading[i] for k, i in zip(kept, lines, strict=True)):
-        before = [k for k in range(kept.index(True)) if page.heading[lines[k]] and not low[element[k]]]
+        before = [k for k in range(kept.index(True)) if page.heading[lines[k]] and named[element[k]] == 1]
         if before:
             kept[before[-1]] = True
     return " ".join(page.text[i] for i, k in zip(lines, kept, strict=True) if k)

@@ -1,5 +1,6 @@
 """Main text of pages: what stays, what goes, and that the ratios decide it."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -33,6 +34,16 @@ LINKS = "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(12))
         (f"<body><div class='site-header'>The Site</div><div id='topNav'><ul>{LINKS}</ul></div><div class='text'><h1>Head</h1><p>{A}</p><p>{B}</p></div><div class='comments-area'><p>{C}</p><p>{C}</p></div></body>", f"Head {A} {B}"),
         (f"<body><article><h1>Head</h1><p>{A}</p><div class='ad-slot'>Buy this now, it is cheap and good.</div><p>{B}</p><section class='comments'><article class='comment'><p>{C}</p></article></section></article></body>", f"Head {A} {B}"),
         (f"<body><div role='banner'>The Site</div><div><p>{A}</p><p>{B}</p></div><div role='contentinfo'>Imprint</div></body>", f"{A} {B}"),
+        # a form around the whole page is no form to leave out; one in it is
+        (f"<body><form action='/p'><nav><ul>{LINKS}</ul></nav><div><h1>Head</h1><p>{A}</p><p>{B}</p></div><div>Mail <input name='m'> <button>Send</button></div></form></body>", f"Head {A} {B}"),
+        (f"<body><div><h1>Head</h1><p>{A}</p><p>{B}</p><form><p>{C}</p><label>Name</label><input></form></div></body>", f"Head {A} {B}"),
+        # links inside an article are its own matter, outside they aren't
+        (f"<body><nav><ul>{LINKS}</ul></nav><article><h1>Head</h1><p>{A}</p><p><a href='/x'>{B}</a></p><h2>Sources</h2><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></article></body>", f"Head {A} {B} Sources One Two"),
+        (f"<body><div><ul>{LINKS}</ul></div><div><h1>Head</h1><p>{A}</p><p>{B}</p></div></body>", f"Head {A} {B}"),
+        # names that may mean an article's own matter, and elements whose names say nothing
+        (f"<body><article><p>{A}</p><blockquote class='reply'><p>{C}</p></blockquote><section id='search'><h2>Search</h2><p>{B}</p></section></article></body>", f"{A} {C} Search {B}"),
+        # names of two words written as one
+        (f"<body><div class='text'><h1>Head</h1><p>{A}</p><p>{B}</p></div><ol class='commentlist'><li><p>{C}</p></li><li><p>{C}</p></li></ol></body>", f"Head {A} {B}"),
         # short article beside an advert
         ("<body><div class='ad'>An advert that is longer than the article.</div><article><h1>Head</h1><p>Short.</p></article></body>", "Head Short."),
         # markup, character references and white space
@@ -54,6 +65,22 @@ def test_ratios_decide(monkeypatch):
     assert html.extract(page) != f"Head {A} {B} {A}"
 
 
+def test_levels_decide_on_given_pages(monkeypatch):
+    """On the test tables' own pages: with one ratio for all lines others stay."""
+    found = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()
+    want = [html.extract(page) for (page,) in found]
+    real = html.Lines._end_line
+
+    def one_ratio(self):
+        before = len(self.text)
+        real(self)
+        if len(self.text) > before:
+            self.tags[-1] = len(self.text[-1])
+
+    monkeypatch.setattr(html.Lines, "_end_line", one_ratio)
+    assert sum(html.extract(page) != w for (page,), w in zip(found, want, strict=True)) > 0
+
+
 def test_deep_and_long_pages():
     assert html.extract("<div>" * 50_000 + f"<p>{A}</p>") == A
     long = "".join(f"<p>{A} {i}</p>" for i in range(20_000))
