@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import join_counted, materialise
+from .common import discard, join_counted, materialise
 
 #: The base patterns, in the order that breaks ties of a start.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +31,7 @@ SIGNED = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 PRIVATE = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
     r"(?:(?>(?s:.*?)-----)END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:\s*+(?:Proc-Type|DEK-Info): [^\r\n]*+){0,2}+(?:[\s\\\"',>|#*]*+[A-Za-z0-9+/=]{16,}+){0,1000}+(?:\r?\n[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}(?=[ \t\r]*+(?:\n|\z)))?)"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info): [^\r\n]*+){0,2}+(?:[\s\\\"',>|#*]*+[A-Za-z0-9+/=]{16,}+)*+(?:\r?\n[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}(?=[ \t\r]*+(?:\n|\z)))?)"
 )
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+"
 #: kind, pattern, group of the value, least length of that group.
@@ -68,7 +68,8 @@ def _found(text: Column, order: int) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """A row per candidate span, and one per document with none: row, id, kind
-    (null if none), start, end, value, owner, repository."""
+    (null if none), start, end, digest of the value, owner, repository.  The
+    values themselves go no further."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     null = F.lit("\x00")
     owner = F.coalesce(F.col(owner_col).cast("string"), null)
@@ -85,7 +86,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k, (_, _, group, n) in enumerate(KINDS):
         least = least | ((F.col("kind") == k) & ((F.char_length("value") if group else F.col("width")) >= n))
     # one row of every document stays as its anchor, whatever its candidates
-    return placed.select("row", "id", "text_key", "owner", "repository", F.when(least, F.col("kind")).alias("kind"), "start", "end", "value")
+    return placed.select("row", "id", "text_key", "owner", "repository", F.when(least, F.col("kind")).alias("kind"), "start", "end", F.sha2("value", 256).alias("digest"))
 
 
 def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, wide_owners: int = 10) -> DataFrame:
@@ -98,7 +99,7 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = materialise(candidates(docs, id_col, text_col, owner_col, repository_cols), "secret-candidates")
     most = max(max_owners, min(wide_owners, (found.select("owner").distinct().count() + 1) // 2))
-    spans = found.where("kind is not null").withColumn("digest", F.sha2("value", 256)).drop("value")
+    spans = found.where("kind is not null")
     # distinct (value, owner, repository), then (value, owner), then value: every
     # step combines before its shuffle, so a common value stays small
     owned = spans.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n")).groupBy("digest", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
@@ -111,7 +112,9 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = counted.unionByName(anchors)
     reported = F.col("kind").isNotNull() & ((F.col("kind") < BASE) | (F.col("owners") <= most))
     span = F.when(reported, F.struct("start", "kind", "end", "owners", "repositories", (F.col("owners") > most).alias("copied")))
-    return joined.groupBy("row", "id", "text_key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    out = materialise(joined.groupBy("row", "id", "text_key").agg(F.array_sort(F.collect_list(span)).alias("spans")), "secret-spans")
+    discard(found, frequency)
+    return out
 
 
 def kind_name(kind: Column) -> Column:
@@ -159,18 +162,20 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     with a null id are edited like others."""
     found = scan_spans(docs, id_col, text_col, max_owners=max_owners, wide_owners=wide_owners, **columns).where(F.size("spans") > 0)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # the whole row goes into one column, so no name of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
     # equal ids with different texts are told apart by the text's digest
-    spans = found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("spans").alias("spans"))
-    rows = docs.withColumn("__key", F.md5(text.cast("binary")))
-    cut = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("end"), F.lit("").alias("text")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["end"], s["end"]).alias("end"),
-            F.when(s["start"] >= acc["end"], F.concat(acc["text"], F.substring(text, acc["end"] + 1, s["start"] - acc["end"]), F.lit(mark))).otherwise(acc["text"]).alias("text"),
-        ),
-    )
-    edited = rows.join(spans.withColumnRenamed("__key", "__found"), rows[id_col].eqNullSafe(F.col("__id")) & (rows["__key"] == F.col("__found")), "left")
-    done = F.concat(F.col("__cut.text"), F.substring(text, F.col("__cut.end") + 1, F.char_length(text)))
-    out = edited.withColumn("__cut", F.when(F.col("spans").isNotNull(), cut))
-    return out.select(*[F.when(F.col("spans").isNotNull(), done).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    spans = found.groupBy(F.col("id").alias("found_id"), F.col("text_key").alias("found_key")).agg(F.max("spans").alias("spans"))
+    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("text"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col("text"), acc["end"] + 1, s["start"] - acc["end"])
+        more = F.when(s["start"] >= acc["end"], F.concat(acc["text"], before, F.lit(mark))).otherwise(acc["text"])
+        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), more.alias("text"))
+
+    edited = rows.join(spans, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
+    edited = edited.withColumn("cut", F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step)))
+    done = F.concat(F.col("cut.text"), F.substring(F.col("text"), F.col("cut.end") + 1, F.char_length("text")))
+    kept = {c: F.col("doc").getField(c) for c in docs.columns}
+    kept[text_col] = F.when(F.col("spans").isNotNull(), done).otherwise(kept[text_col])
+    return edited.select(*[kept[c].alias(c) for c in docs.columns])
