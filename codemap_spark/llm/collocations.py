@@ -252,8 +252,15 @@ def collocations(docs: DataFrame, min_words: int = 2, max_words: int = 3, min_co
     kept = found.where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("f"))).withColumn("cut", cut)
     rows = kept.select("part", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # each share of a part keeps its first rows, so a part's whole list never meets in one task
+    rows = materialise(rows, "phrase-scores")
+    # scores reach 10^6: a histogram of a thousand steps tells from which step on the first rows come
+    step = F.expr(f"score div {SCALE // 1000}").alias("step")
+    steps = rows.groupBy("part", step).agg(F.count("*").alias("held"))
+    above = F.sum("held").over(Window.partitionBy("part").orderBy(F.desc("step"))) - F.col("held")
+    wanted = steps.withColumn("above", above).where(F.col("above") < top).select("part", "step")
+    near = rows.withColumn("step", step).join(wanted, ["part", "step"])
+    # many rows of one step: each share of a part keeps its first rows, so a part's whole list never meets in one task
     share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
-    first = rows.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("part", "share").orderBy(*order))).where(F.col("rank") <= top)
+    first = near.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("part", "share").orderBy(*order))).where(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "part").select(F.col("part").alias(part_col), F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
