@@ -42,7 +42,9 @@ TAG_WEIGHTS = {"path": 1.0, "filename": 1.3, "language": 0.6, "role": 0.6, "symb
 README_NAMES = "README.md README.rst README.txt readme.md readme.rst readme.txt".split()
 FIRST_MANIFESTS = "pyproject.toml package.json composer.json go.mod Cargo.toml".split()
 ENTRY_NAMES = "main app application server serve cli run".split()
-FRAMEWORK_PARTS = "cli command commands management server api routing routes urls".split()
+FRAMEWORK_COMMANDS = "cli command commands management server api".split()
+FRAMEWORK_ROUTES = "routing routes urls".split()
+FRAMEWORK_PARTS = FRAMEWORK_COMMANDS + FRAMEWORK_ROUTES
 START_FILES = "index.php main.py __main__.py app.py server.py main.ts main.tsx main.rs".split()
 RENDER_TOKENS = "frontend front view render rendering html markup template page pagina visualizzazione titolo title heading".split()
 TRACE_DOCS = "doc docs documentazione readme".split()

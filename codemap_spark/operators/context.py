@@ -143,49 +143,60 @@ def pack_reasons(
 STRONG = ("previously marked", "symbol matches", "calls ", "filename matches", "filename contains", "path matches", "modified in recent query-related commit")
 
 
+#: Doubts about a pack, the names of what to do next, and its commands.
+NO_CANDIDATES, SIMILAR = "no candidate files were found", "many candidates have similar scores"
+UNSUPPORTED = "top candidate is not supported by strong symbol, call, feedback or exact filename signals"
+SOFT_PATHS = "ranking is driven by broad soft path matches"
+HIGH_LEVEL = "symptom or failing-test query may point at high-level files before the underlying cause"
+SOFTLY = "softly matches"
+
+
 def _quoted(text: str) -> str:
     """FN25: a shell argument in double quotes."""
     escaped = text.replace("\\", "\\\\").replace('"', '\\"')
     return f'"{escaped}"'
 
 
-def diagnostics(query: str, tokens: list[str], candidates: list[dict], command: str = "codemap") -> dict:
-    """CX12, CX14 over the few rows of a pack (path, role, score, reasons,
-    path_tokens; best first): level, reasons and actions (name, command)."""
-    broad = sum(c["score"] >= 0.5 for c in candidates)
-    strong = bool(candidates) and any(mark in r for r in candidates[0]["reasons"] for mark in STRONG)
-    soft = sum("softly matches" in r for c in candidates[:8] for r in c["reasons"])
+def diagnose(pack: DataFrame, reasons: DataFrame, query: str, tokens: list[str], command: str = "codemap") -> DataFrame:
+    """CX12, CX14: part (level, reason, action), position, name, text: how far a
+    pack (path, role, raw, score) with its reasons (path, reasons) can be
+    trusted, why not further, and what to do next.
+
+    One aggregate over the few rows of the pack gives what the rules ask for;
+    an empty pack has a diagnosis, too."""
+    words = T.path_tokens(F.col("path"))
     symptom = bool(set(tokens) & {*L.SYMPTOM_WORDS, *L.TEST_AWARE})
-    test = next((c["path"] for c in candidates[:8] if c["role"] == "test" or {"test", "tests"} & set(c["path_tokens"])), "") if symptom else ""
-    general = any(set(c["path_tokens"]) & set(L.GENERAL_PARTS) for c in candidates[:5])
-    doubts = []
-    if not candidates:
-        doubts.append("no candidate files were found")
-    else:
-        if broad >= 6:
-            doubts.append("many candidates have similar scores")
-        if not strong:
-            doubts.append("top candidate is not supported by strong symbol, call, feedback or exact filename signals")
-        if soft >= 5:
-            doubts.append("ranking is driven by broad soft path matches")
-        if test and general:
-            doubts.append("symptom or failing-test query may point at high-level files before the underlying cause")
-    level = "low" if not candidates or len(doubts) >= 2 or (doubts and not strong) else "medium" if doubts else "high"
-    quoted = _quoted(query)
-    if level == "high":
-        first = candidates[0]["path"]
-        actions = [("inspect_top_candidate", f"{command} related {first}"), ("record_feedback_after_verification", f'{command} feedback add {quoted} {first} --rating useful --source agent --reason "verified relevant"')]
-    else:
-        actions = [("inspect_failing_test_neighborhood", f"{command} related {test}")] if test else []
-        actions += [("check_index", f"{command} doctor"), ("refresh_index", f"{command} map"), ("narrow_query", f"{command} run {quoted} --markdown")]
-        actions.append(("record_feedback_after_verification", f'{command} feedback add {quoted} <path> --rating noisy --source agent --reason "verified irrelevant suggestion"'))
-    return {"level": level, "reasons": doubts, "actions": actions}
-
-
-def diagnose(pack: DataFrame, reasons: DataFrame, query: str, tokens: list[str]) -> DataFrame:
-    """CX12, CX14 as rows: part (level, reason, action), position, name, text.
-    The rows of the pack come to the driver."""
-    rows = pack.join(reasons, "path", "left").orderBy(F.desc("raw"), "path").select("path", "role", "score", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), T.path_tokens(F.col("path")).alias("path_tokens")).collect()
-    found = diagnostics(query, tokens, [r.asDict() for r in rows])
-    out = [("level", 0, found["level"], "")] + [("reason", i, r, "") for i, r in enumerate(found["reasons"])] + [("action", i, n, c) for i, (n, c) in enumerate(found["actions"])]
-    return pack.sparkSession.createDataFrame(out, "part string, position int, name string, text string")
+    said = F.coalesce("reasons", F.array().cast("array<string>"))
+    place = F.row_number().over(Window.orderBy(F.desc("raw"), "path"))  # over the rows of a pack
+    ranked = pack.join(reasons, "path", "left").select("path", "role", "score", said.alias("said"), words.alias("words"), place.alias("place"))
+    at_top, early = F.col("place") == 1, F.col("place") <= 8
+    strong = F.exists("said", lambda r: F.greatest(*[F.contains(r, F.lit(mark)) for mark in STRONG]))
+    is_test = (F.col("role") == "test") | F.arrays_overlap("words", T.strings(("test", "tests")))
+    facts = ranked.agg(
+        F.count("*").alias("n"), F.count_if(F.col("score") >= 0.5).alias("broad"), F.coalesce(F.bool_or(at_top & strong), F.lit(False)).alias("strong"),
+        F.coalesce(F.sum(F.when(early, F.size(F.filter("said", lambda r: F.contains(r, F.lit(SOFTLY)))))), F.lit(0)).alias("soft"),
+        F.min(F.when(early & is_test & F.lit(symptom), F.struct("place", "path")))["path"].alias("test"),
+        F.coalesce(F.bool_or((F.col("place") <= 5) & F.arrays_overlap("words", T.strings(L.GENERAL_PARTS))), F.lit(False)).alias("general"),
+        F.max(F.when(at_top, F.col("path"))).alias("first"),
+    )
+    some, strong = F.col("n") > 0, F.col("strong")
+    conditions = ((NO_CANDIDATES, ~some), (SIMILAR, some & (F.col("broad") >= 6)), (UNSUPPORTED, some & ~strong), (SOFT_PATHS, some & (F.col("soft") >= 5)), (HIGH_LEVEL, some & F.col("test").isNotNull() & F.col("general")))
+    judged = facts.withColumn("doubts", F.array_compact(F.array(*[F.when(c, text) for text, c in conditions])))
+    level = F.when(~some | (F.size("doubts") >= 2) | ((F.size("doubts") > 0) & ~strong), "low").when(F.size("doubts") > 0, "medium").otherwise("high")
+    asked = _quoted(query)
+    step = lambda name, *text, on=F.lit(True): F.when(on, F.struct(F.lit(name).alias("name"), F.concat(F.lit(f"{command} "), *[F.lit(x) if isinstance(x, str) else x for x in text]).alias("text")))
+    found = F.array(step("inspect_top_candidate", "related ", F.col("first")), step("record_feedback_after_verification", f"feedback add {asked} ", F.col("first"), ' --rating useful --source agent --reason "verified relevant"'))
+    doubtful = F.array_compact(
+        F.array(
+            step("inspect_failing_test_neighborhood", "related ", F.col("test"), on=F.col("test").isNotNull()), step("check_index", "doctor"), step("refresh_index", "map"), step("narrow_query", f"run {asked} --markdown"),
+            step("record_feedback_after_verification", f'feedback add {asked} <path> --rating noisy --source agent --reason "verified irrelevant suggestion"'),
+        )
+    )
+    told = judged.withColumn("level", level).withColumn("actions", F.when(F.col("level") == "high", found).otherwise(doubtful))
+    row = lambda part, name, text: F.struct(F.lit(part).alias("part"), name.alias("name"), text.alias("text"))
+    none = F.lit("")
+    each = (
+        F.array(row("level", F.col("level"), none)), F.transform("doubts", lambda r: row("reason", r, none)), F.transform("actions", lambda x: row("action", x["name"], x["text"])),
+    )
+    placed = [F.transform(rows, lambda x, i: F.struct(x["part"].alias("part"), i.cast("int").alias("position"), x["name"].alias("name"), x["text"].alias("text"))) for rows in each]
+    return told.select(F.explode(F.concat(*placed)).alias("x")).select("x.*")

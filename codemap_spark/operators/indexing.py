@@ -75,7 +75,7 @@ def indexed(known: DataFrame, scanned: DataFrame, extract: Extract, first: dict[
     relations = store.numbered(new, "place", first["relations"])
     tagged = stats.file_tags(files, symbols, edge(said, F.col("kind"), F.col("target_type"), F.col("name"), F.col("confidence"), F.lit("{}")))
     return {
-        "files": files.select("id", "path", *columns),
+        "files": files.select("id", *columns),
         "symbols": symbols,
         "relations": relations.select("id", *[c for c in new.columns if c != "place"]),
         "file_tags": tagged.select("file_id", "tag", "source", "weight"),

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L, text as T
+from ..sources.shared import stage
 from .relations import related_scores
 
 #: Weights of a query's tokens by source; "all" stands for sources not named.
@@ -176,6 +177,7 @@ def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commi
         rows = rows.unionByName(call_scores(relations, files, weights))
     total = rows.groupBy("path").agg(F.sum("score").alias("score"))
     if relations is not None:
+        total = stage(total, "pack-scores")  # read three times below
         related = related_scores(relations, files, total.where("score > 0").select("path"))
         total = total.unionByName(related).groupBy("path").agg(F.sum("score").alias("score"))
     known = adjusted(files.select("path", "language", "role").join(total, "path"), tokens).join(signals, "path", "left")
@@ -231,7 +233,7 @@ def framework_points(path: Column) -> Column:
     """FN20: 12 or 8 for the package file of commands, servers or routing."""
     parts = F.split(F.lower(path), "/")
     package = (T.file_name(path) == "__init__.py") & (semantic_depth(path) <= 4)
-    return F.when(package & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_PARTS[:-3])), 12).when(package & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_PARTS[-3:])), 8).otherwise(0)
+    return F.when(package & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_COMMANDS)), 12).when(package & F.arrays_overlap(parts, T.strings(L.FRAMEWORK_ROUTES)), 8).otherwise(0)
 
 
 def first_reads(files: DataFrame, symbols: DataFrame, limit: int = 12) -> DataFrame:

@@ -94,45 +94,65 @@ def summary(notes: DataFrame, feedback: DataFrame, tasks: DataFrame, plans: Data
         "task": listing.tasks(tasks, limit=limit).select("id", F.col("title").alias("text"), F.concat("updated_at", F.lpad(F.col("id").cast("string"), 20, "0")).alias("key")),
         "plan": plans.orderBy(F.desc("id")).limit(limit).select("id", F.when(F.col("finished"), "finished").otherwise("unfinished").alias("text"), F.col("id").cast("string").alias("key")),
     }
+    counted = audit_counts(notes).withColumn("id", F.lit(None).cast("long"))  # five rows
+    parts["audit"] = counted.select("id", F.concat_ws(": ", "issue", F.col("notes").cast("string")).alias("text"), F.col("issue").alias("key"))
     out = None
     for name, rows in parts.items():
-        order = Window.orderBy(F.desc("key") if name == "task" else F.desc("id"))  # over at most ``limit`` rows
+        # over at most ``limit`` rows
+        order = Window.orderBy(F.desc("key") if name == "task" else F.asc("key") if name == "audit" else F.desc("id"))
         part = rows.select(F.lit(name).alias("section"), F.row_number().over(order).alias("position"), "id", "text")
         out = part if out is None else out.unionByName(part)
     lines = notes.sparkSession.createDataFrame([("git", i, None, x) for i, x in enumerate(git_status[:limit], 1)], "section string, position int, id long, text string")
     return out.unionByName(lines)
 
 
+#: The steps of the checklist, and whether one that is open keeps a session from being closed.
+STEPS = (("review_git_status", True), ("refresh_stale_memory", True), ("audit_memory_quality", True), ("review_open_tasks", True), ("finish_reading_plans", False))
+LAST_STEPS = (("record_durable_learning", "optional"), ("report_verification", "manual"))
+QUALITY = ("unknown_evidence", "missing_topic", "short_note", "duplicate_file_topic")
+
+
 def close_checklist(notes: DataFrame, tasks: DataFrame, plans: DataFrame, git_status: Sequence[str] = (), limit: int = 10) -> DataFrame:
     """SE2: position, id, status, amount: what is left to do; and the row
     ``close_ready``, whose status is yes if git, stale notes, note quality and
     open tasks have nothing left (plans don't count)."""
     limit = max(1, min(limit, 50))
-    counts = {r.issue: r.notes for r in audit_counts(notes).collect()}  # five rows
-    quality = sum(counts[k] for k in ("unknown_evidence", "missing_topic", "short_note", "duplicate_file_topic"))
-    open_tasks = listing.tasks(tasks, limit=limit).count()
-    unfinished = plans.orderBy(F.desc("id")).limit(limit).where("NOT finished").count()
-    lines = min(len(git_status), limit)
-    rows = [("review_git_status", lines, "needed"), ("refresh_stale_memory", counts["stale"], "needed"), ("audit_memory_quality", quality, "needed"), ("review_open_tasks", open_tasks, "needed"), ("finish_reading_plans", unfinished, "optional")]
-    ready = not any(n for _, n, s in rows if s == "needed")
-    done = [(i, name, s if n else "clean", n) for i, (name, n, s) in enumerate(rows, 1)]
-    done += [(6, "record_durable_learning", "optional", 0), (7, "report_verification", "manual", 0), (8, "close_ready", "yes" if ready else "no", 0)]
-    return notes.sparkSession.createDataFrame(done, "position int, id string, status string, amount long")
+
+    def amount(issues):
+        return F.sum(F.when(F.col("issue").isin(*issues), F.col("notes")).otherwise(0))
+
+    left = audit_counts(notes).agg(amount(["stale"]).alias("stale"), amount(QUALITY).alias("quality"))
+    open_tasks = listing.tasks(tasks, limit=limit).agg(F.count("*").alias("tasks"))
+    unfinished = plans.orderBy(F.desc("id")).limit(limit).agg(F.count_if(~F.col("finished")).alias("plans"))
+    one = left.crossJoin(open_tasks).crossJoin(unfinished)  # a row each
+    amounts = (F.lit(min(len(git_status), limit)), F.col("stale"), F.col("quality"), F.col("tasks"), F.col("plans"))
+    rows, blocking = [], F.lit(0)
+    for (name, needed), n in zip(STEPS, amounts, strict=True):
+        rows.append((name, F.when(n > 0, "needed" if needed else "optional").otherwise("clean"), n))
+        blocking = blocking + n if needed else blocking
+    rows += [(name, F.lit(status), F.lit(0)) for name, status in LAST_STEPS]
+    rows.append(("close_ready", F.when(blocking > 0, "no").otherwise("yes"), F.lit(0)))
+    listed = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(name).alias("id"), status.alias("status"), n.cast("long").alias("amount")) for i, (name, status, n) in enumerate(rows, 1)])
+    return one.select(F.explode(listed).alias("x")).select("x.*")
 
 
 def suggestions(notes: DataFrame, plans: DataFrame, events: DataFrame, limit: int = 10, command: str = "codemap") -> DataFrame:
     """SE3: kind, position, command: finish unfinished plans, note useful files
     of finished ones, refresh stale notes; at most eight each of feedback and
     memory, from the newest ``limit`` plans and notes."""
-    recent = plans.orderBy(F.desc("id")).limit(limit).collect()
-    stale = notes.orderBy(F.desc("id")).limit(limit).where("stale").orderBy(F.desc("id")).select("id").collect()
-    useful: dict[int, list[str]] = {}
-    finished = [p.id for p in recent if p.finished][:5]
-    order = [c for c in ("id", "rank") if c in events.columns]
-    for r in events.where(F.col("plan_id").isin(finished) & (F.col("event") == "useful")).orderBy(*order, "path").collect() if finished else []:  # events of five plans
-        useful.setdefault(r.plan_id, []).append(r.path)
-    feedback = [("finish_plan", f"{command} plan finish --id {p.id} --summary <summary>") for p in recent if not p.finished][:5]
-    memory = [("memory_for_useful_file", f'{command} memory add --path "{path}" --topic <topic> --note <note>') for i in finished for path in useful.get(i, [])[:3]]
-    memory += [("refresh_stale_memory", f"{command} memory update --id {r.id} --note <updated-note>") for r in stale]
-    rows = [(kind, i, text) for part in (feedback[:8], memory[:8]) for i, (kind, text) in enumerate(part, 1)]
-    return notes.sparkSession.createDataFrame(rows, "kind string, position int, command string")
+    recent = plans.orderBy(F.desc("id")).limit(limit).select(F.col("id").alias("plan_id"), "finished")
+    newest = Window.partitionBy("finished").orderBy(F.desc("plan_id"))
+    ordered = recent.withColumn("place", F.row_number().over(newest)).where("place <= 5")  # ten rows at most
+    finish = F.concat(F.lit(f"{command} plan finish --id "), F.col("plan_id").cast("string"), F.lit(" --summary <summary>"))
+    kind = lambda name, text, *at: (F.lit(name).alias("kind"), text.alias("command"), F.struct(*[x.cast("long").alias(f"k{i}") for i, x in enumerate(at)]).alias("at"))
+    feedback = ordered.where("NOT finished").select(*kind("finish_plan", finish, F.lit(0), F.col("place"), F.lit(0)))
+    own = F.broadcast(ordered.where("finished").select("plan_id", "place"))  # five rows
+    first = Window.partitionBy("plan_id").orderBy(*[c for c in ("id", "rank") if c in events.columns], "path")
+    useful = events.where("event = 'useful'").join(own, "plan_id").withColumn("nth", F.row_number().over(first)).where("nth <= 3")
+    note = F.concat(F.lit(f'{command} memory add --path "'), F.col("path"), F.lit('" --topic <topic> --note <note>'))
+    stale = notes.orderBy(F.desc("id")).limit(limit).where("stale")
+    again = F.concat(F.lit(f"{command} memory update --id "), F.col("id").cast("string"), F.lit(" --note <updated-note>"))
+    memory = useful.select(*kind("memory_for_useful_file", note, F.lit(1), F.col("place"), F.col("nth"))).unionByName(stale.select(*kind("refresh_stale_memory", again, F.lit(2), -F.col("id"), F.lit(0))))
+    rows = feedback.withColumn("part", F.lit("feedback")).unionByName(memory.withColumn("part", F.lit("memory")))
+    order = Window.partitionBy("part").orderBy("at")
+    return rows.withColumn("position", F.row_number().over(order)).where("position <= 8").select("kind", "position", "command")

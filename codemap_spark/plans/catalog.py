@@ -20,6 +20,19 @@ PATH = "part/1000"
 VARIANTS = (".git/", "vendor/", "lib/x.egg-info/", "src/", ".hidden/", "")
 
 
+class Project:
+    """The tables of one query's project, each written to the shared folder the
+    first time it is asked for, so that no stage derives it again."""
+
+    def __init__(self, s: SparkSession, d: str) -> None:
+        self._from = s, d
+
+    def __getattr__(self, name: str) -> DataFrame:
+        found = stage(getattr(C, name)(*self._from), f"project-{name}")
+        setattr(self, name, found)
+        return found
+
+
 def file_language_role(s, d):
     return C.files(s, d)
 
@@ -73,39 +86,40 @@ def context_pack_path_role(s, d):
     return _hits(s, d).select("path", F.round("score", 6).alias("score"))
 
 
-def _pack_weights(s, d):
-    files, symbols, commits = C.files(s, d), C.symbols(s, d), C.commits(s, d)
-    return context.query_weights(context.all_term_stats(files, symbols, commits), PACK_TOKENS, context.source_documents(files, symbols, commits).where("source in ('path', 'symbol', 'commit')"))
+def _pack_weights(p):
+    counted = context.all_term_stats(p.files, p.symbols, p.commits)
+    return context.query_weights(counted, PACK_TOKENS, context.source_documents(p.files, p.symbols, p.commits).where("source in ('path', 'symbol', 'commit')"))
 
 
-def _pack(s, d, weights):
-    files = C.files(s, d)
-    signals = memory.feedback_signals(C.feedback(s, d), files, PACK_QUERY)
-    return ranking.context_pack(files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), signals, weights, relations=C.relations(s, d))
+def _pack(p, weights):
+    signals = memory.feedback_signals(p.feedback, p.files, PACK_QUERY)
+    return ranking.context_pack(p.files, p.symbols, p.commits, p.commit_files, signals, weights, relations=p.relations)
 
 
 def context_pack_full(s, d):
-    return _pack(s, d, _pack_weights(s, d))
+    p = Project(s, d)
+    return _pack(p, _pack_weights(p))
 
 
-def _pack_reasons(s, d, pack, weights):
-    files, tokens = C.files(s, d), list(weights)
-    scored = ranking.path_scores(files, weights, soft=True).select("path").unionByName(ranking.matched_symbols(C.symbols(s, d), files, tokens).select("path"))
-    scored = scored.unionByName(ranking.commit_scores(C.commits(s, d), C.commit_files(s, d), weights).select("path")).unionByName(ranking.call_scores(C.relations(s, d), files, weights).select("path")).distinct()
-    return context.pack_reasons(pack, files, C.symbols(s, d), C.commits(s, d), C.commit_files(s, d), C.feedback(s, d), C.relations(s, d), scored, weights, PACK_QUERY)
+def _pack_reasons(p, pack, weights):
+    tokens = list(weights)
+    scored = ranking.path_scores(p.files, weights, soft=True).select("path").unionByName(ranking.matched_symbols(p.symbols, p.files, tokens).select("path"))
+    scored = scored.unionByName(ranking.commit_scores(p.commits, p.commit_files, weights).select("path")).unionByName(ranking.call_scores(p.relations, p.files, weights).select("path")).distinct()
+    return context.pack_reasons(pack, p.files, p.symbols, p.commits, p.commit_files, p.feedback, p.relations, stage(scored, "pack-candidates"), weights, PACK_QUERY)
 
 
 def context_reasons(s, d):
     """Why the files of the pack are in it."""
-    weights = _pack_weights(s, d)
-    return _pack_reasons(s, d, _pack(s, d, weights), weights).select("path", F.array_join("reasons", "; ").alias("reasons"))
+    p = Project(s, d)
+    weights = _pack_weights(p)
+    return _pack_reasons(p, stage(_pack(p, weights), "pack"), weights).select("path", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def context_diagnostics(s, d):
-    weights = _pack_weights(s, d)
-    found = _pack(s, d, weights)
-    pack = s.createDataFrame(found.collect(), found.schema)  # ten rows
-    return context.diagnose(pack, _pack_reasons(s, d, pack, weights), PACK_QUERY, PACK_TOKENS)
+    p = Project(s, d)
+    weights = _pack_weights(p)
+    pack = stage(_pack(p, weights), "pack")
+    return context.diagnose(pack, _pack_reasons(p, pack, weights), PACK_QUERY, PACK_TOKENS)
 
 
 def context_related_symbols(s, d):
@@ -219,7 +233,8 @@ def estimate_tokens(s, d):
 
 
 def read_sizes(s, d):
-    return stats.read_sizes(C.files(s, d, content=True), _pack(s, d, _pack_weights(s, d)))
+    p = Project(s, d)
+    return stats.read_sizes(C.files(s, d, content=True), stage(_pack(p, _pack_weights(p)), "pack"))
 
 
 def _before(s, d):
@@ -315,20 +330,21 @@ def reading_plan_budget(s, d):
 
 def reading_plan_fusion(s, d):
     """All five sources of one query, over the context pack's query."""
-    files = C.files(s, d)
+    p = Project(s, d)
     none = F.lit(None).cast("double")
 
     def rows(df, source, score=none, boost=none, penalty=none):
         return df.select("path", F.lit(source).alias("source"), score.alias("score"), boost.alias("boost"), penalty.alias("penalty"))
 
-    graph = rows(_pack(s, d, _pack_weights(s, d)), "graph", F.col("score"))
+    graph = rows(stage(_pack(p, _pack_weights(p)), "pack"), "graph", F.col("score"))
     best = trace_scores(s, d).where("score > 0").orderBy(F.desc("score"), "path").limit(10)
     traced = rows(best, "trace", F.col("score"))
-    noted = memory.search_notes(_tagged_notes(s, d), PACK_QUERY, 20).where("scope <> 'repo'").groupBy("path").agg(F.max("score").alias("score"))
-    signals = rows(memory.feedback_signals(C.feedback(s, d), files, PACK_QUERY), "feedback", none, F.col("boost"), F.col("penalty"))
-    tagged = rows(listing.tag_scores(stats.file_tags(files, C.symbols(s, d)), files, PACK_TOKENS), "tags", F.col("score"))
+    stale = stage(_stale(s, d), "notes")
+    noted = memory.search_notes(_tags_of(stale), PACK_QUERY, 20).where("scope <> 'repo'").groupBy("path").agg(F.max("score").alias("score"))
+    signals = rows(memory.feedback_signals(p.feedback, p.files, PACK_QUERY), "feedback", none, F.col("boost"), F.col("penalty"))
+    tagged = rows(listing.tag_scores(stats.file_tags(p.files, p.symbols), p.files, PACK_TOKENS), "tags", F.col("score"))
     scores = graph.unionByName(traced).unionByName(rows(noted, "memory", F.col("score"))).unionByName(signals).unionByName(tagged)
-    return memory.fusion(scores, memory.recent_notes(_stale(s, d)), 30)
+    return memory.fusion(stage(scores, "fusion-scores"), memory.recent_notes(stale), 30)
 
 
 def _includes(s, d):
@@ -496,7 +512,11 @@ def upsert_meta(s, d):
 
 
 def _tagged_notes(s, d):
-    return _stale(s, d).withColumn("tags", F.when(F.col("id") % 2 == 1, F.array("topic", F.lit("Widget"))).otherwise(F.array("topic")))
+    return _tags_of(_stale(s, d))
+
+
+def _tags_of(notes):
+    return notes.withColumn("tags", F.when(F.col("id") % 2 == 1, F.array("topic", F.lit("Widget"))).otherwise(F.array("topic")))
 
 
 def update_notes(s, d):

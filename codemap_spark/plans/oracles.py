@@ -103,7 +103,7 @@ _FIRST_READS = f"""scored AS (SELECT id, path, len(string_split(path, '/')) AS d
     points AS (SELECT path, depth, role,
         CASE WHEN name IN ({_list(L.MANIFESTS)}) THEN CASE WHEN depth = 1 THEN 12 ELSE 4 END ELSE 0 END + CASE WHEN starts_with(lower(name), 'readme.') THEN CASE WHEN depth = 1 THEN 9 ELSE 4 END ELSE 0 END
         + CASE WHEN name IN ({_list(L.OVERVIEW_CONFIGS)}) THEN 4 WHEN role = 'config' THEN 2 ELSE 0 END + CASE WHEN name IN ({_list(L.ENTRY_FILES)}) THEN 8 ELSE 0 END
-        + CASE WHEN name = '__init__.py' AND depth - CASE WHEN starts_with(path, 'src/') THEN 1 ELSE 0 END <= 4 THEN CASE WHEN list_has_any(string_split(low, '/'), [{_list(L.FRAMEWORK_PARTS[:-3])}]) THEN 12 WHEN list_has_any(string_split(low, '/'), [{_list(L.FRAMEWORK_PARTS[-3:])}]) THEN 8 ELSE 0 END ELSE 0 END
+        + CASE WHEN name = '__init__.py' AND depth - CASE WHEN starts_with(path, 'src/') THEN 1 ELSE 0 END <= 4 THEN CASE WHEN list_has_any(string_split(low, '/'), [{_list(L.FRAMEWORK_COMMANDS)}]) THEN 12 WHEN list_has_any(string_split(low, '/'), [{_list(L.FRAMEWORK_ROUTES)}]) THEN 8 ELSE 0 END ELSE 0 END
         + CASE WHEN list_has_any(string_split(low, '/'), [{_list(L.ENTRY_PARTS)}]) THEN 4 ELSE 0 END + CASE WHEN role = 'route' THEN 5 ELSE 0 END - CASE WHEN role IN ('asset', 'migration') THEN 3 ELSE 0 END
         + CASE WHEN script THEN 4 ELSE 0 END + CASE WHEN package THEN 3 ELSE 0 END + CASE WHEN route AND role <> 'test' THEN 3 ELSE 0 END + CASE WHEN entry THEN 7 ELSE 0 END
         + CASE WHEN contains(low, '/src/') OR starts_with(low, 'src/') THEN 1 ELSE 0 END - CASE WHEN contains(low, '/docs/') OR starts_with(low, 'docs/') THEN 2 ELSE 0 END AS s FROM scored LEFT JOIN declared USING (id))"""
@@ -605,3 +605,41 @@ ORACLE_SQL["trace_query"] = _recursive(
         FROM top JOIN names USING (rank) JOIN told USING (rank) JOIN began USING (rank)""",
     )
 )
+
+_RECENT_AUDIT = ORACLE_SQL["audit_counts"].rsplit("SELECT 'stale' AS issue", 1)
+_CLOSING = ["stale", "unknown_evidence", "missing_topic", "short_note", "duplicate_file_topic"]
+_AUDIT_HEAD = _RECENT_AUDIT[0].rstrip()
+_AUDIT_CTE = "counted AS (SELECT 'stale' AS issue" + _RECENT_AUDIT[1] + ")"
+_TASKS = "tasks AS (SELECT o_orderkey AS id, 'order ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders WHERE o_orderstatus <> 'F')"
+_PLANS = "newest_plans AS (SELECT o_orderkey AS id, o_orderstatus <> 'O' AS finished FROM orders ORDER BY id DESC LIMIT 10)"
+ORACLE_SQL["session_close"] = (
+    _AUDIT_HEAD
+    + f""", {_AUDIT_CTE}, {_TASKS}, {_PLANS},
+    amounts AS (SELECT 2 AS git, (SELECT CAST(coalesce(sum(notes), 0) AS BIGINT) FROM counted WHERE issue = 'stale') AS old, (SELECT CAST(coalesce(sum(notes), 0) AS BIGINT) FROM counted WHERE issue <> 'stale') AS poor,
+        (SELECT count(*) FROM (SELECT 1 FROM tasks LIMIT 10)) AS open, (SELECT count(*) FROM newest_plans WHERE NOT finished) AS plans),
+    rows AS (SELECT unnest([
+        {{'position': 1, 'id': 'review_git_status', 'n': git, 's': 'needed'}}, {{'position': 2, 'id': 'refresh_stale_memory', 'n': old, 's': 'needed'}}, {{'position': 3, 'id': 'audit_memory_quality', 'n': poor, 's': 'needed'}},
+        {{'position': 4, 'id': 'review_open_tasks', 'n': open, 's': 'needed'}}, {{'position': 5, 'id': 'finish_reading_plans', 'n': plans, 's': 'optional'}}]) AS x FROM amounts)
+    SELECT x.position AS position, x.id AS id, CASE WHEN x.n > 0 THEN x.s ELSE 'clean' END AS status, CAST(x.n AS BIGINT) AS amount FROM rows
+    UNION ALL SELECT 6, 'record_durable_learning', 'optional', 0 UNION ALL SELECT 7, 'report_verification', 'manual', 0
+    UNION ALL SELECT 8, 'close_ready', CASE WHEN git + old + poor + open > 0 THEN 'no' ELSE 'yes' END, 0 FROM amounts"""
+)
+ORACLE_SQL["session_suggestions"] = _plus(
+    _with(["notes", "items"], ""),
+    f"""{_PLANS}, placed AS (SELECT *, row_number() OVER (PARTITION BY finished ORDER BY id DESC) AS place FROM newest_plans QUALIFY place <= 5),
+    told AS (SELECT place, path, row_number() OVER (PARTITION BY plan_id ORDER BY rank, path) AS nth FROM items JOIN placed ON placed.id = plan_id WHERE finished AND event = 'useful' QUALIFY nth <= 3),
+    rows AS (
+        SELECT 'feedback' AS part, 'finish_plan' AS kind, 'codemap plan finish --id ' || id || ' --summary <summary>' AS command, 0 AS a, place AS b, 0 AS c FROM placed WHERE NOT finished
+        UNION ALL SELECT 'memory', 'memory_for_useful_file', 'codemap memory add --path "' || path || '" --topic <topic> --note <note>', 1, place, nth FROM told
+        UNION ALL SELECT 'memory', 'refresh_stale_memory', 'codemap memory update --id ' || id || ' --note <updated-note>', 2, -id, 0 FROM (SELECT * FROM stale ORDER BY id DESC LIMIT 10) WHERE stale)""",
+    "SELECT kind, CAST(position AS INTEGER) AS position, command FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY a, b, c) AS position FROM rows) WHERE position <= 8",
+)
+ORACLE_SQL["session_summary"] = (
+    _plus(_AUDIT_HEAD, f"feedback AS (SELECT doc_id AS id, (CASE WHEN doc_id % 13 = 0 THEN 'gone/' ELSE '' END) || path AS path, CASE WHEN toxic = 1 THEN 'noisy' WHEN quality = 1 THEN 'useful' ELSE 'neutral' END AS rating FROM labels JOIN paths ON id = doc_id), {_AUDIT_CTE}, {_TASKS}, {_PLANS}", "")
+    + """SELECT 'memory' AS section, CAST(row_number() OVER (ORDER BY id DESC) AS INTEGER) AS position, id, path || ': ' || topic AS text FROM (SELECT * FROM stale ORDER BY id DESC LIMIT 5)
+    UNION ALL SELECT 'feedback', row_number() OVER (ORDER BY id DESC), id, rating || ' ' || path FROM (SELECT * FROM feedback ORDER BY id DESC LIMIT 5)
+    UNION ALL SELECT 'task', row_number() OVER (ORDER BY updated_at DESC, id DESC), id, title FROM (SELECT * FROM tasks ORDER BY updated_at DESC, id DESC LIMIT 5)
+    UNION ALL SELECT 'plan', row_number() OVER (ORDER BY id DESC), id, CASE WHEN finished THEN 'finished' ELSE 'unfinished' END FROM (SELECT * FROM newest_plans ORDER BY id DESC LIMIT 5)
+    UNION ALL SELECT 'audit', row_number() OVER (ORDER BY issue), NULL, issue || ': ' || notes FROM counted
+    UNION ALL SELECT 'git', 1, NULL, ' M a.py'"""
+)

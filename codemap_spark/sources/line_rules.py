@@ -31,20 +31,13 @@ def extracted(files: DataFrame, rules: list[Rule] | tuple[Rule, ...]) -> DataFra
     Lines count from 1; null contents have none.  Every match of a pattern in a
     line gives a row; a symbol's signature is its line, trimmed."""
     text = lambda x: F.lit(x).cast("string")
-    line = F.col("text")
-    found = [
-        F.when(
-            F.col("language") == r.language,
-            F.transform(
-                F.regexp_extract_all(line, F.lit(r.pattern), F.lit(1)),
-                lambda name, r=r: F.struct(
-                    text(r.what).alias("what"), text(r.kind).alias("kind"), text(r.target_type).alias("target_type"), name.alias("name"),
-                    F.lit(float(r.confidence)).alias("confidence"),
-                ),
-            ),
-        )
-        for r in rules
-    ]
+
+    def said(r: Rule):
+        own = (text(r.what).alias("what"), text(r.kind).alias("kind"), text(r.target_type).alias("target_type"), F.lit(float(r.confidence)).alias("confidence"))
+        names = F.regexp_extract_all("text", F.lit(r.pattern), F.lit(1))
+        return F.when(F.col("language") == r.language, F.transform(names, lambda name: F.struct(*own, name.alias("name"))))
+
+    found = [said(r) for r in rules]
     languages = sorted({r.language for r in rules})
     lines = files.where(F.col("language").isin(languages)).select("path", "language", F.posexplode(F.split("content", r"\r?\n")).alias("at", "text"))
     every = lines.select("path", "at", "text", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("x")).where("x.name <> ''")

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from codemap_spark.operators import context, memory, ranking
 
@@ -93,14 +94,21 @@ def test_reasons_and_diagnosis(project):
     assert ("level", "high", "") in rows and ("action", "inspect_top_candidate", "codemap related src/login/session_handler.py") in rows
 
 
-def test_diagnosis_of_weak_packs():
-    weak = {"path": "a/view.py", "role": "source", "score": 0.9, "reasons": ['path softly matches "logging"'], "path_tokens": ["view"]}
-    test = weak | {"path": "tests/t.py", "role": "test"}
-    found = context.diagnostics('a "b" test', ["test"], [weak] * 6 + [test])
-    assert found["level"] == "low" and len(found["reasons"]) == 4
-    assert found["actions"][0] == ("inspect_failing_test_neighborhood", "codemap related tests/t.py")
-    assert found["actions"][3] == ("narrow_query", 'codemap run "a \\"b\\" test" --markdown')
-    assert context.diagnostics("q", ["q"], [])["reasons"] == ["no candidate files were found"]
+def test_diagnosis_of_weak_packs(spark):
+    rows = [(f"a{i}/view.py", "source", 9.0 - i, 0.9, ['path softly matches "logging"']) for i in range(6)] + [("tests/t.py", "test", 1.0, 0.9, ['path softly matches "logging"'])]
+    listed = spark.createDataFrame(rows, "path string, role string, raw double, score double, reasons array<string>")
+
+    def found(rows, query, tokens):
+        out = context.diagnose(rows.drop("reasons"), rows.select("path", "reasons"), query, tokens).orderBy("position").collect()
+        return {part: [(r.name, r.text) for r in out if r.part == part] for part in ("level", "reason", "action")}
+
+    weak = found(listed, 'a "b" test', ["test"])
+    assert weak["level"] == [("low", "")] and [n for n, _ in weak["reason"]] == [context.SIMILAR, context.UNSUPPORTED, context.SOFT_PATHS, context.HIGH_LEVEL]
+    assert weak["action"][0] == ("inspect_failing_test_neighborhood", "codemap related tests/t.py")
+    assert weak["action"][3] == ("narrow_query", 'codemap run "a \\"b\\" test" --markdown')
+    assert found(listed.limit(0), "q", ["q"])["reason"] == [(context.NO_CANDIDATES, "")]
+    medium = found(listed.withColumn("reasons", F.array(F.lit('calls "x"'))), "q", ["q"])
+    assert medium["level"] == [("medium", "")] and [n for n, _ in medium["reason"]] == [context.SIMILAR] and [n for n, _ in medium["action"]][0] == "check_index"
 
 
 def test_related_symbols(project):

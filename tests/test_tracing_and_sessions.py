@@ -111,6 +111,6 @@ def test_end_of_session(spark):
     clean = sessions.close_checklist(notes.where("id = 2"), tasks.where("id = 0"), plans).collect()
     assert {r.id: r.status for r in clean}["close_ready"] == "yes"
     assert [(r.section, r.id, r.text) for r in sessions.summary(notes, feedback, tasks, plans, [" M x"], 2).orderBy("section", "position").collect()] == [
-        ("feedback", 1, "useful a.py"), ("git", None, " M x"), ("memory", 3, ": "), ("memory", 2, "b.py: t"), ("plan", 2, "unfinished"), ("plan", 1, "finished"), ("task", 1, "one"),
+        ("audit", None, "duplicate_file_topic: 0"), ("audit", None, "missing_topic: 1"), ("audit", None, "short_note: 1"), ("audit", None, "stale: 1"), ("audit", None, "unknown_evidence: 0"), ("feedback", 1, "useful a.py"), ("git", None, " M x"), ("memory", 3, ": "), ("memory", 2, "b.py: t"), ("plan", 2, "unfinished"), ("plan", 1, "finished"), ("task", 1, "one"),
     ]
     assert [(r.kind, r.position, r.command.split(" --")[1]) for r in sessions.suggestions(notes, plans, events).collect()] == [("finish_plan", 1, "id 2"), ("memory_for_useful_file", 1, 'path "a.py"'), ("refresh_stale_memory", 2, "id 1")]
