@@ -140,3 +140,34 @@ def is_indexable(path: Column, dirs=(), files=(), suffixes=(), hidden=()) -> Col
     folders = F.slice(parts, 1, F.size(parts) - 1)
     excluded = F.exists(folders, lambda p: p.isin([*L.EXCLUDED_DIRS, *dirs]) | p.endswith(".egg-info") | p.endswith(".dist-info") | (p.startswith(".") & ~p.isin([".", "..", *hidden])))
     return ~(excluded | file_name(path).isin([*L.EXCLUDED_FILES, *files]) | extension(path).isin([*L.EXCLUDED_SUFFIXES, *suffixes]))
+
+
+_SPLIT = 134217729.0  # 2^27 + 1: cuts a double into two halves whose products are exact
+
+
+def round_even(x: Column, places: int) -> Column:
+    """FN26: ``x`` rounded to ``places`` (0 to 22) by its exact binary value,
+    ties to even; nulls, infinities and NaN stay.
+
+    ``x`` times a power of ten is taken without error, as a sum of two doubles:
+    the nearest whole number to the first is right, unless it lies exactly in
+    the middle, and then the sign of the second decides."""
+    if not 0 <= places <= 22:
+        raise ValueError("places are 0 to 22, as larger powers of ten aren't exact")
+    scale = float(10**places)
+    high = scale * _SPLIT - (scale * _SPLIT - scale)
+    low = scale - high
+
+    def rounded(v: Column) -> Column:
+        return F.transform(F.array(F.struct(v.alias("v"), (v * scale).alias("p"), (v * _SPLIT - (v * _SPLIT - v)).alias("h"))), settled)[0]
+
+    def settled(s: Column) -> Column:
+        v, p, h = s["v"], s["p"], s["h"]
+        rest = v - h
+        error = ((h * high - p) + h * low + rest * high) + rest * low
+        whole, below = F.rint(p), F.floor(p).cast("double")
+        middle = (p - below == 0.5) & (error != 0)
+        k = F.when(middle, F.when(error > 0, below + 1).otherwise(below)).otherwise(whole)
+        return F.when(F.isnan(v) | (F.abs(p) >= float(2**52)), v).otherwise(k / scale)
+
+    return F.transform(F.array(x.cast("double")), rounded)[0]

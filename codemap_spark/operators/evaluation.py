@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 
@@ -28,21 +28,6 @@ def load_cases(spark: SparkSession, path: str, names: Sequence[str] = ()) -> Dat
     return cases.where(F.col("name").isin(list(names)))
 
 
-def ranked_paths(files: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """name, path, rank, score of the best files of many queries (name, query)
-    at once, by CX1's exact matches: 7 for a token in the path, 5 in the name.
-
-    Tokens of queries and paths meet by equality; of each query only the best
-    ``limit`` files go on, chosen by a combined count before they are sorted."""
-    tokens = queries.select("name", F.explode(T.query_tokens(F.col("query"))).alias("token"))
-    in_name = T.path_tokens(T.file_name(F.col("path")))
-    parts = files.select("path", F.explode(T.path_tokens(F.col("path"))).alias("token"), in_name.alias("in_name"))
-    points = parts.select("path", "token", (7 + F.when(F.array_contains("in_name", F.col("token")), 5).otherwise(0)).alias("points"))
-    scored = points.join(tokens, "token").groupBy("name", "path").agg(F.sum("points").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "path"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("name", "path", "rank", "score")
-
-
 def evaluate(cases: DataFrame, ranked: DataFrame, file_count: int | None = None) -> DataFrame:
     """EV1: one row per case (name, expected_files, noise_patterns) over ranked
     paths (name, path, rank): hits of any expected file among the first 1, 3
@@ -72,9 +57,24 @@ def report_rows(results: DataFrame) -> DataFrame:
     return results.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in REPORT])
 
 
-def write_report(results: DataFrame, path: str) -> None:
-    """SNK14: a CSV file with a header, ordered by name."""
-    report_rows(results).orderBy("name").coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def write_report(results: DataFrame, path: str, form: str = "csv") -> None:
+    """SNK14: one file, ordered by name: CSV with a header, one JSON object a
+    line (values keep their types), or a Markdown table."""
+    rows = results if form == "json" else report_rows(results)
+    writer = rows.orderBy("name").coalesce(1).write.mode("overwrite")  # a row per case
+    if form == "csv":
+        writer.option("header", True).option("emptyValue", "").csv(path)
+    elif form == "json":
+        writer.option("ignoreNullFields", False).json(path)
+    elif form == "markdown":
+        cells = [F.replace(F.col(c), F.lit("|"), F.lit("\\|")) for c in REPORT]
+        lines = rows.select(F.col("name").alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+        head = [(0, "| " + " | ".join(REPORT) + " |"), (1, "|" + " --- |" * len(REPORT))]
+        top = rows.sparkSession.createDataFrame(head, "part int, value string").withColumn("key", F.lit(""))
+        every = top.unionByName(lines.withColumn("part", F.lit(2)))
+        every.orderBy("part", "key").coalesce(1).select("value").write.mode("overwrite").text(path)
+    else:
+        raise ValueError("the form of a report is csv, json or markdown")
 
 
 def gate_failures(summary: dict, least_top3: float = 0.85, least_top5: float = 1.0, most_noise: int = 2) -> list[str]:

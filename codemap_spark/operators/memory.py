@@ -16,7 +16,12 @@ def contributions(feedback: DataFrame, query: str) -> DataFrame:
     tokens = T.query_tokens(F.lit(query))
     similarity = T.jaccard(tokens, T.query_tokens(F.col("query")))
     out = feedback.withColumn("similarity", similarity).where(F.col("similarity") >= L.MIN_SIMILARITY)
-    return out.withColumn("contribution", _lookup(L.RATING_WEIGHTS, F.col("rating")) * _lookup(L.SOURCE_WEIGHTS, F.col("source")) * F.col("similarity"))
+    return out.withColumn("contribution", contribution(F.col("similarity")))
+
+
+def contribution(similarity: Column) -> Column:
+    """FB1: what a row (rating, source) of feedback of that similarity counts."""
+    return _lookup(L.RATING_WEIGHTS, F.col("rating")) * _lookup(L.SOURCE_WEIGHTS, F.col("source")) * similarity
 
 
 def feedback_signals(feedback: DataFrame, files: DataFrame, query: str) -> DataFrame:
@@ -66,14 +71,23 @@ def dashboard_staleness(notes: DataFrame, files: DataFrame) -> DataFrame:
     return notes.join(now, "path", "left").withColumn("stale", stale).drop("now")
 
 
+#: Notes that a listing looks at: the newest so many.
+NEWEST = 100
+
+
+def newest_notes(notes: DataFrame, limit: int = NEWEST) -> DataFrame:
+    """FLT3's bound: the newest notes, 1 to 100 of them."""
+    return notes.orderBy(F.desc("id")).limit(max(1, min(limit, NEWEST)))
+
+
 def search_notes(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """ME2: id, path, scope, score: the share of the query's tokens that are
+    """ME2: id, path, scope, score of the newest 100 notes: the share of the query's tokens that are
     among the note's stored tokens, 0.5 for the query inside the topic, 0.2 for
     a token inside the path, 0.4 for a token among the tags.
 
     ``notes`` may have ``note_tokens``; if not, they are those of path, topic,
     query, note and tags."""
-    tokens = T.query_tokens(F.lit(query))
+    notes, tokens = newest_notes(notes), T.query_tokens(F.lit(query))
     tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in notes.columns else F.array().cast("array<string>")
     asked = F.coalesce("query", F.lit("")) if "query" in notes.columns else F.lit("")
     derived = T.query_tokens(F.concat_ws(" ", "path", "topic", asked, "note", F.array_join(tags, " ")))
@@ -86,11 +100,12 @@ def search_notes(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return notes.select("id", "path", "scope", F.round(score, 4).alias("score")).where("score > 0").orderBy(F.desc("score"), F.desc("id")).limit(max(1, min(limit, 50)))
 
 
-def topics(notes: DataFrame, limit: int = 20, per_topic: int = 5, scanned: int = 500) -> DataFrame:
+def topics(notes: DataFrame, limit: int = 20, per_topic: int = 5, scanned: int = NEWEST) -> DataFrame:
     """AGG7: topic, note_count, file_count, repo_count, stale_count, latest_id,
-    paths (the first ten), newest (ids of the newest ``per_topic`` notes), over
-    the newest ``scanned`` notes; most notes first, then by topic."""
-    recent = notes.orderBy(F.desc("id")).limit(scanned)  # so a topic's lists are bounded
+    latest_created_at (of that note), paths (the first ten), newest (ids of the
+    newest ``per_topic`` notes), over the newest ``scanned`` notes (100 at
+    most); most notes first, then by topic."""
+    recent = newest_notes(notes, scanned)  # so a topic's lists are bounded
     own = F.collect_set(F.when(F.coalesce("path", F.lit("")) != "", F.col("path")))
     return recent.groupBy("topic").agg(
         F.count("*").alias("note_count"),
@@ -98,6 +113,7 @@ def topics(notes: DataFrame, limit: int = 20, per_topic: int = 5, scanned: int =
         F.count_if(F.col("scope") == "repo").alias("repo_count"),
         F.count_if(F.col("stale")).alias("stale_count"),
         F.max("id").alias("latest_id"),
+        F.max_by("created_at", "id").alias("latest_created_at"),
         F.slice(F.array_sort(own), 1, 10).alias("paths"),
         F.slice(F.sort_array(F.collect_list("id"), asc=False), 1, max(1, min(per_topic, 20))).alias("newest"),
     ).orderBy(F.desc("note_count"), "topic").limit(max(1, min(limit, 100)))
@@ -110,9 +126,19 @@ def audit(notes: DataFrame) -> DataFrame:
     return notes.select("id", F.explode(issues).alias("issue"))
 
 
-def duplicate_topics(notes: DataFrame) -> DataFrame:
-    """AGG13: path, topic, count, newest id of file notes that share both."""
-    return notes.where("scope = 'file'").groupBy("path", "topic").agg(F.count("*").alias("notes"), F.max("id").alias("latest_id")).where("notes > 1")
+def duplicate_topics(notes: DataFrame, most: int = 20) -> DataFrame:
+    """AGG13: path, topic, notes, latest_id and ids (the newest ``most``, newest
+    first) of file notes that share path and topic.
+
+    Spark keeps each task's newest few of a group before it shuffles, so a
+    topic with very many notes doesn't meet in one task."""
+    own = notes.where("scope = 'file'")
+    twice = own.groupBy("path", "topic").agg(F.count("*").alias("notes"), F.max("id").alias("latest_id")).where("notes > 1")
+    place = F.row_number().over(Window.partitionBy("path", "topic").orderBy(F.desc("id")))
+    few = own.select("path", "topic", "id").withColumn("place", place).where(F.col("place") <= most)
+    listed = few.groupBy(F.col("path").alias("p"), F.col("topic").alias("t")).agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids"))
+    same = F.col("path").eqNullSafe(F.col("p")) & F.col("topic").eqNullSafe(F.col("t"))
+    return twice.join(listed, same).select("path", "topic", "notes", "latest_id", "ids")
 
 
 def plan_stats(plans: DataFrame, items: DataFrame) -> DataFrame:
@@ -129,6 +155,18 @@ def plan_stats(plans: DataFrame, items: DataFrame) -> DataFrame:
     return joint.select("plans", "finished", "unfinished", "average_budget", share("opened").alias("opened_per_plan"), share("top1").alias("top1_rate"), share("top3").alias("top3_rate"), "missing")
 
 
+def event_items(events: DataFrame, items: DataFrame) -> DataFrame:
+    """JN17: events with item_rank and read_priority of their plan's item of the
+    same path, null without one.  Of a path's items in a plan the last one
+    (position) counts, also where its rank is null.
+
+    The last items are found by an ordered aggregate, which combines before its
+    shuffle; events are joined to one row per plan and path."""
+    last = F.max_by(F.struct("rank", "read_priority"), "position")
+    latest = items.groupBy("plan_id", "path").agg(last.alias("item"))
+    return events.join(latest, ["plan_id", "path"], "left").select(*[events[c] for c in events.columns if c not in ("plan_id", "path")], "plan_id", "path", F.col("item.rank").alias("item_rank"), F.col("item.read_priority").alias("read_priority"))
+
+
 def plan_histogram(items: DataFrame) -> DataFrame:
     """AGG10: rank, useful, noisy: outcomes by the rank of their item; events
     without a ranked item don't count."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -146,25 +147,40 @@ def pack_commits(commits: DataFrame, commit_files: DataFrame, candidates: DataFr
     return top.join(listed, "id", "left").select("id", "date", "message", F.coalesce("files", F.lit("")).alias("files"), "total_files", (F.col("total_files") > most_files).alias("files_truncated"))
 
 
-def adjusted(scored: DataFrame, tokens: list[str]) -> DataFrame:
-    """CX6, CX7: multiplications by role and suffix, in order."""
-    def wants(words):
-        return bool(set(tokens) & set(words))
-
-    s, role, ext = F.col("score"), F.col("role"), T.extension(F.col("path"))
-    out = scored
-    if not wants(L.TEST_AWARE):
-        out = out.withColumn("score", F.when(role == "test", s * 0.45).otherwise(s))
-    if not wants(L.UI_INTENT):
-        out = out.withColumn("score", F.when((role == "asset") | ext.isin(".css", ".scss", ".less"), s * 0.7).otherwise(s))
-    if not wants(L.DB_INTENT):
-        out = out.withColumn("score", F.when((role == "migration") | (ext == ".sql"), s * 0.75).otherwise(s))
+def adjusted_by(scored: DataFrame, wants: Callable[[str], Column]) -> DataFrame:
+    """CX6, CX7: multiplications by role and suffix, in order; ``wants`` says
+    whether tests, ui, db, docs or examples are asked for."""
+    role, ext = F.col("role"), T.extension(F.col("path"))
     docs = (role == "documentation") | ext.isin(".md", ".rst", ".txt")
-    out = out.withColumn("score", F.when(docs, s * 1.35 + 1 if wants(L.DOCS_INTENT) else s * 0.4).otherwise(s))
-    if not wants(L.EXAMPLE_INTENT):
-        example = F.arrays_overlap(F.split(F.lower("path"), "/"), T.strings(L.EXAMPLE_PARTS))
-        out = out.withColumn("score", F.when(example, s * 0.5).otherwise(s))
-    return out.withColumn("score", F.when((role == "source") & ext.isin(".php", ".py", ".js", ".ts", ".go", ".rs"), s * 1.05 + 0.1).otherwise(s))
+    example = F.arrays_overlap(F.split(F.lower("path"), "/"), T.strings(L.EXAMPLE_PARTS))
+    code = (role == "source") & ext.isin(".php", ".py", ".js", ".ts", ".go", ".rs")
+    rules = (
+        (~wants("tests") & (role == "test"), 0.45, 0.0),
+        (~wants("ui") & ((role == "asset") | ext.isin(".css", ".scss", ".less")), 0.7, 0.0),
+        (~wants("db") & ((role == "migration") | (ext == ".sql")), 0.75, 0.0),
+        (wants("docs") & docs, 1.35, 1.0),
+        (~wants("docs") & docs, 0.4, 0.0),
+        (~wants("examples") & example, 0.5, 0.0),
+        (code, 1.05, 0.1),
+    )
+    s = F.col("score")
+    for condition, times, plus in rules:
+        s = F.when(condition, s * times + plus).otherwise(s)
+    return scored.withColumn("score", s)
+
+
+def adjusted(scored: DataFrame, tokens: list[str]) -> DataFrame:
+    """CX6, CX7 for one query."""
+    words = {"tests": L.TEST_AWARE, "ui": L.UI_INTENT, "db": L.DB_INTENT, "docs": L.DOCS_INTENT, "examples": L.EXAMPLE_INTENT}
+    return adjusted_by(scored, lambda k: F.lit(bool(set(tokens) & set(words[k]))))
+
+
+def with_feedback(known: DataFrame) -> DataFrame:
+    """CX8: adds raw: the score with the boost (or null) of feedback, lowered by
+    its penalty."""
+    boosted = F.col("score") + F.coalesce("boost", F.lit(0.0))
+    final = F.when((F.coalesce("penalty", F.lit(0.0)) < 0) & (boosted > 0), F.greatest(F.lit(0.0), boosted + F.col("penalty")) * 0.35).otherwise(boosted)
+    return known.withColumn("raw", F.round(final, 6))
 
 
 def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, signals: DataFrame, weights: Weights, limit: int = 10, relations: DataFrame | None = None, soft: bool = True) -> DataFrame:
@@ -180,11 +196,9 @@ def context_pack(files: DataFrame, symbols: DataFrame, commits: DataFrame, commi
         total = stage(total, "pack-scores")  # read three times below
         related = related_scores(relations, files, total.where("score > 0").select("path"))
         total = total.unionByName(related).groupBy("path").agg(F.sum("score").alias("score"))
-    known = adjusted(files.select("path", "language", "role").join(total, "path"), tokens).join(signals, "path", "left")
-    boosted = F.col("score") + F.coalesce("boost", F.lit(0.0))
-    final = F.when((F.coalesce("penalty", F.lit(0.0)) < 0) & (boosted > 0), F.greatest(F.lit(0.0), boosted + F.col("penalty")) * 0.35).otherwise(boosted)
-    top = known.select("path", "language", "role", F.round(final, 6).alias("raw")).where("raw > 0").orderBy(F.desc("raw"), "path").limit(limit)
-    return top.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy()), 2))  # over at most ``limit`` rows
+    known = with_feedback(adjusted(files.select("path", "language", "role").join(total, "path"), tokens).join(signals, "path", "left"))
+    top = known.select("path", "language", "role", "raw").where("raw > 0").orderBy(F.desc("raw"), "path").limit(limit)
+    return top.withColumn("score", T.round_even(F.col("raw") / F.max("raw").over(Window.partitionBy()), 2))  # over at most ``limit`` rows
 
 
 def related_symbols(symbols: DataFrame, files: DataFrame, tokens: list[str], candidates: DataFrame, limit: int = 10) -> DataFrame:

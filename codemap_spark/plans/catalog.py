@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import bucket_store, context, evaluation, listing, memory, ranking, relations, sessions, stats, store, term_index, tracing
+from ..operators import bucket_store, context, evaluation, listing, memory, packs, ranking, relations, sessions, stats, store, substrings, term_index, tracing
 from ..sources import corpus as C
 from ..sources.shared import shared_root, stage
 
@@ -213,7 +213,7 @@ def memory_audit(s, d):
 
 
 def duplicate_topics(s, d):
-    return memory.duplicate_topics(C.notes(s, d))
+    return memory.duplicate_topics(C.notes(s, d)).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
 def file_activity(s, d):
@@ -320,6 +320,15 @@ def plan_stats(s, d):
     return memory.plan_stats(C.plans(s, d), C.plan_items(s, d))
 
 
+def plan_event_items(s, d):
+    """Events with the last item of their path: every third item comes twice,
+    the second time without a rank or with another one."""
+    items = memory.assign_budget(_planned(s, d)).select("plan_id", "path", "rank", "read_priority", F.col("rank").alias("position"))
+    again = items.where("rank % 3 = 0").select("plan_id", "path", F.when(F.col("rank") % 2 == 0, F.col("rank") + 10).alias("rank"), F.lit("skip_unless_needed").alias("read_priority"), (F.col("position") + 100).alias("position"))
+    events = C.plan_items(s, d).select("plan_id", "path", "event").unionByName(items.where("rank = 1").select("plan_id", F.concat(F.lit("extra/"), "path").alias("path"), F.lit("read").alias("event")))
+    return memory.event_items(events, items.unionByName(again))
+
+
 def plan_histogram(s, d):
     return memory.plan_histogram(C.plan_items(s, d))
 
@@ -425,9 +434,29 @@ def retrieval_cases(s, d):
     return useful.select("name", F.col("name").alias("query"), F.slice("p", 1, 3).alias("expected_files"), T.strings(("tests/", ".css")).alias("noise_patterns"))
 
 
+def _packs_of(p, cases):
+    counted = stage(context.all_term_stats(p.files, p.symbols, p.commits), "term-stats")
+    texts = context.source_documents(p.files, p.symbols, p.commits).where("source in ('path', 'symbol', 'commit')")
+    return packs.context_packs(p.files, p.symbols, p.commits, p.commit_files, p.relations, p.feedback, cases, counted, texts)
+
+
+def packs_of_queries(s, d):
+    """The context packs of all queries of the feedback, in one plan."""
+    return _packs_of(Project(s, d), stage(retrieval_cases(s, d), "cases")).select("name", "rank", "path", "raw")
+
+
 def retrieval_eval(s, d):
-    cases = retrieval_cases(s, d)
-    return evaluation.evaluate(cases, evaluation.ranked_paths(C.paths(s, d), cases)).drop("manual_scan_file_count", "manual_scan_reduction_percent")
+    cases = stage(retrieval_cases(s, d), "cases")
+    ranked = stage(_packs_of(Project(s, d), cases).select("name", "path", "rank"), "ranked")
+    return evaluation.evaluate(cases, ranked).drop("manual_scan_file_count", "manual_scan_reduction_percent")
+
+
+def substring_matches(s, d):
+    """Which part names and priorities hold which word endings of part names, by the rarest letters."""
+    part = C.table(s, d, "part")
+    names = part.select(F.lower("p_name").alias("name")).unionByName(C.table(s, d, "orders").select(F.col("o_orderpriority").alias("name"))).distinct()
+    words = part.select(F.explode(F.split(F.lower(F.expr("substring(p_name, 2)")), " ")).alias("token"))
+    return substrings.containing(names, words.unionByName(s.createDataFrame([("e",), ("ed",)], "token string")).where("token <> ''"))
 
 
 def savings(s, d):
@@ -643,7 +672,7 @@ QUERIES = {
         term_stats_all, context_pack_path_role, context_pack_full, context_reasons, context_diagnostics, context_related_symbols, soft_match, feedback_signals, feedback_explain, cochanged_files, file_recent_commits,
         commits_left_join_files, callers_of_symbol, symbol_definitions, callers_for_file_symbols, relation_dedupe_max_confidence, path_suffix_index, edge_resolution,
         note_staleness, note_staleness_dashboard, memory_search, memory_topics, memory_audit, duplicate_topics, file_activity, subsystem_rollup, overview_first_reads,
-        estimate_tokens, read_sizes, refresh_diff, refresh_term_stats, bucket_update, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, savings, session_events,
+        estimate_tokens, read_sizes, refresh_diff, refresh_term_stats, bucket_update, doctor_diff, task_merge, plan_diff, plan_stats, reading_plan_budget, reading_plan_fusion, plan_histogram, plan_event_items, include_edges, trace_query, task_changes, session_summary, session_close, session_suggestions, audit_counts, trace_paths, retrieval_eval, packs_of_queries, substring_matches, savings, session_events,
         context_calls, context_related_files, context_commits, resolved_calls, export_relations, export_commits, upsert_files, append_notes, replace_symbols, defines_edges,
         cascade_delete, upsert_meta, update_notes, delete_notes, clear_feedback, flow_topics, plan_activity, benchmark_summary, overview_entry_points, overview_manifests,
         trace_starts, trace_scores, trace_targets, trace_profile,

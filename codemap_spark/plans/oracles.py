@@ -39,7 +39,7 @@ _MACROS = {
         signals AS (SELECT path, round(least(30.0, sum(greatest(c, 0.0))), 6) AS boost, round(greatest(-5.0, sum(least(c, 0.0))), 6) AS penalty, count(*) AS items
             FROM weighed WHERE similarity >= 0.25 AND path IN (SELECT path FROM paths) GROUP BY path)""",
     "notes": """notes AS (SELECT conv_id * 1000 + turn AS id, coalesce(path, 'gone/' || (conv_id * 17)) AS path, CASE WHEN conv_id % 7 = 0 THEN 'repo' ELSE 'file' END AS scope, conversations.role AS topic, text AS note,
-            CASE conv_id % 3 WHEN 0 THEN coalesce(sha256, '0') WHEN 1 THEN 'altered' ELSE '' END AS file_sha256 FROM conversations LEFT JOIN content ON content.id = conv_id * 17),
+            CASE conv_id % 3 WHEN 0 THEN coalesce(sha256, '0') WHEN 1 THEN 'altered' ELSE '' END AS file_sha256, '2024-01-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') AS created_at FROM conversations LEFT JOIN content ON content.id = conv_id * 17),
         stale AS (SELECT notes.*, CASE WHEN scope = 'repo' THEN NULL WHEN sha256 IS NULL THEN true WHEN file_sha256 = '' THEN NULL ELSE file_sha256 <> sha256 END AS stale,
             CASE WHEN file_sha256 = '' THEN NULL WHEN sha256 IS NULL THEN true ELSE file_sha256 <> sha256 END AS stale_dashboard FROM notes LEFT JOIN content USING (path))""",
     "items": """items AS (SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY l_partkey) AS rank, 'part/' || l_partkey AS path, CASE flag WHEN 'R' THEN 'noisy' WHEN 'A' THEN 'useful' ELSE 'opened' END AS event
@@ -197,15 +197,15 @@ ORACLE_SQL = {
     "note_staleness_dashboard": _with(["notes"], "SELECT id, path, stale_dashboard AS stale FROM stale"),
     "memory_topics": _with(
         ["notes"],
-        """, scanned AS (SELECT * FROM stale ORDER BY id DESC LIMIT 500)
-        SELECT topic, count(*) AS note_count, CAST(count(DISTINCT path) AS INTEGER) AS file_count, count(*) FILTER (scope = 'repo') AS repo_count, count(*) FILTER (stale) AS stale_count, max(id) AS latest_id, array_to_string(list_sort(list_distinct(list(path)))[:10], ',') AS paths,
+        """, scanned AS (SELECT * FROM stale ORDER BY id DESC LIMIT 100)
+        SELECT topic, count(*) AS note_count, CAST(count(DISTINCT path) AS INTEGER) AS file_count, count(*) FILTER (scope = 'repo') AS repo_count, count(*) FILTER (stale) AS stale_count, max(id) AS latest_id, arg_max(created_at, id) AS latest_created_at, array_to_string(list_sort(list_distinct(list(path)))[:10], ',') AS paths,
             array_to_string(list_reverse_sort(list(id))[:5], ',') AS newest FROM scanned GROUP BY topic ORDER BY note_count DESC, topic LIMIT 20""",
     ).replace("\n, scanned AS", ",\nscanned AS"),
     "memory_audit": _with(
         ["notes"],
         f"""SELECT id, 'stale' AS issue FROM stale WHERE stale UNION ALL SELECT id, 'short_note' FROM stale WHERE len(list_distinct({_useful("note")})) < 5 UNION ALL SELECT id, 'no_hash' FROM stale WHERE scope = 'file' AND file_sha256 = ''""",
     ),
-    "duplicate_topics": _with(["notes"], "SELECT path, topic, count(*) AS notes, max(id) AS latest_id FROM notes WHERE scope = 'file' GROUP BY path, topic HAVING count(*) > 1"),
+    "duplicate_topics": _with(["notes"], "SELECT path, topic, count(*) AS notes, max(id) AS latest_id, array_to_string(list_reverse_sort(list(id))[:20], ',') AS ids FROM notes WHERE scope = 'file' GROUP BY path, topic HAVING count(*) > 1"),
     "file_activity": _with(
         ["notes", "feedback", "items"],
         """SELECT path, count(*) FILTER (k = 'n') AS notes, count(*) FILTER (k = 'f') AS feedback, count(*) FILTER (k = 'e') AS events, count(*) AS total FROM (SELECT path, 'n' AS k FROM notes UNION ALL SELECT path, 'f' FROM feedback UNION ALL SELECT path, 'e' FROM items) GROUP BY path""",
@@ -329,12 +329,12 @@ ORACLE_SQL |= {
             * CASE WHEN role = 'documentation' OR ext IN ('.md', '.rst', '.txt') THEN 0.4 ELSE 1.0 END) AS s, role = 'source' AND ext IN ('.php', '.py', '.js', '.ts', '.go', '.rs') AS code FROM joint JOIN files USING (path) JOIN named USING (path)),
         boosted AS (SELECT path, language, role, CASE WHEN code THEN s * 1.05 + 0.1 ELSE s END + coalesce(boost, 0) AS b, coalesce(penalty, 0) AS p FROM judged LEFT JOIN signals USING (path)),
         best AS (SELECT path, language, role, CAST(round(CASE WHEN p < 0 AND b > 0 THEN greatest(0.0, b + p) * 0.35 ELSE b END, 6) AS DOUBLE) AS raw FROM boosted ORDER BY raw DESC, path LIMIT 10)""",
-        "SELECT path, language, role, raw, round(raw / (SELECT max(raw) FROM best), 2) AS score FROM best WHERE raw > 0",
+        "SELECT path, language, role, raw, round_even(raw / (SELECT max(raw) FROM best), 2) AS score FROM best WHERE raw > 0",
     ),
     "memory_search": _plus(
         _with(["notes"], ""), _TAGGED,
         f"""SELECT id, score FROM (SELECT id, CAST(round(len(list_intersect(['user', 'widget'], {_useful("concat_ws(' ', path, topic, note, array_to_string(tags, ' '))")})) / 2 + CASE WHEN contains(lower(topic), 'user widget') THEN 0.5 ELSE 0.0 END
-            + CASE WHEN contains(lower(path), 'user') OR contains(lower(path), 'widget') THEN 0.2 ELSE 0.0 END + CASE WHEN list_has_any(['user', 'widget'], tags) THEN 0.4 ELSE 0.0 END, 4) AS DOUBLE) AS score FROM tagged) WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10""",
+            + CASE WHEN contains(lower(path), 'user') OR contains(lower(path), 'widget') THEN 0.2 ELSE 0.0 END + CASE WHEN list_has_any(['user', 'widget'], tags) THEN 0.4 ELSE 0.0 END, 4) AS DOUBLE) AS score FROM (SELECT * FROM tagged ORDER BY id DESC LIMIT 100)) WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 10""",
     ),
     "context_calls": _with(
         ["relations"],
@@ -492,7 +492,7 @@ ORACLE_SQL |= {
         _TAGGED + ", " + _TAGS + ", " + _RECENT_NOTES
         + f""", graph AS ({ORACLE_SQL["context_pack_full"]}), traced AS (SELECT path, score FROM ({ORACLE_SQL["trace_scores"]}) WHERE score > 0 ORDER BY score DESC, path LIMIT 10),
         asked AS (SELECT id, path, scope, round(len(list_intersect({_THREE}, {_useful("concat_ws(' ', path, topic, note, array_to_string(tags, ' '))")})) / 3 + CASE WHEN contains(lower(topic), 'red widget sprockets') THEN 0.5 ELSE 0.0 END
-            + CASE WHEN contains(lower(path), 'red') OR contains(lower(path), 'widget') OR contains(lower(path), 'sprockets') THEN 0.2 ELSE 0.0 END + CASE WHEN list_has_any({_THREE}, tags) THEN 0.4 ELSE 0.0 END, 4) AS score FROM tagged),
+            + CASE WHEN contains(lower(path), 'red') OR contains(lower(path), 'widget') OR contains(lower(path), 'sprockets') THEN 0.2 ELSE 0.0 END + CASE WHEN list_has_any({_THREE}, tags) THEN 0.4 ELSE 0.0 END, 4) AS score FROM (SELECT * FROM tagged ORDER BY id DESC LIMIT 100)),
         matched AS (SELECT path, max(score) AS score FROM (SELECT * FROM asked WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 20) WHERE scope <> 'repo' GROUP BY path),
         heavy AS (SELECT path, round(least(8.0, sum(weight)), 6) AS score FROM (SELECT file_id, tag, source, max(weight) AS weight FROM tag_rows GROUP BY ALL) JOIN files ON files.id = file_id WHERE tag IN ('red', 'widget', 'sprockets') GROUP BY path),
         every AS (SELECT path FROM graph UNION SELECT path FROM traced UNION SELECT path FROM matched UNION SELECT path FROM signals UNION SELECT path FROM heavy),
@@ -643,3 +643,58 @@ ORACLE_SQL["session_summary"] = (
     UNION ALL SELECT 'audit', row_number() OVER (ORDER BY issue), NULL, issue || ': ' || notes FROM counted
     UNION ALL SELECT 'git', 1, NULL, ' M a.py'"""
 )
+
+_PREPARED = "prepared AS (SELECT id, path, role, language, list_last(string_split(path, '/')) AS name FROM files)"
+_LABELLED = "contains(worded.role, token) OR contains(worded.language, token)"
+_INSIDE = "length(token) >= 5 AND contains(regexp_replace(lower(regexp_replace(name, '[.][^.]*$', '')), '[^a-z0-9]', '', 'g'), token)"
+_PACKS = f"""cases AS (SELECT query AS name, list_sort(list_distinct(list(path)))[:3] AS expected FROM feedback WHERE rating = 'useful' GROUP BY query),
+    asked AS (SELECT name AS q, unnest(list_distinct(string_split(name, ' '))) AS token FROM cases),
+    token_stats AS (SELECT token, count(term) AS known, {", ".join(f"max(CASE WHEN source = '{x}' THEN weight END) AS w_{x}" for x in ("all", "path", "filename", "language", "role", "symbol", "commit"))}
+        FROM (SELECT DISTINCT token FROM asked) LEFT JOIN (SELECT term, source, round(weight, 6) AS weight FROM all_stats) ON term = token GROUP BY token),
+    worth AS (SELECT token, {", ".join(f"CASE WHEN known = 0 THEN 0.25 ELSE coalesce(w_{x}, w_all, 1.0) END AS {x}" for x in ("path", "filename", "language", "role", "symbol", "commit"))} FROM token_stats),
+    {_PREPARED},
+    worded AS (SELECT *, regexp_extract_all(lower(path), '[a-z]+|[0-9]+') AS pt, regexp_extract_all(lower(name), '[a-z]+|[0-9]+') AS nt FROM prepared),
+    soft AS (SELECT w.*, {_soft("pt")} AS sp, {_soft("nt")} AS sn, list_contains(pt, token) AS ep, list_contains(nt, token) AS en, {_LABELLED} AS labelled, {_INSIDE} AS inside, worded.path AS file FROM worded, worth w),
+    by_token AS (
+        SELECT token, file AS path, CAST(CASE WHEN ep THEN 7 * path ELSE 2.5 * path * sp END + CASE WHEN en THEN 5 * filename WHEN inside THEN 4 * filename ELSE 0 END + CASE WHEN en THEN 0 ELSE 2.0 * filename * sn END
+            + CASE WHEN labelled THEN 1.5 * greatest(role, language) ELSE 0 END AS DOUBLE) AS score FROM soft
+        UNION ALL SELECT token, files.path, 3.5 * symbol * CASE WHEN files.role = 'documentation' THEN CASE WHEN kind IN ('heading', 'command_example') THEN 0.25 ELSE 0.5 END ELSE 1.0 END
+            FROM (SELECT file_id, token, arg_min(kind, symbols.id) AS kind FROM symbols, worth WHERE contains(lower(name), token) GROUP BY ALL) JOIN files ON files.id = file_id JOIN worth USING (token)
+        UNION ALL SELECT token, path, 2.2 * symbol FROM (SELECT DISTINCT paths.path, token FROM relations JOIN paths ON paths.id = source_id, worth WHERE relation = 'calls' AND contains(lower(target_id), token)) JOIN (SELECT token, symbol FROM worth) USING (token)),
+    per_commit AS (SELECT q, commits.id, 0.8 + sum(1.2 * worth.commit) AS amount FROM commits, worth JOIN asked USING (token) WHERE contains(lower(message), token) GROUP BY q, commits.id),
+    totals AS (SELECT q, path, sum(score) AS score FROM (SELECT q, path, score FROM asked JOIN by_token USING (token) WHERE score > 0 UNION ALL SELECT q, path, amount FROM commit_files JOIN per_commit ON per_commit.id = commit_id) GROUP BY q, path),
+    csuf AS (SELECT q, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) AS suffix FROM totals),
+    cidx AS (SELECT q, suffix, min(path) AS path FROM csuf GROUP BY q, suffix),
+    steps AS (SELECT relations.id, f.path AS source, {_STEP} AS step FROM relations JOIN paths f ON f.id = source_id),
+    linked AS (SELECT q, id, source, arg_min(path, by) AS linked FROM (SELECT q, id, source, 0 AS by, path FROM steps JOIN cidx ON suffix = step UNION ALL SELECT q, id, source, 1, path FROM steps JOIN cidx ON suffix = list_last(string_split(step, '/'))) GROUP BY q, id, source),
+    sided AS (SELECT l.*, t.path IS NOT NULL AS inside FROM linked l LEFT JOIN totals t ON t.q = l.q AND t.path = l.source),
+    related AS (SELECT q, CASE WHEN inside THEN linked ELSE source END AS path FROM sided WHERE NOT inside OR linked <> source),
+    joint AS (SELECT q, path, sum(score) AS score FROM (SELECT * FROM totals UNION ALL SELECT q, path, CAST(least(0.5 * count(*), 1.5) AS DOUBLE) FROM related GROUP BY q, path) GROUP BY q, path),
+    judged AS (SELECT q, path, (score * CASE WHEN role = 'test' THEN 0.45 ELSE 1.0 END * CASE WHEN role = 'asset' OR ext IN ('.css', '.scss', '.less') THEN 0.7 ELSE 1.0 END * CASE WHEN role = 'migration' OR ext = '.sql' THEN 0.75 ELSE 1.0 END
+        * CASE WHEN role = 'documentation' OR ext IN ('.md', '.rst', '.txt') THEN 0.4 ELSE 1.0 END) AS s, role = 'source' AND ext IN ('.php', '.py', '.js', '.ts', '.go', '.rs') AS code FROM joint JOIN files USING (path) JOIN named USING (path)),
+    alike AS (SELECT c.name AS q, f.*, len(list_intersect(string_split(f.query, ' '), string_split(c.name, ' '))) / len(list_distinct(list_concat(string_split(f.query, ' '), string_split(c.name, ' ')))) AS nearness FROM feedback f, cases c),
+    contributed AS (SELECT *, nearness * CASE rating WHEN 'useful' THEN 10.0 WHEN 'noisy' THEN -3.0 ELSE 0.0 END * CASE source WHEN 'agent' THEN 1.0 WHEN 'benchmark' THEN 1.1 ELSE 1.2 END AS c FROM alike WHERE nearness >= 0.25),
+    learned AS (SELECT q, path, round(least(30.0, sum(greatest(c, 0.0))), 6) AS boost, round(greatest(-5.0, sum(least(c, 0.0))), 6) AS penalty FROM contributed WHERE path IN (SELECT path FROM paths) GROUP BY q, path),
+    boosted AS (SELECT q, path, CASE WHEN code THEN s * 1.05 + 0.1 ELSE s END + coalesce(boost, 0) AS b, coalesce(penalty, 0) AS p FROM judged LEFT JOIN learned USING (q, path)),
+    best AS (SELECT q, path, CAST(round(CASE WHEN p < 0 AND b > 0 THEN greatest(0.0, b + p) * 0.35 ELSE b END, 6) AS DOUBLE) AS raw FROM boosted QUALIFY row_number() OVER (PARTITION BY q ORDER BY raw DESC, path) <= 10),
+    lists AS (SELECT q AS name, list(path ORDER BY raw DESC, path) AS c FROM best WHERE raw > 0 GROUP BY q), j AS (SELECT cases.*, coalesce(c, []) AS c FROM cases LEFT JOIN lists USING (name))"""
+_REPORT = "SELECT name, 'ok' AS status" + ORACLE_SQL["retrieval_eval"].rsplit("SELECT name, 'ok' AS status", 1)[1]
+ORACLE_SQL["retrieval_eval"] = _plus(_with(["files", "symbols", "commits", "commit_files", "relations", "feedback"], ""), _ALL_STATS + ", " + _PACKS, _REPORT)
+ORACLE_SQL["packs_of_queries"] = _plus(
+    _with(["files", "symbols", "commits", "commit_files", "relations", "feedback"], ""), _ALL_STATS + ", " + _PACKS,
+    "SELECT q AS name, CAST(row_number() OVER (PARTITION BY q ORDER BY raw DESC, path) AS INTEGER) AS rank, path, raw FROM best WHERE raw > 0",
+)
+ORACLE_SQL["substring_matches"] = """
+    WITH names AS (SELECT DISTINCT lower(p_name) AS name FROM part UNION SELECT DISTINCT o_orderpriority FROM orders),
+    tokens AS (SELECT DISTINCT unnest(string_split(lower(substr(p_name, 2)), ' ')) AS token FROM part UNION SELECT 'e' UNION SELECT 'ed')
+    SELECT name, token FROM names, tokens WHERE token <> '' AND contains(name, token)"""
+
+ORACLE_SQL["plan_event_items"] = _plus(
+    _with(["items"], ""),
+    _BUDGET
+    + """, listed AS (SELECT plan_id, path, CAST(rank AS INTEGER) AS rank, read_priority, rank AS position FROM budget
+        UNION ALL SELECT plan_id, path, CASE WHEN rank % 2 = 0 THEN CAST(rank + 10 AS INTEGER) END, 'skip_unless_needed', rank + 100 FROM budget WHERE rank % 3 = 0),
+    latest AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY plan_id, path ORDER BY position DESC) = 1),
+    said AS (SELECT plan_id, path, event FROM items UNION ALL SELECT plan_id, 'extra/' || path, 'read' FROM items WHERE rank = 1)""",
+    "SELECT said.event, said.plan_id, said.path, latest.rank AS item_rank, read_priority FROM said LEFT JOIN latest USING (plan_id, path)",
+)

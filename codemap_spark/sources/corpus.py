@@ -75,7 +75,7 @@ def feedback(spark, sf_dir) -> DataFrame:
 
 
 def notes(spark, sf_dir) -> DataFrame:
-    """id, path (null past the files), scope, topic, note, file_sha256."""
+    """id, path (null past the files), scope, topic, note, file_sha256, created_at."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "role", "text", (F.col("conv_id") * 17).alias("file_id"))
     known = files(spark, sf_dir, content=True).select(F.col("id").alias("file_id"), F.col("path").alias("file_path"), "sha256")
     joined = turns.join(known, "file_id", "left")
@@ -86,6 +86,7 @@ def notes(spark, sf_dir) -> DataFrame:
         F.col("role").alias("topic"),
         F.col("text").alias("note"),
         F.when(F.col("conv_id") % 3 == 0, F.coalesce("sha256", F.lit("0"))).when(F.col("conv_id") % 3 == 1, "altered").otherwise("").alias("file_sha256"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0")).alias("created_at"),
     )
 
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from codemap_spark.operators import context, memory, ranking
+from codemap_spark.operators import context, memory, packs, ranking, substrings
 
 QUERY, TOKENS = "login session", ["login", "session"]
 
@@ -140,3 +140,34 @@ def test_soft_matches_like_brute_force(spark):
     pairs = spark.createDataFrame([(a, b) for a in tokens for b in terms], "token string, candidate string")
     found = {(r.token, r.candidate): r.score for r in ranking.soft_matches(pairs).collect()}
     assert {k: pytest.approx(v) for k, v in found.items() if v} == {(a, b): best(a, b) for a in tokens for b in terms if best(a, b)}
+
+
+def test_substrings_like_brute_force(spark):
+    names = ["login session", "log", "aaa aaab", "日本語 text", "", "x", "session.py"]
+    tokens = ["log", "session", "a", "aa", "aab", "本語", "zzz", "x", ".", "ses sion", "login session", ""]
+    n, t = spark.createDataFrame([(x,) for x in [*names, None]], "name string"), spark.createDataFrame([(x,) for x in tokens], "token string")
+    assert {tuple(r) for r in substrings.containing(n, t).collect()} == {(a, b) for a in names for b in tokens if b and b in a}
+    looked = {r.token: r.candidates for r in substrings.rarest(n, t).collect()}
+    assert looked["login session"] == 1 and looked["session"] == 2 and "zzz" not in looked
+    assert substrings.containing(n.limit(0), t).count() == substrings.containing(n, t.limit(0)).count() == 0
+
+
+def test_packs_of_many_queries_like_each_alone(spark, project):
+    files, symbols, commits, commit_files, feedback, relations = project
+    queries = ["login session", "logins handler", "test login css", "docs of the start", "zzz yyy", "the", "sessions sql migration"]
+    asked = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "name string, query string")
+    stats = context.all_term_stats(files, symbols, commits)
+    texts = context.source_documents(files, symbols, commits).where("source in ('path', 'symbol', 'commit')")
+    columns = ("path", "language", "role", "raw", "score")
+    found = {}
+    for r in packs.context_packs(files, symbols, commits, commit_files, relations, feedback, asked, stats, texts, limit=3).orderBy("rank").collect():
+        found.setdefault(r.name, []).append(tuple(r[c] for c in columns))
+    for i, q in enumerate(queries):
+        tokens = spark.range(1).select(packs.T.query_tokens(F.lit(q)).alias("t")).first().t
+        want = []
+        if tokens:
+            weights = context.query_weights(stats, tokens, texts)
+            alone = ranking.context_pack(files, symbols, commits, commit_files, memory.feedback_signals(feedback, files, q), weights, 3, relations)
+            want = [tuple(r[c] for c in columns) for r in alone.orderBy(F.desc("raw"), "path").collect()]
+        assert [x[:3] for x in found.get(f"q{i}", [])] == [x[:3] for x in want] and [x[3:] for x in found.get(f"q{i}", [])] == [pytest.approx(x[3:]) for x in want], q
+    assert packs.context_packs(files, symbols, commits, commit_files, relations, feedback, asked.limit(0), stats, texts).count() == 0

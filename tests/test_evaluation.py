@@ -16,9 +16,7 @@ def test_cases_and_report(spark, tmp_path):
     assert evaluation.load_cases(spark, str(manifest), ["b"]).count() == 1
     with pytest.raises(ValueError, match="unknown cases: c"):
         evaluation.load_cases(spark, str(manifest), ["a", "c"])
-    files = spark.createDataFrame([("x/login_session.py",), ("x/session.py",), ("x/docs/login.md",), ("y.py",)], "path string")
-    ranked = evaluation.ranked_paths(files, cases)
-    assert [(r.path, r.score) for r in ranked.orderBy("rank").collect()] == [("x/login_session.py", 24), ("x/docs/login.md", 12), ("x/session.py", 12)]
+    ranked = spark.createDataFrame([("a", "x/login_session.py", 1), ("a", "x/docs/login.md", 2), ("a", "x/session.py", 3)], "name string, path string, rank int")
     rows = {r.name: r for r in evaluation.evaluate(cases, ranked, 4).collect()}
     a, b = rows["a"], rows["b"]
     assert (a.top1_hit, a.top3_hit, a.top5_hit, a.expected_count, a.expected_hit_count, a.missing_expected_count, a.noise_hit_count, a.candidate_file_count) == (False, True, True, 2, 1, 1, 1, 3)
@@ -30,6 +28,18 @@ def test_cases_and_report(spark, tmp_path):
     with open(name, newline="") as f:
         report = list(csv.DictReader(f))
     assert tuple(report[0]) == evaluation.REPORT and report[0]["top3_hit"] == "true" and report[1]["top1_hit"] == "false" and report[0]["elapsed_seconds"] == ""
+    evaluation.write_report(results, str(tmp_path / "json"), "json")
+    (name,) = glob.glob(str(tmp_path / "json" / "*.json"))
+    with open(name) as f:
+        listed = [json.loads(line) for line in f]
+    assert [r["name"] for r in listed] == ["a", "b"] and listed[0]["top3_hit"] is True and listed[0]["expected_file_ranks"] == "x/session.py=3; gone.py=missing"
+    evaluation.write_report(results, str(tmp_path / "md"), "markdown")
+    (name,) = glob.glob(str(tmp_path / "md" / "*.txt"))
+    with open(name) as f:
+        lines = f.read().splitlines()
+    assert lines[0].startswith("| name | status | top1_hit |") and lines[1].startswith("| --- |") and lines[2].startswith("| a | ok | false | true |") and len(lines) == 4
+    with pytest.raises(ValueError, match="form"):
+        evaluation.write_report(results, str(tmp_path / "x"), "html")
     from pyspark.sql import functions as F
 
     summary = stats.benchmark_summary(results.withColumns({"elapsed_seconds": F.lit(1.0), "manual_scan_elapsed_seconds": F.lit(None).cast("double")})).first().asDict()

@@ -1,5 +1,9 @@
+import math
 import re
 
+import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -68,3 +72,21 @@ def test_stream_counts_like_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, catalog.session_events(spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_round_like_the_language(spark):
+    """Random values, values next to and in the middle, and ones without a fraction."""
+    rng = np.random.default_rng(4)
+    values = np.concatenate([
+        rng.normal(0, 10 ** rng.uniform(-4, 8, 60_000)), np.round(rng.uniform(-100, 100, 20_000), 3) + 0.0005, rng.integers(-4000, 4000, 20_000) / 8, rng.integers(-4000, 4000, 20_000) / 1000 + 0.0005,
+        np.nextafter(rng.integers(-4000, 4000, 10_000) / 16, 1e9), [0.0, -0.0, 2.675, 1.005, 0.5, 1.5, 2.5, 1e300, -1e17, 4503599627370495.5, 5e-324],
+    ])
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    for places in (0, 1, 2, 3, 4):
+        rows = df.select("v", T.round_even(F.col("v"), places).alias("r")).collect()
+        wrong = [(r.v, r.r, round(r.v, places)) for r in rows if r.r != round(r.v, places)]
+        assert not wrong, wrong[:5]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "v double").select(T.round_even(F.col("v"), 2).alias("r")).collect()
+    assert odd[0].r is None and math.isnan(odd[1].r) and odd[2].r == math.inf
+    with pytest.raises(ValueError, match="places"):
+        T.round_even(F.col("v"), 23)
