@@ -666,7 +666,7 @@ _PACKS = f"""cases AS (SELECT query AS name, list_sort(list_distinct(list(path))
     csuf AS (SELECT q, path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) AS suffix FROM totals),
     cidx AS (SELECT q, suffix, min(path) AS path FROM csuf GROUP BY q, suffix),
     steps AS (SELECT relations.id, f.path AS source, {_STEP} AS step FROM relations JOIN paths f ON f.id = source_id),
-    linked AS (SELECT q, id, source, arg_min(path, by) AS linked FROM (SELECT q, id, source, 0 AS by, path FROM steps JOIN cidx ON suffix = step UNION ALL SELECT q, id, source, 1, path FROM steps JOIN cidx ON suffix = list_last(string_split(step, '/'))) GROUP BY q, id, source),
+    linked AS (SELECT q, id, source, arg_min(path, pri) AS linked FROM (SELECT q, id, source, 0 AS pri, path FROM steps JOIN cidx ON suffix = step UNION ALL SELECT q, id, source, 1, path FROM steps JOIN cidx ON suffix = list_last(string_split(step, '/'))) GROUP BY q, id, source),
     sided AS (SELECT l.*, t.path IS NOT NULL AS inside FROM linked l LEFT JOIN totals t ON t.q = l.q AND t.path = l.source),
     related AS (SELECT q, CASE WHEN inside THEN linked ELSE source END AS path FROM sided WHERE NOT inside OR linked <> source),
     joint AS (SELECT q, path, sum(score) AS score FROM (SELECT * FROM totals UNION ALL SELECT q, path, CAST(least(0.5 * count(*), 1.5) AS DOUBLE) FROM related GROUP BY q, path) GROUP BY q, path),
@@ -679,10 +679,13 @@ _PACKS = f"""cases AS (SELECT query AS name, list_sort(list_distinct(list(path))
     best AS (SELECT q, path, CAST(round(CASE WHEN p < 0 AND b > 0 THEN greatest(0.0, b + p) * 0.35 ELSE b END, 6) AS DOUBLE) AS raw FROM boosted QUALIFY row_number() OVER (PARTITION BY q ORDER BY raw DESC, path) <= 10),
     lists AS (SELECT q AS name, list(path ORDER BY raw DESC, path) AS c FROM best WHERE raw > 0 GROUP BY q), j AS (SELECT cases.*, coalesce(c, []) AS c FROM cases LEFT JOIN lists USING (name))"""
 _REPORT = "SELECT name, 'ok' AS status" + ORACLE_SQL["retrieval_eval"].rsplit("SELECT name, 'ok' AS status", 1)[1]
-ORACLE_SQL["retrieval_eval"] = _plus(_with(["files", "symbols", "commits", "commit_files", "relations", "feedback"], ""), _ALL_STATS + ", " + _PACKS, _REPORT)
-ORACLE_SQL["packs_of_queries"] = _plus(
+#: Not among the others: on the smallest tables DuckDB 1.x ends these with an internal error, after which a connection is of no use.
+APART = {}
+del ORACLE_SQL["retrieval_eval"]
+APART["retrieval_eval"] = _plus(_with(["files", "symbols", "commits", "commit_files", "relations", "feedback"], ""), _ALL_STATS + ", " + _PACKS, _REPORT)
+APART["packs_of_queries"] = _plus(
     _with(["files", "symbols", "commits", "commit_files", "relations", "feedback"], ""), _ALL_STATS + ", " + _PACKS,
-    "SELECT q AS name, CAST(row_number() OVER (PARTITION BY q ORDER BY raw DESC, path) AS INTEGER) AS rank, path, raw FROM best WHERE raw > 0",
+    "SELECT q AS name, CAST(row_number() OVER (PARTITION BY q ORDER BY raw DESC, path) AS INTEGER) AS rank, path, round(raw, 3) AS raw FROM best WHERE raw > 0",
 )
 ORACLE_SQL["substring_matches"] = """
     WITH names AS (SELECT DISTINCT lower(p_name) AS name FROM part UNION SELECT DISTINCT o_orderpriority FROM orders),

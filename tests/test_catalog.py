@@ -23,3 +23,9 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(oracles.ORACLE_SQL)))
 def test_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(oracles.APART))
+def test_same_rows_as_sql_apart(spark, name):
+    sf_dir = "/root/testdata/sf0.01"
+    assert parity.difference(spark, parity.connection(sf_dir), catalog.QUERIES[name], oracles.APART[name], sf_dir) == ""
