@@ -2,7 +2,9 @@ import json
 
 import pytest
 
-from codemap_spark.operators import ranking, store
+from pyspark.sql import functions as F
+
+from codemap_spark.operators import memory, ranking, store
 
 
 def test_versions_replace_each_other(spark, tmp_path):
@@ -137,3 +139,15 @@ def test_finishing_a_plan_and_closing_a_task(spark):
     tasks = spark.createDataFrame([(1, "open", None, "d"), (2, "done", "d0", "d")], "id long, status string, closed_at string, updated_at string")
     closed = listing.close_task(listing.close_task(tasks, 1, "d1"), 2, "d2").orderBy("id").collect()
     assert [(r.status, r.closed_at, r.updated_at) for r in closed] == [("done", "d1", "d1"), ("done", "d0", "d2")]
+
+
+def _many_notes(spark):
+    """150 notes; only the oldest one is about the widget."""
+    notes = spark.range(1, 151).select("id", F.concat(F.lit("p/"), F.col("id") % 12).alias("path"), F.lit("file").alias("scope"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("topic"))
+    return notes.withColumns({"note": F.when(F.col("id") == 1, "the widget").otherwise("nothing"), "created_at": F.col("id").cast("string"), "stale": F.col("id") % 3 == 0})
+
+
+def test_topics_count_every_note(spark):
+    rows = [tuple(r) for r in memory.topics(_many_notes(spark)).collect()]
+    paths = lambda rest: sorted(f"p/{k}" for k in range(12) if k % 2 == rest)
+    assert rows == [("even", 75, 6, 0, 25, 150, "150", paths(0), [150, 148, 146, 144, 142]), ("odd", 75, 6, 0, 25, 149, "149", paths(1), [149, 147, 145, 143, 141])]
