@@ -147,6 +147,10 @@ def _many_notes(spark):
     return notes.withColumns({"note": F.when(F.col("id") == 1, "the widget").otherwise("nothing"), "created_at": F.col("id").cast("string"), "stale": F.col("id") % 3 == 0})
 
 
+def test_a_search_sees_every_note(spark):
+    assert [r.id for r in memory.search_notes(_many_notes(spark), "widget").collect()] == [1]
+
+
 def test_topics_count_every_note(spark):
     rows = [tuple(r) for r in memory.topics(_many_notes(spark)).collect()]
     paths = lambda rest: sorted(f"p/{k}" for k in range(12) if k % 2 == rest)
