@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codemap_spark.operators import memory, ranking, store
+from codemap_spark.plans import oracles
 
 
 def test_versions_replace_each_other(spark, tmp_path):
@@ -155,3 +156,7 @@ def test_topics_count_every_note(spark):
     rows = [tuple(r) for r in memory.topics(_many_notes(spark)).collect()]
     paths = lambda rest: sorted(f"p/{k}" for k in range(12) if k % 2 == rest)
     assert rows == [("even", 75, 6, 0, 25, 150, "150", paths(0), [150, 148, 146, 144, 142]), ("odd", 75, 6, 0, 25, 149, "149", paths(1), [149, 147, 145, 143, 141])]
+
+
+def test_the_plan_scores_every_note():
+    assert "LIMIT 100)" not in oracles.ORACLE_SQL["reading_plan_fusion"]
