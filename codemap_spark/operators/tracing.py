@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -106,33 +108,100 @@ def strongest(edges: DataFrame, fan_out: int = 25) -> DataFrame:
     return best.select("source", "target", "edge.*")
 
 
-def best_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_out: int = 25) -> DataFrame:
-    """TR1: start, target, hops, order, edges: for every start (node) and file
-    the first of the shortest paths, in the order in which a breadth-first
-    search finds them.
+def _newest(labels: DataFrame, hop: int, top: int) -> DataFrame:
+    return labels.where(F.shiftright("code", top) == hop)
+
+
+def path_labels(strong: DataFrame, starts: DataFrame, max_depth: int = 4, fan_out: int = 25) -> DataFrame:
+    """TR1: start, target, hops, order, ids: for every start (node) and file the
+    first of the shortest paths along the ``strongest`` edges, in the order in
+    which a breadth-first search finds them.
 
     A score falls with the distance, so no other path of the pair can come
-    before it.  Each round joins the newest labels with the edges once, keeps
-    one label per start and file and drops those that are known; it is written
-    before the next one.  ``order`` holds the places of the edges taken,
-    ``edges`` (source, target, relation, target_id, confidence) the edges."""
+    before it.  A path is a number: its hops, then the places of its edges.
+    Each round joins the newest labels with the edges once and keeps the least
+    number per start and file; the rows of a start stay together, side by side,
+    so that little is shuffled.  ``order`` holds the places, ``ids`` the files
+    on the way, found again at the end: the number without its last place is
+    that of another label of the start (at most fan_out ** max_depth of them)."""
+    bits = fan_out.bit_length()
+    top = bits * max_depth
+    if top > 60:
+        raise ValueError("paths of so many places have no number")
+    node = F.col("node").cast("bigint")
+    known = starts.select(node.alias("start"), node.alias("target"), F.lit(0).cast("bigint").alias("code")).distinct()
+    edges = strong.select("source", F.col("target").alias("next"), "place")
+    for hop in range(1, max_depth + 1):
+        known = stage(known, f"trace-{hop - 1}")
+        front = _newest(known, hop - 1, top)
+        if front.isEmpty():
+            break
+        places = F.col("code").bitwiseAND(F.lit((1 << top) - 1))
+        code = F.lit(hop << top) + F.shiftleft(places, bits) + F.col("place")
+        longer = front.join(edges, F.col("target") == F.col("source")).select("start", F.col("next").alias("target"), code.alias("code"))
+        known = known.unionByName(longer).repartition("start").groupBy("start", "target").agg(F.min("code").alias("code"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        code, target = table.column("code").to_numpy(), table.column("target").to_numpy()
+        by_code = np.argsort(code)
+        code, target = code[by_code], target[by_code]
+        hops = code >> top
+        least, most = (1 << bits) - 1, (1 << top) - 1
+        steps = [np.zeros((0, 2), np.int64)]
+        for n in range(int(hops[-1]) + 1):
+            of = code[hops == n] & most
+            prefixes = [((k << top) | (of >> bits * (n - k)), of >> bits * (n - k)) for k in range(1, n + 1)]
+            ids = [target[np.searchsorted(code, whole)] for whole, _ in prefixes]
+            steps.append(np.stack([np.array(ids).T.ravel(), np.array([p & least for _, p in prefixes]).T.ravel()], axis=1) if n else np.zeros((0, 2), np.int64))
+        ids, order = np.concatenate(steps).astype(np.int64).T
+        at = pa.array(np.append(0, np.cumsum(hops)), pa.int32())
+        listed = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (order.astype(np.int32), ids)]
+        return pa.table([table.column("start"), pa.array(target), pa.array(hops.astype(np.int32)), *listed], names=["start", "target", "hops", "order", "ids"])
+
+    return known.groupBy("start").applyInArrow(walk, "start bigint, target bigint, hops int, order array<int>, ids array<bigint>")
+
+
+def with_edges(paths: DataFrame, strong: DataFrame) -> DataFrame:
+    """``paths`` (start, target, order, ids and others) with ``edges`` (source,
+    target, relation, target_id, confidence) in place of ids."""
+    before = F.transform("ids", lambda x, i: F.when(i == 0, F.col("start")).otherwise(F.get("ids", i - 1)))
+    steps = paths.select("start", "target", F.posexplode(F.arrays_zip(before.alias("source"), "order")).alias("at", "step"))
+    keyed = steps.select(F.col("start").alias("s"), F.col("target").alias("t"), "at", "step.source", F.col("step.order").alias("place"))
+    edge = F.struct("source", "target", "relation", "target_id", "confidence")
+    named = keyed.join(strong, ["source", "place"]).select("s", "t", F.struct("at", edge.alias("edge")).alias("x"))
+    listed = named.groupBy("s", "t").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["edge"]).alias("edges"))  # as many as a path has
+    none = F.array().cast("array<struct<source:bigint,target:bigint,relation:string,target_id:string,confidence:double>>")
+    joined = paths.join(listed, (F.col("start") == F.col("s")) & (F.col("target") == F.col("t")), "left")
+    return joined.withColumn("edges", F.coalesce("edges", none)).drop("s", "t", "ids")
+
+
+def best_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 4, fan_out: int = 25) -> DataFrame:
+    """TR1: start, target, hops, order, edges of ``path_labels``."""
     strong = stage(strongest(edges, fan_out), "trace-edges")
-    edge = "array<struct<source:bigint,target:bigint,relation:string,target_id:string,confidence:double>>"
+    return with_edges(stage(path_labels(strong, starts, max_depth, fan_out), "trace-paths"), strong)
+
+
+def first_paths(strong: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:
+    """TR1: target, start, hops, ids: every file in reach once, by the first of
+    its shortest paths from any start; ties by start, then as a search from it
+    finds them.
+
+    A file before the last one of such a path has the path's beginning as its
+    own first path, so one label a file is enough, and work grows with the
+    edges, not with the pairs of starts and files."""
     node = F.col("node").cast("bigint")
-    front = starts.select(node.alias("start"), node.alias("target"), F.lit(0).alias("hops"), F.array().cast("array<int>").alias("order"), F.array().cast(edge).alias("edges"))
-    known = front = stage(front.distinct(), "trace-0")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    known = front = stage(starts.select(node.alias("target"), node.alias("start"), F.lit(0).alias("hops"), none("int").alias("order"), none("bigint").alias("ids")).distinct(), "first-0")
     for hop in range(1, max_depth + 1):
-        taken = F.struct("s.source", "s.target", "s.relation", "s.target_id", "s.confidence")
         longer = front.alias("f").join(strong.alias("s"), F.col("f.target") == F.col("s.source")).select(
-            "f.start", F.col("s.target").alias("target"), F.concat("f.order", F.array("s.place")).alias("order"), F.concat("f.edges", F.array(taken)).cast(edge).alias("edges")
+            F.col("s.target").alias("target"), F.struct("f.start", F.concat("f.order", F.array("s.place")).alias("order"), F.concat("f.ids", F.array("s.target")).alias("ids")).alias("x")
         )
-        first = longer.groupBy("start", "target").agg(F.min(F.struct("order", "edges")).alias("x"))
-        fresh = first.join(known.select("start", "target"), ["start", "target"], "left_anti").select("start", "target", F.lit(hop).alias("hops"), "x.order", "x.edges")
-        front = stage(fresh, f"trace-{hop}")
+        first = longer.join(known.select("target"), "target", "left_anti").groupBy("target").agg(F.min("x").alias("x"))
+        front = stage(first.select("target", "x.start", F.lit(hop).alias("hops"), "x.order", "x.ids"), f"first-{hop}")
         if front.isEmpty():
             break
         known = known.unionByName(front)
-    return known
+    return known.select("target", "start", "hops", "ids")
 
 
 def _reasons(tokens: list[str]) -> Column:
@@ -162,8 +231,9 @@ def trace(edges: DataFrame, files: DataFrame, starts: DataFrame, tokens: list[st
     min(max_depth, 6) long, starts at most eight.  Only the ``limit`` best
     files (30 at most) meet in one task."""
     few = F.broadcast(starts.orderBy("place").limit(8).select(F.col("id").cast("bigint").alias("start"), F.col("place").alias("start_place")))  # eight rows
-    labels = best_paths(edges, few.select(F.col("start").alias("node")), max(1, min(max_depth, 6))).join(few, "start")
-    own = F.struct("hops", "start_place", "order", "start", "edges")
+    strong = stage(strongest(edges), "trace-edges")
+    labels = path_labels(strong, few.select(F.col("start").alias("node")), max(1, min(max_depth, 6))).join(few, "start")
+    own = F.struct("hops", "start_place", "order", "start", "ids")
     best = labels.groupBy("target").agg(F.min(own).alias("first"), F.min(F.when(F.col("hops") > 0, own)).alias("shown"))
     best = best.select(F.col("target").alias("id"), "first", F.coalesce("shown", "first").alias("shown"))
     on = best.join(files.select("id", "path", "role", "content"), "id")
@@ -174,11 +244,12 @@ def trace(edges: DataFrame, files: DataFrame, starts: DataFrame, tokens: list[st
     order = [F.desc("first_score"), F.col("first.start_place"), F.col("first.hops"), F.col("first.order")]
     rows = scored.orderBy(*order).limit(max(1, min(limit, 30)))
     rows = rows.select(
+        "id",
         F.struct((-F.col("first_score")).alias("s"), F.col("first.start_place").alias("p"), F.col("first.hops").alias("h"), F.col("first.order").alias("o")).alias("at"), "path", "content",
         F.when(bare, F.col("first_score")).otherwise(F.col("score")).alias("score"), F.when(bare, F.col("first")).otherwise(F.col("shown")).alias("x"),
-    ).select("at", "path", "content", "score", "x.start", F.col("x.hops").alias("distance"), F.col("x.edges").alias("taken"))
+    ).select("at", "path", "content", "score", F.col("id").alias("target"), "x.start", F.col("x.hops").alias("distance"), "x.order", "x.ids")
     rows = stage(rows.select("*", _reasons(tokens).alias("reasons")).drop("content"), "trace-rows")  # 30 rows at most
-    return _explained(rows, files, tokens)
+    return _explained(with_edges(rows, strong).withColumnRenamed("edges", "taken").drop("target", "order"), files, tokens)
 
 
 def _explained(rows: DataFrame, files: DataFrame, tokens: list[str]) -> DataFrame:

@@ -114,3 +114,19 @@ def test_end_of_session(spark):
         ("audit", None, "duplicate_file_topic: 0"), ("audit", None, "missing_topic: 1"), ("audit", None, "short_note: 1"), ("audit", None, "stale: 1"), ("audit", None, "unknown_evidence: 0"), ("feedback", 1, "useful a.py"), ("git", None, " M x"), ("memory", 3, ": "), ("memory", 2, "b.py: t"), ("plan", 2, "unfinished"), ("plan", 1, "finished"), ("task", 1, "one"),
     ]
     assert [(r.kind, r.position, r.command.split(" --")[1]) for r in sessions.suggestions(notes, plans, events).collect()] == [("finish_plan", 1, "id 2"), ("memory_for_useful_file", 1, 'path "a.py"'), ("refresh_stale_memory", 2, "id 1")]
+
+
+def _circles(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(30), rng.randrange(30), "include", "x", rng.choice([0.0, 0.5])) for i in range(90)]
+    return spark.createDataFrame([r for r in rows if r[1] != r[2]], "id long, source long, target long, relation string, target_id string, confidence double"), spark.createDataFrame([(7,), (0,), (5,)], "node long")
+
+
+def test_first_paths_are_the_least_of_all_starts(spark):
+    for seed in range(2):
+        edges, starts = _circles(spark, seed)
+        want = {}
+        for r in tracing.best_paths(edges, starts, 4, 3).collect():
+            want[r.target] = min(want.get(r.target, (9,)), (r.hops, r.start, r.order, [e.target for e in r.edges]))
+        strong = tracing.strongest(edges, 3).cache()
+        assert {r.target: (r.hops, r.start, r.ids) for r in tracing.first_paths(strong, starts).collect()} == {t: (h, s, ids) for t, (h, s, _, ids) in want.items()}
