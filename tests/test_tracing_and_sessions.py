@@ -130,3 +130,18 @@ def test_first_paths_are_the_least_of_all_starts(spark):
             want[r.target] = min(want.get(r.target, (9,)), (r.hops, r.start, r.order, [e.target for e in r.edges]))
         strong = tracing.strongest(edges, 3).cache()
         assert {r.target: (r.hops, r.start, r.ids) for r in tracing.first_paths(strong, starts).collect()} == {t: (h, s, ids) for t, (h, s, _, ids) in want.items()}
+
+
+def test_labels_hold_numbers_only_and_name_the_edges_taken(spark):
+    edges, starts = _circles(spark, 3)
+    strong = tracing.strongest(edges, 3).cache()
+    place = {(r.source, r.target): r.place for r in strong.collect()}
+    labels = tracing.path_labels(strong, starts, 4, 3)
+    assert "string" not in labels.schema.simpleString()
+    rows = labels.collect()
+    assert max(r.hops for r in rows) == 4 and len({(r.start, r.target) for r in rows}) == len(rows)
+    for r in rows:
+        way = [r.start, *r.ids]
+        assert way[-1] == r.target and len(r.ids) == r.hops and r.order == [place[e] for e in zip(way, way[1:])]
+    with pytest.raises(ValueError):
+        tracing.path_labels(strong, starts, 6, 5000)
