@@ -95,38 +95,55 @@ def _held(df: DataFrame, text: Column, tokens: DataFrame) -> DataFrame:
     return keyed.join(found, "__text").drop("__text")
 
 
-def _points(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, relations: DataFrame, weights: DataFrame, wants: DataFrame, soft: bool) -> DataFrame:
-    """CX1 to CX4: name, path, score."""
+def _points(files: DataFrame, symbols: DataFrame, commits: DataFrame, commit_files: DataFrame, relations: DataFrame, weights: DataFrame, wants: DataFrame, soft: bool) -> tuple[DataFrame, DataFrame]:
+    """CX1 to CX4: (path, key, amount) and (key, name, worth): a path's score
+    for a query is the sum of amount times worth.
+
+    The key of what a query has by itself is even; a message's is odd, so that
+    a commit is one row a file, however many queries its message concerns."""
     tokens = weights.select("token").distinct()
     first = _held(symbols.select("file_id", "id", "kind", F.col("name").alias("symbol")), F.col("symbol"), tokens).groupBy("file_id", "token").agg(F.min(F.struct("id", "kind")).alias("s"))
     owned = first.join(files.select(F.col("id").alias("file_id"), "path", "role"), "file_id").join(weights, "token").join(wants.select("name", "docs"), "name")
     share = F.when(F.col("docs") | (F.col("role") != "documentation"), 1.0).when(F.col("s.kind").isin("heading", "command_example"), 0.25).otherwise(0.5)
     from_symbols = owned.select("name", "path", (3.5 * F.col("w.symbol") * F.coalesce(share, F.lit(1.0))).alias("score"))
 
-    told = _held(commits.select(F.col("id").alias("commit_id"), "message"), F.col("message"), tokens).join(weights, "token")
-    per_commit = told.groupBy("name", "commit_id").agg((F.sum(1.2 * F.col("w.commit")) + 0.8).alias("score"))
-    from_commits = commit_files.join(per_commit, "commit_id").select("name", "path", "score")
-
     called = relations.where("relation = 'calls' AND target_type = 'symbol_name'").select(F.col("source_id").alias("id"), "target_id").distinct()
     calls = _held(called, F.col("target_id"), tokens).select("id", "token").distinct().join(files.select("id", "path"), "id").join(weights, "token")
     from_calls = calls.select("name", "path", (2.2 * F.col("w.symbol")).alias("score"))
-    return _path_points(files, weights, soft).unionByName(from_symbols).unionByName(from_commits).unionByName(from_calls)
+    own = _path_points(files, weights, soft).unionByName(from_symbols).unionByName(from_calls).select("path", (F.col("name") * 2).alias("key"), F.col("score").alias("amount"))
+
+    messages = stage(commits.select(F.lower("message").alias("message")).where("message IS NOT NULL").distinct().withColumn("key", F.monotonically_increasing_id() * 2 + 1), "pack-messages")
+    told = _held(messages, F.col("message"), tokens).join(weights, "token").groupBy("key", "name").agg((F.sum(1.2 * F.col("w.commit")) + 0.8).alias("worth"))
+    worth = stage(told.unionByName(wants.select((F.col("name") * 2).alias("key"), "name", F.lit(1.0).alias("worth"))), "pack-worth")
+    keyed = messages.join(worth.select("key").distinct(), "key", "left_semi")
+    said = commits.select(F.col("id").alias("commit_id"), F.lower("message").alias("message")).join(keyed, "message").select("commit_id", "key")
+    from_commits = commit_files.join(said, "commit_id").select("path", "key", F.lit(1.0).alias("amount"))
+    return own.unionByName(from_commits), worth
+
+
+def _names(own: str) -> Column:
+    return F.transform(own, lambda x: x["name"])
 
 
 def _related(relations: DataFrame, files: DataFrame, candidates: DataFrame, step: float = 0.5, most: float = 1.5) -> DataFrame:
-    """CX5 of every query: name, path, score; ``candidates`` are (name, path)."""
-    suffixes = F.explode(T.path_suffixes(F.regexp_replace("path", r"^[./]+", ""))).alias("suffix")
-    index = candidates.select("name", "path", suffixes).groupBy("name", "suffix").agg(F.min("path").alias("linked"))
+    """CX5 of every query: path, name, score; ``candidates`` are (path, names),
+    a row a path, whose list of queries goes along with the edges whole."""
     normal = F.regexp_replace("target_id", r"^[./]+", "")
-    targets = relations.select("target_id", normal.alias("normal")).distinct()
-    whole = targets.join(index, F.col("normal") == F.col("suffix")).select("name", "target_id", F.lit(0).alias("by"), "linked")
-    ends = targets.join(index, T.file_name(F.col("normal")) == F.col("suffix")).select("name", "target_id", F.lit(1).alias("by"), "linked")
-    named = whole.unionByName(ends).groupBy("name", "target_id").agg(F.min(F.struct("by", "linked")).alias("x")).select("name", "target_id", "x.linked")
-    edges = relations.groupBy(F.col("source_id").alias("id"), "target_id").agg(F.count("*").alias("n")).join(files.select("id", F.col("path").alias("source")), "id")
-    inside = candidates.select("name", F.col("path").alias("source"), F.lit(True).alias("inside"))
-    found = edges.join(named, "target_id").join(inside, ["name", "source"], "left")
-    path = F.when(F.col("inside"), F.when(F.col("linked") != F.col("source"), F.col("linked"))).otherwise(F.col("source"))
-    return found.select("name", path.alias("path"), "n").where("path IS NOT NULL").groupBy("name", "path").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))
+    targets = relations.where("target_id IS NOT NULL").select("target_id", normal.alias("normal")).distinct()
+    wanted = targets.select("target_id", F.explode(F.array(F.struct(F.lit(0).alias("by"), F.col("normal").alias("suffix")), F.struct(F.lit(1).alias("by"), T.file_name(F.col("normal")).alias("suffix")))).alias("w")).select("target_id", "w.*")
+    suffixes = candidates.select("path", F.explode(T.path_suffixes(F.regexp_replace("path", r"^[./]+", ""))).alias("suffix"))
+    links = stage(suffixes.join(wanted, "suffix").groupBy("target_id", "path").agg(F.min("by").alias("by")), "pack-links")
+    spread = stage(links.groupBy("target_id").agg(F.min("path").alias("least"), F.max("path").alias("most")), "pack-spread")
+    # a target that one path answers to is that path for all of its queries
+    single = spread.where("least = most").select("target_id", F.col("least").alias("linked")).join(candidates.select(F.col("path").alias("linked"), "names"), "linked")
+    several = links.join(spread.where("least <> most").select("target_id"), "target_id").join(candidates, "path").select("target_id", F.explode("names").alias("name"), F.struct("by", "path").alias("at"))
+    chosen = several.groupBy("target_id", "name").agg(F.min("at").alias("x")).groupBy("target_id", F.col("x.path").alias("linked")).agg(F.collect_list("name").alias("names"))
+    edges = relations.groupBy(F.col("source_id").alias("id"), "target_id").agg(F.count("*").alias("n")).join(files.select("id", F.col("path").alias("source")), "id").select("source", "target_id", "n")
+    inside = candidates.select(F.col("path").alias("source"), F.col("names").alias("own"))
+    found = edges.join(single.unionByName(chosen), "target_id").join(inside, "source", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
+    both = F.array(F.struct(F.col("linked").alias("path"), F.when(F.col("linked") != F.col("source"), F.array_intersect("names", "own")).alias("names")), F.struct(F.col("source").alias("path"), F.array_except("names", "own").alias("names")))
+    rows = found.select("n", F.explode(both).alias("x")).where("size(x.names) > 0").select("x.path", "x.names", "n")
+    return rows.repartition("path").select("path", F.explode("names").alias("name"), "n").groupBy("path", "name").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))
 
 
 def feedback_signals(feedback: DataFrame, files: DataFrame, queries: DataFrame) -> DataFrame:
@@ -148,16 +165,30 @@ def context_packs(files: DataFrame, symbols: DataFrame, commits: DataFrame, comm
 
     ``stats`` are AGG1's, ``texts`` (text) those of AGG2.  Queries without a
     token have no rows."""
+    called = stage(queries.select("name").distinct().withColumn("q", F.monotonically_increasing_id()), "pack-queries")
+    queries = stage(queries.join(called, "name").select(F.col("q").alias("name"), "query"), "pack-asked")  # numbers in place of names
     tokens = query_tokens(queries)
     weights = stage(token_weights(tokens, stats, texts).select("name", "token", F.struct(*SOURCES).alias("w")), "pack-weights")
     asked = {"tests": L.TEST_AWARE, "ui": L.UI_INTENT, "db": L.DB_INTENT, "docs": L.DOCS_INTENT, "examples": L.EXAMPLE_INTENT}
     wants = stage(tokens.groupBy("name").agg(*[F.bool_or(F.col("token").isin(words)).alias(k) for k, words in asked.items()]), "pack-wants")
-    points = _points(files, symbols, commits, commit_files, relations, weights, wants, soft)
-    total = stage(points.groupBy("name", "path").agg(F.sum("score").alias("score")).where("score > 0"), "pack-totals")
-    joint = total.unionByName(_related(relations, files, total.select("name", "path"))).groupBy("name", "path").agg(F.sum("score").alias("score"))
-    known = files.select("path", "language", "role").join(joint, "path").join(wants, "name")
-    final = ranking.with_feedback(ranking.adjusted_by(known, F.col).join(feedback_signals(feedback, files, queries), ["name", "path"], "left"))
-    rows = final.where("raw > 0")
+    points, worth = _points(files, symbols, commits, commit_files, relations, weights, wants, soft)
+    # rows meet by path, so the queries of a path are worked out where it is, and aren't shuffled
+    total = points.repartition("path").join(worth, "key").groupBy("path", "name").agg(F.sum(F.col("amount") * F.col("worth")).alias("score")).where("score > 0")
+    total = stage(_listed(total, "score"), "pack-totals")
+    related = _listed(_related(relations, files, total.select("path", _names("own").alias("names"))), "score").withColumnRenamed("own", "near")
+    learned = _listed(feedback_signals(feedback, files, queries), "boost", "penalty").withColumnRenamed("own", "learned")
+    known = files.select("path", "language", "role").join(total, "path", "left").join(related, "path", "left").join(learned, "path", "left").where("own IS NOT NULL OR near IS NOT NULL")
+    none = F.array().cast("array<struct<name:bigint,score:double,boost:double,penalty:double>>")
+    each = F.explode(F.concat(*[F.coalesce(c, none) for c in ("own", "near", "learned")])).alias("x")
+    sums = F.sum("x.score").alias("score"), F.max("x.boost").alias("boost"), F.max("x.penalty").alias("penalty")
+    scored = known.select("path", "language", "role", each).groupBy("path", "language", "role", F.col("x.name").alias("name")).agg(*sums).where("score IS NOT NULL")
+    rows = ranking.with_feedback(ranking.adjusted_by(scored.join(wants, "name"), F.col)).where("raw > 0")
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("raw"), "path"))  # Spark keeps each task's best before it shuffles
-    top = rows.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return top.select("name", "rank", "path", "language", "role", "raw", T.round_even(F.col("raw") / F.max("raw").over(Window.partitionBy("name")), 2).alias("score"))
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("score", T.round_even(F.col("raw") / F.max("raw").over(Window.partitionBy("name")), 2))
+    return top.withColumnRenamed("name", "q").join(called, "q").select("name", "rank", "path", "language", "role", "raw", "score")
+
+
+def _listed(rows: DataFrame, *columns: str) -> DataFrame:
+    """path, own: a list of what the queries have there, as many as there are."""
+    values = [(F.col(c) if c in columns else F.lit(None)).cast("double").alias(c) for c in ("score", "boost", "penalty")]
+    return rows.groupBy("path").agg(F.collect_list(F.struct("name", *values)).alias("own"))
