@@ -171,3 +171,28 @@ def test_packs_of_many_queries_like_each_alone(spark, project):
             want = [tuple(r[c] for c in columns) for r in alone.orderBy(F.desc("raw"), "path").collect()]
         assert [x[:3] for x in found.get(f"q{i}", [])] == [x[:3] for x in want] and [x[3:] for x in found.get(f"q{i}", [])] == [pytest.approx(x[3:]) for x in want], q
     assert packs.context_packs(files, symbols, commits, commit_files, relations, feedback, asked.limit(0), stats, texts).count() == 0
+
+
+def test_related_files_of_many_queries_like_each_alone(spark):
+    """Targets that one path, several paths (of one file name), or none answer to."""
+    from codemap_spark.operators.relations import related_scores
+
+    paths = ["a/x.py", "b/x.py", "c/x.py", "a/y.py", "z.py"]
+    files = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
+    edges = [(0, "./x.py"), (1, "x.py"), (3, "b/x.py"), (4, "q/x.py"), (4, "a/y.py"), (2, "none"), (2, None), (3, "a/y.py"), (0, "z.py"), (0, "z.py")]
+    relations = spark.createDataFrame(edges, "source_id long, target_id string")
+    lists = {1: ["b/x.py", "c/x.py", "z.py"], 2: ["a/x.py", "a/y.py"], 3: paths, 4: ["gone/x.py"]}
+    candidates = spark.createDataFrame([(p, [q for q, own in lists.items() if p in own]) for p in [*paths, "gone/x.py"]], "path string, names array<bigint>")
+    found = {(r.name, r.path): r.score for r in packs._related(relations, files, candidates).collect()}
+    want = {(q, r.path): r.score for q, own in lists.items() for r in related_scores(relations, files, spark.createDataFrame([(p,) for p in own], "path string")).collect()}
+    assert found == want and want
+
+
+def test_a_commit_is_one_row_a_file_for_all_queries(spark, project):
+    files, symbols, commits, commit_files, _, relations = project
+    w = {k: 1.0 for k in packs.SOURCES}
+    weights = spark.createDataFrame([(q, "login", w) for q in range(20)], "name long, token string, w struct<" + ",".join(f"{k}:double" for k in packs.SOURCES) + ">")
+    wants = spark.createDataFrame([(q, False) for q in range(20)], "name long, docs boolean")
+    points, worth = packs._points(files, symbols, commits, commit_files, relations, weights, wants, False)
+    assert sorted(r.path for r in points.where("key % 2 = 1").collect()) == ["gone/x.py", "src/login/session_handler.py"]
+    assert {r.worth for r in worth.where("key % 2 = 1").collect()} == {2.0} and worth.where("key % 2 = 1").count() == 20
