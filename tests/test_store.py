@@ -160,3 +160,13 @@ def test_topics_count_every_note(spark):
 
 def test_the_plan_scores_every_note():
     assert "LIMIT 100)" not in oracles.ORACLE_SQL["reading_plan_fusion"]
+
+
+def test_plan_differences_take_one_grouping(spark):
+    items = spark.createDataFrame([(1, "a", "read_now"), (1, "b", "read_if_needed"), (1, "", "read_now"), (None, "n", "read_now")], "plan_id long, path string, read_priority string")
+    events = spark.createDataFrame([(1, "b", "opened"), (1, "c", "read"), (1, "c", "useful"), (2, "a", None), (None, "n", "read")], "plan_id long, path string, event string")
+    found = memory.plan_diff(items, events)
+    # null plans don't meet
+    want = {(1, "a", "suggested_not_read"), (1, "a", "read_now_not_read"), (1, "b", "read_without_outcome"), (1, "c", "read_not_planned"), (None, "n", "suggested_not_read"), (None, "n", "read_now_not_read"), (None, "n", "read_not_planned"), (None, "n", "read_without_outcome")}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
