@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..sources.shared import stage
 
 
 class TableStore:
@@ -175,12 +176,17 @@ def clear_feedback(feedback: DataFrame, query: str | None = None, path: str | No
 
 def export_relations(relations: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """JN16: relations with the path of their source and what they point at;
-    a symbol id that is no number or unknown gives nulls."""
+    a symbol id that is no number or unknown gives nulls.
+
+    Only symbols that a relation names go on.  Relations without a symbol id are
+    dealt out by their own id, as keys that are null would all meet in one task."""
     is_symbol = F.col("target_type") == "symbol"
     source = files.select(F.lit("file").alias("source_type"), F.col("id").alias("source_id"), F.col("path").alias("source_path"))
-    named = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("target_symbol"), F.col("kind").alias("target_kind"), F.col("line").alias("target_line"))
     wanted = F.when(is_symbol, F.expr("try_cast(target_id AS bigint)"))
-    out = relations.withColumn("symbol_id", wanted).join(source, ["source_type", "source_id"], "left").join(named, "symbol_id", "left")
+    asked = stage(relations.select(wanted.alias("id")).where("id IS NOT NULL").distinct(), "wanted-symbols")
+    named = symbols.join(asked, "id", "left_semi").select(F.col("id").cast("string").alias("key"), F.col("name").alias("target_symbol"), F.col("kind").alias("target_kind"), F.col("line").alias("target_line"))
+    keyed = relations.withColumn("key", F.coalesce(wanted.cast("string"), F.concat(F.lit("r"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    out = keyed.join(source, ["source_type", "source_id"], "left").join(named, "key", "left")
     target_path = F.when(F.col("target_type") == "file", F.col("target_id"))
     return out.select("id", "source_path", "relation", "target_type", "target_id", target_path.alias("target_path"), "target_symbol", "target_kind", "target_line", "confidence", "metadata")
 

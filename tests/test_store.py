@@ -170,3 +170,23 @@ def test_plan_differences_take_one_grouping(spark):
     want = {(1, "a", "suggested_not_read"), (1, "a", "read_now_not_read"), (1, "b", "read_without_outcome"), (1, "c", "read_not_planned"), (None, "n", "suggested_not_read"), (None, "n", "read_now_not_read"), (None, "n", "read_not_planned"), (None, "n", "read_without_outcome")}
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relations_without_symbols_do_not_meet_in_one_task(spark):
+    files = spark.createDataFrame([(1, "a.py")], "id long, path string")
+    symbols = spark.createDataFrame([(5, "f", "function", 3), (6, "g", "class", 4)], "id long, name string, kind string, line int")
+    rows = spark.range(4000).select("id", F.lit("file").alias("source_type"), (F.col("id") % 2).alias("source_id"), F.lit("r").alias("relation"), F.when(F.col("id") < 4, "symbol").otherwise("file").alias("target_type"))
+    rows = rows.withColumns({"target_id": F.element_at(F.array(F.lit("5"), F.lit("x"), F.lit("9"), F.lit(None).cast("string")), (F.col("id") % 4 + 1).cast("int")), "confidence": F.lit(1.0), "metadata": F.lit("{}")})
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = store.export_relations(rows, files, symbols).withColumn("task", F.spark_partition_id())
+        found = out.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(found) == 4000 and [(r.id, r.source_path, r.target_symbol, r.target_line) for r in found if r.target_symbol] == [(0, None, "f", 3)]
+    assert {r.source_path for r in found if r.id % 2} == {"a.py"} and all(r.target_path == r.target_id for r in found if r.target_type == "file")
+    tasks = [r.task for r in found]
+    assert max(tasks.count(t) for t in set(tasks)) < 2000
