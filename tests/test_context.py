@@ -196,3 +196,10 @@ def test_a_commit_is_one_row_a_file_for_all_queries(spark, project):
     points, worth = packs._points(files, symbols, commits, commit_files, relations, weights, wants, False)
     assert sorted(r.path for r in points.where("key % 2 = 1").collect()) == ["gone/x.py", "src/login/session_handler.py"]
     assert {r.worth for r in worth.where("key % 2 = 1").collect()} == {2.0} and worth.where("key % 2 = 1").count() == 20
+
+
+def test_equal_related_symbols_are_listed_by_id(spark):
+    files = spark.createDataFrame([(1, "a.py")], "id long, path string")
+    symbols = spark.createDataFrame([(k, 1, "red rod", f"kind{k}", 1) for k in (7, 3, 9, 1, 5)], "id long, file_id long, name string, kind string, line int")
+    found = ranking.related_symbols(symbols.repartition(3), files, ["red"], files.select("path"), limit=2).collect()
+    assert [r.kind for r in found] == ["kind1", "kind3"]
