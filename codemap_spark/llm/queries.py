@@ -35,7 +35,7 @@ def op5_curve_packing(spark, sf_dir):
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), similarity=near_dedup.EDITED)
 
 
 def op7_embedding_near_dedup(spark, sf_dir):

@@ -40,7 +40,7 @@ def keep_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    found = near_dedup.near_duplicate_groups(docs).where("kept").select("doc_id", F.col("text_md5").alias("__key"))
+    found = near_dedup.near_duplicate_groups(docs, similarity=near_dedup.EDITED).where("kept").select("doc_id", F.col("text_md5").alias("__key"))
     return _one_of_each(docs, F.md5(F.coalesce("text", F.lit("")).cast("binary")), found)
 
 

@@ -134,3 +134,29 @@ def test_recall_at_the_threshold(spark, seed):
         shared += 1
         hit += bool((one == two).any())
     assert shared > 50 and hit / shared >= 0.99
+
+
+def test_a_group_of_copies_keeps_its_links(spark):
+    """Copies with six words of 200 changed link at 0.7 however many there are;
+    from 0.5 on, as in the queries, so do copies with one in twenty changed."""
+    rng = np.random.default_rng(4)
+    filler = [" ".join(f"f{i}x{k}" for k in range(6)) for i in range(8000)]
+    base = [f"b{k}" for k in range(200)]
+
+    def group(name, size, edits):
+        words = [f"{name}{w}" for w in base]
+        out = [" ".join(words)]
+        for c in range(size):
+            copy = list(words)
+            for k in 5 + 190 // edits * np.arange(edits) + rng.integers(0, 4):
+                copy[k] = f"new{name}{c}k{k}"
+            out.append(" ".join(copy))
+        return out
+
+    texts = group("a", 1, 6) + group("c", 20, 6) + group("d", 20, 10) + filler
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    classes = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(rows, similarity=0.7).collect()}
+    assert all(classes[k] == 0 for k in range(2)) and all(classes[k] == 2 for k in range(2, 23))
+    assert all(classes[k] == k for k in range(23, len(texts)))
+    edited = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(rows, similarity=near_dedup.EDITED).collect()}
+    assert all(edited[k] == 23 for k in range(23, 44)) and all(edited[k] == k for k in range(44, len(texts)))
