@@ -14,6 +14,16 @@ from ..sources.shared import stage
 from . import memory, ranking, substrings
 
 SOURCES = ("path", "filename", "language", "role", "symbol", "commit")
+#: Most pairs of a path and a query that a task works out.
+PAIRS = 1 << 18
+
+
+def _tasks(paths: DataFrame, queries: DataFrame) -> int:
+    """Tasks for what the queries have at the paths.  A path travels with its
+    queries as a list, so bytes shuffled tell little about the rows that a task
+    makes of them: a number that is asked for isn't lowered by Spark."""
+    n = paths.agg(F.approx_count_distinct("path")).first()[0] * queries.count()
+    return max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PAIRS))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -125,7 +135,7 @@ def _names(own: str) -> Column:
     return F.transform(own, lambda x: x["name"])
 
 
-def _related(relations: DataFrame, files: DataFrame, candidates: DataFrame, step: float = 0.5, most: float = 1.5) -> DataFrame:
+def _related(relations: DataFrame, files: DataFrame, candidates: DataFrame, step: float = 0.5, most: float = 1.5, tasks: int | None = None) -> DataFrame:
     """CX5 of every query: path, name, score; ``candidates`` are (path, names),
     a row a path, whose list of queries goes along with the edges whole."""
     normal = F.regexp_replace("target_id", r"^[./]+", "")
@@ -143,7 +153,7 @@ def _related(relations: DataFrame, files: DataFrame, candidates: DataFrame, step
     found = edges.join(single.unionByName(chosen), "target_id").join(inside, "source", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
     both = F.array(F.struct(F.col("linked").alias("path"), F.when(F.col("linked") != F.col("source"), F.array_intersect("names", "own")).alias("names")), F.struct(F.col("source").alias("path"), F.array_except("names", "own").alias("names")))
     rows = found.select("n", F.explode(both).alias("x")).where("size(x.names) > 0").select("x.path", "x.names", "n")
-    return rows.repartition("path").select("path", F.explode("names").alias("name"), "n").groupBy("path", "name").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))
+    return (rows.repartition(tasks, "path") if tasks else rows.repartition("path")).select("path", F.explode("names").alias("name"), "n").groupBy("path", "name").agg(F.least(step * F.sum("n"), F.lit(most)).alias("score"))
 
 
 def feedback_signals(feedback: DataFrame, files: DataFrame, queries: DataFrame) -> DataFrame:
@@ -166,6 +176,7 @@ def context_packs(files: DataFrame, symbols: DataFrame, commits: DataFrame, comm
     ``stats`` are AGG1's, ``texts`` (text) those of AGG2.  Queries without a
     token have no rows."""
     called = stage(queries.select("name").distinct().withColumn("q", F.monotonically_increasing_id()), "pack-queries")
+    tasks = _tasks(commit_files.select("path").unionAll(files.select("path")), called)
     queries = stage(queries.join(called, "name").select(F.col("q").alias("name"), "query"), "pack-asked")  # numbers in place of names
     tokens = query_tokens(queries)
     weights = stage(token_weights(tokens, stats, texts).select("name", "token", F.struct(*SOURCES).alias("w")), "pack-weights")
@@ -173,11 +184,13 @@ def context_packs(files: DataFrame, symbols: DataFrame, commits: DataFrame, comm
     wants = stage(tokens.groupBy("name").agg(*[F.bool_or(F.col("token").isin(words)).alias(k) for k, words in asked.items()]), "pack-wants")
     points, worth = _points(files, symbols, commits, commit_files, relations, weights, wants, soft)
     # rows meet by path, so the queries of a path are worked out where it is, and aren't shuffled
-    total = points.repartition("path").join(worth, "key").groupBy("path", "name").agg(F.sum(F.col("amount") * F.col("worth")).alias("score")).where("score > 0")
-    total = stage(_listed(total, "score"), "pack-totals")
-    related = _listed(_related(relations, files, total.select("path", _names("own").alias("names"))), "score").withColumnRenamed("own", "near")
+    total = points.repartition(tasks, "path").join(worth, "key").groupBy("path", "name").agg(F.sum(F.col("amount") * F.col("worth")).alias("score")).where("score > 0")
+    indexed = files.repartition(tasks, "path").groupBy("path").agg(F.collect_list(F.struct("language", "role")).alias("indexed"))
+    total = stage(_listed(total, "score").join(indexed, "path", "full_outer"), "pack-totals")
+    related = _listed(_related(relations, files, total.where("own IS NOT NULL").select("path", _names("own").alias("names")), tasks=tasks), "score").withColumnRenamed("own", "near")
     learned = _listed(feedback_signals(feedback, files, queries), "boost", "penalty").withColumnRenamed("own", "learned")
-    known = files.select("path", "language", "role").join(total, "path", "left").join(related, "path", "left").join(learned, "path", "left").where("own IS NOT NULL OR near IS NOT NULL")
+    own = total.where("indexed IS NOT NULL").select("path", F.inline("indexed"), "own").repartition(tasks, "path")
+    known = own.join(related, "path", "left").join(learned, "path", "left").where("own IS NOT NULL OR near IS NOT NULL")
     none = F.array().cast("array<struct<name:bigint,score:double,boost:double,penalty:double>>")
     each = F.explode(F.concat(*[F.coalesce(c, none) for c in ("own", "near", "learned")])).alias("x")
     sums = F.sum("x.score").alias("score"), F.max("x.boost").alias("boost"), F.max("x.penalty").alias("penalty")

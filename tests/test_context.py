@@ -203,3 +203,11 @@ def test_equal_related_symbols_are_listed_by_id(spark):
     symbols = spark.createDataFrame([(k, 1, "red rod", f"kind{k}", 1) for k in (7, 3, 9, 1, 5)], "id long, file_id long, name string, kind string, line int")
     found = ranking.related_symbols(symbols.repartition(3), files, ["red"], files.select("path"), limit=2).collect()
     assert [r.kind for r in found] == ["kind1", "kind3"]
+
+
+def test_tasks_of_many_queries_follow_paths_and_queries(spark, monkeypatch):
+    """A list of queries is a few bytes a path in a shuffle, but many rows."""
+    paths = spark.range(1000).select(F.concat(F.lit("p"), "id").alias("path"))
+    monkeypatch.setattr(packs, "PAIRS", 100)
+    few, many = packs._tasks(paths, spark.range(1)), packs._tasks(paths, spark.range(100))
+    assert few < 50 and 900 <= many <= 1100
