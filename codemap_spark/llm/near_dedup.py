@@ -144,10 +144,12 @@ def _base_levels(samples: int, base: float) -> np.ndarray:
 def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, base: float, documents: int) -> np.ndarray:
     """(documents, BANDS) band keys of weighted shingles, ordered by document.
 
-    A sample is the pool entry and step of the element that minimises
-    ln a = ln c - r (t - beta + 1), t = floor(ln S / r + beta).  Elements share
-    a pool of variates; those with the weight ``base``, that of a rare shingle
-    found once in its document, take a from a table.
+    A sample is the hash and step of the element that minimises
+    ln a = ln c - r (t - beta + 1), t = floor(ln S / r + beta), the first by hash
+    of equal ones.  Elements share a pool of variates, so its entry isn't enough:
+    long documents without a common shingle have many entries in common.  Those
+    with the weight ``base``, that of a rare shingle found once in its document,
+    take a from a table.
     """
     samples = BANDS * ROWS
     odd, r, c, beta = _variates(samples)
@@ -174,7 +176,7 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weight: np.ndarray, bas
             least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), size))
             best = least[np.searchsorted(least, first)]  # the first of each document's least
             _, t = level(j, entry[best], log_weight[best])
-            sample_keys[j] = splitmix((entry[best].astype(np.uint64) << np.uint64(32)) ^ t.astype(np.int64).view(np.uint64) ^ (np.uint64(j) << np.uint64(56)))
+            sample_keys[j] = splitmix(splitmix(hashes[best] + np.uint64(j)) ^ t.astype(np.int64).view(np.uint64))
         for b in range(BANDS):
             key = np.full(len(first), b + 1, np.uint64)
             for j in range(b * ROWS, (b + 1) * ROWS):
@@ -587,10 +589,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         the pairs of one b, whose text goes to a task per STAR_ROWS of them."""
         salts = F.ceil(F.col("n") / STAR_ROWS).cast("int")
         dealt = pairs.select("a", "b", F.pmod(F.xxhash64(F.lit(5), "a"), salts).cast("int").alias("salt"))
-        copies = pairs.groupBy("b").agg(F.max("n").alias("n")).select(F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        copies = pairs.groupBy("b").agg(F.max("n").alias("n")).select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         found = of_candidates(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
         left = dealt.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("frequencies").alias("frequencies_a")).hint("merge"), "a")
-        right = copies.join(found.hint("merge"), "node").select(F.col("node").alias("b"), "salt", F.col("text").alias("text_b"), F.col("frequencies").alias("frequencies_b"))
+        # renamed alike, so that both joins read one shuffle of the texts
+        right = copies.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("frequencies").alias("frequencies_b")).hint("merge"), "b")
         both = left.join(right.hint("shuffle_hash"), ["b", "salt"]).select("a", "b", "text_a", "text_b", "frequencies_a", "frequencies_b")
 
         def run(batches):

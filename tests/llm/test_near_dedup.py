@@ -160,3 +160,14 @@ def test_a_group_of_copies_keeps_its_links(spark):
     assert all(classes[k] == k for k in range(23, len(texts)))
     edited = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(rows, similarity=near_dedup.EDITED).collect()}
     assert all(edited[k] == 23 for k in range(23, 44)) and all(edited[k] == k for k in range(44, len(texts)))
+
+
+def test_long_documents_without_a_common_shingle_share_no_sample():
+    """The pool has 65,536 entries: two of 20,000 shingles have many in common."""
+    rng = np.random.default_rng(4)
+    w = np.full(20_000, 5.0)
+    shared = 0
+    for _ in range(12):
+        a, b = (near_dedup.signatures(np.sort(rng.integers(0, 1 << 63, len(w), dtype=np.uint64)), np.zeros(len(w), np.int64), w, 5.0, 1) for _ in range(2))
+        shared += int((a == b).sum())
+    assert shared == 0
