@@ -211,3 +211,41 @@ def test_tasks_of_many_queries_follow_paths_and_queries(spark, monkeypatch):
     monkeypatch.setattr(packs, "PAIRS", 100)
     few, many = packs._tasks(paths, spark.range(1)), packs._tasks(paths, spark.range(100))
     assert few < 50 and 900 <= many <= 1100
+
+
+def test_matched_symbols_are_the_first_by_id_whatever_their_kind(spark):
+    rows = [(1, 9, "red_a", "class"), (1, 4, "RED_b", "heading"), (1, 4, "red_c", "class"), (1, 7, "widget", "method"), (2, None, "redwidget", "heading"), (2, 1, "red", "class"), (3, 5, None, "class"), (4, 6, "blue", "class"), (9, 1, "red", "class")]
+    symbols = spark.createDataFrame([(f, i, n, k) for f, i, n, k in rows], "file_id long, id long, name string, kind string")
+    files = spark.createDataFrame([(k, f"p{k}", "documentation") for k in (1, 2, 3, 4)], "id long, path string, role string")
+    found = {(r.file_id, r.token): (r.id, r.share) for r in ranking.matched_symbols(symbols, files, ["red", "widget"]).collect()}
+    assert found == {(1, "red"): (4, 0.5), (1, "widget"): (7, 0.5), (2, "red"): (None, 0.25), (2, "widget"): (None, 0.25)}
+    assert ranking.matched_symbols(symbols, files, []).count() == 0
+    # rows are combined by a hash and not sorted one by one
+    plan = ranking.matched_symbols(symbols, files, ["red"])._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[file_id" in plan
+
+
+def test_commit_files_of_some_commits_are_those_of_all(spark):
+    from codemap_spark.sources import corpus as C
+
+    sf = "/root/testdata/sf0.001"
+    asked = ranking.matched_commits(C.commits(spark, sf), ["red", "widget"])
+    ids = {r.id for r in asked.collect()}
+    want = sorted(tuple(r) for r in C.commit_files(spark, sf).collect() if r.commit_id in ids)
+    assert want and sorted(tuple(r) for r in C.commit_files(spark, sf, among=asked).collect()) == want
+
+
+def test_the_bound_on_soft_matches_drops_only_what_scores_nothing(spark):
+    import difflib
+    import itertools
+
+    words = ["widget", "widgets", "gadget", "gadgett", "budget", "sprocket", "sprockets", "rockets", "123456", "99999", "handler", "handlers", "hand", "configuration", "config", "reconfigure", "tegdiw", "w1dget", "widgetwidget"]
+    pairs = spark.createDataFrame(list(itertools.product(words, words)), "token string, candidate string")
+    scored = {(r.token, r.candidate): r.score for r in ranking.soft_matches(pairs).collect()}
+    for t in words:
+        may = {r.candidate: r.may for r in pairs.select("candidate", ranking._may_match(t, pairs.candidate).alias("may")).distinct().collect()}
+        assert not [c for c in words if scored.get((t, c), 0) > 0 and not may[c]]
+        assert all(may[c] for c in words if len(c) > 5 and difflib.SequenceMatcher(None, t, c).ratio() >= 0.82)
+    assert not any(r.may for r in pairs.where("candidate in ('123456', '99999')").select(ranking._may_match("widget", pairs.candidate).alias("may")).collect())
+    files = spark.createDataFrame([(k, f"src/widgets_{k + 100000}.py") for k in range(20)], "id long, path string")
+    assert {(r.token, r.in_name) for r in ranking.soft_path_matches(files, ["widget"]).collect()} == {("widget", 0.9)}
