@@ -249,3 +249,12 @@ def test_the_bound_on_soft_matches_drops_only_what_scores_nothing(spark):
     assert not any(r.may for r in pairs.where("candidate in ('123456', '99999')").select(ranking._may_match("widget", pairs.candidate).alias("may")).collect())
     files = spark.createDataFrame([(k, f"src/widgets_{k + 100000}.py") for k in range(20)], "id long, path string")
     assert {(r.token, r.in_name) for r in ranking.soft_path_matches(files, ["widget"]).collect()} == {("widget", 0.9)}
+
+
+def test_a_diagnosis_scores_its_files_once(spark, monkeypatch):
+    from codemap_spark.plans import catalog
+
+    written, kept = [], catalog.stage
+    monkeypatch.setattr(catalog, "stage", lambda df, name: (written.append(name), kept(df, name))[1])
+    assert catalog.QUERIES["context_diagnostics"](spark, "/root/testdata/sf0.001").count() > 0
+    assert written.count("pack-scores") == 1 and "pack-candidates" not in written and "project-commit_files" not in written
