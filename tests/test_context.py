@@ -258,3 +258,19 @@ def test_a_diagnosis_scores_its_files_once(spark, monkeypatch):
     monkeypatch.setattr(catalog, "stage", lambda df, name: (written.append(name), kept(df, name))[1])
     assert catalog.QUERIES["context_diagnostics"](spark, "/root/testdata/sf0.001").count() > 0
     assert written.count("pack-scores") == 1 and "pack-candidates" not in written and "project-commit_files" not in written
+
+
+def test_read_sizes_shuffle_no_texts(spark, monkeypatch):
+    from codemap_spark.operators import stats
+    from codemap_spark.plans import catalog
+
+    seen = []
+    kept = stats.read_sizes
+    monkeypatch.setattr(stats, "read_sizes", lambda files, pack: (seen.append(files.columns), kept(files, pack))[1])
+    assert catalog.QUERIES["read_sizes"](spark, "/root/testdata/sf0.001").count() == 3
+    assert "content" not in seen[0]
+    files = spark.createDataFrame([("a.py", "python", "source", "abcdé"), ("b.x", "unknown", "asset", "xy"), ("c.py", "python", "source", None)], "path string, language string, role string, content string")
+    pack = spark.createDataFrame([("a.py", 2.0), ("b.x", 1.0)], "path string, raw double")
+    rows = lambda f: sorted(tuple(r) for r in kept(f, pack).collect())
+    short = files.selectExpr("path", "language", "role", "char_length(content) AS length")
+    assert rows(files) == rows(short) == [("indexed_project", 2, 5, 2), ("suggested_first_reads", 2, 7, 2), ("top_candidates", 2, 7, 2)]
